@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_to_weights
+from .packing import pack_power_of_two
+from .sharding import shard_documents
+
+
+def op4_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_power_of_two(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +25,11 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_mix_weights": op7_mix_weights}
+    return {
+        "op4_shard_bfd": op4_shard_bfd,
+        "op6_pack_binary": op6_pack_binary,
+        "op7_mix_weights": op7_mix_weights,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
