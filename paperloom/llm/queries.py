@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_to_weights
 from .packing import pack_power_of_two
+from .secret_scan import scan_secrets
 from .sharding import shard_documents
 
 
@@ -24,11 +25,23 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("novel").alias("n_novel"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         "op4_shard_bfd": op4_shard_bfd,
         "op6_pack_binary": op6_pack_binary,
         "op7_mix_weights": op7_mix_weights,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
