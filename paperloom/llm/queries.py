@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_to_weights
 from .packing import pack_power_of_two
+from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
 
@@ -25,6 +26,10 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -41,6 +46,7 @@ def queries() -> dict:
         "op4_shard_bfd": op4_shard_bfd,
         "op6_pack_binary": op6_pack_binary,
         "op7_mix_weights": op7_mix_weights,
+        "op9_robust_outliers": op9_robust_outliers,
         "op10_secret_scan": op10_secret_scan,
     }
 
