@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_to_weights
+from .ngram_join import jaccard_components
 from .packing import pack_power_of_two
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -26,6 +27,10 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def queries() -> dict:
         "op4_shard_bfd": op4_shard_bfd,
         "op6_pack_binary": op6_pack_binary,
         "op7_mix_weights": op7_mix_weights,
+        "op8_token_group_join": op8_token_group_join,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_secret_scan": op10_secret_scan,
     }
