@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_cnn
 from .common import table
 from .mixing import mix_to_weights
 from .ngram_join import jaccard_components
@@ -18,6 +19,11 @@ def op4_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score_quality(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_power_of_two(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -49,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_shard_bfd": op4_shard_bfd,
+        "op5_byte_cnn": op5_byte_cnn,
         "op6_pack_binary": op6_pack_binary,
         "op7_mix_weights": op7_mix_weights,
         "op8_token_group_join": op8_token_group_join,
