@@ -13,6 +13,11 @@ from .packing import pack_power_of_two
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
+from .topk_nra import top_k
+
+
+def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op4_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_nra_top_k": op2_nra_top_k,
         "op4_shard_bfd": op4_shard_bfd,
         "op5_byte_cnn": op5_byte_cnn,
         "op6_pack_binary": op6_pack_binary,
@@ -65,8 +71,19 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_weights": OP7_SQL}
-
+    return {"op2_nra_top_k": OP2_SQL, "op7_mix_weights": OP7_SQL}
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
 
 OP7_SQL = r"""
 WITH b AS (
