@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_cnn
+from .chat_rotation import rotate_perspectives
 from .common import table
 from .mixing import mix_to_weights
 from .ngram_join import jaccard_components
@@ -20,6 +21,12 @@ def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    learned = F.transform(F.filter("segments", lambda s: s["mask"]), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rendered.select("conv_id", "participant", "part", "piece", "n_turns", "text", F.array_join(learned, ",").alias("loss_spans"))
+
+
 def op4_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_nra_top_k": op2_nra_top_k,
+        "op3_perspectives": op3_perspectives,
         "op4_shard_bfd": op4_shard_bfd,
         "op5_byte_cnn": op5_byte_cnn,
         "op6_pack_binary": op6_pack_binary,
@@ -71,7 +79,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nra_top_k": OP2_SQL, "op7_mix_weights": OP7_SQL}
+    return {"op2_nra_top_k": OP2_SQL, "op3_perspectives": OP3_SQL, "op7_mix_weights": OP7_SQL}
 
 
 OP2_SQL = """
@@ -85,6 +93,22 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 5
 """
 
+OP3_SQL = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(floor(turn / 32), -1)::BIGINT AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role <> 'system'),
+g AS (
+  SELECT p.participant, t.*, coalesce(t.role = p.participant, false) AS mask,
+    CASE WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10) WHEN t.role = p.participant THEN '<|im_start|>assistant' || chr(10)
+         ELSE '<|im_start|>user name=' || translate(replace(coalesce(t.role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') || chr(10) END AS head,
+    replace(t.text, '<|', '< |') || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING) AS upto FROM g)
+SELECT conv_id, participant, part, 0::BIGINT AS piece, count(*)::INTEGER AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text,
+  coalesce(string_agg(CASE WHEN mask THEN (upto - 1 - length(body))::VARCHAR || ':' || (upto - 1)::VARCHAR END, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text), '') AS loss_spans
+FROM o GROUP BY conv_id, participant, part
+"""
+
 OP7_SQL = r"""
 WITH b AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
