@@ -211,4 +211,6 @@ def keep_good(docs: DataFrame, params: RobustParams = RobustParams()) -> DataFra
     """The rows of ``docs`` that the rules keep, with all their columns."""
     stats = materialize(with_statistics(docs.select("lang", "source", "text")).drop("text"), "rules-stats")
     estimates = fit(stats, params)
-    return judge(with_statistics(docs), estimates, params).filter("kept").select(*docs.columns)
+    judged = judge(with_statistics(docs), estimates, params).select(*docs.columns, F.col("kept").alias("__kept"))
+    # Written before the filter: pushed down, it would repeat the whole chain of statistics many times.
+    return materialize(judged, "rules-judged").filter("__kept").drop("__kept")

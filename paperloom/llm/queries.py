@@ -11,12 +11,17 @@ from .common import table
 from .mixing import mix_to_weights
 from .ngram_join import jaccard_components
 from .packing import pack_power_of_two
+from .pii import surrogate_pii
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
 from .topk_nra import top_k
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -66,6 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_nra_top_k": op2_nra_top_k,
         "op3_perspectives": op3_perspectives,
         "op4_shard_bfd": op4_shard_bfd,
