@@ -77,7 +77,7 @@ def roster(spark: SparkSession, folder: str) -> DataFrame:
 def letters(spark: SparkSession, folder: str) -> DataFrame:
     """One-page letters composed from orders, customers and parts: doc_id, page_idx, page_text, company."""
     orders, part = table(spark, folder, "orders"), table(spark, folder, "part")
-    lines = table(spark, folder, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("doc_id"), "l_partkey")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_partkey").alias("l_partkey"))
     named = lines.join(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("p")), "l_partkey")
     rows = orders.join(named, orders.o_orderkey == named.doc_id).select("doc_id", "p", "o_custkey", "o_orderdate", "o_orderpriority")
     return rows.select("doc_id", F.lit(0).alias("page_idx"), letter_text().alias("page_text"), F.concat("p", F.lit(" INSURANCE CORPORATION")).alias("company"), F.to_date("o_orderdate").alias("sent"))
@@ -99,4 +99,4 @@ LETTERS_SQL = """letters AS (
     ', Complainant, versus ' || upper(p_name) || ' INSURANCE CORPORATION, Respondent.' || chr(10) || 'Subject: claim vs. ' || upper(p_name) ||
     ' INSURANCE COMPANY.' || chr(10) || 'Date Requested ' || strftime(o_orderdate, '%m/%d/%Y') || chr(10) || 'Very truly yours,' || chr(10) ||
     upper(p_name) || ' INSURANCE CORPORATION' || chr(10) AS page_text
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey)"""
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
