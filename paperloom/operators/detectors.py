@@ -136,7 +136,8 @@ def signatures(pages: DataFrame) -> DataFrame:
 
 
 def sender_region(pages: DataFrame) -> DataFrame:
-    """doc_id, sender, body: the tops of all pages with 400 characters from each closing, and all text."""
+    """doc_id, sender, body: the tops of all pages with 400 characters from each closing (closings
+    may overlap), and all text."""
     closing = F.regexp_extract_all("page_text", F.lit(rf"(?i)(?=(\b(?:{X.CLOSING})\b[\s\S]{{0,400}}))"), F.lit(1))
     sender = F.concat_ws(" ", F.array_join(head_lines(F.col("page_text")), " "), F.array_join(closing, " "))
     rows = pages.select("doc_id", "page_idx", sender.alias("s"), F.col("page_text").alias("t"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def line_segments(words: DataFrame, tolerance: float = 4.0, gap: float = 2.5) -> DataFrame:
     """doc_id, page_idx, text, x0, y0, x1, y1, conf -> lines: line_no, text, box, height, conf.
@@ -45,3 +47,35 @@ def runs(rows: DataFrame, group: list[str], order: str, flag: str, most: int = 4
     marked = rows.withColumn("__island", island).filter(F.col(flag))
     place = F.row_number().over(W.partitionBy(*group, "__island").orderBy(order)) - 1
     return marked.withColumn(out, F.struct(F.col("__island").alias("island"), F.floor(place / most).alias("chunk"))).drop("__island")
+
+
+def company_phrases(found: DataFrame, page_height: Column, matches: DataFrame | None = None, k: int = 4, high: float = 65.0) -> DataFrame:
+    """The ``k`` best company phrases of each page: doc_id, page_idx, badge, text, score, is_high.
+
+    Points: keyword 35 or 15, place on the page 25, 15 or 10, height 15 or 8, capitals 10, and 0.3 times a
+    roster score of 75 or more (``matches``: name, score over the normal form).  Of phrases with the same
+    normal form the first counts; ties keep reading order.
+    """
+    cleaned = X.without_edge_marks(F.col("text"))
+    rows = found.withColumn("text", cleaned).filter(F.size(F.split("text", r"\s+")) >= 2).withColumn("form", X.company_form(F.col("text"))).filter("form <> ''")
+    if matches is not None:
+        rows = rows.join(matches.select(F.col("name").alias("form"), F.col("score").alias("fuzzy")), "form", "left")
+    else:
+        rows = rows.withColumn("fuzzy", F.lit(None).cast("int"))
+    listed = F.col("fuzzy") >= 75
+    kind = X.keyword_class(F.col("form"))
+    y = F.col("y0") / page_height
+    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
+    capitals = F.length(F.regexp_replace("text", "[^A-Z]", ""))
+    score = (
+        F.when(kind == "strong", 35.0).when(kind == "weak", 15.0).otherwise(0.0)
+        + F.when(y < 0.25, 25.0).when(y < 0.40, 15.0).when(y > 0.80, 10.0).otherwise(0.0)
+        + F.when(F.col("height") >= 14, 15.0).when(F.col("height") >= 11, 8.0).otherwise(0.0)
+        + F.when(capitals >= letters * 0.75, 10.0).otherwise(0.0)
+        + F.when(listed, F.col("fuzzy") * 0.3).otherwise(0.0)
+    )
+    kept = rows.filter((kind == "strong") | listed).withColumn("score", F.bround(score, 1))
+    first = kept.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "page_idx", "form").orderBy("ord"))).filter("n = 1")
+    w = W.partitionBy("doc_id", "page_idx").orderBy(F.desc("score"), "ord")
+    ranked = first.withColumn("badge", F.row_number().over(w)).filter(F.col("badge") <= k)
+    return ranked.select("doc_id", "page_idx", "badge", "text", "score", (F.col("score") >= high).alias("is_high"))

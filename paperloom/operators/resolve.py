@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import token_set_ratio
-from ..functions.text import company_form, words
+from ..functions.text import STRONG_RE, company_form, is_regulator, match_form, words
 
 # Least score and boost by source, in the order of their labels; sources that confirm alone.
 PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10), ("letterhead", 72, 6), ("signature", 72, 6), ("gazetteer", 68, 5), ("keyword", 88, 0), ("folder", 95, 0))
@@ -122,3 +122,18 @@ def combined(docs: DataFrame, candidates: DataFrame, matches: DataFrame, thresho
         "doc_id", F.coalesce("company_name", F.lit("")).alias("company_name"), "matched", "score", c.alias("confidence"), F.coalesce("tier", F.lit("unresolved")).alias("tier"),
         F.coalesce("cross_validated", F.lit(False)).alias("cross_validated"), label.alias("label"), (c < threshold).alias("needs_review"),
     )
+
+
+def folder_hints(folders: DataFrame, roster: DataFrame, least: int = 95) -> DataFrame:
+    """Folder names (column name) that look like companies, in the roster's spelling where it is certain."""
+    named = folders.filter(match_form(F.col("name")).rlike(STRONG_RE) & ~is_regulator(F.col("name")))
+    found = roster_matches(named, roster, normalize=False).filter(F.col("score") >= least)
+    upper = roster_matches(named.select(F.upper("name").alias("name")), roster, normalize=False).filter(F.col("score") >= least)
+    best = found.select("name", "entry").unionByName(upper.select("name", "entry"))
+    joined = named.withColumn("__n", F.upper("name")).join(best.select(F.upper("name").alias("__n"), "entry").distinct(), "__n", "left")
+    return joined.withColumn("name", F.coalesce("entry", match_form(F.col("name")))).drop("__n", "entry").withColumns({"source": F.lit("folder"), "weight": F.lit(0.4)})
+
+
+def snapped(names: DataFrame, matches: DataFrame, least: int = 70) -> DataFrame:
+    """Chosen names in the roster's spelling where they match it well enough."""
+    return names.join(matches.select("name", "entry", "score"), "name", "left").withColumn("chosen", F.when(F.col("score") >= least, F.col("entry")).otherwise(F.col("name")))
