@@ -11,7 +11,8 @@ from .finalize import finalize_plan
 from .registry import query
 from .relational_queries import _boxes
 
-AS_OF = F.make_date(F.lit(2030), F.lit(1), F.lit(1))
+def as_of():
+    return F.make_date(F.lit(2030), F.lit(1), F.lit(1))
 
 
 def _detect(spark, d, f):
@@ -95,7 +96,7 @@ def f_date_parse(spark, d):
     day, form = F.col("o_orderdate"), F.col("o_orderkey") % 4
     text = F.when(form == 0, F.date_format(day, "MM/dd/yyyy")).when(form == 1, F.date_format(day, "dd-MM-yy")).when(form == 2, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "d MMM yyyy"))
     m = table(spark, d, "orders").select("o_orderkey", text.alias("matched"))
-    return m.withColumns({"date": dates.parsed_date(F.col("matched"), AS_OF), "ambiguous": dates.ambiguous(F.col("matched"))})
+    return m.withColumns({"date": dates.parsed_date(F.col("matched"), as_of()), "ambiguous": dates.ambiguous(F.col("matched"))})
 
 
 CONTEXT_SQL = f"""{LETTERS_SQL}, x AS (SELECT doc_id, sent, strftime(sent, '%m/%d/%Y') AS m, trim(regexp_replace(page_text, '\\s+', ' ', 'g')) AS t FROM letters),
@@ -104,7 +105,7 @@ c AS (SELECT *, list_filter(['date', 'dated', 'as of', 'issued', 'effective', 'r
 
 @query("d_candidates", f"WITH {CONTEXT_SQL} SELECT doc_id, m AS matched, sent AS date, array_to_string(kw, ',') AS keywords, day(sent) <= 12 AS ambiguous FROM c")
 def d_candidates(spark, d):
-    return dates.date_candidates(letters(spark, d), AS_OF).select("doc_id", "matched", "date", F.array_join("keywords", ",").alias("keywords"), "ambiguous")
+    return dates.date_candidates(letters(spark, d), as_of()).select("doc_id", "matched", "date", F.array_join("keywords", ",").alias("keywords"), "ambiguous")
 
 
 SLIP_SQL = "(SELECT o_orderkey, (o_orderdate + INTERVAL 20 YEAR)::DATE AS day FROM orders)"
@@ -121,11 +122,11 @@ def d_routing_date(spark, d):
         .when(form == 3, F.concat(F.lit("ROUTING SLIP W"), F.date_format(day, "yy-MM-dd"), F.lit(" z")))
         .otherwise(F.concat(F.lit("no 179002000123 on "), F.date_format(day, "MM/dd/yyyy")))
     )
-    return o.select("o_orderkey", dates.routing_date(text, AS_OF).alias("r")).select("o_orderkey", "r.date", "r.source")
+    return o.select("o_orderkey", dates.routing_date(text, as_of()).alias("r")).select("o_orderkey", "r.date", "r.source")
 
 
 def _scored(spark, d):
-    c = dates.date_candidates(letters(spark, d), AS_OF).withColumn("conf", F.lit(90.0))
+    c = dates.date_candidates(letters(spark, d), as_of()).withColumn("conf", F.lit(90.0))
     labeled = c.filter("doc_id % 3 = 0").select("doc_id", "page_idx", "date")
     control = c.filter("doc_id % 5 = 0").select("doc_id", "page_idx", F.when(F.col("doc_id") % 15 == 0, F.date_add("date", 1)).otherwise(F.col("date")).alias("date"), (F.col("doc_id") % 2 == 0).alias("confirmed"))
     return dates.scored(c, labeled, control)
@@ -156,7 +157,7 @@ def d_stop_page(spark, d):
 def d_control_anchor(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.to_date(F.add_months("o_orderdate", 240)).alias("day"))
     text = F.concat(F.lit("ref 9002000777 dated "), F.date_format("day", "MM/dd/yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " 2017-09-20 10:04:53").otherwise(" none"))
-    return o.select("o_orderkey", dates.control_anchor(text, AS_OF).alias("c")).select("o_orderkey", "c.date", "c.confirmed")
+    return o.select("o_orderkey", dates.control_anchor(text, as_of()).alias("c")).select("o_orderkey", "c.date", "c.confirmed")
 
 
 @query("d_labeled_dates", "SELECT o_orderkey AS doc_id, 0 AS page_idx, o_orderdate::DATE AS date FROM orders")
@@ -167,7 +168,7 @@ def d_labeled_dates(spark, d):
     far = F.date_format(F.date_add("o_orderdate", 40), "MM/dd/yyyy")
     boxes = F.array(word(0, far, 10.0, F.lit(0.0)), word(1, F.lit("Document"), 10.0, F.lit(50.0)), word(2, F.lit("Date:"), 80.0, F.lit(50.0)), word(3, F.date_format("o_orderdate", "MM/dd/yyyy"), 200.0, F.lit(50.0) + below), word(4, far, 200.0, F.lit(500.0)))
     rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.explode(boxes).alias("w")).select("doc_id", "page_idx", "w.*", F.lit(40.0).alias("width"), F.lit(800.0).alias("page_height"))
-    return dates.labeled_dates(rows, AS_OF)
+    return dates.labeled_dates(rows, as_of())
 
 
 @query("k_repair_session", "SELECT c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey::VARCHAR) FILTER (WHERE c_custkey % 3 > 0) AS processed FROM customer GROUP BY c_nationkey")

@@ -10,8 +10,6 @@ from ..operators import layout, naming, qc, reconcile, resolve, session, similar
 from ..sources.tables import roster, table, text_pages
 from .registry import query
 
-k = F.col("doc_id")
-
 # ---- aggregations -------------------------------------------------------------------------------
 
 STATUS_SQL = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 45 THEN 'confirmed' WHEN l_returnflag = 'R' THEN 'error' WHEN l_tax > 0.07 THEN 'failed' ELSE 'flagged' END AS status FROM lineitem)"
@@ -98,7 +96,7 @@ def w_seq_global(spark, d):
 
 @query("w_seq_per_folder", "SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id)::INTEGER AS seq FROM documents")
 def w_seq_per_folder(spark, d):
-    return naming.numbered_per_group(table(spark, d, "documents"), ["source", "lang"], [F.col("n_chars"), k]).select("doc_id", "seq")
+    return naming.numbered_per_group(table(spark, d, "documents"), ["source", "lang"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "seq")
 
 
 @query("w_topk_badge", "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS badge, value >= 65 AS high FROM events) WHERE badge <= 4")
@@ -205,10 +203,10 @@ def j_hash_raw_copy(spark, d):
 
 
 def _manifest_tables(spark, d):
-    h = _hashed(spark, d).withColumn("path", F.concat(F.lit("in/"), k.cast("string")))
+    h = _hashed(spark, d).withColumn("path", F.concat(F.lit("in/"), F.col("doc_id").cast("string")))
     inputs = h.filter("doc_id % 2 = 0")
-    manifest = h.filter("doc_id % 6 = 0 or doc_id % 10 = 1").select(F.when(k % 6 == 0, F.col("path")).otherwise("elsewhere").alias("path"), "sha", F.concat(F.lit("out/"), k.cast("string")).alias("out_path"))
-    there = h.filter("doc_id % 4 = 0 or doc_id % 2 = 1").select(F.concat(F.lit("out/"), k.cast("string")).alias("out_path"))
+    manifest = h.filter("doc_id % 6 = 0 or doc_id % 10 = 1").select(F.when(F.col("doc_id") % 6 == 0, F.col("path")).otherwise("elsewhere").alias("path"), "sha", F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("out_path"))
+    there = h.filter("doc_id % 4 = 0 or doc_id % 2 = 1").select(F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("out_path"))
     return inputs, manifest, there
 
 
@@ -293,13 +291,13 @@ def k_output_guard(spark, d):
 
 
 def _session(spark, d):
-    return table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", (k % 14 == 0).alias("reviewed"), (k % 22 == 0).alias("pending"), (k % 26 == 0).alias("auto"))
+    return table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 14 == 0).alias("reviewed"), (F.col("doc_id") % 22 == 0).alias("pending"), (F.col("doc_id") % 26 == 0).alias("auto"))
 
 
 def _report(spark, d):
     inputs, manifest, there = _manifest_tables(spark, d)
     a, b = _sides(spark, d)
-    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").withColumn("final", k % 5 != 3)
+    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").withColumn("final", F.col("doc_id") % 5 != 3)
     return reconcile.report(inputs, outputs, _session(spark, d), manifest, a, b, there)
 
 
@@ -339,7 +337,7 @@ def r_set_cover(spark, d):
 
 @query("j_output_status")
 def j_output_status(spark, d):
-    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(k.alias("out_id"), "sha")
+    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha")
     return reconcile.output_statuses(outputs, _report(spark, d).filter(F.col("status").isin("DONE_TEXT_MATCH", "SHARED_OUTPUT")), _hashed(spark, d).filter("doc_id % 2 = 0"))
 
 
