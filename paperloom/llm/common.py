@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,11 @@ def numbered(df: DataFrame, by: str, out: str, spread: Column, buckets: int, ord
     rank = F.row_number().over(W.partitionBy(by, "__part").orderBy(*order)) - 1
     ranked = parts.withColumn("__rank", rank.cast("long"))
     return null_safe(ranked, offsets, [by, "__part"]).withColumn(out, (F.col("__from") + F.col("__rank")).cast("long")).drop("__part", "__from", "__rank")
+
+
+def trim() -> None:
+    """Gives memory that earlier batches freed back to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -1,13 +1,17 @@
 """N-gram Jaccard join with a token-group matrix.
 
 1. Every text becomes its set of shingle hashes; equal sets become one node.
-2. Groups of similar nodes: nodes that share a minimum hash are compared with the first node of theirs, and
-   those that link with it form a group with it.  Links inside a group need no further search.
-3. The matrix (token, group): only tokens of a set's prefix enter it, in a global order that puts the most
-   frequent tokens last.  Two sets that link share a prefix token, so group pairs without one are done.
-4. For a pair of groups, a node of the smaller group is first held against the token union of the other one:
-   the overlap with the union bounds that with every member.  Only where the bound allows a link is the
-   group opened and its members compared.
+2. Groups of similar nodes: of the nodes that share a minimum hash, the most central one (whose own minimum
+   hashes are the most common ones) is compared with those that agree with it in most of theirs; those that
+   link form a group with it.  Links inside a group need no further search.
+3. The matrix (token, group) holds the tokens of each set's prefix: those with a hash under a fixed share of
+   all hashes, and more up to the length a link must reach into, in a global order that puts the most
+   frequent tokens last.  Two groups' shared cells bound the overlap of any two of their members: tokens
+   outside the prefix can add no more than either side has there.  Pairs of groups that cannot reach a
+   link's overlap are out.
+4. For the others, a node of the smaller group is first held against the token union of the other one: the
+   overlap with the union bounds that with every member.  Only where the bound allows a link is the group
+   opened and its members compared.
 5. Links between groups join them into components.  A group that holds many tokens is kept in chunks, so no
    row grows with a group.
 """
@@ -23,22 +27,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 from .components import connected_components
-from .shingles import mix64, shingle_sets
+from .shingles import column_sets, mix64
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Link: ``100 * |intersection| >= percent * |union|``.  ``keys``: minimum hashes tried for groups.
-    ``frequent``: how many of the most frequent tokens are put last (an order only; any gives the same
-    links).  ``chunk_tokens``: tokens in a chunk of a group.  ``bucket_tokens``: in a bucket of the matrix."""
+    """Link: ``100 * |intersection| >= percent * |union|``.  ``keys``: minimum hashes, of which ``equal``
+    must agree for two nodes to be tried as a group.  ``frequent``: how many of the most frequent tokens
+    are put last (an order only; any gives the same links).  ``prefix``: share of all hashes that is always
+    in the matrix.  ``chunk_tokens``: tokens in a chunk of a group.  ``bucket_tokens``: in a bucket of the
+    matrix.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every task; above that
+    the planner shuffles."""
 
     percent: int = 75
-    keys: int = 3
+    keys: int = 8
+    equal: int = 5
     frequent: int = 50_000
+    prefix: float = 0.25
     chunk_tokens: int = 100_000
     bucket_tokens: int = 1_000_000
+    broadcast_rows: int = 300_000
 
 
 FACTS = "kind int, doc_id long, n long, sig binary, keys array<long>, token long, count long"
@@ -60,8 +70,9 @@ def facts(docs: DataFrame, p: JoinParams) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             ids, sizes, sigs, keys, sets, seen = b.column(0).to_pylist(), [], [], [], [], set()
-            for s in shingle_sets(b.column(1).to_pylist()):
+            for s in column_sets(b.column(1)):
                 sizes.append(len(s))
                 sigs.append(signature(s))
                 keys.append([int(mix64(s ^ seed).min().view(np.int64)) for seed in seeds] if len(s) else [])
@@ -71,10 +82,14 @@ def facts(docs: DataFrame, p: JoinParams) -> DataFrame:
             m = len(ids)
             rows = {"kind": [0] * m, "doc_id": ids, "n": sizes, "sig": sigs, "keys": keys, "token": [None] * m, "count": [None] * m}
             yield pa.RecordBatch.from_pydict(rows, schema=_FACTS)
-            if len(sets) > 2:
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count > 2
-                token, count = token[often].view(np.int64), count[often]
+            if len(sets) > 1:
+                tokens = np.concatenate(sets)
+                sets.clear()
+                tokens.sort()
+                again = np.flatnonzero(tokens[1:] == tokens[:-1])
+                token, count = np.unique(tokens[again], return_counts=True)
+                token, count = token.view(np.int64), count + 1
+                del tokens, again
                 m = len(token)
                 if m:
                     none = [None] * m
@@ -83,14 +98,22 @@ def facts(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, FACTS)
 
 
-def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, tokens) of the given nodes (sig, rep), read from one document of each."""
+def small(df: DataFrame, p: JoinParams) -> DataFrame:
+    """Marks a written table for broadcast if it has at most ``broadcast_rows`` rows."""
+    return F.broadcast(df) if df.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else df
+
+
+def token_sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """(sig, tokens) of the documents that stand for the given nodes (sig, rep).
+
+    A document with another text under a node's id adds a row that no node joins with; a repeated row
+    repeats its set, which does no harm."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[np.ndarray] = []
             held = 0
-            for s in shingle_sets(b.column(0).to_pylist()):
+            for s in column_sets(b.column(0)):
                 found.append(s)
                 held += len(s)
                 if held >= 500_000:
@@ -99,10 +122,8 @@ def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if found:
                 yield _sets_batch(found)
 
-    wanted = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    # Rows may repeat a doc_id with another text: the signature decides, once per signature.
-    sets = wanted.mapInArrow(scan, "sig binary, tokens array<long>")
-    return sets.join(nodes.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    wanted = small(materialize(nodes.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted"), p)
+    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(scan, "sig binary, tokens array<long>")
 
 
 def _sets_batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -119,119 +140,158 @@ def linked(a: Column, b: Column, p: JoinParams) -> Column:
 
 def similar_groups(nodes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """Nodes (sig, rep, n, keys) -> (sig, label) of the nodes in a group of two or more."""
-    keyed = nodes.select("sig", "rep", F.posexplode("keys").alias("r", "key"))
-    first = keyed.groupBy("r", "key").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    first = materialize(first, "join-first")
-    pairs = materialize(keyed.join(first, ["r", "key"]).filter("sig <> first").select("sig", "first").distinct(), "join-pairs")
+    # A key's seed is part of it, so keys of different seeds do not meet.
+    keyed = nodes.select("sig", F.explode("keys").alias("key"))
+    common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-common-keys")
+    shared = materialize(keyed.join(small(common, p), "key"), "join-shared-keys")
+    weight = materialize(shared.groupBy("sig").agg(F.sum("c").alias("w")), "join-weights")
+    centre = shared.join(small(weight, p), "sig").groupBy("key").agg(F.max(F.struct("w", "sig")).alias("m"))
+    centre = materialize(centre.select("key", F.col("m.sig").alias("first")), "join-centres")
+    tried = shared.join(small(centre, p), "key").filter("sig <> first").select("sig", "first").distinct()
+    tried = materialize(tried, "join-tried")
+    tried = tried.join(nodes.select("sig", "keys"), "sig").join(nodes.select(F.col("sig").alias("first"), F.col("keys").alias("first_keys")), "first")
+    agree = F.size(F.filter(F.zip_with("keys", "first_keys", lambda x, y: x == y), lambda same: same))
+    pairs = materialize(tried.filter(agree >= p.equal).select("sig", "first"), "join-pairs")
     needed = pairs.select("sig").unionByName(pairs.select(F.col("first").alias("sig"))).distinct()
-    sets = materialize(token_sets(docs, materialize(nodes.join(needed, "sig").select("sig", "rep"), "join-needed")), "join-sets")
+    sets = materialize(token_sets(docs, nodes.join(needed, "sig").select("rep"), p), "join-sets")
     sides = pairs.join(sets.select("sig", F.col("tokens").alias("x")), "sig").join(sets.select(F.col("sig").alias("first"), F.col("tokens").alias("y")), "first")
     edges = materialize(sides.filter(linked(F.col("x"), F.col("y"), p)).select(F.col("sig").alias("a"), F.col("first").alias("b")), "join-star")
     return connected_components(edges).select(F.col("node").alias("sig"), "label")
 
 
+_PREFIX = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
+
+
 def prefixes(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
-    """(sig, n, indexed, tokens): the prefix of each set in the global order, once per set and batch.
+    """(sig, n, rest, tokens): the prefix of each set, once per set and batch.
 
     A partner of a set of n tokens shares at least ceil(percent n / 100) of them, so one of the first
-    n - that + 1; ``indexed`` of these suffice if the partner is no smaller.
+    n - that + 1 in any order common to all; tokens that are not frequent and whose hash is under the
+    share ``prefix`` are in it in any case, and ``rest`` counts the others.
     """
     known = np.sort(frequent)
     rank = np.empty(len(frequent), np.int64)
-    rank[np.argsort(frequent)] = np.arange(len(frequent))  # frequent comes with the rarest first
+    rank[:] = np.argsort(frequent)  # frequent comes with the rarest first
+    under = np.uint64(int(p.prefix * (1 << 64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen, rows = set(), {"sig": [], "n": [], "indexed": [], "tokens": []}
-            for s in shingle_sets(b.column(0).to_pylist()):
+            trim()
+            seen, rows = set(), {"sig": [], "n": [], "rest": [], "tokens": []}
+            for s in column_sets(b.column(0)):
                 sig = signature(s)
-                if not len(s) or sig in seen:
+                n = len(s)
+                if not n or sig in seen:
                     continue
                 seen.add(sig)
-                n = len(s)
+                cold, late = s, s[:0]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hot = known[at] == s
                     if hot.any():
-                        late = s[hot][np.argsort(rank[at[hot]], kind="stable")]
-                        s = np.concatenate([s[~hot], late])
+                        cold, late = s[~hot], s[hot][np.argsort(rank[at[hot]], kind="stable")]
+                always = int(np.searchsorted(cold, under))
+                length = max(always, n - _ceil_share(n, p.percent, 100) + 1)
                 rows["sig"].append(sig)
                 rows["n"].append(n)
-                rows["indexed"].append(n - _ceil_share(n, 2 * p.percent, 100 + p.percent) + 1)
-                rows["tokens"].append(s[: n - _ceil_share(n, p.percent, 100) + 1].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("indexed", pa.int64()), ("tokens", pa.binary())]))
+                rows["rest"].append(n - always)
+                rows["tokens"].append(np.concatenate([cold, late])[:length].tobytes())
+            yield pa.RecordBatch.from_pydict(rows, schema=_PREFIX)
 
-    return docs.select("text").mapInArrow(scan, "sig binary, n long, indexed long, tokens binary")
+    return docs.select("text").mapInArrow(scan, "sig binary, n long, rest long, tokens binary")
 
 
-_CELL = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("indexed", "u1")])
+_CELL = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("rest", "<u4")])
+_CELLS = pa.schema([("bucket", pa.int64()), ("cells", pa.binary())])
 
 
 def matrix_cells(rows: DataFrame, buckets: int) -> DataFrame:
-    """(group, n, indexed, tokens) -> (bucket, cells): packed matrix cells by range of token hash."""
+    """(group, n, rest, tokens) -> (bucket, cells): packed matrix cells, dealt by token."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            cells = np.unique(np.concatenate(held))
-            bucket = (mix64(cells["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cells, bucket = cells[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            parts = np.split(cells, cuts)
-            return pa.RecordBatch.from_pydict({"bucket": bucket[np.concatenate(([0], cuts))], "cells": [x.tobytes() for x in parts]}, schema=pa.schema([("bucket", pa.int64()), ("cells", pa.binary())]))
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(held)
+        bucket = (mix64(cells["token"]) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cells, bucket = cells[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        parts = [x.tobytes() for x in np.split(cells, cuts)]
+        return pa.RecordBatch.from_pydict({"bucket": bucket[np.concatenate(([0], cuts))].astype(np.int64), "cells": parts}, schema=_CELLS)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, (1 << 32) - 1
         for b in batches:
-            for group, n, indexed, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for group, n, rest, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = np.frombuffer(tokens, dtype="<u8")
                 cell = np.empty(len(t), _CELL)
-                cell["token"], cell["group"], cell["n"], cell["indexed"] = t, group, min(n, (1 << 32) - 1), np.arange(len(t)) < indexed
+                cell["token"], cell["group"], cell["n"], cell["rest"] = t, group, min(n, most), min(rest, most)
                 held.append(cell)
                 size += len(t)
-                if size >= 2_000_000:
-                    yield flush()
+                if size >= 500_000:
+                    yield flush(held)
                     held, size = [], 0
         if size:
-            yield flush()
-
-    return rows.select("group", "n", "indexed", "tokens").mapInArrow(scan, "bucket long, cells binary")
-
-
-def group_pairs(cells: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (a < b) of groups that share a token in a way a link between members would need."""
+            yield flush(held)
+
+    return rows.select("group", "n", "rest", "tokens").mapInArrow(scan, "bucket long, cells binary")
+
+
+def shared_cells(cells: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """Pairs a < b of groups with shared tokens: how many, the least sum of set sizes, and the most that
+    two members could share outside their prefixes."""
+    # Most tokens stand in one cell only: these go before anything else is computed.
+    token = np.ascontiguousarray(cells["token"])
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    same = token[1:] == token[:-1]
+    cells = cells[order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]
+    del token, order, same
+    if not len(cells):
+        return {c: np.empty(0, np.int64) for c in ("a", "b", "shared", "size", "room")}
     cells = cells[np.lexsort((cells["group"], cells["token"]))]
     token, group = cells["token"], cells["group"]
-    new = np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1]))))
+    n, rest = cells["n"].astype(np.int64), cells["rest"].astype(np.int64)
     token, group = token[at], group[at]
-    n = cells["n"].astype(np.int64)
-    low, high, own = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(cells["indexed"], at) > 0
-    start = np.concatenate(([True], token[1:] != token[:-1]))
-    run = np.cumsum(start) - 1
-    length = np.bincount(run)[run]
-    found, here = [], np.flatnonzero(length > 1)
-    step = 1
+    low, high, room = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(rest, at)
+    run = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+    here = np.flatnonzero(np.bincount(run)[run] > 1)
+    found, step = [], 1
     while len(here):
         here = here[here + step < len(token)]
         here = here[run[here] == run[here + step]]
         i, j = here, here + step
-        ok = (own[i] | own[j]) & (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
-        if ok.any():
-            found.append(np.unique(np.stack([group[i[ok]], group[j[ok]]], 1), axis=0))
+        ok = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            found.append(np.stack([group[i], group[j], np.ones(len(i), np.int64), low[i] + low[j], np.minimum(room[i], room[j])], 1))
+            if sum(map(len, found)) > 2_000_000:
+                found = [_summed(np.concatenate(found))]
         step += 1
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    out = _summed(np.concatenate(found)) if found else np.empty((0, 5), np.int64)
+    return {c: out[:, i] for i, c in enumerate(("a", "b", "shared", "size", "room"))}
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+    return np.stack([rows[at, 0], rows[at, 1], np.add.reduceat(rows[:, 2], at), np.minimum.reduceat(rows[:, 3], at), np.maximum.reduceat(rows[:, 4], at)], 1)
 
 
 def candidate_pairs(cells: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs (a, b) of groups whose members' overlap may reach that of a link."""
     percent = p.percent
 
     def one(t: pa.Table) -> pa.Table:
-        joined = np.frombuffer(b"".join(t.column("cells").to_pylist()), dtype=_CELL)
-        pairs = group_pairs(joined, percent)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        joined = np.frombuffer(b"".join(x.as_py() for x in t.column("cells")), dtype=_CELL)
+        del t
+        out = pa.table({k: pa.array(v, pa.int64()) for k, v in shared_cells(joined, percent).items()})
+        del joined
+        trim()
+        return out
 
-    return cells.groupBy("bucket").applyInArrow(one, "a long, b long").distinct()
+    pairs = cells.groupBy("bucket").applyInArrow(one, "a long, b long, shared long, size long, room long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("size").alias("size"), F.max("room").alias("room"))
+    return pairs.filter((F.col("shared") + F.col("room")) * (100 + p.percent) >= F.col("size") * p.percent).select("a", "b")
 
 
 def short(label: Column) -> Column:
@@ -244,18 +304,18 @@ def links_between(pairs: DataFrame, members: DataFrame, docs: DataFrame, p: Join
     members = members.withColumn("group", short(F.col("label")))
     active = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
     members = materialize(members.join(active, "group"), "join-members")
-    sets = token_sets(docs, members.select("sig", "rep"))
+    sets = token_sets(docs, members.select("rep"), p)
     members = materialize(members.join(sets, "sig"), "join-member-sets")
     sizes = materialize(members.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count")), "join-group-sizes")
     chunks = F.ceil(F.col("total") / p.chunk_tokens)
-    dealt = members.join(sizes.select("group", chunks.alias("chunks")), "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
+    dealt = members.join(small(sizes.select("group", chunks.alias("chunks")), p), "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
     dealt = materialize(dealt.select("group", "chunk", "sig", "label", "tokens"), "join-dealt")
     unions = materialize(dealt.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
     # The group with fewer members asks, the other one is asked.
     counted = pairs.join(sizes.select(F.col("group").alias("a"), F.col("count").alias("na")), "a").join(sizes.select(F.col("group").alias("b"), F.col("count").alias("nb")), "b")
     swap = F.col("na") > F.col("nb")
     asking = counted.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("asks"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("group"))
-    queries = asking.join(dealt.select(F.col("group").alias("asks"), F.col("label").alias("from"), F.col("tokens").alias("q")), "asks")
+    queries = small(materialize(asking, "join-asking"), p).join(dealt.select(F.col("group").alias("asks"), F.col("label").alias("from"), F.col("tokens").alias("q")), "asks")
     bound = F.lit(100) * F.size(F.array_intersect("q", "union")) >= F.lit(p.percent) * F.size("q")
     opened = materialize(queries.join(unions, "group").filter(bound).select("from", "q", "group", "chunk"), "join-opened")
     found = opened.join(dealt.select("group", "chunk", F.col("label").alias("to"), "tokens"), ["group", "chunk"]).filter(linked(F.col("q"), F.col("tokens"), p))
@@ -271,7 +331,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> Da
     component is null.  Repeated rows repeat; an empty table gives an empty result; columns besides doc_id
     and text are ignored.
     """
-    spark, p = docs.sparkSession, params
+    p = params
     docs = docs.select("doc_id", "text")
     all_facts = materialize(facts(docs, p), "join-facts")
     sized = all_facts.filter("kind = 0").select("doc_id", "n", "sig", "keys")
@@ -283,11 +343,12 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> Da
     counts = all_facts.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("c"))
     top = counts.orderBy(F.desc("c"), "token").limit(p.frequent).collect()
     frequent = np.array([r[0] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-    total = nodes.agg(F.sum(F.floor(F.col("n") * (100 - p.percent) / 100) + 1)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // p.bucket_tokens))
-    rows = prefixes(docs.filter("doc_id is not null"), frequent, p)
-    moved = grouped.filter("label <> sig")
-    rows = rows.join(moved, "sig", "left").withColumn("group", short(F.coalesce("label", "sig")))
+    total = int(nodes.agg(F.sum(F.col("n") * max(p.prefix, 1 - p.percent / 100) + 1)).first()[0] or 0)
+    buckets = max(1, -(-total // p.bucket_tokens))
+    # Written, so that no task runs two Python stages at once.
+    rows = materialize(prefixes(docs.filter("doc_id is not null"), frequent, p), "join-prefixes")
+    moved = materialize(grouped.filter("label <> sig"), "join-moved")
+    rows = rows.join(small(moved, p), "sig", "left").withColumn("group", short(F.coalesce("label", "sig")))
     pairs = materialize(candidate_pairs(matrix_cells(rows, buckets), p), "join-candidates")
 
     nontrivial = grouped.select(F.col("sig").alias("a"), F.col("label").alias("b"))

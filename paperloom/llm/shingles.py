@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WORDS = 5
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -68,13 +69,13 @@ def _long_words(data: np.ndarray) -> np.ndarray:
     """Word hashes of one long text, a stretch at a time; stretches end at white space."""
     found, at = [], 0
     while at < len(data):
-        end = min(at + 4 * GROUP_BYTES, len(data))
+        end = min(at + 8 * GROUP_BYTES, len(data))
         while end < len(data):
             gaps = np.flatnonzero(_SPACE[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
                 break
-            end = min(end + 4 * GROUP_BYTES, len(data))
+            end = min(end + 8 * GROUP_BYTES, len(data))
         found.append(word_hashes(data[at:end])[0])
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -90,7 +91,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             group.append((texts[at] or "").encode("utf-8", "surrogatepass"))
             size += len(group[-1]) + 1
             at += 1
-        if len(group) == 1 and size > 4 * GROUP_BYTES:
+        if len(group) == 1 and size > 8 * GROUP_BYTES:
             parts = [_long_words(np.frombuffer(group[0], dtype=np.uint8))]
         else:
             words, starts = word_hashes(np.frombuffer(b"\n".join(group), dtype=np.uint8))
@@ -98,3 +99,9 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             parts = np.split(words, cuts)
         for w in parts:
             yield np.unique(combine(w, min(len(w), WORDS))) if len(w) else np.empty(0, np.uint64)
+
+
+def column_sets(texts: pa.Array, rows: int = 500) -> Iterator[np.ndarray]:
+    """``shingle_sets`` of an Arrow column, a few rows in Python at a time."""
+    for at in range(0, len(texts), rows):
+        yield from shingle_sets(texts.slice(at, rows).to_pylist())
