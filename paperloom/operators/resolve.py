@@ -137,3 +137,32 @@ def folder_hints(folders: DataFrame, roster: DataFrame, least: int = 95) -> Data
 def snapped(names: DataFrame, matches: DataFrame, least: int = 70) -> DataFrame:
     """Chosen names in the roster's spelling where they match it well enough."""
     return names.join(matches.select("name", "entry", "score"), "name", "left").withColumn("chosen", F.when(F.col("score") >= least, F.col("entry")).otherwise(F.col("name")))
+
+
+# Least score by how far a tier is trusted; an unknown tier never confirms.
+HIGH_TIERS = ("caption", "caption_wide", "routing_slip", "complainant_respondent")
+MEDIUM_TIERS = ("caption_keyword", "full_keyword")
+TIER_LEAST = {"cross_validated": 70, "high": 80, "medium": 90, "header_corroborated": 85, "other": 999}
+
+
+def tier_matches(names: DataFrame, matches: DataFrame, cross_validated: str | None = None) -> DataFrame:
+    """(name, tier) and their roster matches -> company_name, confidence, label, needs_review.
+
+    A match at the tier's least score confirms, with ten points more for trusted tiers; a lower one is a
+    suggestion.  Keyword windows over the full text also need a clear lead over the second-best entry.
+    """
+    rows = names.join(matches, "name", "left")
+    t, s = F.col("tier"), F.col("score")
+    crossed = F.coalesce(F.col(cross_validated), F.lit(False)) if cross_validated else F.lit(False)
+    least = F.when(crossed, TIER_LEAST["cross_validated"]).when(t.isin(*HIGH_TIERS), TIER_LEAST["high"]).when(t.isin(*MEDIUM_TIERS), TIER_LEAST["medium"]).when(t == "header_corroborated", TIER_LEAST["header_corroborated"]).otherwise(TIER_LEAST["other"])
+    clear = (t != "full_keyword") | ((s >= 90) & (F.col("second").isNull() | (s - F.col("second") >= 10)))
+    known = F.col("entry").isNotNull() & clear
+    confirmed = known & (s >= least)
+    high = t.isin(*HIGH_TIERS)
+    return rows.select(
+        *names.columns,
+        F.when(known, F.col("entry")).otherwise(F.col("name")).alias("company_name"),
+        F.when(confirmed, F.least(F.lit(100), s + F.when(high, 10).otherwise(0))).when(known, s).otherwise(0).alias("confidence"),
+        F.when(confirmed & (crossed | high), "high").when(confirmed, "medium").when(known, "low").otherwise("none").alias("label"),
+        (~confirmed).alias("needs_review"),
+    )

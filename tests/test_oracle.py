@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from paperloom.plans import composite_queries, registry, relational_queries, scalar_queries, stream_queries  # noqa: F401
+from paperloom.plans import composite_queries, more_queries, registry, relational_queries, scalar_queries, stream_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
