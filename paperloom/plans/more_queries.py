@@ -90,13 +90,15 @@ def w_copy_name(spark, d):
     return used.select("p_brand", F.concat(F.lit("scan("), free.cast("string"), F.lit(").pdf")).alias("copy"))
 
 
-@query("w_progress", "SELECT user_id, event_id, round(avg(value) OVER w * (count(*) OVER (PARTITION BY user_id) - row_number() OVER w), 3) AS eta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("w_progress", "SELECT user_id, event_id, ((sum(round(value * 100)::BIGINT) OVER w * (count(*) OVER (PARTITION BY user_id) - row_number() OVER w)) // row_number() OVER w)::BIGINT AS eta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w_progress(spark, d):
-    """Time left: the running mean times what remains."""
+    """Time left, in hundredths: the running mean times what remains."""
     by = W.partitionBy("user_id")
     w = by.orderBy("ts", "event_id")
-    eta = F.avg("value").over(w.rowsBetween(W.unboundedPreceding, 0)) * (F.count(F.lit(1)).over(by) - F.row_number().over(w))
-    return table(spark, d, "events").select("user_id", "event_id", F.round(eta, 3).alias("eta"))
+    done, spent = F.row_number().over(w), F.sum(F.round(F.col("value") * 100).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    left = F.count(F.lit(1)).over(by) - done
+    rows = table(spark, d, "events").select("user_id", "event_id", done.alias("done"), (spent * left).alias("x"))
+    return rows.select("user_id", "event_id", F.expr("x div done").alias("eta"))
 
 
 @query("w_first_caption", "SELECT l_orderkey, arg_max(l_linenumber, (s, -l_linenumber)) AS page FROM (SELECT l_orderkey, l_linenumber, 4 * max((l_quantity > 40)::INTEGER) + 2 * max((l_tax > 0.04)::INTEGER) + max((l_discount > 0.05)::INTEGER) AS s FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
