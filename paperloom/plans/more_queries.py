@@ -146,7 +146,7 @@ def k_report_lines(spark, d):
     return sinks.report_lines(_status(spark, d))
 
 
-@query("k_json_report", "SELECT source, to_json(list_sort(list_distinct(list(lang)))) AS langs FROM documents GROUP BY source")
+@query("k_json_report", "SELECT source, to_json(list_sort(list_distinct(list(lang))))::VARCHAR AS langs FROM documents GROUP BY source")
 def k_json_report(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.to_json(F.sort_array(F.collect_set("lang"))).alias("langs"))
 

@@ -214,7 +214,7 @@ def g_page_transfer(spark, d):
     pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("a"), i.cast("string")))
     at = F.array(F.lit(0), F.lit(2), F.lit(4))
     rows = table(spark, d, "part").select("p_partkey", A.taken(pages, at).alias("t"), A.without(pages, at).alias("w"), k.alias("k"))
-    return rows.select("p_partkey", F.size("w").alias("left_pages"), F.when(F.size("w") > 0, F.array_join(A.inserted(F.array(F.lit("b0"), F.lit("b1")), F.col("t"), F.col("k")), ",")).alias("target"))
+    return rows.select("p_partkey", F.size("w").cast("long").alias("left_pages"), F.when(F.size("w") > 0, F.array_join(A.inserted(F.array(F.lit("b0"), F.lit("b1")), F.col("t"), F.col("k")), ",")).alias("target"))
 
 
 @query("f_crop_map", """SELECT p_partkey, CASE WHEN w >= 2 AND h >= 2 THEN round(x0, 6) END AS x0, CASE WHEN w >= 2 AND h >= 2 THEN round(y0, 6) END AS y0, CASE WHEN w >= 2 AND h >= 2 THEN round(x0 + w, 6) END AS x1, CASE WHEN w >= 2 AND h >= 2 THEN round(y0 + h, 6) END AS y1 FROM (

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from paperloom.plans import composite_queries, more_queries, registry, relational_queries, scalar_queries, stream_queries  # noqa: F401
@@ -19,7 +20,7 @@ def db():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     if hasattr(v, "year"):
         return str(v)[:10]
