@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Marks a written table for broadcast if it has at most ``most`` rows; else the planner shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; keeps the left side's key columns."""
     renamed = right.select(*(F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns))

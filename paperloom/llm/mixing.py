@@ -70,6 +70,23 @@ def thresholds(base: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
+def source_plan(base: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """(source, size, hash) -> one row per source: source_size, target, whole copies and threshold."""
+    totals = materialize(source_targets(base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, share, cap), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    budgets = totals.select("source", (F.col("target") - whole * F.col("source_size")).alias("budget"))
+    limits = materialize(thresholds(base, budgets), "mix-limits")
+    return materialize(null_safe(totals.withColumn("whole", whole), limits, ["source"]), "mix-plan")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-base")
+
+
+def _copies(hash_: Column, cap: float) -> Column:
+    return F.least(F.col("whole") + (hash_ <= F.col("threshold")).cast("int"), F.lit(int(cap)))
+
+
 def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """documents -> doc_id, source, size, source_size, target, copies, taken.
 
@@ -78,14 +95,19 @@ def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     order), rows with the same id are taken alike, an empty table gives an empty result, and columns
     besides doc_id, text and source are ignored.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash"))
-    base = materialize(base, "mix-base")
-    totals = materialize(source_targets(base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, share, cap), "mix-targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    budgets = totals.select("source", (F.col("target") - whole * F.col("source_size")).alias("budget"))
-    limits = materialize(thresholds(base, budgets), "mix-limits")
-    per_source = null_safe(totals.withColumn("whole", whole), limits, ["source"])
-    copies = F.least(F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("int"), F.lit(int(cap)))
-    return null_safe(base, per_source, ["source"]).select(
+    base = _base(docs)
+    copies = _copies(F.col("hash"), cap)
+    return null_safe(base, source_plan(base, weights, share, cap), ["source"]).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
     )
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it.
+
+    Texts do not move: a row's copies follow from its id and its source's row in the plan.
+    """
+    plan = source_plan(_base(docs), weights, share, cap).select("source", "whole", "threshold")
+    renamed = plan.withColumnsRenamed({"whole": "__whole", "threshold": "__threshold"})
+    copies = F.least(F.col("__whole") + (doc_hash(F.col("doc_id")) <= F.col("__threshold")).cast("int"), F.lit(int(cap)))
+    return null_safe(docs, renamed, ["source"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
