@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, null_safe
-from paperloom.llm.mixing import mix_to_weights
+from paperloom.llm.common import materialize, small
+from paperloom.llm.mixing import mixed_rows
 from paperloom.llm.ngram_join import jaccard_components
 from paperloom.llm.packing import pack_power_of_two
 from paperloom.llm.quality_rules import keep_good
 from paperloom.llm.secret_scan import redact_secrets
 
+#: Ids (eight bytes each) that are sent to every task at most; with more kept documents the planner shuffles.
+KEPT_BROADCAST = 2_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
@@ -31,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id stay once each, unless the rows are equal; rows with a null id stay.
     """
     found = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(materialize(found, "pipeline-kept"), "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(small(materialize(found, "pipeline-kept"), KEPT_BROADCAST), "doc_id", "left_semi").select(*docs.columns)
     return named.unionByName(docs.filter("doc_id is null"))
 
 
@@ -42,9 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix_to_weights(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = null_safe(docs, materialize(copies, "pipeline-copies"), ["doc_id"])
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
