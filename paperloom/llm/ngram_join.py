@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trim
+from .common import materialize, small, trim
 from .components import connected_components
 from .shingles import column_sets, mix64
 
@@ -35,15 +35,16 @@ from .shingles import column_sets, mix64
 @dataclass(frozen=True)
 class JoinParams:
     """Link: ``100 * |intersection| >= percent * |union|``.  ``keys``: minimum hashes, of which ``equal``
-    must agree for two nodes to be tried as a group.  ``frequent``: how many of the most frequent tokens
+    must agree for two nodes to be tried as a group; the first ``meeting`` of them bring nodes together.  ``frequent``: how many of the most frequent tokens
     are put last (an order only; any gives the same links).  ``prefix``: share of all hashes that is always
     in the matrix.  ``chunk_tokens``: tokens in a chunk of a group.  ``bucket_tokens``: in a bucket of the
     matrix.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every task; above that
     the planner shuffles."""
 
     percent: int = 75
-    keys: int = 8
-    equal: int = 5
+    keys: int = 16
+    meeting: int = 6
+    equal: int = 7
     frequent: int = 50_000
     prefix: float = 0.25
     chunk_tokens: int = 100_000
@@ -98,11 +99,6 @@ def facts(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, FACTS)
 
 
-def small(df: DataFrame, p: JoinParams) -> DataFrame:
-    """Marks a written table for broadcast if it has at most ``broadcast_rows`` rows."""
-    return F.broadcast(df) if df.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else df
-
-
 def token_sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
     """(sig, tokens) of the documents that stand for the given nodes (sig, rep).
 
@@ -122,7 +118,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
             if found:
                 yield _sets_batch(found)
 
-    wanted = small(materialize(nodes.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted"), p)
+    wanted = small(materialize(nodes.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted"), p.broadcast_rows)
     return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(scan, "sig binary, tokens array<long>")
 
 
@@ -141,33 +137,37 @@ def linked(a: Column, b: Column, p: JoinParams) -> Column:
 def similar_groups(nodes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """Nodes (sig, rep, n, keys) -> (sig, label) of the nodes in a group of two or more."""
     # A key's seed is part of it, so keys of different seeds do not meet.
-    keyed = nodes.select("sig", F.explode("keys").alias("key"))
+    keyed = nodes.select("sig", F.explode(F.slice("keys", 1, p.meeting)).alias("key"))
     common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-common-keys")
-    shared = materialize(keyed.join(small(common, p), "key"), "join-shared-keys")
+    shared = materialize(keyed.join(small(common, p.broadcast_rows), "key"), "join-shared-keys")
     weight = materialize(shared.groupBy("sig").agg(F.sum("c").alias("w")), "join-weights")
-    centre = shared.join(small(weight, p), "sig").groupBy("key").agg(F.max(F.struct("w", "sig")).alias("m"))
+    centre = shared.join(small(weight, p.broadcast_rows), "sig").groupBy("key").agg(F.max(F.struct("w", "sig")).alias("m"))
     centre = materialize(centre.select("key", F.col("m.sig").alias("first")), "join-centres")
-    tried = shared.join(small(centre, p), "key").filter("sig <> first").select("sig", "first").distinct()
+    tried = shared.join(small(centre, p.broadcast_rows), "key").filter("sig <> first").select("sig", "first").distinct()
     tried = materialize(tried, "join-tried")
     tried = tried.join(nodes.select("sig", "keys"), "sig").join(nodes.select(F.col("sig").alias("first"), F.col("keys").alias("first_keys")), "first")
     agree = F.size(F.filter(F.zip_with("keys", "first_keys", lambda x, y: x == y), lambda same: same))
     pairs = materialize(tried.filter(agree >= p.equal).select("sig", "first"), "join-pairs")
     needed = pairs.select("sig").unionByName(pairs.select(F.col("first").alias("sig"))).distinct()
     sets = materialize(token_sets(docs, nodes.join(needed, "sig").select("rep"), p), "join-sets")
-    sides = pairs.join(sets.select("sig", F.col("tokens").alias("x")), "sig").join(sets.select(F.col("sig").alias("first"), F.col("tokens").alias("y")), "first")
+    leads = materialize(pairs.select("first").distinct(), "join-leads")
+    x = sets.withColumnRenamed("tokens", "x").join(small(pairs, p.broadcast_rows), "sig")
+    y = sets.select(F.col("sig").alias("first"), F.col("tokens").alias("y")).join(small(leads, p.broadcast_rows), "first", "left_semi")
+    sides = x.join(y, "first")
     edges = materialize(sides.filter(linked(F.col("x"), F.col("y"), p)).select(F.col("sig").alias("a"), F.col("first").alias("b")), "join-star")
     return connected_components(edges).select(F.col("node").alias("sig"), "label")
 
 
-_PREFIX = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
+_PREFIX = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("indexed", pa.int64()), ("tokens", pa.binary())])
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
-    """(sig, n, rest, tokens): the prefix of each set, once per set and batch.
+    """(sig, n, rest, indexed, tokens): the prefix of each set, once per set and batch.
 
     A partner of a set of n tokens shares at least ceil(percent n / 100) of them, so one of the first
-    n - that + 1 in any order common to all; tokens that are not frequent and whose hash is under the
-    share ``prefix`` are in it in any case, and ``rest`` counts the others.
+    n - that + 1 in any order common to all; if the partner is no smaller, one of the first ``indexed``.
+    Counted tokens (not frequent, and with a hash under the share ``prefix``) come first and are in the
+    prefix in any case; ``rest`` is the number of the others.
     """
     known = np.sort(frequent)
     rank = np.empty(len(frequent), np.int64)
@@ -177,7 +177,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
-            seen, rows = set(), {"sig": [], "n": [], "rest": [], "tokens": []}
+            seen, rows = set(), {"sig": [], "n": [], "rest": [], "indexed": [], "tokens": []}
             for s in column_sets(b.column(0)):
                 sig = signature(s)
                 n = len(s)
@@ -195,18 +195,19 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
                 rows["sig"].append(sig)
                 rows["n"].append(n)
                 rows["rest"].append(n - always)
+                rows["indexed"].append(n - _ceil_share(n, 2 * p.percent, 100 + p.percent) + 1)
                 rows["tokens"].append(np.concatenate([cold, late])[:length].tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=_PREFIX)
 
-    return docs.select("text").mapInArrow(scan, "sig binary, n long, rest long, tokens binary")
+    return docs.select("text").mapInArrow(scan, "sig binary, n long, rest long, indexed long, tokens binary")
 
 
-_CELL = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("rest", "<u4")])
+_CELL = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("indexed", "u1"), ("counted", "u1")])
 _CELLS = pa.schema([("bucket", pa.int64()), ("cells", pa.binary())])
 
 
 def matrix_cells(rows: DataFrame, buckets: int) -> DataFrame:
-    """(group, n, rest, tokens) -> (bucket, cells): packed matrix cells, dealt by token."""
+    """(group, n, rest, indexed, tokens) -> (bucket, cells): packed matrix cells, dealt by token."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         cells = np.concatenate(held)
@@ -220,10 +221,12 @@ def matrix_cells(rows: DataFrame, buckets: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, most = [], 0, (1 << 32) - 1
         for b in batches:
-            for group, n, rest, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for group, n, rest, indexed, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = np.frombuffer(tokens, dtype="<u8")
                 cell = np.empty(len(t), _CELL)
                 cell["token"], cell["group"], cell["n"], cell["rest"] = t, group, min(n, most), min(rest, most)
+                place = np.arange(len(t))
+                cell["indexed"], cell["counted"] = place < indexed, place < n - rest
                 held.append(cell)
                 size += len(t)
                 if size >= 500_000:
@@ -232,12 +235,13 @@ def matrix_cells(rows: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush(held)
 
-    return rows.select("group", "n", "rest", "tokens").mapInArrow(scan, "bucket long, cells binary")
+    return rows.select("group", "n", "rest", "indexed", "tokens").mapInArrow(scan, "bucket long, cells binary")
 
 
 def shared_cells(cells: np.ndarray, percent: int) -> dict[str, np.ndarray]:
-    """Pairs a < b of groups with shared tokens: how many, the least sum of set sizes, and the most that
-    two members could share outside their prefixes."""
+    """Pairs a < b of groups that share tokens: how many counted ones, the least sum of set sizes, and the
+    most that two members could share besides.  A token that is not counted makes a pair only if it is
+    indexed for one side: else it cannot be the first one that two members share."""
     # Most tokens stand in one cell only: these go before anything else is computed.
     token = np.ascontiguousarray(cells["token"])
     order = np.argsort(token, kind="stable")
@@ -253,6 +257,7 @@ def shared_cells(cells: np.ndarray, percent: int) -> dict[str, np.ndarray]:
     n, rest = cells["n"].astype(np.int64), cells["rest"].astype(np.int64)
     token, group = token[at], group[at]
     low, high, room = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(rest, at)
+    own, counted = np.maximum.reduceat(cells["indexed"], at) > 0, cells["counted"][at]
     run = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
     here = np.flatnonzero(np.bincount(run)[run] > 1)
     found, step = [], 1
@@ -260,10 +265,10 @@ def shared_cells(cells: np.ndarray, percent: int) -> dict[str, np.ndarray]:
         here = here[here + step < len(token)]
         here = here[run[here] == run[here + step]]
         i, j = here, here + step
-        ok = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
+        ok = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j]) & ((counted[i] > 0) | own[i] | own[j])
         i, j = i[ok], j[ok]
         if len(i):
-            found.append(np.stack([group[i], group[j], np.ones(len(i), np.int64), low[i] + low[j], np.minimum(room[i], room[j])], 1))
+            found.append(np.stack([group[i], group[j], counted[i].astype(np.int64), low[i] + low[j], np.minimum(room[i], room[j])], 1))
             if sum(map(len, found)) > 2_000_000:
                 found = [_summed(np.concatenate(found))]
         step += 1
@@ -305,17 +310,17 @@ def links_between(pairs: DataFrame, members: DataFrame, docs: DataFrame, p: Join
     active = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
     members = materialize(members.join(active, "group"), "join-members")
     sets = token_sets(docs, members.select("rep"), p)
-    members = materialize(members.join(sets, "sig"), "join-member-sets")
+    members = materialize(sets.join(small(members, p.broadcast_rows), "sig"), "join-member-sets")
     sizes = materialize(members.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count")), "join-group-sizes")
     chunks = F.ceil(F.col("total") / p.chunk_tokens)
-    dealt = members.join(small(sizes.select("group", chunks.alias("chunks")), p), "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
+    dealt = members.join(small(sizes.select("group", chunks.alias("chunks")), p.broadcast_rows), "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
     dealt = materialize(dealt.select("group", "chunk", "sig", "label", "tokens"), "join-dealt")
     unions = materialize(dealt.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
     # The group with fewer members asks, the other one is asked.
     counted = pairs.join(sizes.select(F.col("group").alias("a"), F.col("count").alias("na")), "a").join(sizes.select(F.col("group").alias("b"), F.col("count").alias("nb")), "b")
     swap = F.col("na") > F.col("nb")
     asking = counted.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("asks"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("group"))
-    queries = small(materialize(asking, "join-asking"), p).join(dealt.select(F.col("group").alias("asks"), F.col("label").alias("from"), F.col("tokens").alias("q")), "asks")
+    queries = small(materialize(asking, "join-asking"), p.broadcast_rows).join(dealt.select(F.col("group").alias("asks"), F.col("label").alias("from"), F.col("tokens").alias("q")), "asks")
     bound = F.lit(100) * F.size(F.array_intersect("q", "union")) >= F.lit(p.percent) * F.size("q")
     opened = materialize(queries.join(unions, "group").filter(bound).select("from", "q", "group", "chunk"), "join-opened")
     found = opened.join(dealt.select("group", "chunk", F.col("label").alias("to"), "tokens"), ["group", "chunk"]).filter(linked(F.col("q"), F.col("tokens"), p))
@@ -348,7 +353,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> Da
     # Written, so that no task runs two Python stages at once.
     rows = materialize(prefixes(docs.filter("doc_id is not null"), frequent, p), "join-prefixes")
     moved = materialize(grouped.filter("label <> sig"), "join-moved")
-    rows = rows.join(small(moved, p), "sig", "left").withColumn("group", short(F.coalesce("label", "sig")))
+    rows = rows.join(small(moved, p.broadcast_rows), "sig", "left").withColumn("group", short(F.coalesce("label", "sig")))
     pairs = materialize(candidate_pairs(matrix_cells(rows, buckets), p), "join-candidates")
 
     nontrivial = grouped.select(F.col("sig").alias("a"), F.col("label").alias("b"))

@@ -35,7 +35,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers.get("n", 0) < n:
+    if _powers.get("n", 0) < max(n, 1):
         size = max(n, GROUP_BYTES + (GROUP_BYTES >> 1))
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             p = np.full(size, base, dtype=np.uint64)
