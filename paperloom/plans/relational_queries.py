@@ -346,7 +346,7 @@ def j_output_status(spark, d):
 
 def _misspelt(spark, d):
     name = F.concat(F.initcap("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" Insurance Corp")).when(F.col("p_partkey") % 3 == 1, F.lit(" insurence corporation")).otherwise(F.lit(" Holdings")))
-    return table(spark, d, "part").filter("p_size <= 5").select("p_partkey", name.alias("name"))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"))
 
 
 @query("j_fuzzy_best")
