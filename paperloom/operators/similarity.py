@@ -26,19 +26,43 @@ def rarest_tokens(pages: DataFrame, df: DataFrame, k: int = 8) -> DataFrame:
     return exploded.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def candidate_documents(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: int = 20, share: int = 5) -> DataFrame:
-    """doc_id, out_id: documents that share one of an input page's rarest tokens.
+def followed_tokens(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: int = 20, share: int = 5, few: int = 40) -> DataFrame:
+    """doc_id, token, followed: the rarest tokens of the inputs' pages that occur in the outputs.
 
     Frequencies are those among the outputs; tokens in more than max(floor, outputs / share) documents
-    are not followed, which keeps the join near-linear.
+    are not followed, and none is where there are at most ``few`` outputs.
     """
-    df = document_frequency(outputs)
-    n = outputs.select("doc_id").distinct().agg(F.greatest(F.lit(floor), F.floor(F.count(F.lit(1)) / share)).alias("most"))
-    rare = rarest_tokens(inputs, df, k)
+    n = outputs.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") > few, F.greatest(F.lit(floor), F.floor(F.col("n") / share))).otherwise(0).alias("most"))
+    rare = rarest_tokens(inputs, document_frequency(outputs), k).select("doc_id", "token", "df").distinct()
+    return rare.crossJoin(F.broadcast(n)).select("doc_id", "token", (F.col("df") <= F.col("most")).alias("followed"))
+
+
+def candidate_documents(inputs: DataFrame, outputs: DataFrame, k: int = 8) -> DataFrame:
+    """doc_id, out_id: documents that share a followed token, which keeps the join near-linear."""
     postings = outputs.select(F.col("doc_id").alias("out_id"), F.explode("tokens").alias("token")).distinct()
-    limited = df.crossJoin(F.broadcast(n)).filter(F.col("df") <= F.col("most")).select("token")
-    followed = postings.join(limited, "token")
-    return rare.select("doc_id", "token").distinct().join(followed, "token").select("doc_id", "out_id").distinct()
+    return followed_tokens(inputs, outputs, k).filter("followed").join(postings, "token").select("doc_id", "out_id").distinct()
+
+
+def _whole(pages: DataFrame) -> DataFrame:
+    """doc_id, sig, pages: each document in one row, with the digest of its pages' token sets."""
+    docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", F.sort_array("tokens").alias("tokens")))).alias("pages"))
+    return docs.select("doc_id", F.sha2(F.to_json("pages"), 256).alias("sig"), "pages")
+
+
+def unfollowed_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75, k: int = 8) -> DataFrame:
+    """As ``text_matches``, for the inputs that share tokens with the outputs but have none to follow.
+
+    They are compared with all outputs.  Documents with the same pages are compared once; outputs without
+    a common token are left out, as they score nothing.
+    """
+    alone = followed_tokens(inputs, outputs, k).groupBy("doc_id").agg(F.bool_or("followed").alias("any")).filter("not any").select("doc_id")
+    one, two = _whole(inputs.join(alone, "doc_id", "left_semi")), _whole(outputs).select(F.col("doc_id").alias("out_id"), F.col("sig").alias("out_sig"), F.col("pages").alias("out_pages"))
+    pairs = one.groupBy("sig").agg(F.first("pages").alias("pages")).crossJoin(two.groupBy("out_sig").agg(F.first("out_pages").alias("out_pages")))
+    best = F.transform("pages", lambda p: F.array_max(F.transform("out_pages", lambda q: F.struct(jaccard(p["tokens"], q["tokens"]).alias("s"), (-q["page_idx"]).alias("p")))))
+    scored = pairs.select("sig", "out_sig", best.alias("best")).withColumn("scores", F.transform("best", lambda b: b["s"])).filter(F.array_max("scores") > 0)
+    good = F.filter("best", lambda b: b["s"] >= page_least)
+    found = scored.select("sig", "out_sig", (F.size(good) / F.size("best")).alias("coverage"), trimmed_mean(F.col("scores")).alias("score"), F.sort_array(F.array_distinct(F.transform(good, lambda b: -b["p"]))).alias("pages"))
+    return found.join(one.select("doc_id", "sig"), "sig").join(two.select("out_id", "out_sig"), "out_sig").select("doc_id", "out_id", "coverage", "score", "pages")
 
 
 def trimmed_mean(scores, share: float = 0.9):
@@ -48,8 +72,9 @@ def trimmed_mean(scores, share: float = 0.9):
 
 
 def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75, k: int = 8) -> DataFrame:
-    """doc_id, out_id, coverage, score, pages: candidate pairs with their page-by-page similarity.
+    """doc_id, out_id, coverage, score, pages: pairs with their page-by-page similarity.
 
+    Inputs meet the outputs that share a followed token with them, or all outputs where there is none.
     Each input page takes its best output page (the first, on ties); coverage is the share of pages at or
     above ``page_least`` and score the trimmed mean of the page scores.
     """
@@ -57,11 +82,12 @@ def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75
     pages = pairs.join(inputs, "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("tokens").alias("out_tokens")), "out_id")
     scored = pages.select("doc_id", "out_id", "page_idx", "out_page", jaccard(F.col("tokens"), F.col("out_tokens")).alias("s"))
     best = scored.groupBy("doc_id", "out_id", "page_idx").agg(F.max(F.struct("s", (-F.col("out_page")).alias("p"))).alias("b"))
-    return best.groupBy("doc_id", "out_id").agg(
+    followed = best.groupBy("doc_id", "out_id").agg(
         F.avg((F.col("b.s") >= page_least).cast("double")).alias("coverage"),
         trimmed_mean(F.collect_list("b.s")).alias("score"),
         F.sort_array(F.collect_set(F.when(F.col("b.s") >= page_least, -F.col("b.p")))).alias("pages"),
     )
+    return followed.unionByName(unfollowed_matches(inputs, outputs, page_least, k))
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fuzzy import token_set_ratio
 from paperloom.functions.text import company_form
+from paperloom.operators import similarity
 from paperloom.plans import more_queries, registry, relational_queries  # noqa: F401
 from paperloom.sources import tables
 
@@ -19,3 +20,36 @@ def test_roster_queries_take_all_parts(spark):
     for r in registry.QUERIES["j_fuzzy_best"](spark, FOLDER).collect():
         scores = [int(token_set_ratio(forms[r.p_partkey], e)) for e in entries]
         assert (r.score, r.entry) == (max(scores), entries[scores.index(max(scores))])
+
+
+def brute_matches(inputs, outputs):
+    found = {}
+    for i, a in inputs.items():
+        for o, b in outputs.items():
+            best = [max((len(p & q) / len(p | q), -k) for k, q in enumerate(b)) for p in a]
+            if max(s for s, _ in best) > 0:
+                top = sorted((s for s, _ in best), reverse=True)[: -(-len(best) * 9 // 10)]
+                found[i, o] = (round(sum(s >= 0.75 for s, _ in best) / len(best), 9), round(sum(top) / len(top), 9), sorted({-k for s, k in best if s >= 0.75}))
+    return found
+
+
+def matched(spark, inputs, outputs):
+    mk = lambda docs: spark.createDataFrame([(i, k, sorted(p)) for i, d in docs.items() for k, p in enumerate(d)], "doc_id long, page_idx int, tokens array<string>")
+    rows = similarity.text_matches(mk(inputs), mk(outputs)).collect()
+    assert len(rows) == len({(r.doc_id, r.out_id) for r in rows})
+    return {(r.doc_id, r.out_id): (round(r.coverage, 9), round(r.score, 9), list(r.pages)) for r in rows}
+
+
+def test_copies_of_frequent_tokens_match(spark):
+    """A third of the outputs are copies of one text: all its tokens are too frequent to follow."""
+    copy = [{"form", "letter", "dear", "customer"}, {"yours", "truly", "office"}]
+    outputs = {1000 + i: copy if i % 3 == 0 else [{f"word{i}", f"other{i}", "dear"}] for i in range(90)}
+    inputs = {1: copy, 2: [{"form", "letter", "dear", "nothing"}], 3: [{"word1", "other1", "dear"}], 4: [{"foreign", "tongue", "only"}], 5: copy}
+    want = {k: v for k, v in brute_matches(inputs, outputs).items() if k[0] != 3 or k[1] == 1001}
+    assert matched(spark, inputs, outputs) == want and want[1, 1000] == (1.0, 1.0, [0, 1])
+
+
+def test_few_outputs_are_all_compared(spark):
+    outputs = {1000 + i: [{"dear", "sirs", f"word{i % 30}", f"x{i}"}] for i in range(40)}
+    inputs = {1: [{"dear", "sirs", "word3"}], 2: [{"dear", "sirs", "absent"}]}
+    assert matched(spark, inputs, outputs) == brute_matches(inputs, outputs)
