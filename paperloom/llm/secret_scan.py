@@ -35,18 +35,25 @@ IDENTIFIERS = (
     "https://www.example.com/index.html getElementById toString2 utf8_general_ci sha256 base64 rsa2048 md5sum int64_t "
 )
 
+#: What may stand between strings that belong together: line breaks, dots, list separators.
+ADJOINING = re.compile(r"""(?:[\s.,;|"'`\[\](){}]|\\[nrt])*""")
+
 _TO_HEX_RUNS = bytes(0x30 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 
 @dataclass(frozen=True)
 class NoveltyParams:
-    """What makes a string a candidate, and a candidate a secret."""
+    """What makes a string a candidate, and a candidate a secret.  ``piece``, ``step`` and ``piece_ratio``:
+    pieces of longer candidates, how far apart they start, and the novelty of one that is a secret."""
 
     shortest: int = 16
     longest: int = 4096
     reach: int = 48
     window: int = 1024
     ratio: float = 0.85
+    piece: int = 32
+    step: int = 8
+    piece_ratio: float = 0.95
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,38 +69,97 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes of the candidate per byte, given identifiers and its surroundings."""
+def _bytes_needed(packer: zstandard.ZstdCompressor, data: bytes) -> int:
+    return len(packer.compress(data)) - len(packer.compress(b""))
+
+
+def _primed(candidate: str, around: str) -> zstandard.ZstdCompressor:
+    """A compressor that knows identifiers and the candidate's surroundings."""
     prime = (IDENTIFIERS + around.replace(candidate, " ")).encode("utf-8", "replace")
     known = zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False, write_checksum=False)
+    return zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+
+def novelty(candidate: str, around: str) -> float:
+    """Marginal compressed bytes of the candidate per byte, given identifiers and its surroundings."""
     data = candidate.encode()
-    return (len(packer.compress(data)) - len(packer.compress(b""))) / len(data)
+    return _bytes_needed(_primed(candidate, around), data) / len(data)
+
+
+def _mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
+def is_novel(candidate: str, around: str, p: NoveltyParams) -> bool:
+    """Whether the candidate, or any piece of a longer one, is novel.
+
+    The whole of a long candidate says little: a key behind a plain start is diluted, and the code lengths
+    of random letters alone bring a thousand of them below ``ratio``.
+    """
+    if novelty(candidate[: p.longest], around) >= p.ratio:
+        return True
+    if len(candidate) <= p.piece:
+        return False
+    packer, last = _primed(candidate, around), len(candidate) - p.piece
+    pieces = (candidate[i : i + p.piece] for i in (*range(0, last, p.step), last))
+    return any(_mixed(x) and _bytes_needed(packer, x.encode()) >= p.piece_ratio * p.piece for x in pieces)
+
+
+def _left_over(start: int, end: int, busy: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the busy stretches (by start) leave of start..end."""
+    out, at = [], start
+    for s, e in busy:
+        if s > at:
+            out.append((at, min(s, end)))
+        at = max(at, e)
+    return [*out, (at, end)] if at < end else out
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], p: NoveltyParams = NoveltyParams()) -> list[tuple[str, int, int]]:
-    """Spans that only the novelty measure finds."""
+    """Spans that only the novelty measure finds.
+
+    A sensitive word speaks for the next string and for those that adjoin it: lines of a key, parts between
+    dots, members of a list.  Of a string that base spans cover in part, the rest is reported.
+    """
     lowered = text.lower()
     if not any(w in lowered for w in CONTEXT_WORDS):
         return []
-    busy = sorted((s, e) for _, s, e in taken)
+    busy = sorted((s, e, k) for k, s, e in taken)
     found, at = [], 0
     last = 0  # the end of what came before: one sensitive word speaks for the next string only
-    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{p.shortest},}}", text):
+    spoken, spoken_end = False, 0  # whether a word speaks for the string before, and where that one ends
+    carried = lambda start: spoken and spoken_end <= start and ADJOINING.fullmatch(text, spoken_end, start) is not None
+    context = lambda start: carried(start) or CONTEXT.search(text, max(last, start - p.reach), start) is not None
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{p.shortest},}}|(?<=\n)[A-Za-z0-9+/=]+(?=\r?\n-----END )", text):
         start, end = m.span()
         while at < len(busy) and busy[at][1] <= start:
-            last = max(last, busy[at][1])
+            s, e, kind = busy[at]
+            spoken, spoken_end = kind == "assign" or context(s), max(e, spoken_end)
+            last = max(last, e)
             at += 1
-        if at < len(busy) and busy[at][0] < end:
-            continue
+        over = []
+        for s, e, _ in busy[at:]:
+            if s >= end:
+                break
+            over.append((s, e))
+        said = context(start)
+        rest = _left_over(start, end, over)
+        assigned = any(k == "assign" and s < end for s, _, k in busy[at : at + len(over)])
         s = m.group()
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue
-        if CONTEXT.search(text, max(last, start - p.reach), start):
-            around = text[max(0, start - p.window) : start] + " " + text[end : end + p.window]
-            if novelty(s[: p.longest], around) >= p.ratio:
-                found.append(("novel", start, end))
-        last = end
+        tail = len(s) < p.shortest
+        if tail or _mixed(s):
+            if said and rest and not (tail and not carried(start)):
+                around = text[max(0, start - p.window) : start] + " " + text[end : end + p.window]
+                if assigned:
+                    # What stands before an assignment is a name unless it is a candidate itself.
+                    whole = [x for x in rest if x[1] - x[0] >= p.shortest]
+                    found += [("novel", *x) for x in whole if _mixed(text[slice(*x)]) and is_novel(text[slice(*x)], around, p)]
+                else:
+                    left = "".join(text[slice(*x)] for x in rest)
+                    if tail or is_novel(s, around, p) or (over and _mixed(left) and is_novel(left, around, p)):
+                        found += [("novel", *x) for x in rest]
+            last = end
+        spoken, spoken_end = said or assigned, max([end, *(e for _, e in over)])
     return found
 
 
