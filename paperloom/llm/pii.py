@@ -11,6 +11,7 @@ reaches the texts by a join; all others are computed where the text is.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -99,10 +100,19 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
-    """The canonical surrogate of a canonical entity, of the same length; another one per attempt."""
+def surrogate(kind: str, entity: str, attempt: int, key: bytes, extra: int = 0) -> str:
+    """The canonical surrogate of a canonical entity, of the same length; another one per attempt.
+
+    With ``extra`` it is that much longer, and an address may have octets of any length.
+    """
     draw = _stream(key, kind, entity, attempt)
     digits = "0123456789"
+    if kind == "ip" and extra:
+        return ".".join(str((next(draw) << 8 | next(draw)) % 256) for _ in range(4))
+    if kind == "email" and extra:
+        entity = "a" * extra + entity
+    elif extra:
+        entity += entity[-1] * extra
     if kind == "ip":
         octets = []
         for octet in entity.split("."):
@@ -143,16 +153,31 @@ def rendered(mention: str, replacement: str) -> str:
     if len(mention) == len(replacement):
         pairs = zip(mention, replacement, strict=True)
         return "".join((n.upper() if m.isupper() else n) if m.isalnum() else m for m, n in pairs)
+    if len(mention.split(".")) == len(replacement.split(".")) == 4 and replacement.replace(".", "").isdigit():
+        return replacement
+    if "@" in replacement:
+        local, _, domain = replacement.rpartition("@")
+        old = mention.rpartition("@")[2]
+        return f"{local}@{rendered(old, domain)}" if len(old) == len(domain) else replacement
+    # A longer replacement goes on where the mention ends, in the case of its last letters.
     letters = iter(replacement)
-    return "".join((n.upper() if c.isupper() else n) if c.isalnum() and (n := next(letters, "")) is not None else c for c in mention)
+    out = "".join((n.upper() if c.isupper() else n) if c.isalnum() and (n := next(letters, "")) is not None else c for c in mention)
+    rest = "".join(letters)
+    return out + (rest.upper() if len(mention) > 1 and mention.isupper() else rest)
+
+
+def extra_length(attempt: int, rounds: int) -> int:
+    """How much longer than its entity a surrogate of an attempt is: not at all in the first ``rounds``."""
+    return max(0, attempt - rounds + 1)
 
 
-def replaced(text: str, attempts: dict, key: bytes) -> tuple[str, dict]:
+def replaced(text: str, attempts: dict, key: bytes, rounds: int = 40) -> tuple[str, dict]:
     """The text with surrogates, and how many mentions of each kind it had."""
     out, at, counts = [], 0, dict.fromkeys(KINDS, 0)
     for m in mentions(text):
         counts[m.kind] += 1
-        new = surrogate(m.kind, m.canonical, attempts.get((m.kind, m.canonical), 0), key)
+        attempt = attempts.get((m.kind, m.canonical), 0)
+        new = surrogate(m.kind, m.canonical, attempt, key, extra_length(attempt, rounds))
         out += [text[at : m.start], rendered(text[m.start : m.end], new)]
         at = m.end
     return "".join([*out, text[at:]]), counts
@@ -170,27 +195,28 @@ def entities_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, kind string, entity string")
 
 
-def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
+def _drawn(entities: DataFrame, key: bytes, rounds: int) -> DataFrame:
     """(kind, entity, attempt) with its surrogate."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [surrogate(k, e, a, key) for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            new = [surrogate(k, e, a, key, extra_length(a, rounds)) for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "entity", "attempt", "surrogate"])
 
     return entities.select("kind", "entity", "attempt").mapInArrow(scan, "kind string, entity string, attempt int, surrogate string")
 
 
 def resolved(entities: DataFrame, key: bytes, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (kind, entity) -> the accepted (kind, entity, attempt, surrogate), and those left over.
+    """Distinct (kind, entity) -> the accepted (kind, entity, attempt, surrogate), and those left over (none).
 
     In a round, a surrogate is accepted if it is no entity of its kind, was not accepted before, and its
-    entity is the least of those that drew it.
+    entity is the least of those that drew it.  After ``rounds`` the shapes of what is pending are used up,
+    or nearly so: surrogates grow by a character a round, until every entity has its own.
     """
     real = entities.select("kind", F.col("entity").alias("surrogate"))
     pending, accepted = entities.withColumn("attempt", F.lit(0)), None
-    for attempt in range(rounds):
-        drawn = materialize(_drawn(pending, key), "pii-drawn")
+    for attempt in itertools.count():
+        drawn = materialize(_drawn(pending, key, rounds), "pii-drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         free = first.join(real, ["kind", "surrogate"], "left_anti")
         if accepted is not None:
@@ -208,8 +234,7 @@ def surrogate_pii(docs: DataFrame, key: str = "paperloom", rounds: int = 40) ->
 
     One row per input row, whose other columns are ignored; an empty table gives an empty result.  Texts
     without entities are unchanged.  Entities of a kind and shape with so few values that no free one was
-    found in ``rounds`` draws (such as every one-digit address) keep the last draw; the result of
-    ``collisions`` lists them.
+    found in ``rounds`` draws (such as every one-digit address) get a longer surrogate.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -227,7 +252,7 @@ def surrogate_pii(docs: DataFrame, key: str = "paperloom", rounds: int = 40) ->
             texts, tallies = [], []
             for t, r in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 attempts = {(x["kind"], x["entity"]): x["attempt"] for x in r or []}
-                text, tally = replaced(t.as_py() or "", attempts, secret)
+                text, tally = replaced(t.as_py() or "", attempts, secret, rounds)
                 texts.append(text if t.is_valid else None)
                 tallies.append(tally)
             yield pa.RecordBatch.from_arrays(
@@ -239,7 +264,7 @@ def surrogate_pii(docs: DataFrame, key: str = "paperloom", rounds: int = 40) ->
 
 
 def collisions(docs: DataFrame, key: str = "paperloom", rounds: int = 40) -> DataFrame:
-    """(kind, entity) of the entities for which ``rounds`` draws found no free surrogate."""
+    """(kind, entity) of the entities without a surrogate of their own; there are none."""
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     entities = materialize(entities_of(docs).select("kind", "entity").distinct(), "pii-entities")
     return resolved(entities, secret, rounds)[1].select("kind", "entity")

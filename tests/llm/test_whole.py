@@ -3,7 +3,7 @@
 import random
 import string
 
-from paperloom.llm import secret_scan
+from paperloom.llm import pii, secret_scan
 
 
 def test_secrets_of_several_parts():
@@ -32,3 +32,25 @@ def test_long_candidates_are_measured_to_their_end():
     for run in ("xy1" * 2000 + key, "xy1" * 100 + key + "xy1" * 2000, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(6000))):
         assert secret_scan.all_spans(f"the bearer {run} is") == [("novel", 11, 11 + len(run))]
     assert secret_scan.all_spans("the bearer " + "xy1" * 2000 + " is") == []
+
+
+def texts(spark, found):
+    return spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+
+
+def test_surrogates_stay_distinct_where_their_shape_is_used_up(spark):
+    """26 surnames of one letter; none of their 13 surrogates of one letter is free."""
+    docs = texts(spark, [f"Mr {c} came" for c in string.ascii_uppercase] + [f"Mrs B{c} Stone came" for c in "aeiou"])
+    rows = pii.surrogate_pii(docs, rounds=3).collect()
+    names = [r.text.split()[1] for r in rows if r.doc_id < 26]
+    assert len(set(names)) == 26 and not {n.lower() for n in names} & set(string.ascii_lowercase)
+    assert all(n[0].isupper() for n in names)
+
+
+def test_longer_surrogates_are_rendered():
+    key = b"k" * 32
+    for kind, mention, entity in (("surname", "X", "x"), ("email", "a.b@c.de", "a.b@c.de"), ("ip", "1.2.3.4", "1.2.3.4"), ("phone", "+1 (017) 555-7713", "10175557713")):
+        new = pii.surrogate(kind, entity, 3, key, 2)
+        out = pii.rendered(mention, new)
+        assert out.lower() == new if kind in ("surname", "email", "ip") else pii.canonical(out) == new
+        assert kind == "ip" or len(new) == len(entity) + 2
