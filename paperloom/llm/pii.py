@@ -37,7 +37,12 @@ FEMALE_END = {"latin": "a", "cyrillic": "а", "greek": "α"}
 
 _TITLE = re.compile(rf"\b(?:({'|'.join(MALE)})|({'|'.join(FEMALE)}))\.?[  ]+")
 _TITLE_HINTS = tuple(x[:3] for x in MALE + FEMALE)
+_TITLES = frozenset(MALE + FEMALE)
 _NAME = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_POSSESSIVE = ("'s", "’s", "'S", "’S")
+_GAP = re.compile("[ \u00a0]+")
+_INITIAL_GAP = re.compile("(?:\\.[ \u00a0]*|[ \u00a0]+)")
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,53 @@ def canonical(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text if c.isalnum())
 
 
+def _name_at(text: str, at: int) -> re.Match | None:
+    """The capitalized name at a place, without the ending of a possessive."""
+    n = _NAME.match(text, at)
+    if n and n.group()[-2:] in _POSSESSIVE:
+        n = _NAME.match(text, at, n.end() - 2)
+    return n if n and n.group()[0].isupper() else None
+
+
+def _named(text: str) -> list[Mention]:
+    """Names after titles, and the other mentions of the same names in the text.
+
+    All capitalized words after a title are its name, initials with dots among them; the last is the surname,
+    unless it stands alone and is a given name elsewhere in the text.
+    """
+    titled: list[tuple[str, list[re.Match]]] = []
+    for m in _TITLE.finditer(text):
+        parts, at = [], m.end()
+        while (n := _name_at(text, at)) and n.group() not in _TITLES:
+            parts.append(n)
+            gap = (_INITIAL_GAP if len(n.group()) == 1 else _GAP).match(text, n.end())
+            if not gap:
+                break
+            at = gap.end()
+        if parts:
+            titled.append(("name_m" if m.group(1) else "name_f", parts))
+    given = {(kind, canonical(n.group())) for kind, parts in titled for n in parts[:-1]}
+    found = []
+    for kind, parts in titled:
+        alone = len(parts) == 1 and (kind, canonical(parts[0].group())) in given
+        found += [Mention(kind if n is not parts[-1] or alone else "surname", *n.span(), canonical(n.group())) for n in parts]
+    kinds: dict[str, str] = {}
+    for x in found:
+        kinds[x.canonical] = "surname" if "surname" in (x.kind, kinds.get(x.canonical)) else kinds.get(x.canonical, x.kind)
+    known = {x.start for x in found}
+    for m in _NAME.finditer(text) if found else ():
+        if m.start() in known:
+            continue
+        n = _name_at(text, m.start())
+        whole = n and canonical(n.group()) in kinds
+        for start, end in [n.span()] if whole else [x.span() for x in _LETTERS.finditer(text, *m.span())]:
+            name = canonical(text[start:end])
+            # A single letter is a name only where a dot makes it an initial.
+            if text[start].isupper() and name in kinds and (end - start > 1 or text[end : end + 1] == "."):
+                found.append(Mention(kinds[name], start, end, name))
+    return found
+
+
 def mentions(text: str) -> list[Mention]:
     """Entities of a text from left to right, none overlapping; earlier kinds claim first."""
     found: list[Mention] = []
@@ -63,14 +115,7 @@ def mentions(text: str) -> list[Mention]:
             # An address keeps its dots: 1.23.4.5 is not 12.3.4.5.
             found += [Mention(kind, *m.span(), m.group() if kind == "ip" else canonical(m.group())) for m in pattern.finditer(text)]
     if any(h in text for h in _TITLE_HINTS):
-        for m in _TITLE.finditer(text):
-            parts, at = [], m.end()
-            while len(parts) < 3 and (n := _NAME.match(text, at)) and n.group()[0].isupper():
-                parts.append(n)
-                at = n.end() + 1 if text[n.end() : n.end() + 1] in (" ", " ") else len(text)
-            for i, n in enumerate(parts):
-                kind = "surname" if i == len(parts) - 1 else "name_m" if m.group(1) else "name_f"
-                found.append(Mention(kind, *n.span(), canonical(n.group())))
+        found += _named(text)
     order = {k: i for i, k in enumerate(KINDS)}
     taken: list[Mention] = []
     for x in sorted(found, key=lambda x: (order[x.kind], x.start)):

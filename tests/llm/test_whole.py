@@ -54,3 +54,17 @@ def test_longer_surrogates_are_rendered():
         out = pii.rendered(mention, new)
         assert out.lower() == new if kind in ("surname", "email", "ip") else pii.canonical(out) == new
         assert kind == "ip" or len(new) == len(entity) + 2
+
+
+def test_all_mentions_of_a_name_are_found():
+    found = lambda t: [(m.kind, t[m.start : m.end]) for m in pii.mentions(t)]
+    assert found("Mr Alan Turing spoke. Turing said, as Alan's friends and TURING's did, turing") == [
+        ("name_m", "Alan"), ("surname", "Turing"), ("surname", "Turing"), ("name_m", "Alan"), ("surname", "TURING"),
+    ]
+    assert found("Mr John Paul George Smith left") == [("name_m", "John"), ("name_m", "Paul"), ("name_m", "George"), ("surname", "Smith")]
+    assert found("Mr. J. Smith and I. J. wrote") == [("name_m", "J"), ("surname", "Smith"), ("name_m", "J")]
+    assert found("Mr. J.R. Smith") == [("name_m", "J"), ("name_m", "R"), ("surname", "Smith")]
+    assert found("Mr John Smith met Mr John") == [("name_m", "John"), ("surname", "Smith"), ("name_m", "John")]
+    assert found("Mr Jones and Turing") == [("surname", "Jones")]
+    out, counts = pii.replaced("Mr Alan Turing spoke. Turing said so to Smith-Turing", {}, b"k" * 32)
+    assert "Turing" not in out and counts["surname"] == 3 and out.split()[2] == out.split()[4]
