@@ -180,9 +180,11 @@ def j_roster_snap(spark, d):
 
 @query("j_image_match")
 def j_image_match(spark, d):
-    """Image pages built from texts; copies of a text are copies of a page."""
-    pixels = F.encode(F.rpad(F.substring(F.base64(F.encode("text", "UTF-8")), 1, 1200), 1200, "A"), "UTF-8")
-    pages = images.fingerprints(table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_idx"), F.lit(40).alias("width"), F.lit(30).alias("height"), pixels.alias("pixels")))
+    """Image pages built from whole texts, as high as their length asks; copies of a text are copies of a page."""
+    docs = table(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b"))
+    height = F.greatest(F.lit(30), F.ceil(F.length("b") / 40)).cast("int")
+    docs = docs.select("doc_id", F.lit(0).alias("page_idx"), F.lit(40).alias("width"), height.alias("height"), "b")
+    pages = images.fingerprints(docs.withColumn("pixels", F.encode(F.rpad("b", F.col("height") * 40, F.lit("A")), "UTF-8")))
     a, b = pages.filter("doc_id % 2 = 0"), pages.filter("doc_id % 2 = 1")
     return similarity.unambiguous(similarity.image_matches(a, b)).select("doc_id", "out_id", "ambiguous")
 

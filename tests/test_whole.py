@@ -1,5 +1,8 @@
 """Operators reach every row: each test failed while a part of the input was left out."""
 
+import random
+import string
+
 from pyspark.sql import functions as F
 
 from paperloom.functions.fuzzy import token_set_ratio
@@ -53,3 +56,14 @@ def test_few_outputs_are_all_compared(spark):
     outputs = {1000 + i: [{"dear", "sirs", f"word{i % 30}", f"x{i}"}] for i in range(40)}
     inputs = {1: [{"dear", "sirs", "word3"}], 2: [{"dear", "sirs", "absent"}]}
     assert matched(spark, inputs, outputs) == brute_matches(inputs, outputs)
+
+
+def test_image_pages_hold_whole_texts(spark, tmp_path):
+    """The texts of 2 and 3 begin alike and go on differently; those of 2 and 5 are the same."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"{rng.choice(string.ascii_letters) * rng.randrange(1, 9)}{rng.randrange(999)}" for _ in range(n))
+    start = words(200)
+    one, two = f"{start} {words(400)}", f"{start} {words(400)}"
+    spark.createDataFrame([(2, one), (3, two), (5, one)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.doc_id, r.out_id, r.ambiguous) for r in registry.QUERIES["j_image_match"](spark, str(tmp_path)).collect()]
+    assert found == [(2, 5, False)]
