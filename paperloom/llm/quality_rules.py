@@ -170,19 +170,28 @@ def group_id(count: Column, p: RobustParams) -> Column:
 
 def fit(stats: DataFrame, p: RobustParams = RobustParams()) -> DataFrame:
     """Statistics (with lang, source) -> lang, source, gid and the estimate's columns, one row per
-    language and source; the estimate is null where even the pooled group is too small."""
+    language and source.  A pool of small sources that is itself too small is judged by its whole language,
+    a language that is too small by all documents; the estimate is null only if those are too few as well."""
     usable = stats.filter(~base_failed(p))
     sizes = usable.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"))
-    groups = materialize(sizes.select("lang", "source", group_id(F.col("__n"), p).alias("gid"), "__n"), "rules-groups")
-    large = groups.groupBy("gid").agg(F.sum("__n").alias("__all")).filter(F.col("__all") >= p.least_group).select("gid")
-    kept = groups.join(large, "gid", "left_semi")
+    sizes = materialize(sizes.withColumn("own", group_id(F.col("__n"), p)), "rules-sizes")
+    # Sources and languages are few; all windows are over their counts.
+    in_pool, in_lang = F.sum("__n").over(W.partitionBy("own")), F.sum("__n").over(W.partitionBy("lang"))
+    whole = F.concat(F.lit("all of "), F.to_json(F.array("lang")))
+    gid = F.when(in_pool >= p.least_group, F.col("own")).when(in_lang >= p.least_group, whole).otherwise("all")
+    groups = materialize(sizes.select("lang", "source", "own", whole.alias("whole"), gid.alias("gid"), "__n"), "rules-groups")
+    needed = groups.select("gid").distinct()
+    # A source is fitted in every group that judges some source and contains it.
+    inside = groups.select("lang", "source", "__n", F.explode(F.array("own", "whole", F.lit("all"))).alias("gid")).join(needed, "gid", "left_semi")
+    large = inside.groupBy("gid").agg(F.sum("__n").alias("__all")).filter(F.col("__all") >= p.least_group).select("gid")
+    kept = inside.join(large, "gid", "left_semi")
     z = vector()
     d = len(z)
     rows = materialize(null_safe(usable.select("lang", "source", *z), kept.select("lang", "source", "gid"), ["lang", "source"]).select("gid", *(f"z{i}" for i in range(d))), "rules-vectors")
     est = materialize(_start(rows, p, d), "rules-start")
     for _ in range(p.steps):
         est = materialize(_concentrate(rows, est, p, d), "rules-step")
-    return materialize(groups.drop("__n").join(est, "gid", "left"), "rules-estimates")
+    return materialize(groups.select("lang", "source", "gid").join(est, "gid", "left"), "rules-estimates")
 
 
 def judge(stats: DataFrame, estimates: DataFrame, p: RobustParams = RobustParams()) -> DataFrame:
@@ -199,8 +208,8 @@ def quality_rules(docs: DataFrame, params: RobustParams = RobustParams()) -> Dat
     """documents -> doc_id, the five base statistics, base_failed, distance, kept; one row per input row.
 
     A null text counts as empty and fails the base rule, as does any text under ten words.  Null
-    languages and sources are values of their own.  Documents of a language whose pooled small sources
-    are fewer than ``least_group`` have no estimate and pass.  Repeated rows are judged alike; an empty
+    languages and sources are values of their own.  Too small a pool is judged by its language, too
+    small a language by all documents; with fewer than ``least_group`` of these there is no estimate.  Repeated rows are judged alike; an empty
     table gives an empty result; other columns are ignored.
     """
     stats = materialize(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"), "rules-stats")

@@ -3,7 +3,7 @@
 import random
 import string
 
-from paperloom.llm import pii, secret_scan
+from paperloom.llm import pii, quality_rules, secret_scan
 
 
 def test_secrets_of_several_parts():
@@ -68,3 +68,15 @@ def test_all_mentions_of_a_name_are_found():
     assert found("Mr Jones and Turing") == [("surname", "Jones")]
     out, counts = pii.replaced("Mr Alan Turing spoke. Turing said so to Smith-Turing", {}, b"k" * 32)
     assert "Turing" not in out and counts["surname"] == 3 and out.split()[2] == out.split()[4]
+
+
+def test_small_groups_are_judged(spark):
+    """A small source beside a large one of its language, and a rare language."""
+    rng = random.Random(5)
+    clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(400)) for _ in range(rng.randrange(12, 200)))
+    bad = lambda: " ".join(f"{w}$$$###" for w in clean().split())
+    rows = [(i, clean(), "en", "a") for i in range(300)] + [(300 + i, clean(), "en", "b") for i in range(20)] + [(320 + i, clean(), "xx", "c") for i in range(20)]
+    rows += [(1000, bad(), "en", "b"), (1001, bad(), "xx", "c"), (1002, bad(), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).filter("kept").collect()}
+    assert not kept & {1000, 1001, 1002} and len(kept) >= 335
