@@ -37,7 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written_at = path
+    return read
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``materialize`` returned.  Call it once everything derived from them is written."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

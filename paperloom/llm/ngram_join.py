@@ -1,131 +1,241 @@
 """N-gram Jaccard join with a token-group matrix.
 
-1. Every text becomes its set of shingle hashes; equal sets become one node.
-2. Groups of similar nodes: of the nodes that share a minimum hash, the most central one (whose own minimum
-   hashes are the most common ones) is compared with those that agree with it in most of theirs; those that
-   link form a group with it.  Links inside a group need no further search.
-3. The matrix (token, group) holds the tokens of each set's prefix: those with a hash under a fixed share of
-   all hashes, and more up to the length a link must reach into, in a global order that puts the most
-   frequent tokens last.  Two groups' shared cells bound the overlap of any two of their members: tokens
-   outside the prefix can add no more than either side has there.  Pairs of groups that cannot reach a
-   link's overlap are out.
-4. For the others, a node of the smaller group is first held against the token union of the other one: the
-   overlap with the union bounds that with every member.  Only where the bound allows a link is the group
-   opened and its members compared.
-5. Links between groups join them into components.  A group that holds many tokens is kept in chunks, so no
-   row grows with a group.
+1. Every text becomes its set of shingle hashes; equal sets are one node.
+2. Nodes that cannot link are set aside: a node shares three quarters of its tokens with each partner, so one
+   with too many tokens of its own has none.  To find them, every node sends its tokens under a fixed share
+   of all hashes (short sets send all) to buckets that see each token's nodes together; only tokens that
+   several nodes hold are reported back.
+3. The others are partitioned into groups.  Nodes that share minimum hashes and link to a common centre get one
+   label; large labels are groups, nodes of small ones are put together by minimum hash until a group has
+   about ``group_nodes`` of them.
+4. The matrix (token, group) is held in buckets of tokens.  For every node and group the cells under the
+   node's tokens are counted; with the tokens that were left out this bounds its overlap with any member.
+   Left out are tokens in more than ``wide`` groups.  A node that holds so many of them that the bound
+   says nothing takes part in another round, with such nodes alone and a larger ``wide``.
+5. Groups whose bound allows a link are opened: the node's tokens are held against those of the members.  Large
+   groups are kept in chunks, and the questions to a group are dealt to parts, so no task grows with a group.
+6. Links join labels into components.
+
+Links are symmetric, so of two groups the smaller one asks.  Inside a label nothing needs to be asked.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, trim
+from .common import materialize, release, small, trim
 from .components import connected_components
 from .shingles import column_sets, mix64
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Link: ``100 * |intersection| >= percent * |union|``.  ``keys``: minimum hashes, of which ``equal``
-    must agree for two nodes to be tried as a group; the first ``meeting`` of them bring nodes together.  ``frequent``: how many of the most frequent tokens
-    are put last (an order only; any gives the same links).  ``prefix``: share of all hashes that is always
-    in the matrix.  ``chunk_tokens``: tokens in a chunk of a group.  ``bucket_tokens``: in a bucket of the
-    matrix.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every task; above that
-    the planner shuffles."""
+    """Link: ``100 * |intersection| >= percent * |union|``.  ``share``: of all hashes, whose tokens sets of
+    more than ``whole`` tokens send to be counted.  ``keys``: minimum hashes, of which ``equal`` must agree
+    for two nodes to be tried as one label; the first ``meeting`` of them bring nodes together.
+    ``group_nodes``: nodes in a group of the matrix; ``wide``: groups of a token that is left out of the first
+    round.  ``bucket_cells``, ``chunk_tokens``, ``part_tokens``: what one task holds of the matrix, of a group,
+    and of the questions to it.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every
+    task (32 MB); above that the planner shuffles.  None of these but ``percent`` changes the links."""
 
     percent: int = 75
+    share: float = 0.4
+    whole: int = 64
     keys: int = 16
     meeting: int = 6
     equal: int = 7
-    frequent: int = 50_000
-    prefix: float = 0.25
+    group_nodes: int = 64
+    wide: int = 64
+    bucket_cells: int = 2_000_000
     chunk_tokens: int = 100_000
-    bucket_tokens: int = 1_000_000
-    broadcast_rows: int = 300_000
-
-
-FACTS = "kind int, doc_id long, n long, sig binary, keys array<long>, token long, count long"
-_FACTS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
+    part_tokens: int = 1_000_000
+    broadcast_rows: int = 1_000_000
 
 
 def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _ceil_share(n, num: int, den: int):
-    return -(-n * num // den)
+def short(sig: bytes) -> int:
+    """62 bits of a signature: a node's number where rows are packed."""
+    return int.from_bytes(sig[:8], "little") >> 2
+
+
+def _under(tokens: np.ndarray, share: float) -> int:
+    return int(np.searchsorted(tokens, np.uint64(int(share * (1 << 64)))))
+
+
+def _sent(tokens: np.ndarray, p: JoinParams) -> int:
+    """How many tokens (the least ones) a set sends.  Partners of a set up to ``whole`` send all of theirs."""
+    return len(tokens) if len(tokens) * p.percent <= p.whole * 100 else _under(tokens, p.share)
+
+
+def _counted(tokens: np.ndarray, p: JoinParams) -> int:
+    """Of how many of them it is told whether other sets have them: all its partners send these as well."""
+    return len(tokens) if len(tokens) <= p.whole else _under(tokens, p.share)
+
+
+FACTS = "doc_id long, n long, sig binary, id long, sent long, counted long"
 
 
 def facts(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """One row (kind 0) per document: set size, signature, minimum hashes; and rows (kind 1) with the
-    tokens that several different sets of a batch share."""
-    seeds = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (1 << 64) - 1) for r in range(p.keys)]
+    """One row per document: set size, signature, number, and how many tokens it sends and has counted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
-            ids, sizes, sigs, keys, sets, seen = b.column(0).to_pylist(), [], [], [], [], set()
+            rows: dict[str, list] = {c: [] for c in ("n", "sig", "id", "sent", "counted")}
             for s in column_sets(b.column(1)):
-                sizes.append(len(s))
-                sigs.append(signature(s))
-                keys.append([int(mix64(s ^ seed).min().view(np.int64)) for seed in seeds] if len(s) else [])
-                if len(s) and sigs[-1] not in seen:
-                    seen.add(sigs[-1])
-                    sets.append(s)
-            m = len(ids)
-            rows = {"kind": [0] * m, "doc_id": ids, "n": sizes, "sig": sigs, "keys": keys, "token": [None] * m, "count": [None] * m}
-            yield pa.RecordBatch.from_pydict(rows, schema=_FACTS)
-            if len(sets) > 1:
-                tokens = np.concatenate(sets)
-                sets.clear()
-                tokens.sort()
-                again = np.flatnonzero(tokens[1:] == tokens[:-1])
-                token, count = np.unique(tokens[again], return_counts=True)
-                token, count = token.view(np.int64), count + 1
-                del tokens, again
-                m = len(token)
-                if m:
-                    none = [None] * m
-                    yield pa.RecordBatch.from_pydict({"kind": [1] * m, "doc_id": none, "n": none, "sig": none, "keys": none, "token": token, "count": count}, schema=_FACTS)
+                sig = signature(s)
+                for c, v in zip(rows, (len(s), sig, short(sig), _sent(s, p), _counted(s, p)), strict=True):
+                    rows[c].append(v)
+            arrays = [pa.array(v, pa.binary() if c == "sig" else pa.int64()) for c, v in rows.items()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *arrays], names=["doc_id", *rows])
 
     return docs.select("doc_id", "text").mapInArrow(scan, FACTS)
 
 
+_CELL = np.dtype([("token", "<u4"), ("id", "<u8")])  # a token's low bits in its bucket; the number, times two, plus whether it is counted
+_CELLS = pa.schema([("bucket", pa.int64()), ("cells", pa.binary())])
+
+
+def _dealt(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token and the bits that tell it from others there."""
+    mixed = mix64(token)
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), mixed.astype(np.uint32)
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, the starts of the buckets in it, and which they are."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+    ordered = bucket[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, int)
+    return order, starts, ordered[starts]
+
+
+def sent_cells(docs: DataFrame, p: JoinParams, buckets: int) -> DataFrame:
+    """(bucket, cells): the tokens that sets send, each set once per batch."""
+
+    def flush(held: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        token, cells = np.concatenate(held), np.empty(sum(map(len, held)), _CELL)
+        bucket, cells["token"] = _dealt(token, buckets)
+        cells["id"] = np.repeat(np.array(ids, np.uint64), [len(t) for t in held])
+        del token
+        order, starts, which = _by_bucket(bucket)
+        return pa.RecordBatch.from_pydict({"bucket": which, "cells": [x.tobytes() for x in np.split(cells[order], starts[1:])]}, schema=_CELLS)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trim()
+            seen, held, ids, size = set(), [], [], 0
+            for s in column_sets(b.column(0)):
+                if not len(s) or (sig := signature(s)) in seen:
+                    continue
+                seen.add(sig)
+                counted, sent, number = _counted(s, p), _sent(s, p), short(sig) << 1
+                for part, mark in ((s[:counted], 1), (s[counted:sent], 0)):
+                    if len(part):
+                        held.append(part.copy())
+                        ids.append(number | mark)
+                        size += len(part)
+                if size >= 500_000:
+                    yield flush(held, ids)
+                    held, ids, size = [], [], 0
+            if size:
+                yield flush(held, ids)
+
+    return docs.select("text").mapInArrow(scan, "bucket long, cells binary")
+
+
+def shared_ids(cells: np.ndarray) -> np.ndarray:
+    """The number of every counted cell whose token another set sends as well.
+
+    Tokens that agree in the bits that are kept here count as one: more is reported as shared, never less."""
+    order = np.argsort(cells["token"], kind="stable")
+    token = cells["token"][order]
+    same = token[1:] == token[:-1]
+    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    token, number = token[several], cells["id"][order[several]]
+    order = np.lexsort((number, token))
+    token, number = token[order], number[order]
+    if not len(token):
+        return np.empty(0, np.int64)
+    first = np.concatenate(([True], (token[1:] != token[:-1]) | (number[1:] != number[:-1])))
+    token, number = token[first], number[first]
+    same = token[1:] == token[:-1]
+    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return (number[several & (number & np.uint64(1) == 1)] >> np.uint64(1)).astype(np.int64)
+
+
+def linkable(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """nodes (sig, id, rep, n, sent, counted) -> those that may have a partner."""
+    total = int(nodes.agg(F.sum("sent")).first()[0] or 0)
+    cells = sent_cells(docs.filter("doc_id is not null"), p, max(1, -(-total // p.bucket_cells)))
+
+    def shared(t: pa.Table) -> pa.Table:
+        joined = np.frombuffer(b"".join(x.as_py() for x in t.column("cells")), dtype=_CELL)
+        del t
+        out = pa.table({"id": pa.array(shared_ids(joined), pa.int64())})
+        del joined
+        trim()
+        return out
+
+    found = cells.groupBy("bucket").applyInArrow(shared, "id long").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    own = F.col("counted") - F.coalesce("shared", F.lit(0))
+    return nodes.join(found, "id", "left").filter(own <= F.col("n") - least_shared(F.col("n"), p)).select("sig", "id", "rep", "n")
+
+
+def least_shared(n: Column, p: JoinParams) -> Column:
+    """How many of its n tokens a set shares with a partner at least; for larger sets one less, as two of its
+    tokens may agree in the bits that cells keep and so be counted as one."""
+    return F.ceil(n * p.percent / F.lit(100)) - (n > 16).cast("int")
+
+
+_SETS = pa.schema([("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+
+
 def token_sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
-    """(sig, tokens) of the documents that stand for the given nodes (sig, rep).
+    """nodes (sig, id, rep, n) -> the same with minimum hashes and tokens.
 
-    A document with another text under a node's id adds a row that no node joins with; a repeated row
-    repeats its set, which does no harm."""
+    Rows that repeat a document repeat its node (once per batch at most), which does no harm below."""
+    seeds = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (1 << 64) - 1) for r in range(p.keys)]
+
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in found]))), pa.int32())
+        values = pa.array(np.concatenate(found).view(np.int64), pa.int64())
+        keys = [[int(mix64(s ^ seed).min().view(np.int64)) for seed in seeds] for s in found]
+        return pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(offsets, values)], schema=_SETS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[np.ndarray] = []
-            held = 0
+            seen, held = set(), 0
             for s in column_sets(b.column(0)):
+                if not len(s) or (sig := signature(s)) in seen:
+                    continue
+                seen.add(sig)
                 found.append(s)
                 held += len(s)
                 if held >= 500_000:
-                    yield _sets_batch(found)
+                    yield batch(found)
                     found, held = [], 0
             if found:
-                yield _sets_batch(found)
-
-    wanted = small(materialize(nodes.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted"), p.broadcast_rows)
-    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(scan, "sig binary, tokens array<long>")
-
+                yield batch(found)
 
-def _sets_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in found]))), pa.int32())
-    values = pa.array(np.concatenate(found).view(np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["sig", "tokens"])
+    wanted = materialize(nodes.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
+    sets = docs.join(small(wanted, p.broadcast_rows), "doc_id", "left_semi").select("text").mapInArrow(scan, "sig binary, keys array<long>, tokens array<long>")
+    # A document with another text under a node's id has a signature that no node has, or another node's.
+    written = materialize(sets.join(small(nodes, p.broadcast_rows), "sig").select("sig", "id", "rep", "n", "keys", "tokens"), "join-sets")
+    release(wanted)
+    return written
 
 
 def linked(a: Column, b: Column, p: JoinParams) -> Column:
@@ -134,9 +244,10 @@ def linked(a: Column, b: Column, p: JoinParams) -> Column:
     return F.lit(100) * both >= F.lit(p.percent) * (F.size(a) + F.size(b) - both)
 
 
-def similar_groups(nodes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Nodes (sig, rep, n, keys) -> (sig, label) of the nodes in a group of two or more."""
-    # A key's seed is part of it, so keys of different seeds do not meet.
+def star_labels(sets: DataFrame, p: JoinParams) -> DataFrame:
+    """(sig, label) of the nodes that link to a centre: of the nodes that share a minimum hash, the one whose
+    own minimum hashes are the most common."""
+    nodes = materialize(sets.select("sig", "keys"), "join-keys")
     keyed = nodes.select("sig", F.explode(F.slice("keys", 1, p.meeting)).alias("key"))
     common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-common-keys")
     shared = materialize(keyed.join(small(common, p.broadcast_rows), "key"), "join-shared-keys")
@@ -145,186 +256,254 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFram
     centre = materialize(centre.select("key", F.col("m.sig").alias("first")), "join-centres")
     tried = shared.join(small(centre, p.broadcast_rows), "key").filter("sig <> first").select("sig", "first").distinct()
     tried = materialize(tried, "join-tried")
-    tried = tried.join(nodes.select("sig", "keys"), "sig").join(nodes.select(F.col("sig").alias("first"), F.col("keys").alias("first_keys")), "first")
+    tried_keys = tried.join(nodes, "sig").join(nodes.select(F.col("sig").alias("first"), F.col("keys").alias("first_keys")), "first")
     agree = F.size(F.filter(F.zip_with("keys", "first_keys", lambda x, y: x == y), lambda same: same))
-    pairs = materialize(tried.filter(agree >= p.equal).select("sig", "first"), "join-pairs")
-    needed = pairs.select("sig").unionByName(pairs.select(F.col("first").alias("sig"))).distinct()
-    sets = materialize(token_sets(docs, nodes.join(needed, "sig").select("rep"), p), "join-sets")
+    pairs = materialize(tried_keys.filter(agree >= p.equal).select("sig", "first").distinct(), "join-pairs")
     leads = materialize(pairs.select("first").distinct(), "join-leads")
-    x = sets.withColumnRenamed("tokens", "x").join(small(pairs, p.broadcast_rows), "sig")
+    release(nodes, common, shared, weight, centre, tried)
+    x = sets.select("sig", F.col("tokens").alias("x")).join(small(pairs, p.broadcast_rows), "sig")
     y = sets.select(F.col("sig").alias("first"), F.col("tokens").alias("y")).join(small(leads, p.broadcast_rows), "first", "left_semi")
-    sides = x.join(y, "first")
-    edges = materialize(sides.filter(linked(F.col("x"), F.col("y"), p)).select(F.col("sig").alias("a"), F.col("first").alias("b")), "join-star")
-    return connected_components(edges).select(F.col("node").alias("sig"), "label")
-
-
-_PREFIX = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("rest", pa.int64()), ("indexed", pa.int64()), ("tokens", pa.binary())])
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
-    """(sig, n, rest, indexed, tokens): the prefix of each set, once per set and batch.
-
-    A partner of a set of n tokens shares at least ceil(percent n / 100) of them, so one of the first
-    n - that + 1 in any order common to all; if the partner is no smaller, one of the first ``indexed``.
-    Counted tokens (not frequent, and with a hash under the share ``prefix``) come first and are in the
-    prefix in any case; ``rest`` is the number of the others.
-    """
-    known = np.sort(frequent)
-    rank = np.empty(len(frequent), np.int64)
-    rank[:] = np.argsort(frequent)  # frequent comes with the rarest first
-    under = np.uint64(int(p.prefix * (1 << 64)))
+    edges = materialize(x.join(y, "first").filter(linked(F.col("x"), F.col("y"), p)).select(F.col("sig").alias("a"), F.col("first").alias("b")), "join-star")
+    labels = connected_components(edges).select(F.col("node").alias("sig"), "label")
+    release(pairs, leads, edges)
+    return labels
+
+
+def grouping(sets: DataFrame, labels: DataFrame, p: JoinParams) -> DataFrame:
+    """(sig, id, n, label, tag, group, members): the partition.  ``tag`` numbers labels; a label of
+    ``group_nodes`` or more is a group, smaller ones are put together by their least minimum hash."""
+    nodes = materialize(sets.groupBy("sig").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first(F.get("keys", F.lit(0))).alias("key")), "join-alive")
+    joined = nodes.join(small(labels, p.broadcast_rows), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    sizes = materialize(joined.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("home")), "join-label-sizes")
+    few = sizes.filter(F.col("size") < p.group_nodes).agg(F.sum("size")).first()[0] or 0
+    packed = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-few // p.group_nodes))))
+    grouped = sizes.select("label", F.when(F.col("size") < p.group_nodes, packed).otherwise(F.xxhash64("label")).alias("group"))
+    grouped = materialize(joined.join(small(materialize(grouped, "join-label-groups"), p.broadcast_rows), "label"), "join-grouped")
+    counts = materialize(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")), "join-groups")
+    out = grouped.join(small(counts, p.broadcast_rows), "group").select("sig", "id", "n", "label", F.xxhash64("label").alias("tag"), "group", "members", "total")
+    out = materialize(out, "join-partition")
+    release(nodes, sizes, grouped, counts)
+    return out
+
+
+_HEAD = np.dtype([("id", "<i8"), ("tag", "<i8"), ("group", "<i8"), ("members", "<i8")])
+_MATRIX = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("tokens", pa.binary()), ("at", pa.binary())])
+
+
+def matrix_rows(sets: DataFrame, buckets: int) -> DataFrame:
+    """(id, tag, group, members, tokens) -> the matrix, dealt by token: the heads of nodes, and tokens with
+    the place of their node among the heads."""
+
+    def flush(held: list[np.ndarray], heads: list[tuple]) -> pa.RecordBatch:
+        head = np.array(heads, _HEAD)
+        bucket, token = _dealt(np.concatenate(held), buckets)
+        node = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in held])
+        order, starts, which = _by_bucket(bucket)
+        token, node = token[order], node[order]
+        rows: dict[str, list] = {"bucket": which.tolist(), "heads": [], "tokens": [], "at": []}
+        for t, x in zip(np.split(token, starts[1:]), np.split(node, starts[1:]), strict=True):
+            there, at = np.unique(x, return_inverse=True)
+            rows["heads"].append(head[there].tobytes())
+            rows["tokens"].append(t.tobytes())
+            rows["at"].append(at.astype("<u4").tobytes())
+        return pa.RecordBatch.from_pydict(rows, schema=_MATRIX)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, heads, size = [], [], 0
         for b in batches:
-            trim()
-            seen, rows = set(), {"sig": [], "n": [], "rest": [], "indexed": [], "tokens": []}
-            for s in column_sets(b.column(0)):
-                sig = signature(s)
-                n = len(s)
-                if not n or sig in seen:
-                    continue
-                seen.add(sig)
-                cold, late = s, s[:0]
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hot = known[at] == s
-                    if hot.any():
-                        cold, late = s[~hot], s[hot][np.argsort(rank[at[hot]], kind="stable")]
-                always = int(np.searchsorted(cold, under))
-                length = max(always, n - _ceil_share(n, p.percent, 100) + 1)
-                rows["sig"].append(sig)
-                rows["n"].append(n)
-                rows["rest"].append(n - always)
-                rows["indexed"].append(n - _ceil_share(n, 2 * p.percent, 100 + p.percent) + 1)
-                rows["tokens"].append(np.concatenate([cold, late])[:length].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=_PREFIX)
-
-    return docs.select("text").mapInArrow(scan, "sig binary, n long, rest long, indexed long, tokens binary")
-
-
-_CELL = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("indexed", "u1"), ("counted", "u1")])
-_CELLS = pa.schema([("bucket", pa.int64()), ("cells", pa.binary())])
-
-
-def matrix_cells(rows: DataFrame, buckets: int) -> DataFrame:
-    """(group, n, rest, indexed, tokens) -> (bucket, cells): packed matrix cells, dealt by token."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        cells = np.concatenate(held)
-        bucket = (mix64(cells["token"]) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cells, bucket = cells[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = [x.tobytes() for x in np.split(cells, cuts)]
-        return pa.RecordBatch.from_pydict({"bucket": bucket[np.concatenate(([0], cuts))].astype(np.int64), "cells": parts}, schema=_CELLS)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, most = [], 0, (1 << 32) - 1
-        for b in batches:
-            for group, n, rest, indexed, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = np.frombuffer(tokens, dtype="<u8")
-                cell = np.empty(len(t), _CELL)
-                cell["token"], cell["group"], cell["n"], cell["rest"] = t, group, min(n, most), min(rest, most)
-                place = np.arange(len(t))
-                cell["indexed"], cell["counted"] = place < indexed, place < n - rest
-                held.append(cell)
+            whole = zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)
+            for head, tokens in zip(whole, b.column(4), strict=True):
+                t = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                held.append(t.copy())
+                heads.append(head)
                 size += len(t)
-                if size >= 500_000:
-                    yield flush(held)
-                    held, size = [], 0
+                if size >= 1_000_000:
+                    yield flush(held, heads)
+                    held, heads, size = [], [], 0
         if size:
-            yield flush(held)
+            yield flush(held, heads)
 
-    return rows.select("group", "n", "rest", "indexed", "tokens").mapInArrow(scan, "bucket long, cells binary")
+    return sets.select("id", "tag", "group", "members", "tokens").mapInArrow(scan, "bucket long, heads binary, tokens binary, at binary")
 
 
-def shared_cells(cells: np.ndarray, percent: int) -> dict[str, np.ndarray]:
-    """Pairs a < b of groups that share tokens: how many counted ones, the least sum of set sizes, and the
-    most that two members could share besides.  A token that is not counted makes a pair only if it is
-    indexed for one side: else it cannot be the first one that two members share."""
-    # Most tokens stand in one cell only: these go before anything else is computed.
-    token = np.ascontiguousarray(cells["token"])
+def matrix_counts(heads: np.ndarray, token: np.ndarray, at: np.ndarray, wide: int) -> dict[str, np.ndarray]:
+    """Cells of one bucket -> (id, group, cells, wide): how many of the node's tokens the group has besides it,
+    for groups that the node's own one asks; and, with group -1, how many of its tokens are too wide."""
     order = np.argsort(token, kind="stable")
-    token = token[order]
+    token, at = token[order], at[order]
     same = token[1:] == token[:-1]
-    cells = cells[order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]
-    del token, order, same
-    if not len(cells):
-        return {c: np.empty(0, np.int64) for c in ("a", "b", "shared", "size", "room")}
-    cells = cells[np.lexsort((cells["group"], cells["token"]))]
-    token, group = cells["token"], cells["group"]
-    at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1]))))
-    n, rest = cells["n"].astype(np.int64), cells["rest"].astype(np.int64)
-    token, group = token[at], group[at]
-    low, high, room = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(rest, at)
-    own, counted = np.maximum.reduceat(cells["indexed"], at) > 0, cells["counted"][at]
-    run = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-    here = np.flatnonzero(np.bincount(run)[run] > 1)
-    found, step = [], 1
-    while len(here):
-        here = here[here + step < len(token)]
-        here = here[run[here] == run[here + step]]
-        i, j = here, here + step
-        ok = (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j]) & ((counted[i] > 0) | own[i] | own[j])
-        i, j = i[ok], j[ok]
-        if len(i):
-            found.append(np.stack([group[i], group[j], counted[i].astype(np.int64), low[i] + low[j], np.minimum(room[i], room[j])], 1))
-            if sum(map(len, found)) > 2_000_000:
-                found = [_summed(np.concatenate(found))]
-        step += 1
-    out = _summed(np.concatenate(found)) if found else np.empty((0, 5), np.int64)
-    return {c: out[:, i] for i, c in enumerate(("a", "b", "shared", "size", "room"))}
-
-
-def _summed(rows: np.ndarray) -> np.ndarray:
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    at = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
-    return np.stack([rows[at, 0], rows[at, 1], np.add.reduceat(rows[:, 2], at), np.minimum.reduceat(rows[:, 3], at), np.maximum.reduceat(rows[:, 4], at)], 1)
-
-
-def candidate_pairs(cells: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs (a, b) of groups whose members' overlap may reach that of a link."""
-    percent = p.percent
-
-    def one(t: pa.Table) -> pa.Table:
-        joined = np.frombuffer(b"".join(x.as_py() for x in t.column("cells")), dtype=_CELL)
+    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    token, at = token[several], at[several]
+    # Places of groups by size, then number: of two groups the earlier one asks.
+    _, group_of = np.unique(np.rec.fromarrays([heads["members"], heads["group"]]), return_inverse=True)
+    _, tag_of = np.unique(heads["tag"], return_inverse=True)
+    ids, id_of = np.unique(heads["id"], return_inverse=True)
+    groups = np.empty(group_of.max(initial=-1) + 1, np.int64)
+    groups[group_of] = heads["group"]
+    node, group, tag = id_of[at], group_of[at], tag_of[at]
+    order = np.lexsort((node, tag, group, token))
+    token, node, group, tag = token[order], node[order], group[order], tag[order]
+    if not len(token):
+        return {c: np.empty(0, np.int64) for c in ("id", "group", "cells", "wide")}
+    change = lambda *columns: np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+    first = change(token, node, group, tag)
+    token, node, group, tag = token[first], node[first], group[first], tag[first]
+    cell_start = change(token, group)  # of the cells (token, group)
+    cell = np.cumsum(cell_start) - 1
+    label_start = change(token, group, tag)
+    labels = np.bincount(cell, weights=label_start).astype(np.int64)
+    cell_group, cell_token = group[cell_start], token[cell_start]
+    run_start = np.flatnonzero(change(cell_token))
+    run = np.repeat(np.arange(len(run_start)), np.diff(np.concatenate((run_start, [len(cell_token)]))))
+    cells_in = np.bincount(run)
+    run_end = np.cumsum(cells_in)
+    too_wide = cells_in[run[cell]] > wide
+    out = [np.stack([ids[u], np.full(len(u), -1), np.zeros(len(u), np.int64), c]) for u, c in [np.unique(node[too_wide], return_counts=True)]]
+    # A cell's own group counts if another label has the token there.
+    ask = np.flatnonzero(~too_wide)
+    reach, end, keys, counts, step, held = cell[ask], run_end[run[cell[ask]]], [], [], 0, 0
+    while len(ask):
+        hit = (labels[reach] > 1) if step == 0 else np.ones(len(ask), bool)
+        keys.append(node[ask[hit]].astype(np.int64) << 32 | cell_group[reach[hit]])
+        held += len(keys[-1])
+        if held > 4_000_000:
+            keys, counts, held = _merged(keys, counts)
+        step, reach = step + 1, reach + 1
+        more = reach < end
+        ask, reach, end = ask[more], reach[more], end[more]
+    keys, counts, _ = _merged(keys, counts)
+    if len(keys):
+        key = keys[0]
+        out.append(np.stack([ids[key >> 32], groups[key & 0xFFFFFFFF], counts[0], np.zeros(len(key), np.int64)]))
+    found = np.concatenate(out, axis=1)
+    return dict(zip(("id", "group", "cells", "wide"), found, strict=True))
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list, int]:
+    """Keys (the first already counted, if there are counts) as one list of distinct ones with counts."""
+    if not keys:
+        return [], [], 0
+    done = len(counts[0]) if counts else 0
+    every = np.concatenate(keys)
+    weight = np.concatenate([counts[0], np.ones(len(every) - done, np.int64)]) if counts else np.ones(len(every), np.int64)
+    order = np.argsort(every, kind="stable")
+    every, weight = every[order], weight[order]
+    if not len(every):
+        return [], [], 0
+    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return [every[at]], [np.add.reduceat(weight, at)], len(at)
+
+
+def _counting(wide: int) -> Callable[[pa.Table], pa.Table]:
+    def count(t: pa.Table) -> pa.Table:
+        heads, tokens, at = (b"".join(x.as_py() for x in t.column(c)) for c in ("heads", "tokens", "at"))
+        per = np.array([len(x.as_py()) // 4 for x in t.column("at")])
+        before = np.cumsum([0] + [len(x.as_py()) // _HEAD.itemsize for x in t.column("heads")])[:-1]
         del t
-        out = pa.table({k: pa.array(v, pa.int64()) for k, v in shared_cells(joined, percent).items()})
-        del joined
+        place = np.frombuffer(at, "<u4").astype(np.int64) + np.repeat(before, per)
+        out = pa.table({k: pa.array(v, pa.int64()) for k, v in matrix_counts(np.frombuffer(heads, _HEAD), np.frombuffer(tokens, "<u4"), place, wide).items()})
+        del heads, tokens, at, place
         trim()
         return out
 
-    pairs = cells.groupBy("bucket").applyInArrow(one, "a long, b long, shared long, size long, room long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("size").alias("size"), F.max("room").alias("room"))
-    return pairs.filter((F.col("shared") + F.col("room")) * (100 + p.percent) >= F.col("size") * p.percent).select("a", "b")
-
-
-def short(label: Column) -> Column:
-    """A group's number in the matrix.  Should two labels share one, a pair is merely tried more."""
-    return F.xxhash64(label)
-
-
-def links_between(pairs: DataFrame, members: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs (a, b) of group numbers and members (sig, rep, n, label) -> linked labels (a, b)."""
-    members = members.withColumn("group", short(F.col("label")))
-    active = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
-    members = materialize(members.join(active, "group"), "join-members")
-    sets = token_sets(docs, members.select("rep"), p)
-    members = materialize(sets.join(small(members, p.broadcast_rows), "sig"), "join-member-sets")
-    sizes = materialize(members.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count")), "join-group-sizes")
-    chunks = F.ceil(F.col("total") / p.chunk_tokens)
-    dealt = members.join(small(sizes.select("group", chunks.alias("chunks")), p.broadcast_rows), "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
-    dealt = materialize(dealt.select("group", "chunk", "sig", "label", "tokens"), "join-dealt")
-    unions = materialize(dealt.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
-    # The group with fewer members asks, the other one is asked.
-    counted = pairs.join(sizes.select(F.col("group").alias("a"), F.col("count").alias("na")), "a").join(sizes.select(F.col("group").alias("b"), F.col("count").alias("nb")), "b")
-    swap = F.col("na") > F.col("nb")
-    asking = counted.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("asks"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("group"))
-    queries = small(materialize(asking, "join-asking"), p.broadcast_rows).join(dealt.select(F.col("group").alias("asks"), F.col("label").alias("from"), F.col("tokens").alias("q")), "asks")
-    bound = F.lit(100) * F.size(F.array_intersect("q", "union")) >= F.lit(p.percent) * F.size("q")
-    opened = materialize(queries.join(unions, "group").filter(bound).select("from", "q", "group", "chunk"), "join-opened")
-    found = opened.join(dealt.select("group", "chunk", F.col("label").alias("to"), "tokens"), ["group", "chunk"]).filter(linked(F.col("q"), F.col("tokens"), p))
-    return found.filter(F.col("from") != F.col("to")).select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).distinct()
+    return count
+
+
+def open_groups(sets: DataFrame, partition: DataFrame, p: JoinParams) -> DataFrame:
+    """(id, group): the groups that each node must look into."""
+    found, taking, wide = [], partition, p.wide
+    fields = ["id", "tag", "group", "members"]
+    while True:
+        total = int(taking.agg(F.sum("n")).first()[0] or 0)
+        rows = sets.select("sig", "tokens").join(small(materialize(taking.select("sig", *fields), "join-taking"), p.broadcast_rows), "sig")
+
+        counted = matrix_rows(rows, max(1, -(-total // p.bucket_cells))).groupBy("bucket").applyInArrow(_counting(wide), "id long, group long, cells long, wide long")
+        counted = materialize(counted.groupBy("id", "group").agg(F.sum("cells").alias("cells"), F.sum("wide").alias("wide")), "join-cells")
+        left_out = materialize(counted.filter("group = -1").select("id", "wide"), "join-wide")
+        need = materialize(taking.select("id", least_shared(F.col("n"), p).alias("need")), "join-need")
+        reached = counted.filter("group <> -1").select("id", "group", "cells").join(small(left_out, p.broadcast_rows), "id", "left").join(small(need, p.broadcast_rows), "id")
+        found.append(materialize(reached.filter(F.col("cells") + F.coalesce("wide", F.lit(0)) >= F.col("need")).select("id", "group"), "join-open"))
+        rest = materialize(taking.join(small(left_out, p.broadcast_rows), "id").filter(F.col("wide") >= least_shared(F.col("n"), p)).select(partition.columns), "join-rest")
+        release(counted, left_out, need)
+        if rest.isEmpty():
+            break
+        taking, wide = rest, 4 * wide
+    out = materialize(reduce(DataFrame.unionByName, found).distinct(), "join-opened")
+    release(*found)
+    return out
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of token arrays as their sizes and one array of tokens."""
+    sizes = [chunk.value_lengths().to_numpy(zero_copy_only=False) for chunk in column.chunks]
+    tokens = [chunk.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for chunk in column.chunks]
+    return np.concatenate(sizes).astype(np.int64), np.concatenate(tokens)
+
+
+def group_links(sizes: np.ndarray, tokens: np.ndarray, tags: np.ndarray, asked: np.ndarray, asked_tokens: np.ndarray, asked_tags: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (question, member) of different labels that link; one for each two labels."""
+    order = np.argsort(tokens, kind="stable")
+    token, owner = tokens[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    ends, found, done = np.concatenate(([0], np.cumsum(asked))), [], set()
+    i = 0
+    while i < len(asked):
+        j, held = i, 0
+        spans = []
+        while j < len(asked) and (j == i or held < 4_000_000):
+            t = asked_tokens[ends[j] : ends[j + 1]]
+            lo, hi = np.searchsorted(token, t, "left"), np.searchsorted(token, t, "right")
+            spans.append((lo, hi - lo))
+            held += int((hi - lo).sum())
+            j += 1
+        lo, n = (np.concatenate(x) for x in zip(*spans, strict=True))
+        question = np.repeat(np.arange(i, j), asked[i:j])
+        place = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        pair, both = np.unique(np.repeat(question, n) * len(sizes) + owner[place], return_counts=True)
+        q, m = pair // max(len(sizes), 1), pair % max(len(sizes), 1)
+        ok = (100 * both >= percent * (asked[q] + sizes[m] - both)) & (asked_tags[q] != tags[m])
+        for a, b in zip(q[ok].tolist(), m[ok].tolist(), strict=True):
+            if (key := (asked_tags[a], tags[b])) not in done:
+                done.add(key)
+                found.append((a, b))
+        i = j
+    return found
+
+
+def links_between(opened: DataFrame, sets: DataFrame, partition: DataFrame, p: JoinParams) -> DataFrame:
+    """(id, group) of opened groups -> pairs (a, b) of labels that link."""
+    asking = opened.join(small(materialize(partition.select("id", "n"), "join-asking"), p.broadcast_rows), "id")
+    asked = asking.groupBy("group").agg(F.sum("n").alias("__asked"))
+    totals = partition.groupBy("group").agg(F.first("total").alias("total"))
+    cut = lambda c, most: F.ceil(F.col(c) / F.lit(most)).cast("long")
+    plan = materialize(asked.join(totals, "group").select("group", cut("total", p.chunk_tokens).alias("chunks"), cut("__asked", p.part_tokens).alias("parts")), "join-plan")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = partition.select("sig", "label", "tag", "group").join(small(plan, p.broadcast_rows), "group")
+    mine = materialize(mine.select("sig", "label", "tag", "group", F.pmod(F.xxhash64("sig"), F.col("chunks")).alias("chunk"), "parts"), "join-members")
+    members = sets.select("sig", "tokens").join(small(mine, p.broadcast_rows), "sig").select("group", "chunk", every("parts").alias("part"), "label", "tag", "tokens")
+    mine_too = materialize(
+        opened.join(small(plan, p.broadcast_rows), "group").select("id", "group", "chunks", F.pmod(F.xxhash64("id", "group"), F.col("parts")).alias("part")), "join-questions"
+    )
+    tagged = sets.select("id", "sig", "tokens").join(small(materialize(partition.select("sig", "label", "tag"), "join-tags"), p.broadcast_rows), "sig").drop("sig")
+    named = {c: F.col(c).alias(f"q_{c}") for c in ("group", "part", "label", "tag", "tokens")}
+    questions = tagged.join(small(mine_too, p.broadcast_rows), "id").select(*named.values(), every("chunks").alias("q_chunk"))
+    percent = p.percent
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"a": [], "b": []}
+        if left.num_rows and right.num_rows:
+            (sizes, tokens), (asked, words) = _flat(left.column("tokens")), _flat(right.column("q_tokens"))
+            names, askers = left.column("label").to_pylist(), right.column("q_label").to_pylist()
+            for q, m in group_links(sizes, tokens, left.column("tag").to_numpy(), asked, words, right.column("q_tag").to_numpy(), percent):
+                out["a"].append(askers[q])
+                out["b"].append(names[m])
+            del tokens, words
+            trim()
+        return pa.table(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    found = members.groupBy("group", "chunk", "part").cogroup(questions.groupBy("q_group", "q_chunk", "q_part")).applyInArrow(search, "a binary, b binary")
+    out = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-between")
+    release(plan, mine, mine_too)
+    return out
 
 
 def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -338,31 +517,29 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> Da
     """
     p = params
     docs = docs.select("doc_id", "text")
-    all_facts = materialize(facts(docs, p), "join-facts")
-    sized = all_facts.filter("kind = 0").select("doc_id", "n", "sig", "keys")
+    sized = materialize(facts(docs, p), "join-facts")
     usable = sized.filter("n > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "join-nodes")
-    grouped = materialize(similar_groups(nodes, docs, p), "join-grouped")
-    members = materialize(nodes.drop("keys").join(grouped, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "join-labels")
-
-    counts = all_facts.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("c"))
-    top = counts.orderBy(F.desc("c"), "token").limit(p.frequent).collect()
-    frequent = np.array([r[0] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-    total = int(nodes.agg(F.sum(F.col("n") * max(p.prefix, 1 - p.percent / 100) + 1)).first()[0] or 0)
-    buckets = max(1, -(-total // p.bucket_tokens))
-    # Written, so that no task runs two Python stages at once.
-    rows = materialize(prefixes(docs.filter("doc_id is not null"), frequent, p), "join-prefixes")
-    moved = materialize(grouped.filter("label <> sig"), "join-moved")
-    rows = rows.join(small(moved, p.broadcast_rows), "sig", "left").withColumn("group", short(F.coalesce("label", "sig")))
-    pairs = materialize(candidate_pairs(matrix_cells(rows, buckets), p), "join-candidates")
-
-    nontrivial = grouped.select(F.col("sig").alias("a"), F.col("label").alias("b"))
-    if not pairs.isEmpty():
-        between = materialize(links_between(pairs, members, docs, p), "join-between")
+    whole = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("id", "n", "sent", "counted"))), "join-nodes")
+    alive = materialize(linkable(docs, whole, p), "join-linkable")
+    nodes = materialize(whole.select("sig", "rep"), "join-reps")
+    release(whole)
+    if alive.isEmpty():
+        named = nodes.select("sig", F.col("rep").alias("component_id"))
+    else:
+        sets = token_sets(docs, alive, p)
+        labels = materialize(star_labels(sets, p), "join-labels")
+        partition = grouping(sets, labels, p)
+        opened = open_groups(sets, partition, p)
+        between = links_between(opened, sets, partition, p)
+        joined = labels
         if not between.isEmpty():
-            nontrivial = connected_components(nontrivial.unionByName(between)).select(F.col("node").alias("a"), F.col("label").alias("b"))
-    named = materialize(nodes.select("sig", "rep").join(nontrivial.select(F.col("a").alias("sig"), F.col("b").alias("label")), "sig", "left"), "join-named")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    component = materialize(named.join(materialize(least, "join-least"), "label", "left").select("sig", F.coalesce("least", "rep").alias("component_id")), "join-components")
+            joined = connected_components(labels.select(F.col("sig").alias("a"), F.col("label").alias("b")).unionByName(between)).select(F.col("node").alias("sig"), "label")
+        joined = nodes.join(small(materialize(joined, "join-joined"), p.broadcast_rows), "sig")
+        least = materialize(joined.groupBy("label").agg(F.min("rep").alias("component_id")), "join-least")
+        moved = materialize(joined.join(small(least, p.broadcast_rows), "label").select("sig", "component_id"), "join-moved")
+        release(sets, labels, partition, opened, between, least)
+        named = nodes.join(small(moved, p.broadcast_rows), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    component = materialize(named, "join-components")
+    release(alive, nodes)
     out = sized.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
     return out.join(component, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
