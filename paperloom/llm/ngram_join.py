@@ -42,7 +42,7 @@ class JoinParams:
     more than ``whole`` tokens send to be counted.  ``keys``: minimum hashes, of which ``equal`` must agree
     for two nodes to be tried as one label; the first ``meeting`` of them bring nodes together.
     ``group_nodes``: nodes in a group of the matrix; ``wide``: groups of a token that is left out of the first
-    round.  ``bucket_cells``, ``chunk_tokens``, ``part_tokens``: what one task holds of the matrix, of a group,
+    round, so a cell gives at most as many rows.  ``bucket_cells``, ``chunk_tokens``, ``part_tokens``: what one task holds of the matrix, of a group,
     and of the questions to it.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every
     task (32 MB); above that the planner shuffles.  None of these but ``percent`` changes the links."""
 
@@ -53,7 +53,7 @@ class JoinParams:
     meeting: int = 6
     equal: int = 7
     group_nodes: int = 64
-    wide: int = 64
+    wide: int = 12
     bucket_cells: int = 2_000_000
     chunk_tokens: int = 100_000
     part_tokens: int = 1_000_000
@@ -247,7 +247,7 @@ def linked(a: Column, b: Column, p: JoinParams) -> Column:
 def star_labels(sets: DataFrame, p: JoinParams) -> DataFrame:
     """(sig, label) of the nodes that link to a centre: of the nodes that share a minimum hash, the one whose
     own minimum hashes are the most common."""
-    nodes = materialize(sets.select("sig", "keys"), "join-keys")
+    nodes = materialize(sets.groupBy("sig").agg(F.first("keys").alias("keys")), "join-keys")
     keyed = nodes.select("sig", F.explode(F.slice("keys", 1, p.meeting)).alias("key"))
     common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-common-keys")
     shared = materialize(keyed.join(small(common, p.broadcast_rows), "key"), "join-shared-keys")
@@ -258,7 +258,7 @@ def star_labels(sets: DataFrame, p: JoinParams) -> DataFrame:
     tried = materialize(tried, "join-tried")
     tried_keys = tried.join(nodes, "sig").join(nodes.select(F.col("sig").alias("first"), F.col("keys").alias("first_keys")), "first")
     agree = F.size(F.filter(F.zip_with("keys", "first_keys", lambda x, y: x == y), lambda same: same))
-    pairs = materialize(tried_keys.filter(agree >= p.equal).select("sig", "first").distinct(), "join-pairs")
+    pairs = materialize(tried_keys.filter(agree >= p.equal).select("sig", "first"), "join-pairs")
     leads = materialize(pairs.select("first").distinct(), "join-leads")
     release(nodes, common, shared, weight, centre, tried)
     x = sets.select("sig", F.col("tokens").alias("x")).join(small(pairs, p.broadcast_rows), "sig")
