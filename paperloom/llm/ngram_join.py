@@ -543,3 +543,21 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams()) -> Da
     release(alive, nodes)
     out = sized.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
     return out.join(component, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, params: JoinParams = JoinParams(), kept_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near copies: of each component the row with the least
+    doc_id stays (null ids last, then by a hash of the row), and of equal rows one.  Rows with a null id take
+    part; texts without words are no copies of anything, but equal rows without words are.  Texts move only where
+    whole rows repeat.  ``kept_broadcast``: most 8-byte keys that are sent to every task; above that the
+    planner shuffles."""
+    key, check = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)
+    rows = materialize(docs.select(key.alias("__key"), F.col("doc_id").alias("__id")).groupBy("__key").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("__n")), "kept-rows")
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), params)
+    found = materialize(found.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "kept-components")
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key", "__n")).alias("first")
+    chosen = materialize(found.join(rows, "__key").groupBy("component_id").agg(first).select("first.__key", (F.col("first.__n") > 1).alias("__again")), "kept-keys")
+    release(rows, found)
+    kept = docs.withColumn("__key", key).join(small(chosen, kept_broadcast), "__key")
+    again = kept.filter("__again").withColumn("__check", check).dropDuplicates(["__key", "__check"])
+    return kept.filter("not __again").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -247,6 +247,17 @@ def test_join_odd(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " end"
+    rows = [(5, text, "en", "a"), (5, text, "en", "a"), (5, text, "en", "b"), (3, near, "en", "a"), (None, text, "en", "a"), (None, None, "en", "a"), (None, None, "en", "a")]
+    rows += [(8, "other words of its own here", "en", "a")] * 3 + [(5, "another text under an id that repeats", "en", "a"), (9, "", "en", "a"), (10, "", "en", "a")]
+    docs = frame(spark, rows)
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect())
+    assert got == collections.Counter([(3, near), (None, None), (8, rows[7][1]), (5, rows[10][1]), (9, ""), (10, "")])
+    assert ngram_join.one_of_each(docs).columns == docs.columns and ngram_join.one_of_each(empty(spark)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 201), (203, 201), (202, 203)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -291,6 +302,54 @@ def test_distance_is_mahalanobis(spark):
     assert math.isclose(got, float((z - m) @ np.linalg.inv(cov) @ (z - m)), rel_tol=1e-9)
 
 
+def plain_mcd(x, p, tries=120):
+    """The least regularised determinant over many random starts, concentrated in numpy."""
+    n, d = x.shape
+    h, rng, floors, best = -(-3 * n // 4), np.random.default_rng(1), np.diag(np.square(p.floors)), None
+    fitted = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True) * p.consistency + floors)
+    for _ in range(tries):
+        m, c = fitted(x[rng.choice(n, d + 1, replace=False)])
+        before = np.inf
+        while True:
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            m, c = fitted(x[d2 <= np.sort(d2)[h - 1]])
+            now = np.linalg.slogdet(c)[1]
+            if now >= before - 1e-9:
+                break
+            before = now
+        if best is None or now < best[0]:
+            best = (now, m, c)
+    return best
+
+
+def test_estimate_is_the_least_determinant(spark):
+    rng, p, groups = np.random.default_rng(8), quality_rules.RobustParams(), {}
+    for g in range(4):
+        a = rng.normal(size=(6, 6)) * 200
+        body = rng.normal(size=(700, 6)) @ a + rng.integers(0, 2000, 6)
+        far = rng.normal(size=(140, 6)) * 80 + rng.integers(3000, 6000, 6)
+        groups[str(g)] = np.floor(np.concatenate([body, far if g % 2 else body[:100]])).astype(np.int64)
+    groups["flat"] = np.concatenate([np.zeros((900, 6), np.int64), rng.integers(0, 3000, (200, 6))])
+    rows = spark.createDataFrame([(g, *map(int, r)) for g, x in groups.items() for r in x], "gid string, " + ", ".join(f"z{i} long" for i in range(6)))
+    got = {r.gid: r for r in quality_rules.minimum_determinant(rows.repartition(5), p, 6).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        logdet, mean, _ = plain_mcd(x.astype(float), p)
+        assert math.isclose(got[g].logdet, logdet, abs_tol=0.01)
+        assert np.allclose([got[g][f"m{i}"] for i in range(6)], mean, atol=40)
+    assert math.isclose(quality_rules.chi_squared_cutoff(0.001, 6), 22.458, abs_tol=1e-3)
+
+
+def test_few_documents_are_judged(spark):
+    rng = random.Random(6)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(k))
+    rows = [(i, text(80), "en", "big") for i in range(300)] + [(300 + i, " ".join(f"{w}$$$###" for w in text(60).split()), "en", "small") for i in range(12)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(frame(spark, rows)).filter("kept").collect()}
+    assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 312))
+    lone = frame(spark, [(1, text(40), None, "x"), (2, text(50), None, None)])
+    assert {r.doc_id for r in quality_rules.quality_rules(lone).filter("kept").collect()} == {1, 2}
+
+
 # ---- secrets -----------------------------------------------------------------------------------
 
 
