@@ -12,30 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, small
+from paperloom.llm.common import materialize, release
 from paperloom.llm.mixing import mixed_rows
-from paperloom.llm.ngram_join import jaccard_components
+from paperloom.llm.ngram_join import one_of_each
 from paperloom.llm.packing import pack_power_of_two
 from paperloom.llm.quality_rules import keep_good
 from paperloom.llm.secret_scan import redact_secrets
 
-#: Ids (eight bytes each) that are sent to every task at most; with more kept documents the planner shuffles.
-KEPT_BROADCAST = 2_000_000
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the row whose id names the component.
-
-    Rows that repeat an id stay once each, unless the rows are equal; rows with a null id stay.
-    """
-    found = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(small(materialize(found, "pipeline-kept"), KEPT_BROADCAST), "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each component, the one with the least id; of equal rows one."""
+    return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{i}")
+            release(before)
     return docs
