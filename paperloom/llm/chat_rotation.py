@@ -3,8 +3,9 @@
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant, the
 others as named users and system turns as they are; only the assistant's words are to be learned.
 
-A dialogue is rendered in parts of ``part_turns`` turn numbers, so that no row or task grows with the
-longest conversation.  Where repeated turn numbers overfill a part, it is split by turn and then by a hash.
+A dialogue is one row per participant up to ``part_turns`` turn numbers and ``overfull`` rows.  A longer one
+goes on in further parts, so that no row or task grows without bound; where repeated turn numbers alone
+overfill a part, it is split by turn and then by a hash.
 """
 
 from __future__ import annotations
@@ -33,18 +34,18 @@ def _head(role: Column, participant: Column) -> Column:
     )
 
 
-def rotate_perspectives(turns: DataFrame, part_turns: int = 32, overfull: int = 256) -> DataFrame:
+def rotate_perspectives(turns: DataFrame, part_turns: int = 4096, overfull: int = 16_384) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, participant, part, piece, n_turns, segments, text.
 
     One row per participant and part; ``segments``: turn, speaker, mask (whether to learn it), and start
     and end of the words with their end token in ``text`` (code points, end exclusive).  Turns go by
-    number, ties by role and text; a null turn comes first (part -1), a null text is empty, a null role
+    number, ties by role and text; a null turn comes first in part 0, a null text is empty, a null role
     speaks as "unknown" and, like "system", gets no perspective of its own.  A null conv_id is one
     conversation.  Conversations without participants yield nothing, as does an empty table; repeated
     rows are repeated turns; other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
+    rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / part_turns).cast("long"))
     sizes = materialize(rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > overfull), "chat-overfull")
     share = F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("rows") / F.lit(overfull)))
     within = F.coalesce(F.col("turn").cast("long"), F.lit(0)) * 1_000_000 + share + 1

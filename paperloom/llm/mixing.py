@@ -12,14 +12,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe, word_count
+from .common import materialize, null_safe, numbered, release, small, word_count
 
 HASH_BITS, LEVEL_BITS = 60, 10
+#: Most 24-byte keys of repeated rows that are sent to every task; above that the planner shuffles.
+REPEATED_BROADCAST = 1_000_000
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """60 bits of md5 over the id as text; null ids share one hash."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def _digest() -> Column:
+    """60 bits (as 15 hexadecimal digits) of md5 over id, source and text."""
+    part = lambda c: F.coalesce(c, F.lit("null"))
+    whole = F.concat_ws("|", part(F.col("doc_id").cast("string")), part(F.md5("source")), part(F.md5("text")))
+    return F.substring(F.md5(whole), 1, HASH_BITS // 4)
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """Adds ``__hash``, 60 bits for each row.
+
+    Rows of the same id, source and text are told apart by a number, whichever gets which.  Only those are
+    moved for it: they are numbered in parts, dealt by where they stand."""
+    docs = docs.withColumn("__digest", _digest())
+    repeated = docs.groupBy("__digest").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    repeated = materialize(repeated, "mix-repeated")
+    as_number = lambda digits: F.conv(digits, 16, 10).cast("long")
+    if repeated.isEmpty():
+        return docs.withColumn("__hash", as_number(F.col("__digest"))).drop("__digest")
+    marked = docs.join(small(repeated, REPEATED_BROADCAST), "__digest", "left")
+    alone = marked.filter("__rows is null").withColumn("__hash", as_number(F.col("__digest"))).drop("__digest", "__rows")
+    again = numbered(marked.filter("__rows is not null"), "__digest", "__number", F.monotonically_increasing_id(), 64, [F.lit(0)])
+    other = F.substring(F.md5(F.concat_ws(":", "__digest", F.col("__number").cast("string"))), 1, HASH_BITS // 4)
+    again = again.withColumn("__hash", as_number(F.when(F.col("__number") == 0, F.col("__digest")).otherwise(other))).drop("__digest", "__rows", "__number")
+    return alone.unionByName(again)
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -80,7 +103,8 @@ def source_plan(base: DataFrame, weights: tuple[int, ...], share: float, cap: fl
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-base")
+    hashed = with_hash(docs.select("doc_id", "source", "text"))
+    return materialize(hashed.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("__hash").alias("hash")), "mix-base")
 
 
 def _copies(hash_: Column, cap: float) -> Column:
@@ -92,7 +116,7 @@ def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 
     A document is taken ``floor(target / source_size)`` times, and once more if its hash is at or under
     its source's threshold.  Null texts have size 0, a null source is a source of its own (last in
-    order), rows with the same id are taken alike, an empty table gives an empty result, and columns
+    order), rows that repeat an id or a whole document are taken one by one, an empty table gives an empty result, and columns
     besides doc_id, text and source are ignored.
     """
     base = _base(docs)
@@ -105,9 +129,12 @@ def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as the mix takes it.
 
-    Texts do not move: a row's copies follow from its id and its source's row in the plan.
+    Texts do not move but for rows that repeat a document: a row's copies follow from its hash and its
+    source's row in the plan.
     """
-    plan = source_plan(_base(docs), weights, share, cap).select("source", "whole", "threshold")
+    base = _base(docs)
+    plan = source_plan(base, weights, share, cap).select("source", "whole", "threshold")
+    release(base)
     renamed = plan.withColumnsRenamed({"whole": "__whole", "threshold": "__threshold"})
-    copies = F.least(F.col("__whole") + (doc_hash(F.col("doc_id")) <= F.col("__threshold")).cast("int"), F.lit(int(cap)))
-    return null_safe(docs, renamed, ["source"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    copies = F.least(F.col("__whole") + (F.col("__hash") <= F.col("__threshold")).cast("int"), F.lit(int(cap)))
+    return null_safe(with_hash(docs), renamed, ["source"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

@@ -1,24 +1,26 @@
 """Packing by power-of-two decomposition.
 
 Each document's token ids (with the end token) are cut into pieces whose lengths are the binary digits of
-its length, the longest being the sequence length.  A piece is a sequence: no sequence crosses documents,
-none is padded, and the pieces of one bucket (equal lengths) batch together as they are.
+its length, the longest being the sequence length.  A piece is a sequence: no sequence crosses documents and
+none is padded.  Pieces of equal lengths are gathered in a bucket, and a bucket with ``batch_tokens`` is a
+batch: a block of equal lengths, with sequence ids in a row.  Every task has buckets of its own, so no ids
+are shuffled; a task leaves at most one short batch per length.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-#: Bytes of token ids in one batch that goes back to the JVM.
-BATCH_BYTES = 4 << 20
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, batch long"
 
 _encoders: dict = {}
 
@@ -70,22 +72,23 @@ def binary_pieces(total: int, longest: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], number: int) -> pa.RecordBatch:
     doc, start, length, tokens, ids = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())],
-        names=["doc_id", "start", "length", "doc_tokens", "ids"],
+        [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array([number] * len(rows), pa.int64())],
+        names=["doc_id", "start", "length", "doc_tokens", "ids", "batch"],
     )
 
 
-def pack_power_of_two(docs: DataFrame, sequence_length: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, sequence_length: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, batch_tokens: int = 1 << 16) -> DataFrame:
     """documents -> one row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned
-    32-bit), bucket (log2 of the length), sequence_id, offset.
+    32-bit), batch, bucket (log2 of the length), sequence_id, offset.
 
     A null text is empty and so packs as the end token alone; rows are packed one by one, equal ones
     included; an empty table gives an empty result; columns besides doc_id and text are ignored.
-    ``sequence_length`` must be a power of two.  Sequence ids follow the partitions of the input and are
-    unique, not gapless.
+    ``sequence_length`` must be a power of two.  Batch and sequence ids follow the partitions of the input and
+    are unique, not gapless; the pieces of a batch have sequence ids in a row.  A very long document is
+    held once, its pieces a batch at a time.
     """
     if sequence_length < 1 or sequence_length & (sequence_length - 1):
         raise ValueError("sequence_length must be a power of two")
@@ -93,19 +96,20 @@ def pack_power_of_two(docs: DataFrame, sequence_length: int = 2048, vocabulary:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
+        buckets: dict[int, list[tuple]] = {}
+        context = TaskContext.get()
+        numbers = itertools.count((context.partitionId() if context else 0) << 33)
         for batch in batches:
-            rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([encode(text.as_py() or ""), end])
                 data = ids.tobytes()
                 for start, length in binary_pieces(len(ids), sequence_length):
-                    rows.append((doc_id, start, length, len(ids), data[4 * start : 4 * (start + length)]))
-                    held += 4 * length
-                    if held >= BATCH_BYTES:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+                    bucket = buckets.setdefault(length, [])
+                    bucket.append((doc_id, start, length, len(ids), data[4 * start : 4 * (start + length)]))
+                    if len(bucket) * length >= batch_tokens:
+                        yield _batch(buckets.pop(length), next(numbers))
+        for length in sorted(buckets):
+            yield _batch(buckets[length], next(numbers))
 
     out = docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
     return out.withColumn("bucket", F.log2("length").cast("int")).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

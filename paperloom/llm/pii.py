@@ -15,12 +15,13 @@ import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe
+from .common import materialize, null_safe, release
 
 # Patterns by kind, in the order in which they claim text, and honorifics by gender.
 EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
@@ -221,7 +222,7 @@ def replaced(text: str, attempts: dict, key: bytes, rounds: int = 40) -> tuple[s
     out, at, counts = [], 0, dict.fromkeys(KINDS, 0)
     for m in mentions(text):
         counts[m.kind] += 1
-        attempt = attempts.get((m.kind, m.canonical), 0)
+        attempt = attempts.get(_hidden(key, m.kind, m.canonical), 0) if attempts else 0
         new = surrogate(m.kind, m.canonical, attempt, key, extra_length(attempt, rounds))
         out += [text[at : m.start], rendered(text[m.start : m.end], new)]
         at = m.end
@@ -251,52 +252,65 @@ def _drawn(entities: DataFrame, key: bytes, rounds: int) -> DataFrame:
     return entities.select("kind", "entity", "attempt").mapInArrow(scan, "kind string, entity string, attempt int, surrogate string")
 
 
-def resolved(entities: DataFrame, key: bytes, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (kind, entity) -> the accepted (kind, entity, attempt, surrogate), and those left over (none).
+def resolved(entities: DataFrame, key: bytes, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """Distinct (kind, entity) -> the accepted (kind, entity, attempt, surrogate) by round, and those left
+    over (none).
 
     In a round, a surrogate is accepted if it is no entity of its kind, was not accepted before, and its
     entity is the least of those that drew it.  After ``rounds`` the shapes of what is pending are used up,
     or nearly so: surrogates grow by a character a round, until every entity has its own.
     """
     real = entities.select("kind", F.col("entity").alias("surrogate"))
-    pending, accepted = entities.withColumn("attempt", F.lit(0)), None
+    pending, accepted = entities.withColumn("attempt", F.lit(0)), []
     for attempt in itertools.count():
         drawn = materialize(_drawn(pending, key, rounds), "pii-drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         free = first.join(real, ["kind", "surrogate"], "left_anti")
-        if accepted is not None:
-            free = free.join(accepted.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        if accepted:
+            free = free.join(reduce(DataFrame.unionByName, accepted).select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = materialize(free.select("kind", "entity", F.lit(attempt).alias("attempt"), "surrogate"), "pii-won")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        pending = materialize(drawn.select("kind", "entity").join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt + 1)), "pii-pending")
+        accepted.append(won)
+        before, pending = pending, materialize(drawn.select("kind", "entity").join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt + 1)), "pii-pending")
+        release(drawn, before)
         if pending.isEmpty():
             break
     return accepted, pending
 
 
-def surrogate_pii(docs: DataFrame, key: str = "paperloom", rounds: int = 40) -> DataFrame:
+def _hidden(key: bytes, kind: str, entity: str) -> str:
+    """What stands for an entity in a table: its keyed digest."""
+    return hashlib.sha256(key.hex().encode() + f"{kind}\0{entity}".encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def surrogate_pii(docs: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """documents -> doc_id, text (with surrogates; null stays null), n_<kind>..., n_replaced.
 
     One row per input row, whose other columns are ignored; an empty table gives an empty result.  Texts
     without entities are unchanged.  Entities of a kind and shape with so few values that no free one was
-    found in ``rounds`` draws (such as every one-digit address) get a longer surrogate.
+    found in ``rounds`` draws (such as every one-digit address) get a longer surrogate.  Tables with entities
+    in clear are deleted before the result is returned; what stays holds keyed digests.  Very long texts are
+    held one at a time.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(entities_of(base), "pii-found")
     entities = materialize(found.select("kind", "entity").distinct(), "pii-entities")
     accepted, pending = resolved(entities, secret, rounds)
-    redrawn = materialize(accepted.filter("attempt > 0").select("kind", "entity", "attempt").unionByName(pending.select("kind", "entity", "attempt")), "pii-redrawn")
+    again = reduce(DataFrame.unionByName, accepted).filter("attempt > 0")
+    redrawn = materialize(again.select("kind", "entity", "attempt").unionByName(pending.select("kind", "entity", "attempt")), "pii-redrawn")
     # Bounded by the document's own entities; a table of known size, so the planner may broadcast it.
-    own = found.join(redrawn, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("redrawn"))
-    with_own = null_safe(base, materialize(own, "pii-own"), ["doc_id"], "left").select("doc_id", "text", "redrawn")
+    digest = F.sha2(F.concat(F.lit(secret.hex()), F.concat_ws("\0", "kind", "entity")), 256)
+    own = found.join(redrawn, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(F.struct(digest.alias("digest"), "attempt")).alias("redrawn"))
+    own = materialize(own, "pii-own")
+    release(found, entities, redrawn, *accepted, pending)
+    with_own = null_safe(base, own, ["doc_id"], "left").select("doc_id", "text", "redrawn")
     counts = ", ".join(f"n_{k} int" for k in KINDS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, tallies = [], []
             for t, r in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                attempts = {(x["kind"], x["entity"]): x["attempt"] for x in r or []}
+                attempts = {x["digest"]: x["attempt"] for x in r or []}
                 text, tally = replaced(t.as_py() or "", attempts, secret, rounds)
                 texts.append(text if t.is_valid else None)
                 tallies.append(tally)
@@ -308,7 +322,7 @@ def surrogate_pii(docs: DataFrame, key: str = "paperloom", rounds: int = 40) ->
     return out.withColumn("n_replaced", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)))
 
 
-def collisions(docs: DataFrame, key: str = "paperloom", rounds: int = 40) -> DataFrame:
+def collisions(docs: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """(kind, entity) of the entities without a surrogate of their own; there are none."""
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     entities = materialize(entities_of(docs).select("kind", "entity").distinct(), "pii-entities")

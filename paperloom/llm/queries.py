@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,15 @@ from .sharding import shard_documents
 from .topk_nra import top_k
 
 
+#: The setting that holds the key of the surrogates.
+PII_KEY = "spark.paperloom.pii.key"
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_pii(table(spark, sf_dir, "documents"))
+    """Surrogates agree between runs with the same key; without one, a session draws its own."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return surrogate_pii(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY))
 
 
 def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +52,7 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_power_of_two(table(spark, sf_dir, "documents"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch")
 
 
 def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,17 +99,17 @@ def oracle_sql() -> dict[str, str]:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
-SELECT * FROM r WHERE rank <= 5
+  SELECT q.row AS asked, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(floor(turn / 32), -1)::BIGINT AS part FROM conversations),
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, floor(coalesce(turn, 0) / 4096)::BIGINT AS part FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role <> 'system'),
 g AS (
   SELECT p.participant, t.*, coalesce(t.role = p.participant, false) AS mask,
@@ -116,10 +125,12 @@ FROM o GROUP BY conv_id, participant, part
 """
 
 OP7_SQL = r"""
-WITH b AS (
+WITH i AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(source), 'null') || '|' || coalesce(md5(text), 'null')), 1, 15) AS x
   FROM documents),
+j AS (SELECT *, row_number() OVER (PARTITION BY x) - 1 AS n FROM i),
+b AS (SELECT doc_id, source, size, ('0x' || CASE WHEN n = 0 THEN x ELSE substr(md5(x || ':' || n), 1, 15) END)::BIGINT AS h FROM j),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, source_size * 2.0::DOUBLE AS lim FROM t),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -112,21 +112,24 @@ def block_top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: list[np.ndar
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: each query's k best other rows.
 
-    A row is its id and vector: exact repeats count once, and a query is no candidate of its own.  Vectors
-    of different lengths are filled up with zeros.  With fewer than k candidates all are returned; an
+    Every row but the query's own is a candidate, exact repeats of the query included; a repeated query is
+    answered once per row.  Of a row that repeats, no more than k + 1 copies can matter, and these are
+    kept.  Vectors of different lengths are filled up with zeros.  With fewer than k candidates all are returned; an
     empty table, or one without queries, gives an empty result.  Other columns are ignored.
     """
-    rows = materialize(quantized(vectors.select("vec_id", "embedding"), scale).distinct(), "nra-vectors")
+    rows = quantized(vectors.select("vec_id", "embedding"), scale).groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows, "nra-vectors")
     queries = rows.filter(is_query)
     n, asked = rows.count(), queries.count()
     blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
     block, part = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)), F.pmod(F.xxhash64("vec", "vec_id"), F.lit(parts))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    candidates = rows.select("vec_id", "vec", block.alias("block"), every(parts).alias("part"))
-    asking = queries.select("vec_id", "vec", every(blocks).alias("block"), part.alias("part"))
+    copied = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k + 1)))))
+    candidates = copied.select("vec_id", "vec", block.alias("block"), every(parts).alias("part"))
+    asking = queries.select("vec_id", "vec", every(blocks).alias("block"), part.alias("part"), "copies")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {"query_id": [], "query": [], "vec_id": [], "score": []}
+        out: dict = {"query_id": [], "query": [], "copies": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             cand, ask = left.column("vec").to_pylist(), right.column("vec").to_pylist()
             ids, qids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
@@ -134,15 +137,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             place: dict = {}
             for i, key in enumerate(zip(ids.tolist(), cand, strict=True)):
                 place.setdefault(key, []).append(i)
-            own = [np.array(place.get(key, []), int) for key in zip(qids.tolist(), ask, strict=True)]
+            times = right.column("copies").to_pylist()
+            own = [np.array(place.get(key, [])[:1], int) for key in zip(qids.tolist(), ask, strict=True)]
             for i, (r, s) in enumerate(block_top_k(unpack(cand, width), ids, unpack(ask, width), own, k)):
                 out["query_id"] += [qids[i]] * len(r)
                 out["query"] += [ask[i]] * len(r)
+                out["copies"] += [times[i]] * len(r)
                 out["vec_id"] += ids[r].tolist()
                 out["score"] += s.tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("query", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("query", pa.binary()), ("copies", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    found = candidates.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(search, "query_id long, query binary, vec_id long, score long")
+    found = candidates.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(search, "query_id long, query binary, copies long, vec_id long, score long")
     w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    answers = ranked.withColumn("answer", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return answers.select("query_id", "rank", "vec_id", "score")

@@ -19,6 +19,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sh
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))
 
+KEY = "a key for tests"
+
 
 def frame(spark, rows):
     """documents with extra columns whose names clash with those the operators use."""
@@ -71,6 +73,19 @@ def test_mix_comes_near_targets(spark):
     assert sorted(rows) == sorted(mixing.mix_to_weights(docs.repartition(7)).collect())
 
 
+def test_mix_tells_repeated_rows_apart(spark):
+    rows = [(None, "w " * 3, "en", "a")] * 300 + [(None, f"n{i} w", "en", "a") for i in range(300)] + [(7, "x y", "en", "b")] * 200
+    for docs in (frame(spark, rows), frame(spark, rows).repartition(5)):
+        by = collections.defaultdict(lambda: [0, 0.0])
+        for r in mixing.mix_to_weights(docs).collect():
+            assert r.taken in (0, r.size, 2 * r.size)
+            by[r.source][0] += r.taken
+            by[r.source][1] = r.target
+        assert all(abs(t - target) <= 4 for t, target in by.values())
+        assert mixing.mixed_rows(docs).count() == sum(r.copies for r in mixing.mix_to_weights(docs).collect())
+        assert mixing.mixed_rows(docs).columns == docs.columns
+
+
 def test_mix_odd(spark):
     rows = mixing.mix_to_weights(odd(spark)).collect()
     assert len(rows) == 11 and all(r.taken <= 2 * r.size for r in rows)
@@ -147,6 +162,10 @@ def test_packing_round_trip(spark):
     docs = odd(spark).unionByName(frame(spark, [(90, "a <|endoftext|> b", "en", "a"), (91, "Ünïcode 1234 'll  \n\n x", "en", "a")]))
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     rows = packing.pack_power_of_two(docs).collect()
+    of = collections.defaultdict(list)
+    for r in rows:
+        of[r.batch].append(r)
+    assert all(len({r.length for r in b}) == 1 and max(r.sequence_id for r in b) - min(r.sequence_id for r in b) == len(b) - 1 for b in of.values())
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.bucket == math.log2(r.length) for r in rows)
     want = collections.Counter()
     for i, text in texts:
@@ -161,12 +180,12 @@ def test_packing_round_trip(spark):
 
 
 def brute_top_k(vectors, k):
-    ok = sorted({(i, tuple(math.floor(256 * x) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
-    out = set()
-    for i, q in ok:
+    ok = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = collections.Counter()
+    for n, (i, q) in enumerate(ok):
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if (j, v) != (i, q))
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])}
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(ok) if m != n)
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k]))
     return out
 
 
@@ -175,8 +194,11 @@ def test_top_k(spark):
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(400)]
     vectors += [(i, [0.25] * 8) for i in range(400, 460)] + [(50, vectors[50][1])]
     vectors += [(900, None), (950, [None] * 8), (1000, [float("nan")] * 8), (None, [0.1] * 8)]
-    got = topk_nra.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
-    assert {tuple(r) for r in got.collect()} == brute_top_k(vectors, 5)
+    vectors += [vectors[100]] * 3 + [vectors[7]] * 9
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    for df in (table, table.withColumns({c: F.lit(3) for c in ("vec", "block", "part", "copies", "copy", "score", "rank", "query")})):
+        got = topk_nra.top_k(df, F.col("vec_id") % 50 == 0)
+        assert collections.Counter(tuple(r) for r in got.collect()) == brute_top_k(vectors, 5)
 
 
 def test_top_k_few_and_empty(spark):
@@ -198,6 +220,20 @@ def test_bounds_stop_early_and_stay_exact():
         assert rows.tolist() == want and scores.tolist() == [int(x[j] @ q[i]) for j in want]
 
 
+def test_ids_are_those_of_the_tokenizer(spark):
+    """Every id of a whole table, and of texts of mixed scripts, against the library itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    rng = random.Random(4)
+    alphabet = "aZ9 \n\t'é漢字ßЖ🙂\u200d\u0301_-.,<|>" + "".join(map(chr, range(0x20, 0x500, 7)))
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    encode = packing.encoder("byte_bpe_50k.json")
+    assert all(encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 # ---- n-gram join -------------------------------------------------------------------------------
 
 
@@ -422,7 +458,7 @@ def test_convolution_is_a_sum_over_positions():
 def test_surrogates(spark):
     text = "Mr. John Smith met Mrs. Anna Smith; MR SMITH's +1 (017) 555-7713 is +10175557713, a.B9@Mail7.example.com, 1.23.200.5, 9807915762804490, 4111 1111 1111 1111, 123-45-6789. Госпожа Петрова"
     docs = odd(spark).unionByName(frame(spark, [(50, text, "en", "a"), (51, "call +1-017-555-7713 or a.b9@mail7.example.com", "en", "a"), (52, "nothing private 12 here", "en", "a")]))
-    rows = {r.doc_id: r for r in pii.surrogate_pii(docs).collect()}
+    rows = {r.doc_id: r for r in pii.surrogate_pii(docs, KEY).collect()}
     out = rows[50].text
     before, after = pii.mentions(text), pii.mentions(out)
     assert [(m.kind, len(m.canonical)) for m in before] == [(m.kind, len(m.canonical)) for m in after]
@@ -433,16 +469,16 @@ def test_surrogates(spark):
     again = {(m.kind, m.canonical) for m in pii.mentions(rows[51].text)}
     assert again == {("phone", pairs["phone", "10175557713"]), ("email", pairs["email", "a.b9@mail7.example.com"])}
     assert rows[52].text == "nothing private 12 here" and rows[52].n_replaced == 0 and rows[1].text is None and rows[5].text == LONG
-    assert pii.surrogate_pii(empty(spark)).count() == 0
+    assert pii.surrogate_pii(empty(spark), KEY).count() == 0
     assert pii.surrogate_pii(docs, key="other").filter("doc_id = 50").first().text != out
 
 
 def test_collisions_are_drawn_again(spark):
     ips = [f"{a}.{b}.1.1" for a in range(8) for b in range(6)]
     docs = frame(spark, [(i, f"host {x} up", "en", "a") for i, x in enumerate(ips)])
-    new = [r.text.split()[1] for r in pii.surrogate_pii(docs).collect()]
+    new = [r.text.split()[1] for r in pii.surrogate_pii(docs, KEY).collect()]
     assert len(set(new)) == len(ips) and not set(new) & set(ips)
-    assert pii.collisions(docs).count() == 0
+    assert pii.collisions(docs, KEY).count() == 0
 
 
 # ---- chat --------------------------------------------------------------------------------------
@@ -462,7 +498,7 @@ def test_rotation(spark):
 
 def test_long_dialogues_come_in_parts(spark):
     t = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    rows = chat_rotation.rotate_perspectives(t).filter("participant = 'a'").orderBy("part").collect()
+    rows = chat_rotation.rotate_perspectives(t, part_turns=32).filter("participant = 'a'").orderBy("part").collect()
     assert len(rows) == 32 and "".join(r.text for r in rows).count("<|im_start|>") == 1000
     crowded = chat_rotation.rotate_perspectives(t.withColumn("turn", F.lit(3)), overfull=100).filter("participant = 'a'").collect()
     assert sum(r.n_turns for r in crowded) == 1000 and max(r.n_turns for r in crowded) < 300

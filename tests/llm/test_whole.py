@@ -5,6 +5,8 @@ import string
 
 from paperloom.llm import pii, quality_rules, secret_scan
 
+KEY = "a key for tests"
+
 
 def test_secrets_of_several_parts():
     rng = random.Random(8)
@@ -20,6 +22,20 @@ def test_secrets_of_several_parts():
     assert found("our key " + parts[0] + " and then " + parts[1]) == parts[:1]
 
 
+def test_identifiers_of_the_corpus_prime_the_measure(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)) + "a7"
+    docs = [f"the field zq_wrapped_fluxome{i % 3} and qvKonduitMapper{i % 2} in use, also {key}" for i in range(40)]
+    docs += ["only here_once and plain words"]
+    known = secret_scan.identifiers(texts(spark, docs))
+    assert "qvKonduitMapper1" not in known and "zq_wrapped_fluxome" not in known  # long ones with digits might be keys
+    names = secret_scan.identifiers(texts(spark, ["see zq_wrapped_fluxome, qvKonduit7 and qvKonduit7x"] * 3 + ["here_once", "qvKonduit7"]))
+    assert names.split()[-1] == "qvKonduit7" and set(names.split()) == {"zq_wrapped_fluxome", "qvKonduit7", "qvKonduit7x"}
+    candidate = "zqWrappedFluxome7qvKonduit7x"
+    assert secret_scan.novelty(candidate, "", "zqWrappedFluxome7 qvKonduit7x ") < 0.6 < secret_scan.novelty(candidate, "")
+    assert key not in known and secret_scan.identifiers(texts(spark, ["x", None])) == ""
+
+
 def test_what_base_spans_leave_is_measured():
     whole = "Zx81kQp0aLmW92vT" + "0123456789abcdef01234567" + "QpLmZ7"
     text = f"the bearer {whole} is set"
@@ -41,7 +57,7 @@ def texts(spark, found):
 def test_surrogates_stay_distinct_where_their_shape_is_used_up(spark):
     """26 surnames of one letter; none of their 13 surrogates of one letter is free."""
     docs = texts(spark, [f"Mr {c} came" for c in string.ascii_uppercase] + [f"Mrs B{c} Stone came" for c in "aeiou"])
-    rows = pii.surrogate_pii(docs, rounds=3).collect()
+    rows = pii.surrogate_pii(docs, KEY, rounds=3).collect()
     names = [r.text.split()[1] for r in rows if r.doc_id < 26]
     assert len(set(names)) == 26 and not {n.lower() for n in names} & set(string.ascii_lowercase)
     assert all(n[0].isupper() for n in names)
