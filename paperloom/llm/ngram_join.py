@@ -54,7 +54,7 @@ class JoinParams:
     equal: int = 7
     group_nodes: int = 64
     wide: int = 12
-    bucket_cells: int = 2_000_000
+    bucket_cells: int = 600_000
     chunk_tokens: int = 100_000
     part_tokens: int = 1_000_000
     broadcast_rows: int = 1_000_000
@@ -146,7 +146,7 @@ def sent_cells(docs: DataFrame, p: JoinParams, buckets: int) -> DataFrame:
                         held.append(part.copy())
                         ids.append(number | mark)
                         size += len(part)
-                if size >= 500_000:
+                if size >= 250_000:
                     yield flush(held, ids)
                     held, ids, size = [], [], 0
             if size:
@@ -224,7 +224,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
                 seen.add(sig)
                 found.append(s)
                 held += len(s)
-                if held >= 500_000:
+                if held >= 250_000:
                     yield batch(found)
                     found, held = [], 0
             if found:
@@ -317,7 +317,7 @@ def matrix_rows(sets: DataFrame, buckets: int) -> DataFrame:
                 held.append(t.copy())
                 heads.append(head)
                 size += len(t)
-                if size >= 1_000_000:
+                if size >= 250_000:
                     yield flush(held, heads)
                     held, heads, size = [], [], 0
         if size:
@@ -366,7 +366,7 @@ def matrix_counts(heads: np.ndarray, token: np.ndarray, at: np.ndarray, wide: in
         hit = (labels[reach] > 1) if step == 0 else np.ones(len(ask), bool)
         keys.append(node[ask[hit]].astype(np.int64) << 32 | cell_group[reach[hit]])
         held += len(keys[-1])
-        if held > 4_000_000:
+        if held > 1_000_000:
             keys, counts, held = _merged(keys, counts)
         step, reach = step + 1, reach + 1
         more = reach < end
@@ -449,7 +449,7 @@ def group_links(sizes: np.ndarray, tokens: np.ndarray, tags: np.ndarray, asked:
     while i < len(asked):
         j, held = i, 0
         spans = []
-        while j < len(asked) and (j == i or held < 4_000_000):
+        while j < len(asked) and (j == i or held < 1_000_000):
             t = asked_tokens[ends[j] : ends[j + 1]]
             lo, hi = np.searchsorted(token, t, "left"), np.searchsorted(token, t, "right")
             spans.append((lo, hi - lo))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import context_keywords
+from ..functions.windows import contexts_of
 
 # Month names and the patterns of dates, labels, control numbers and routing slips.
 MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -28,7 +29,7 @@ ISO_DAY = r"\b(\d{4})[-/](\d{2})[-/](\d{2})\b"
 CORRUPTED = r"\b[A-Z]?(\d{2,4})[-/](\d{2})[-/](\d{2})\b"
 YEAR_FLOOR, ROUTING_FLOOR = 1950, 2017
 ROUTING_CONFIDENCE, FALLBACK_MOST, REVIEW_GAP, STOP_SCORE = 95, 70, 20, 85
-_MONTH_KEYS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_KEYS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def ymd(y: Column, m: Column, d: Column) -> Column:
@@ -50,7 +51,7 @@ def parsed_date(text: Column, as_of: Column, floor: int = YEAR_FLOOR) -> Column:
     year = F.when(c < 100, c + F.when(c < 69, 2000).otherwise(1900)).otherwise(c)
     numeric = F.when(a <= 12, ymd(year, a, b)).otherwise(ymd(year, b, a))
     name = F.lower(F.substring(F.regexp_extract(text, f"(?i)({MONTHS})", 1), 1, 3))
-    month = F.when(name != "", (F.floor((F.instr(F.lit(_MONTH_KEYS), name) - 1) / 3) + 1).cast("int"))
+    month = F.when(name != "", F.array_position(F.array(*map(F.lit, MONTH_KEYS)), name).cast("int"))
     day, yr = _int(F.regexp_extract(text, r"\b(\d{1,2})\b", 1)), _int(F.regexp_extract(text, r"\b(\d{4})\b", 1))
     return in_range(F.coalesce(numeric, ymd(yr, month, day)), as_of, floor)
 
@@ -64,19 +65,12 @@ def ambiguous(text: Column) -> Column:
 def date_candidates(pages: DataFrame, as_of: Column) -> DataFrame:
     """doc_id, page_idx, ord, matched, date, keywords, ambiguous: dates with 100 characters around them.
 
-    A pattern's matches come with what follows them by a lookahead; what precedes is rebuilt from the
-    pieces between matches, since expressions do not tell where a match stands.
+    White space is one space each; contexts of neighbouring dates overlap, as they do on the page.
     """
     text = F.regexp_replace(F.trim("page_text"), r"\s+", " ")
-    pieces = lambda p: F.split(F.col("t"), f"(?i){p}")
-    one = lambda i, p: F.transform(
-        F.regexp_extract_all(F.col("t"), F.lit(f"(?i)({p})"), F.lit(1)),
-        lambda m, j: F.struct(
-            (F.lit(i * 10**6) + j).alias("ord"), m.alias("matched"), F.lit(i < 2).alias("numeric"),
-            F.concat(F.right(F.array_join(F.slice(pieces(p), F.lit(1), j + 1), " "), F.lit(100)), m, F.substring(F.array_join(F.slice(pieces(p), j + 2, F.size(pieces(p))), " "), 1, 100)).alias("context"),
-        ),
-    )
-    found = pages.select("doc_id", "page_idx", text.alias("t")).select("doc_id", "page_idx", F.explode(F.concat(*(one(i, p) for i, p in enumerate(PATTERNS)))).alias("c"))
+    c = F.col("x")
+    one = lambda x: F.struct((x["kind"] * 10**6 + x["nth"]).alias("ord"), x["matched"].alias("matched"), (x["kind"] < 2).alias("numeric"), x["context"].alias("context"))
+    found = pages.select("doc_id", "page_idx", F.explode(contexts_of(text, PATTERNS, 100)).alias("x")).select("doc_id", "page_idx", one(c).alias("c"))
     rows = found.select("doc_id", "page_idx", "c.ord", "c.matched", parsed_date(F.col("c.matched"), as_of).alias("date"), context_keywords(F.col("c.context")).alias("keywords"), (F.col("c.numeric") & ambiguous(F.col("c.matched"))).alias("ambiguous"))
     return rows.filter("date is not null")
 

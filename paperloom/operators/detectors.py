@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.windows import windows_of
 from .layout import runs
 
 # Caption words, the subject line, noise that opens no company name, officers' titles.
@@ -88,20 +89,22 @@ def header_corroborated(text: Column) -> Column:
     return F.when((F.size(between) <= 15) & (F.size(kept) >= 2), _named(X.without_edge_marks(F.array_join(kept, " ")), strong_only=True))
 
 
+def _normal_windows(windows: Column) -> Column:
+    """Windows of four characters or more without marks, in normal form."""
+    bare = F.transform(windows, lambda w: F.trim(F.regexp_replace(F.regexp_replace(w, r"[.,:;\-|/]+", " "), r"\s+", " ")))
+    return F.transform(F.filter(bare, lambda w: F.length(w) >= 4), X.company_form)
+
+
 def caption_keywords(text: Column) -> Column:
-    """The first keyword before "Respondent" with up to four words before and three after it."""
-    span = _before(text, RESPONDENT)
-    around = rf"(?i)((?:\S+\s+){{0,4}}\S*\b(?:{X.STRONG}|{X.WEAK})\b\S*(?:\s+\S+){{0,3}})"
-    found = F.when(span.rlike(X.ANY_KEYWORD_RE), F.regexp_extract(span, around, 1))
-    kept = F.filter(_words(found), lambda w: ~F.lower(w).isin(*WINDOW_STOP))
-    return F.nullif(X.company_form(F.regexp_replace(F.array_join(kept, " "), r"[.,:;\-|/]+", " ")), F.lit(""))
+    """The first keyword before "Respondent" whose window, four words before and three after it, has a strong
+    keyword in its normal form."""
+    windows = _normal_windows(windows_of(_before(text, RESPONDENT), X.ANY_KEYWORD_RE.removeprefix("(?i)"), 4, 3, tuple(WINDOW_STOP)))
+    return F.get(F.filter(windows, lambda w: w.rlike(X.STRONG_RE)), F.lit(0))
 
 
 def keyword_windows(text: Column) -> Column:
-    """Every keyword with up to six words before and four after it, in normal form."""
-    around = rf"(?i)((?:\S+\s+){{0,6}}\S*\b(?:{X.STRONG}|{X.WEAK})\b\S*(?:\s+\S+){{0,4}})"
-    windows = F.transform(F.regexp_extract_all(text, F.lit(around), F.lit(1)), lambda w: X.company_form(F.regexp_replace(w, r"[.,:;\-|/]+", " ")))
-    return F.filter(windows, lambda w: F.length(w) >= 4)
+    """Every keyword with up to six words before and four after it, in normal form; windows overlap."""
+    return _normal_windows(windows_of(text, X.ANY_KEYWORD_RE.removeprefix("(?i)"), 6, 4))
 
 
 def lines_of(text: Column) -> Column:

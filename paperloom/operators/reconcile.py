@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .similarity import best_match, text_matches
+from .similarity import best_match, image_matches, text_matches, unambiguous
 
 REMAINING = ("REMAINING_PENDING", "REMAINING_AUTO", "REMAINING_RAW_COPY", "REMAINING_NO_OUTPUT", "REMAINING_MANIFEST_MISSING_OUTPUT", "BORDERLINE", "UNREADABLE")
 
@@ -15,35 +15,74 @@ REMAINING = ("REMAINING_PENDING", "REMAINING_AUTO", "REMAINING_RAW_COPY", "REMAI
 def manifest_flags(inputs: DataFrame, manifest: DataFrame, outputs: DataFrame) -> DataFrame:
     """inputs (doc_id, path, sha) -> doc_id, in_manifest, valid.
 
-    A manifest row belongs to an input by path, else by hash, but by hash only if the manifest has at least
-    as many rows of it as there are input copies.  Valid: its output path exists.
+    ``manifest``: path, sha, out_path and, if known, out_sha and out_name; ``outputs``: out_path and, if known,
+    sha and name.  An entry is valid if its output is there, by path, hash or name.  An input is valid by a
+    valid entry of its path, else by valid entries of its hash if there are at least as many as input
+    copies.  It is in the manifest if it is valid or any entry of its path or hash lacks its output.  Null
+    paths, hashes and names match nothing; empty tables give no match.
     """
-    there = outputs.select("out_path").distinct().withColumn("exists", F.lit(True))
-    rows = manifest.join(there, "out_path", "left")
-    valid = F.max(F.coalesce("exists", F.lit(False)).cast("int"))
-    by_path = rows.groupBy("path").agg(valid.alias("path_valid"))
-    by_hash = rows.groupBy("sha").agg(valid.alias("hash_valid"), F.count(F.lit(1)).alias("rows"))
-    copies = inputs.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
-    joined = inputs.join(by_path, "path", "left").join(by_hash.join(copies, "sha").filter("rows >= copies").drop("rows", "copies"), "sha", "left")
-    found = F.coalesce("path_valid", "hash_valid")
-    return joined.select("doc_id", found.isNotNull().alias("in_manifest"), F.coalesce(found == 1, F.lit(False)).alias("valid"))
-
-
-def statuses(inputs: DataFrame, session: DataFrame, flags: DataFrame, raw: DataFrame, texts: DataFrame, readable: DataFrame, document: float = 0.85, coverage: float = 0.80, weak: float = 0.60) -> DataFrame:
+    rows, there = manifest, F.lit(False)
+    for left, right in (("out_path", "out_path"), ("out_sha", "sha"), ("out_name", "name")):
+        if left in manifest.columns and right in outputs.columns:
+            mark = f"__has_{left}"
+            known = outputs.filter(F.col(right).isNotNull() & (F.col(right) != "")).select(F.col(right).alias(left)).distinct().withColumn(mark, F.lit(True))
+            rows, there = rows.join(known, left, "left"), there | F.coalesce(F.col(mark), F.lit(False))
+    rows = rows.select("path", "sha", there.alias("__valid"))
+    valid, missing = F.count_if("__valid"), F.count_if(~F.col("__valid"))
+    by_path = rows.groupBy("path").agg(valid.alias("__vp"), missing.alias("__mp"))
+    by_hash = rows.groupBy("sha").agg(valid.alias("__vh"), missing.alias("__mh"))
+    copies = inputs.groupBy("sha").agg(F.count(F.lit(1)).alias("__copies"))
+    joined = inputs.select("doc_id", "path", "sha").join(by_path, "path", "left").join(by_hash.join(copies, "sha"), "sha", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0))
+    good = (some("__vp") > 0) | ((some("__vh") > 0) & (some("__vh") >= some("__copies")))
+    return joined.select("doc_id", (good | (some("__mp") > 0) | (some("__mh") > 0)).alias("in_manifest"), good.alias("valid"))
+
+
+def session_flags(inputs: DataFrame, reviewed: DataFrame, pending: DataFrame, auto: DataFrame, plan: DataFrame, processed: DataFrame) -> DataFrame:
+    """inputs (doc_id, path) and the saved lists (path each) -> doc_id, reviewed, pending, auto.
+
+    What the saved plan has and its processed list lacks is pending as well."""
+    lists = {"reviewed": reviewed, "pending": pending.select("path").unionByName(plan.select("path").join(processed.select("path").distinct(), "path", "left_anti")), "auto": auto}
+    out = inputs.select("doc_id", "path")
+    for name, paths in lists.items():
+        out = out.join(paths.select("path").distinct().withColumn(f"__{name}", F.lit(True)), "path", "left")
+    return out.select("doc_id", *(F.coalesce(f"__{name}", F.lit(False)).alias(name) for name in lists))
+
+
+def statuses(
+    inputs: DataFrame, session: DataFrame, flags: DataFrame, raw: DataFrame, texts: DataFrame, readable: DataFrame, document: float = 0.85, coverage: float = 0.80, weak: float = 0.60,
+    images: DataFrame | None = None, pictured: DataFrame | None = None,
+) -> DataFrame:
     """The status of each input, the first rung of the ladder that holds.
 
     ``session``: doc_id, reviewed, pending, auto; ``flags``: ``manifest_flags``; ``raw``: shas of outputs that
     are unfinished copies; ``texts``: best text match per input; ``readable``: inputs with tokens.
-    """
+    ``images``: best image match per input (doc_id, out_id, score, ambiguous, pages), looked at where texts do not
+    match; ``pictured``: inputs with page images, which are not unreadable.
+    """
+    # Helper columns start with underscores, so that no column of the inputs clashes.
+    named = lambda df, *columns: df.select("doc_id", *(F.col(c).alias(f"__{c}") for c in columns))
     rows = (
-        inputs.join(session, "doc_id", "left")
-        .join(flags, "doc_id", "left")
-        .join(raw.select("sha").distinct().withColumn("raw", F.lit(True)), "sha", "left")
-        .join(texts, "doc_id", "left")
-        .join(readable.select("doc_id").distinct().withColumn("readable", F.lit(True)), "doc_id", "left")
+        inputs.select("doc_id", F.col("sha").alias("__sha"))
+        .join(named(session, "reviewed", "pending", "auto"), "doc_id", "left")
+        .join(named(flags, "in_manifest", "valid"), "doc_id", "left")
+        .join(raw.select(F.col("sha").alias("__sha")).distinct().withColumn("__raw", F.lit(True)), "__sha", "left")
+        .join(named(texts, "out_id", "score", "coverage", "pages"), "doc_id", "left")
+        .join(readable.select("doc_id").distinct().withColumn("__readable", F.lit(True)), "doc_id", "left")
     )
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    matched = (F.col("coverage") >= coverage) & (F.col("score") >= document)
+    if images is None:
+        rows = rows.withColumns({"__i_out": F.lit(None).cast("long"), "__i_score": F.lit(None).cast("double"), "__i_pages": F.col("__pages"), "__i_some": F.lit(False), "__i_vague": F.lit(False)})
+    else:
+        found = images.select(
+            "doc_id", F.col("out_id").alias("__i_out"), F.col("score").alias("__i_score"), F.col("pages").alias("__i_pages"), F.lit(True).alias("__i_some"), F.col("ambiguous").alias("__i_vague")
+        )
+        rows = rows.join(found, "doc_id", "left")
+    if pictured is not None:
+        rows = rows.join(pictured.select("doc_id").distinct().withColumn("__pictured", F.lit(True)), "doc_id", "left")
+    else:
+        rows = rows.withColumn("__pictured", F.lit(False))
+    yes = lambda c: F.coalesce(F.col(f"__{c}"), F.lit(False))
+    matched = (F.col("__coverage") >= coverage) & (F.col("__score") >= document)
     status = (
         F.when(yes("reviewed"), "DONE_SESSION")
         .when(yes("in_manifest") & yes("valid"), "DONE_MANIFEST")
@@ -51,12 +90,18 @@ def statuses(inputs: DataFrame, session: DataFrame, flags: DataFrame, raw: DataF
         .when(yes("auto"), "REMAINING_AUTO")
         .when(yes("in_manifest"), "REMAINING_MANIFEST_MISSING_OUTPUT")
         .when(matched, "DONE_TEXT_MATCH")
+        .when(yes("i_some") & ~yes("i_vague"), "DONE_IMAGE_MATCH")
+        .when(yes("i_some"), "BORDERLINE")
         .when(yes("raw"), "REMAINING_RAW_COPY")
-        .when(F.col("score") >= weak, "BORDERLINE")
-        .when(~yes("readable"), "UNREADABLE")
+        .when(F.col("__score") >= weak, "BORDERLINE")
+        .when(~yes("readable") & ~yes("pictured"), "UNREADABLE")
         .otherwise("REMAINING_NO_OUTPUT")
     )
-    return rows.select("doc_id", status.alias("status"), F.when(status == "DONE_TEXT_MATCH", F.col("out_id")).alias("out_id"), "score", "coverage", "pages")
+    by_image = status == "DONE_IMAGE_MATCH"
+    return rows.select(
+        "doc_id", status.alias("status"), F.when(status == "DONE_TEXT_MATCH", F.col("__out_id")).when(by_image, F.col("__i_out")).alias("out_id"),
+        F.when(by_image, F.col("__i_score")).otherwise(F.col("__score")).alias("score"), F.col("__coverage").alias("coverage"), F.when(by_image, F.col("__i_pages")).otherwise(F.col("__pages")).alias("pages"),
+    )
 
 
 COVER = "doc_id long, out_id long, kept boolean"
@@ -84,10 +129,10 @@ def covering_inputs(matches: DataFrame) -> DataFrame:
 
 def with_shared(rows: DataFrame) -> DataFrame:
     """Statuses after the pass over outputs that several inputs match."""
-    matched = rows.filter("status = 'DONE_TEXT_MATCH'").select("doc_id", "out_id", "score", "pages")
+    matched = rows.filter("status in ('DONE_TEXT_MATCH', 'DONE_IMAGE_MATCH')").select("doc_id", "out_id", "score", "pages")
     several = matched.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("out_id"))).filter("n > 1").drop("n")
     cover = covering_inputs(several).withColumn("m", F.sum(F.col("kept").cast("int")).over(W.partitionBy("out_id")))
-    changed = cover.select("doc_id", F.when(~F.col("kept"), "BORDERLINE").when(F.col("m") > 1, "SHARED_OUTPUT").otherwise("DONE_TEXT_MATCH").alias("new"))
+    changed = cover.select("doc_id", F.when(~F.col("kept"), "BORDERLINE").when(F.col("m") > 1, "SHARED_OUTPUT").alias("new"))
     return rows.join(changed, "doc_id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
 
 
@@ -100,14 +145,22 @@ def output_statuses(outputs: DataFrame, rows: DataFrame, input_shas: DataFrame)
     return j.select("out_id", status.alias("status"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
 
 
-def report(inputs, outputs, session, manifest, input_pages, output_pages, out_paths) -> DataFrame:
+def report(inputs, outputs, session, manifest, input_pages, output_pages, out_paths, input_images=None, output_images=None) -> DataFrame:
     """The whole reconciliation: doc_id, status, out_id.
 
-    Expensive text matching is done only for inputs that no cheaper rung settles.
+    Only final outputs (outputs: out_id, sha, final) are compared.  Expensive matching is done only for
+    inputs that no cheaper rung settles: of texts first, then of page images (doc_id, page_idx, hash, ink)
+    for what texts leave open.
     """
     flags = manifest_flags(inputs, manifest, out_paths)
     settled = session.filter("reviewed or pending or auto").select("doc_id").union(flags.filter("in_manifest").select("doc_id")).distinct()
-    open_pages = input_pages.join(settled, "doc_id", "left_anti")
-    best = best_match(text_matches(open_pages, output_pages)).select("doc_id", "out_id", "coverage", "score", "pages")
-    rows = statuses(inputs, session, flags, outputs.filter("not final").select("sha"), best, input_pages)
+    final = outputs.filter("final").select(F.col("out_id").alias("doc_id")).distinct()
+    best = best_match(text_matches(input_pages.join(settled, "doc_id", "left_anti"), output_pages.join(final, "doc_id", "left_semi"))).select("doc_id", "out_id", "coverage", "score", "pages")
+    images = pictured = None
+    if input_images is not None and output_images is not None:
+        pictured = input_images.select("doc_id")
+        by_text = best.filter("coverage >= 0.8 and score >= 0.85").select("doc_id")
+        unsettled = input_images.join(settled, "doc_id", "left_anti").join(by_text, "doc_id", "left_anti")
+        images = unambiguous(image_matches(unsettled, output_images.join(final, "doc_id", "left_semi")))
+    rows = statuses(inputs, session, flags, outputs.filter("not final").select("sha"), best, input_pages, images=images, pictured=pictured)
     return with_shared(rows)

@@ -67,11 +67,11 @@ def in_order(hay, needle):
 def gazetteer(texts: DataFrame, roster: DataFrame) -> DataFrame:
     """(doc_id, sender, body) and the roster -> doc_id, entry, weight: entries whose words occur in order.
 
-    The sender region weighs 0.9, the whole text 0.7.  An entry can only occur where its rarest word does,
+    Regulators are no entries.  The sender region weighs 0.9, the whole text 0.7.  An entry can only occur where its rarest word does,
     so texts and entries meet in an equi-join on that word.
     """
     hay = texts.select("doc_id", words(F.col("sender")).alias("sender"), words(F.col("body")).alias("body"))
-    entries = roster.select("entry", words(F.col("entry")).alias("needle")).filter(F.size("needle") > 0)
+    entries = roster.filter(~is_regulator(F.col("entry"))).select("entry", words(F.col("entry")).alias("needle")).filter(F.size("needle") > 0)
     common = entries.select(F.explode(F.array_distinct("needle")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     keyed = entries.select("entry", "needle", F.explode(F.array_distinct("needle")).alias("word")).join(common, "word").groupBy("entry", "needle").agg(F.min(F.struct("n", "word")).alias("k")).select("entry", "needle", F.col("k.word").alias("word"))
     said = hay.select("doc_id", F.explode(F.array_distinct(F.concat("body", "sender"))).alias("word"))

@@ -121,22 +121,30 @@ def near_bits(left: DataFrame, right: DataFrame, most: int = 10, bits: int = 64)
     return pairs.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")))).filter(F.col("distance") <= most)
 
 
-def image_matches(inputs: DataFrame, outputs: DataFrame, most: int = 10, words: int = 4) -> DataFrame:
-    """Pages with 256-bit hashes (doc_id, page_idx, hash) -> doc_id, out_id, coverage, score.
-
-    Documents meet if any of their pages agree on one of ``most`` + 1 bands of bits; then every input page
-    takes its nearest output page.  Coverage is the share of pages within ``most`` bits, the score the mean
-    of 1 - distance / bits over all pages.
+def image_matches(inputs: DataFrame, outputs: DataFrame, most: int = 10, words: int = 4, least_ink: float = 0.006) -> DataFrame:
+    """Pages with 256-bit hashes (doc_id, page_idx, hash and, if known, ink) -> doc_id, out_id, coverage, score,
+    matched, pages.
+
+    Pages without a hash, or with a share of ink under ``least_ink``, are blank and take no part.  Documents meet
+    if any of their pages agree on one of ``most`` + 1 bands of bits; then every input page takes its nearest
+    output page (the first, on ties).  Coverage is the share of pages within ``most`` bits, the score the mean
+    of 1 - distance / bits over all pages, ``matched`` their number and ``pages`` the output pages they took.
     """
+    drawn = lambda d: d.filter("hash is not null" + (f" and ink >= {least_ink}" if "ink" in d.columns else "")).select("doc_id", "page_idx", "hash")
+    inputs, outputs = drawn(inputs), drawn(outputs)
     bits = 64 * words
     cuts = [round(i * bits / (most + 1)) for i in range(most + 2)]
     text = F.array_join(F.transform("hash", lambda w: F.lpad(F.bin(w), 64, "0")), "")
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.substring(F.col("t"), a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
     banded = lambda d: d.withColumn("t", text).select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.*").distinct()
     pairs = banded(inputs).join(banded(outputs).withColumnRenamed("doc_id", "out_id"), ["band", "part"]).select("doc_id", "out_id").distinct()
-    pages = pairs.join(inputs, "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("hash").alias("out_hash")), "out_id")
-    nearest = pages.groupBy("doc_id", "out_id", "page_idx").agg(F.min(hamming(F.col("hash"), F.col("out_hash"))).alias("d"))
-    return nearest.groupBy("doc_id", "out_id").agg(F.avg((F.col("d") <= most).cast("double")).alias("coverage"), F.avg(1 - F.col("d") / bits).alias("score"))
+    pages = pairs.join(inputs, "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("hash").alias("out_hash")), "out_id")
+    nearest = pages.groupBy("doc_id", "out_id", "page_idx").agg(F.min(F.struct(hamming(F.col("hash"), F.col("out_hash")).alias("d"), "out_page")).alias("near"))
+    d = F.col("near.d")
+    return nearest.groupBy("doc_id", "out_id").agg(
+        F.avg((d <= most).cast("double")).alias("coverage"), F.avg(1 - d / bits).alias("score"), F.count_if(d <= most).alias("matched"),
+        F.sort_array(F.collect_set(F.when(d <= most, F.col("near.out_page")))).alias("pages"),
+    )
 
 
 def unambiguous(matches: DataFrame, coverage: float = 0.5, margin: float = 0.01) -> DataFrame:
@@ -144,4 +152,4 @@ def unambiguous(matches: DataFrame, coverage: float = 0.5, margin: float = 0.01)
     w = W.partitionBy("doc_id").orderBy(F.desc("coverage"), F.desc("score"), F.desc("out_id"))
     ranked = matches.filter(F.col("coverage") >= coverage).withColumns({"rn": F.row_number().over(w), "nc": F.lead("coverage").over(w), "ns": F.lead("score").over(w)})
     same = (F.col("nc") == F.col("coverage")) & (F.abs(F.col("score") - F.col("ns")) <= margin)
-    return ranked.filter("rn = 1").select("doc_id", "out_id", "coverage", "score", F.coalesce(same, F.lit(False)).alias("ambiguous"))
+    return ranked.filter("rn = 1").select("doc_id", "out_id", "coverage", "score", F.coalesce(same, F.lit(False)).alias("ambiguous"), *(c for c in ("pages",) if c in matches.columns))

@@ -41,10 +41,10 @@ def c_caption_keywords(spark, d):
     return letters(spark, d).select("doc_id", detectors.caption_keywords(span).alias("name"))
 
 
-@query("c_header", f"WITH {LETTERS_SQL} SELECT doc_id, p || ' INS CORP' AS name FROM letters WHERE doc_id % 50 = 0")
+@query("c_header", f"WITH {LETTERS_SQL} SELECT doc_id, p || ' INS CORP' AS name FROM letters")
 def c_header(spark, d):
     text = F.concat(F.lit("The President of the "), "company", F.lit(", Respondent"))
-    return letters(spark, d).filter("doc_id % 50 = 0").select("doc_id", detectors.header_corroborated(text).alias("name"))
+    return letters(spark, d).select("doc_id", detectors.header_corroborated(text).alias("name"))
 
 
 @query("c_letterhead", f"WITH {LETTERS_SQL} SELECT doc_id, company || ' Makati City' AS name FROM letters")
@@ -67,9 +67,9 @@ def c_candidates(spark, d):
     return detectors.candidates(letters(spark, d)).groupBy("source", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c_combine", f"WITH {LETTERS_SQL} SELECT doc_id, company AS company_name, 'high' AS label, true AS cross_validated, false AS needs_review FROM letters WHERE doc_id % 20 = 0")
+@query("c_combine", f"WITH {LETTERS_SQL} SELECT doc_id, company AS company_name, 'high' AS label, true AS cross_validated, false AS needs_review FROM letters")
 def c_combine(spark, d):
-    docs = letters(spark, d).filter("doc_id % 20 = 0")
+    docs = letters(spark, d)
     found = detectors.candidates(docs)
     out = resolve.combined(docs, found, resolve.roster_matches(found, roster(spark, d)))
     return out.select("doc_id", "company_name", "label", "cross_validated", "needs_review")

@@ -37,10 +37,10 @@ def p_native_probe(spark, d):
     return table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg((F.sum(F.length(F.btrim("text", F.lit(" \n")))) >= 400).alias("has_text"))
 
 
-@query("p_blank_verified", "SELECT doc_id, len(list_filter(regexp_split_to_array(left(text, 12), '\\s+'), lambda w: length(w) >= 2)) < 2 AS blank FROM documents")
+@query("p_blank_verified", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 2)) < 2 AS blank FROM documents")
 def p_blank_verified(spark, d):
     """A page with fewer than two words of two letters is really blank."""
-    found = F.filter(F.split(F.left("text", F.lit(12)), r"\s+"), lambda w: F.length(w) >= 2)
+    found = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 2)
     return table(spark, d, "documents").select("doc_id", (F.size(found) < 2).alias("blank"))
 
 
@@ -82,10 +82,10 @@ def f_doc_identity(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), F.substring(F.sha1(seed), 1, 24)).alias("identity"))
 
 
-@query("w_copy_name", "SELECT p_brand, 'scan(' || (CASE WHEN count(*) FILTER (WHERE p_size = 1) = 0 THEN 1 WHEN count(*) FILTER (WHERE p_size = 2) = 0 THEN 2 WHEN count(*) FILTER (WHERE p_size = 3) = 0 THEN 3 ELSE 4 END) || ').pdf' AS copy FROM part WHERE p_size <= 3 GROUP BY p_brand")
+@query("w_copy_name", "SELECT p_brand, 'scan(' || list_min(list_filter(range(1, 1000), lambda n: NOT list_contains(u, n))) || ').pdf' AS copy FROM (SELECT p_brand, list(DISTINCT p_size) AS u FROM part GROUP BY p_brand)")
 def w_copy_name(spark, d):
     """The first free number for a copy's name."""
-    used = table(spark, d, "part").filter("p_size <= 3").groupBy("p_brand").agg(F.collect_set("p_size").alias("u"))
+    used = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("u"))
     free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("u") + 1), F.col("u").cast("array<int>")))
     return used.select("p_brand", F.concat(F.lit("scan("), free.cast("string"), F.lit(").pdf")).alias("copy"))
 
@@ -109,11 +109,11 @@ def w_first_caption(spark, d):
     return pages.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("s", -F.col("l_linenumber"))).alias("page"))
 
 
-@query("g_merge_markers", "WITH o AS (SELECT p_brand, p_partkey, p_size, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip FROM part WHERE p_partkey <= 400) SELECT p_brand, string_agg((skip + m)::VARCHAR, ',' ORDER BY skip + m) AS blanks FROM (SELECT *, unnest([0, 2]) AS m FROM o) WHERE m < p_size GROUP BY p_brand")
+@query("g_merge_markers", "WITH o AS (SELECT p_brand, p_partkey, p_size, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip FROM part) SELECT p_brand, string_agg((skip + m)::VARCHAR, ',' ORDER BY skip + m) AS blanks FROM (SELECT *, unnest([0, 2]) AS m FROM o) WHERE m < p_size GROUP BY p_brand")
 def g_merge_markers(spark, d):
     """Documents merged in order: page marks move by the pages before them."""
     w = W.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(W.unboundedPreceding, -1)
-    docs = table(spark, d, "part").filter("p_partkey <= 400").select("p_brand", "p_size", F.coalesce(F.sum("p_size").over(w), F.lit(0)).alias("at"))
+    docs = table(spark, d, "part").select("p_brand", "p_size", F.coalesce(F.sum("p_size").over(w), F.lit(0)).alias("at"))
     marks = F.filter(F.array(F.lit(0), F.lit(2)), lambda m: m < F.col("p_size"))
     moved = docs.select("p_brand", "at", F.explode(marks).alias("m")).withColumn("page", F.col("at") + F.col("m"))
     return moved.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("page")).cast("array<string>"), ",").alias("blanks"))

@@ -205,15 +205,26 @@ def j_hash_raw_copy(spark, d):
 def _manifest_tables(spark, d):
     h = _hashed(spark, d).withColumn("path", F.concat(F.lit("in/"), F.col("doc_id").cast("string")))
     inputs = h.filter("doc_id % 2 = 0")
-    manifest = h.filter("doc_id % 6 = 0 or doc_id % 10 = 1").select(F.when(F.col("doc_id") % 6 == 0, F.col("path")).otherwise("elsewhere").alias("path"), "sha", F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("out_path"))
-    there = h.filter("doc_id % 4 = 0 or doc_id % 2 = 1").select(F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("out_path"))
+    # Every tenth document has entries by path (some twice, once without an output), others by hash alone.
+    k = F.col("doc_id")
+    entry = lambda rows, path, out, sha, name: rows.select(path.alias("path"), "sha", out.alias("out_path"), sha.alias("out_sha"), name.alias("out_name"))
+    none, out = F.lit(None).cast("string"), F.concat(F.lit("out/"), k.cast("string"))
+    manifest = entry(
+        h.filter("doc_id % 6 = 0 or doc_id % 10 = 1"), F.when(k % 6 == 0, F.col("path")).otherwise("elsewhere"), out, F.when(k % 9 == 0, F.col("sha")), F.when(k % 15 == 0, F.concat(F.lit("n"), (k + 1).cast("string")))
+    ).unionByName(entry(h.filter("doc_id % 18 = 0"), F.lit("copy"), F.lit("out/1"), none, F.lit("")))
+    names = F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))).otherwise("")
+    there = h.filter("doc_id % 4 = 0 or doc_id % 2 = 1").select(out.alias("out_path"), F.when(k % 2 == 1, F.col("sha")).alias("sha"), names.alias("name"))
     return inputs, manifest, there
 
 
 MANIFEST_SQL = """h AS (SELECT doc_id, sha256(text) AS sha, 'in/' || doc_id AS path FROM documents), i AS (SELECT * FROM h WHERE doc_id % 2 = 0),
-m AS (SELECT CASE WHEN doc_id % 6 = 0 THEN path ELSE 'elsewhere' END AS path, sha, doc_id % 4 = 0 OR doc_id % 2 = 1 AS ok FROM h WHERE doc_id % 6 = 0 OR doc_id % 10 = 1),
-bp AS (SELECT path, bool_or(ok) AS v FROM m GROUP BY path), bh AS (SELECT sha, bool_or(ok) AS v, count(*) AS n FROM m GROUP BY sha), cp AS (SELECT sha, count(*) AS c FROM i GROUP BY sha),
-mf AS (SELECT i.doc_id, coalesce(bp.v, bh2.v) IS NOT NULL AS in_manifest, coalesce(bp.v, bh2.v, false) AS valid FROM i LEFT JOIN bp USING (path) LEFT JOIN (SELECT bh.* FROM bh JOIN cp USING (sha) WHERE n >= c) bh2 ON bh2.sha = i.sha)"""
+there AS (SELECT 'out/' || doc_id AS out_path, CASE WHEN doc_id % 2 = 1 THEN sha END AS sha, CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id ELSE '' END AS name FROM h WHERE doc_id % 4 = 0 OR doc_id % 2 = 1),
+e AS (SELECT CASE WHEN doc_id % 6 = 0 THEN path ELSE 'elsewhere' END AS path, sha, 'out/' || doc_id AS out_path, CASE WHEN doc_id % 9 = 0 THEN sha END AS out_sha, CASE WHEN doc_id % 15 = 0 THEN 'n' || (doc_id + 1) END AS out_name FROM h WHERE doc_id % 6 = 0 OR doc_id % 10 = 1
+  UNION ALL SELECT 'copy', sha, 'out/1', NULL, '' FROM h WHERE doc_id % 18 = 0),
+m AS (SELECT path, sha, out_path IN (SELECT out_path FROM there) OR (out_sha IS NOT NULL AND out_sha IN (SELECT sha FROM there WHERE sha IS NOT NULL)) OR (coalesce(out_name, '') <> '' AND out_name IN (SELECT name FROM there)) AS ok FROM e),
+mv AS (SELECT i.doc_id, EXISTS (SELECT 1 FROM m WHERE m.path = i.path AND ok) OR (i.sha IS NOT NULL AND (SELECT count(*) FROM m WHERE m.sha = i.sha AND ok) >= (SELECT count(*) FROM i i2 WHERE i2.sha = i.sha)) AS valid,
+  EXISTS (SELECT 1 FROM m WHERE NOT ok AND (m.path = i.path OR m.sha = i.sha)) AS missing FROM i),
+mf AS (SELECT doc_id, valid OR missing AS in_manifest, valid FROM mv)"""
 
 
 @query("j_manifest_guard", f"WITH {MANIFEST_SQL} SELECT * FROM mf")
@@ -263,20 +274,21 @@ def j_hamming64(spark, d):
     return similarity.near_bits(bits.filter("id % 2 = 0"), bits.filter("id % 2 = 1"), 16).select("id", "other_id", "distance")
 
 
-@query("j_learned_hint", "SELECT c_custkey, n_name AS company FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0")
+@query("j_learned_hint", "SELECT c_custkey, n_name AS company FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def j_learned_hint(spark, d):
     hints = table(spark, d, "nation").select(F.lit("folders").alias("kind"), F.col("n_nationkey").cast("string").alias("key"), F.lit("old").alias("company"), F.lit(0).alias("ord"))
     new = table(spark, d, "nation").select(F.lit("folders").alias("kind"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("company"), F.lit(1).alias("ord"))
-    docs = table(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.col("c_nationkey").cast("string").alias("key"))
+    docs = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("key"))
     return docs.join(session.learned_hints(hints, new), "key").select("c_custkey", "company")
 
 
-@query("j_upsert", """WITH o AS (SELECT c_custkey AS key, c_custkey - 1 AS pos, c_name AS v FROM customer WHERE c_custkey <= 1000), n AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, upper(c_mktsegment) AS v FROM customer WHERE c_custkey > 900 AND c_custkey % 2 = 0)
+@query("j_upsert", """WITH o AS (SELECT c_custkey AS key, c_custkey - 1 AS pos, c_name AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0), n AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, upper(c_mktsegment) AS v FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0)
 SELECT coalesce(o.key, n.key) AS key, coalesce(o.pos, (SELECT max(pos) FROM o) + 1 + n.pos)::BIGINT AS pos, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.key = n.key""")
 def j_upsert(spark, d):
+    """Half of the table is old, half is new, and every sixth row is both."""
     c = table(spark, d, "customer")
-    old = c.filter("c_custkey <= 1000").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") - 1).alias("pos"), F.col("c_name").alias("v"))
-    new = naming.numbered_globally(c.filter("c_custkey > 900 and c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.upper("c_mktsegment").alias("v")), ["key"], 0, "pos")
+    old = c.filter("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") - 1).alias("pos"), F.col("c_name").alias("v"))
+    new = naming.numbered_globally(c.filter("c_custkey % 2 = 1 or c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.upper("c_mktsegment").alias("v")), ["key"], 0, "pos")
     return session.upsert(old, new, "key")
 
 
@@ -297,7 +309,7 @@ def _session(spark, d):
 def _report(spark, d):
     inputs, manifest, there = _manifest_tables(spark, d)
     a, b = _sides(spark, d)
-    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").withColumn("final", F.col("doc_id") % 5 != 3)
+    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha", (F.col("doc_id") % 5 != 3).alias("final"))
     return reconcile.report(inputs, outputs, _session(spark, d), manifest, a, b, there)
 
 
@@ -361,14 +373,14 @@ def j_fuzzy_margin(spark, d):
     return rows.join(resolve.margin_matches(resolve.roster_matches(rows, roster(spark, d), normalize=False)), "name").select("p_partkey", "entry", "score")
 
 
-@query("j_gazetteer", """WITH r AS (SELECT DISTINCT upper(p_name) AS entry FROM part), q AS (SELECT o_orderkey AS doc_id, upper(p_name) AS own, (SELECT upper(p_name) FROM part p2 WHERE p2.p_partkey = 1 + o_orderkey % 7) AS other FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 40 < 4),
+@query("j_gazetteer", """WITH r AS (SELECT DISTINCT upper(p_name) AS entry FROM part), q AS (SELECT o_orderkey AS doc_id, upper(p_name) AS own, (SELECT upper(p_name) FROM part p2 WHERE p2.p_partkey = 1 + o_orderkey % 7) AS other FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 t AS (SELECT doc_id, own AS sender, split_part(own, ' ', 1) || ' body ' || split_part(own, ' ', 2) || ' ' || other AS body FROM q),
 x AS (SELECT doc_id, entry, regexp_matches(' ' || sender || ' ', ' ' || split_part(entry, ' ', 1) || ' (.* )?' || split_part(entry, ' ', 2) || ' ') AS s, regexp_matches(' ' || body || ' ', ' ' || split_part(entry, ' ', 1) || ' (.* )?' || split_part(entry, ' ', 2) || ' ') AS b FROM t, r)
 SELECT doc_id, entry, CASE WHEN s THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS weight FROM x WHERE s OR b""")
 def j_gazetteer(spark, d):
     part = table(spark, d, "part")
     names = part.select(F.upper("p_name").alias("entry")).distinct()
-    lines = table(spark, d, "lineitem").filter("l_orderkey % 40 < 4").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey")).join(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("own")), "l_partkey")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey")).join(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("own")), "l_partkey")
     other = part.filter("p_partkey <= 7").select(F.col("p_partkey").alias("o"), F.upper("p_name").alias("other"))
     rows = lines.withColumn("o", 1 + F.col("l_orderkey") % 7).join(other, "o").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     w = F.split("own", " ")

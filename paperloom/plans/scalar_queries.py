@@ -40,12 +40,12 @@ def p_build_name(spark, d):
     return n.select("o_orderkey", dated.alias("dated"), plain.alias("plain"))
 
 
-@query("p_parse_stem", f"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ym || lpad(seq::VARCHAR, 4, '0') || '_' || div || '_' || company || '_B' WHEN 1 THEN lpad((seq % 10000)::VARCHAR, 4, '0') || '_' || div || '_' || company WHEN 2 THEN seq || '_' || div ELSE 'raw copy_' || div || '_' || company END AS stem FROM {NAMES_SQL} WHERE seq < 10000),
+@query("p_parse_stem", f"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ym || printf('%04d', seq) || '_' || div || '_' || company || '_B' WHEN 1 THEN lpad((seq % 10000)::VARCHAR, 4, '0') || '_' || div || '_' || company WHEN 2 THEN seq || '_' || div ELSE 'raw copy_' || div || '_' || company END AS stem FROM {NAMES_SQL}),
 p AS (SELECT *, string_split(stem, '_') AS t FROM s)
 SELECT o_orderkey, CASE WHEN ok THEN CASE WHEN length(t[1]) >= 10 THEN t[1][1:6] ELSE '' END END AS yyyymm, CASE WHEN ok THEN (CASE WHEN length(t[1]) >= 10 THEN t[1][7:] ELSE t[1] END)::INTEGER END AS seq, CASE WHEN ok THEN t[2] END AS division, CASE WHEN ok THEN array_to_string(t[3:], '_') END AS company
 FROM (SELECT *, len(t) >= 3 AND regexp_matches(t[1], '^([0-9]{{10,}}|[0-9]{{4}})$') AS ok FROM p)""")
 def p_parse_stem(spark, d):
-    n = _names(spark, d).filter("seq < 10000")
+    n = _names(spark, d)
     four = lambda c: F.format_string("%04d", c)
     k = F.col("o_orderkey") % 4
     stem = (
@@ -220,9 +220,9 @@ def g_page_transfer(spark, d):
 @query("f_crop_map", """SELECT p_partkey, CASE WHEN w >= 2 AND h >= 2 THEN round(x0, 6) END AS x0, CASE WHEN w >= 2 AND h >= 2 THEN round(y0, 6) END AS y0, CASE WHEN w >= 2 AND h >= 2 THEN round(x0 + w, 6) END AS x1, CASE WHEN w >= 2 AND h >= 2 THEN round(y0 + h, 6) END AS y1 FROM (
 SELECT p_partkey, CASE r WHEN 0 THEN u0 WHEN 1 THEN v0 WHEN 2 THEN 1 - u1 ELSE 1 - v1 END * 612 AS x0, CASE r WHEN 0 THEN v0 WHEN 1 THEN 1 - u1 WHEN 2 THEN 1 - v1 ELSE u0 END * 792 AS y0,
  CASE WHEN r IN (0, 2) THEN u1 - u0 ELSE v1 - v0 END * 612 AS w, CASE WHEN r IN (0, 2) THEN v1 - v0 ELSE u1 - u0 END * 792 AS h
-FROM (SELECT p_partkey, (p_partkey % 4)::INTEGER AS r, 0.1::DOUBLE AS u0, least((p_size * 12)::DOUBLE, 500.0::DOUBLE) / 500 AS u1, 0.25::DOUBLE AS v0, 0.75::DOUBLE AS v1 FROM part WHERE p_size >= 5))""")
+FROM (SELECT p_partkey, (p_partkey % 4)::INTEGER AS r, 0.1::DOUBLE AS u0, least((greatest(p_size, 5) * 12)::DOUBLE, 500.0::DOUBLE) / 500 AS u1, 0.25::DOUBLE AS v0, 0.75::DOUBLE AS v1 FROM part))""")
 def f_crop_map(spark, d):
     lit = lambda x: F.lit(float(x))
-    rect = A.display_to_page(lit(612), lit(792), (F.col("p_partkey") % 4) * 90, lit(500), lit(400), lit(50), lit(100), (F.col("p_size") * 12).cast("double"), lit(300))
-    rows = table(spark, d, "part").filter("p_size >= 5").select("p_partkey", rect.alias("r"))
+    rect = A.display_to_page(lit(612), lit(792), (F.col("p_partkey") % 4) * 90, lit(500), lit(400), lit(50), lit(100), (F.greatest("p_size", F.lit(5)) * 12).cast("double"), lit(300))
+    rows = table(spark, d, "part").select("p_partkey", rect.alias("r"))
     return rows.select("p_partkey", *(F.round(f"r.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
