@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .similarity import best_match, image_matches, text_matches, unambiguous
@@ -104,36 +102,29 @@ def statuses(
     )
 
 
-COVER = "doc_id long, out_id long, kept boolean"
-
-
 def covering_inputs(matches: DataFrame) -> DataFrame:
-    """doc_id, out_id, score, pages -> which inputs add pages to their shared output.
+    """doc_id, out_id, score, pages -> doc_id, out_id, kept: which inputs add pages to their shared output.
 
     Inputs of an output go by score, then number of pages, then id; one is kept if it names no pages or
-    covers one that those before it did not.  The choice depends on order, so it is a fold per output.
+    is the first that names some page.  So the first input of every (output, page) is all that is needed, and
+    no output is gathered in one task.  Null pages count as none; an empty table gives an empty result.
     """
-
-    def fold(batches: pd.DataFrame) -> pd.DataFrame:
-        rows = batches.assign(n=[len(p) for p in batches.pages]).sort_values(["score", "n", "doc_id"], ascending=[False, False, True])
-        covered: set = set()
-        kept = []
-        for p in rows.pages:
-            new = set(p) - covered
-            kept.append(len(p) == 0 or bool(new))
-            covered |= new
-        return pd.DataFrame({"doc_id": rows.doc_id.to_numpy(), "out_id": rows.out_id.to_numpy(), "kept": kept})
-
-    return matches.select("doc_id", "out_id", "score", "pages").groupBy("out_id").applyInPandas(fold, COVER)
+    rows = matches.select("doc_id", "out_id", "score", F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
+    place = F.struct((-F.col("score")).alias("s"), (-F.size("pages")).alias("n"), "doc_id")
+    first = rows.select("out_id", F.explode("pages").alias("page"), place.alias("place")).groupBy("out_id", "page").agg(F.min("place").alias("place"))
+    leads = first.select("out_id", F.col("place.doc_id").alias("doc_id"), F.lit(True).alias("__leads")).distinct()
+    return rows.join(leads, ["out_id", "doc_id"], "left").select("doc_id", "out_id", ((F.size("pages") == 0) | F.coalesce("__leads", F.lit(False))).alias("kept"))
 
 
 def with_shared(rows: DataFrame) -> DataFrame:
     """Statuses after the pass over outputs that several inputs match."""
     matched = rows.filter("status in ('DONE_TEXT_MATCH', 'DONE_IMAGE_MATCH')").select("doc_id", "out_id", "score", "pages")
-    several = matched.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("out_id"))).filter("n > 1").drop("n")
-    cover = covering_inputs(several).withColumn("m", F.sum(F.col("kept").cast("int")).over(W.partitionBy("out_id")))
-    changed = cover.select("doc_id", F.when(~F.col("kept"), "BORDERLINE").when(F.col("m") > 1, "SHARED_OUTPUT").alias("new"))
-    return rows.join(changed, "doc_id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
+    # Counts by output are joined back, as a window would gather all inputs of an output in one task.
+    several = matched.join(matched.groupBy("out_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "out_id").drop("__n")
+    cover = covering_inputs(several)
+    cover = cover.join(cover.groupBy("out_id").agg(F.count_if("kept").alias("__kept")), "out_id")
+    changed = cover.select("doc_id", F.when(~F.col("kept"), "BORDERLINE").when(F.col("__kept") > 1, "SHARED_OUTPUT").alias("__new"))
+    return rows.join(changed, "doc_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
 
 
 def output_statuses(outputs: DataFrame, rows: DataFrame, input_shas: DataFrame) -> DataFrame:

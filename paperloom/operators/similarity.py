@@ -76,7 +76,8 @@ def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75
 
     Inputs meet the outputs that share a followed token with them, or all outputs where there is none.
     Each input page takes its best output page (the first, on ties); coverage is the share of pages at or
-    above ``page_least`` and score the trimmed mean of the page scores.
+    above ``page_least`` and score the trimmed mean of the page scores, both to nine digits, so that neither
+    depends on the order of sums.
     """
     pairs = candidate_documents(inputs, outputs, k)
     pages = pairs.join(inputs, "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("tokens").alias("out_tokens")), "out_id")
@@ -87,7 +88,8 @@ def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75
         trimmed_mean(F.collect_list("b.s")).alias("score"),
         F.sort_array(F.collect_set(F.when(F.col("b.s") >= page_least, -F.col("b.p")))).alias("pages"),
     )
-    return followed.unionByName(unfollowed_matches(inputs, outputs, page_least, k))
+    found = followed.unionByName(unfollowed_matches(inputs, outputs, page_least, k))
+    return found.withColumns({"coverage": F.round("coverage", 9), "score": F.round("score", 9)})
 
 
 def best_match(matches: DataFrame) -> DataFrame:

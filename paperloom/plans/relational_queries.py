@@ -242,17 +242,17 @@ def j_session_flags(spark, d):
     return out.select("o_orderkey", *(F.coalesce(c, F.lit(False)).alias(c) for c in lists))
 
 
-JACCARD_SQL = """pairs AS (SELECT DISTINCT r.doc_id, p.doc_id AS out_id FROM (SELECT DISTINCT doc_id, token FROM rare) r JOIN (SELECT DISTINCT doc_id, unnest(t) AS token FROM outp) p USING (token) JOIN df USING (token) WHERE df <= (SELECT greatest(20, floor(count(DISTINCT doc_id) / 5)) FROM outp)),
+JACCARD_SQL = """fol AS (SELECT DISTINCT r.doc_id, token FROM rare r JOIN df USING (token) WHERE df.df <= (SELECT CASE WHEN count(DISTINCT doc_id) > 40 THEN greatest(20, floor(count(DISTINCT doc_id) / 5)) ELSE 0 END FROM outp)),
+pairs AS (SELECT DISTINCT r.doc_id, p.doc_id AS out_id FROM fol r JOIN (SELECT DISTINCT doc_id, unnest(t) AS token FROM outp) p USING (token) UNION SELECT r.doc_id, p.doc_id FROM (SELECT DISTINCT doc_id FROM rare WHERE doc_id NOT IN (SELECT doc_id FROM fol)) r, (SELECT DISTINCT doc_id FROM outp) p),
 s AS (SELECT a.doc_id, a.out_id, i.page_idx, o.page_idx AS op, len(list_intersect(i.t, o.t))::DOUBLE / len(list_distinct(list_concat(i.t, o.t))) AS s FROM pairs a JOIN inp i ON i.doc_id = a.doc_id JOIN outp o ON o.doc_id = a.out_id),
 bp2 AS (SELECT doc_id, out_id, page_idx, max(s) AS s, arg_max(op, (s, -op)) AS op FROM s GROUP BY 1, 2, 3),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, out_id ORDER BY s DESC) AS rn, count(*) OVER (PARTITION BY doc_id, out_id) AS n FROM bp2),
-tm AS (SELECT doc_id, out_id, avg(CASE WHEN s >= 0.75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS coverage, avg(s) FILTER (WHERE rn <= ceil(n * 0.9::DOUBLE)) AS score, list_sort(list_distinct(list(op) FILTER (WHERE s >= 0.75))) AS pages FROM rk GROUP BY 1, 2),
+tm AS (SELECT doc_id, out_id, round(avg(CASE WHEN s >= 0.75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS coverage, round(avg(s) FILTER (WHERE rn <= ceil(n * 0.9::DOUBLE)), 9) AS score, list_sort(list_distinct(list(op) FILTER (WHERE s >= 0.75))) AS pages FROM rk GROUP BY 1, 2 HAVING max(s) > 0),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coverage, 9) DESC, round(score, 9) DESC, out_id) AS rn FROM tm) WHERE rn = 1)"""
 
 
 def _matches(spark, d):
-    m = similarity.text_matches(*_sides(spark, d))
-    return m.withColumns({"coverage": F.round("coverage", 9), "score": F.round("score", 9)})
+    return similarity.text_matches(*_sides(spark, d))
 
 
 @query("j_jaccard_rare", f"WITH {PAGES_SQL}, {JACCARD_SQL} SELECT doc_id, out_id, round(coverage, 9) AS coverage, round(score, 9) AS score FROM best")
@@ -313,41 +313,43 @@ def _report(spark, d):
     return reconcile.report(inputs, outputs, _session(spark, d), manifest, a, b, there)
 
 
-REPORT_SQL = f"""WITH {PAGES_SQL}, {JACCARD_SQL}, {MANIFEST_SQL},
+REPORT_SQL = f"""WITH {PAGES_SQL.replace('WHERE doc_id % 2 = 1)', 'WHERE doc_id % 2 = 1 AND doc_id % 5 <> 3)')}, {JACCARD_SQL}, {MANIFEST_SQL},
 ses AS (SELECT doc_id, doc_id % 14 = 0 AS reviewed, doc_id % 22 = 0 AS pending, doc_id % 26 = 0 AS auto FROM documents WHERE doc_id % 2 = 0),
 raw AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 2 = 1 AND doc_id % 5 = 3),
 st AS (SELECT i.doc_id, b.out_id, b.score, b.pages, CASE WHEN reviewed THEN 'DONE_SESSION' WHEN in_manifest AND valid THEN 'DONE_MANIFEST' WHEN pending THEN 'REMAINING_PENDING' WHEN auto THEN 'REMAINING_AUTO' WHEN in_manifest THEN 'REMAINING_MANIFEST_MISSING_OUTPUT'
   WHEN coverage >= 0.80 AND score >= 0.85 THEN 'DONE_TEXT_MATCH' WHEN raw.sha IS NOT NULL THEN 'REMAINING_RAW_COPY' WHEN score >= 0.60 THEN 'BORDERLINE' WHEN i.doc_id NOT IN (SELECT doc_id FROM inp) THEN 'UNREADABLE' ELSE 'REMAINING_NO_OUTPUT' END AS status
-  FROM i JOIN ses USING (doc_id) JOIN mf USING (doc_id) LEFT JOIN best b ON b.doc_id = i.doc_id LEFT JOIN raw ON raw.sha = i.sha)"""
+  FROM i JOIN ses USING (doc_id) JOIN mf USING (doc_id) LEFT JOIN best b ON b.doc_id = i.doc_id LEFT JOIN raw ON raw.sha = i.sha),
+mt AS (SELECT *, count(*) OVER (PARTITION BY out_id) AS n FROM st WHERE status = 'DONE_TEXT_MATCH'),
+pg AS (SELECT doc_id, out_id, row_number() OVER (PARTITION BY out_id, page ORDER BY score DESC, k DESC, doc_id) AS rn FROM (SELECT doc_id, out_id, score, len(pages) AS k, unnest(pages) AS page FROM mt WHERE n > 1)),
+kp AS (SELECT doc_id, out_id, coalesce(len(pages), 0) = 0 OR doc_id IN (SELECT doc_id FROM pg WHERE rn = 1 AND pg.out_id = mt.out_id) AS kept FROM mt WHERE n > 1),
+rp AS (SELECT st.doc_id, CASE WHEN st.status = 'DONE_TEXT_MATCH' THEN st.out_id END AS out_id, CASE WHEN kept IS NULL THEN status WHEN NOT kept THEN 'BORDERLINE' WHEN (SELECT count(*) FROM kp k2 WHERE k2.kept AND k2.out_id = st.out_id) > 1 THEN 'SHARED_OUTPUT' ELSE status END AS status FROM st LEFT JOIN kp USING (doc_id))"""
 
 
-@query("r_statuses", REPORT_SQL + " SELECT status, count(*) AS inputs FROM st GROUP BY status")
+@query("r_statuses", REPORT_SQL + " SELECT status, count(*) AS inputs FROM rp GROUP BY status")
 def r_statuses(spark, d):
-    inputs, manifest, there = _manifest_tables(spark, d)
-    a, b = _sides(spark, d)
-    best = similarity.best_match(_matches(spark, d)).select("doc_id", "out_id", "coverage", "score", "pages")
-    raw = _hashed(spark, d).filter("doc_id % 2 = 1 and doc_id % 5 = 3").select("sha")
-    rows = reconcile.statuses(inputs, _session(spark, d), reconcile.manifest_flags(inputs, manifest, there), raw, best, a)
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("inputs"))
+    return _report(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("inputs"))
 
 
-@query("r_report")
+@query("r_report", REPORT_SQL + " SELECT doc_id, status, out_id FROM rp")
 def r_report(spark, d):
     return _report(spark, d).select("doc_id", "status", "out_id")
 
 
-@query("r_remaining")
+@query("r_remaining", REPORT_SQL + " SELECT doc_id, status FROM rp WHERE status IN (" + ", ".join(f"'{x}'" for x in reconcile.REMAINING) + ")")
 def r_remaining(spark, d):
     return _report(spark, d).filter(F.col("status").isin(*reconcile.REMAINING)).select("doc_id", "status")
 
 
-@query("r_set_cover")
+@query("r_set_cover", f"""WITH {PAGES_SQL}, {JACCARD_SQL}, mt AS (SELECT * FROM tm WHERE round(coverage, 9) >= 0.8 AND round(score, 9) >= 0.85),
+pg AS (SELECT doc_id, out_id, row_number() OVER (PARTITION BY out_id, page ORDER BY round(score, 9) DESC, k DESC, doc_id) AS rn FROM (SELECT doc_id, out_id, score, len(pages) AS k, unnest(pages) AS page FROM mt))
+SELECT doc_id, out_id, coalesce(len(pages), 0) = 0 OR EXISTS (SELECT 1 FROM pg WHERE rn = 1 AND pg.doc_id = mt.doc_id AND pg.out_id = mt.out_id) AS kept FROM mt""")
 def r_set_cover(spark, d):
     m = _matches(spark, d).filter("coverage >= 0.8 and score >= 0.85")
     return reconcile.covering_inputs(m)
 
 
-@query("j_output_status")
+@query("j_output_status", REPORT_SQL + """, u AS (SELECT out_id, count(*) AS inputs FROM rp WHERE status IN ('DONE_TEXT_MATCH', 'SHARED_OUTPUT') GROUP BY out_id)
+SELECT h.doc_id AS out_id, CASE WHEN inputs > 1 THEN 'SHARED_OUTPUT' WHEN inputs = 1 THEN 'MATCHED' WHEN h.sha IN (SELECT sha FROM i WHERE sha IS NOT NULL) THEN 'RAW_COPY' ELSE 'ORPHAN_OUTPUT' END AS status, coalesce(inputs, 0) AS inputs FROM h LEFT JOIN u ON u.out_id = h.doc_id WHERE h.doc_id % 2 = 1""")
 def j_output_status(spark, d):
     outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha")
     return reconcile.output_statuses(outputs, _report(spark, d).filter(F.col("status").isin("DONE_TEXT_MATCH", "SHARED_OUTPUT")), _hashed(spark, d).filter("doc_id % 2 = 0"))
