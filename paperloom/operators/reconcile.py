@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .similarity import best_match, image_matches, text_matches, unambiguous
 
 REMAINING = ("REMAINING_PENDING", "REMAINING_AUTO", "REMAINING_RAW_COPY", "REMAINING_NO_OUTPUT", "REMAINING_MANIFEST_MISSING_OUTPUT", "BORDERLINE", "UNREADABLE")
@@ -154,4 +155,5 @@ def report(inputs, outputs, session, manifest, input_pages, output_pages, out_pa
         unsettled = input_images.join(settled, "doc_id", "left_anti").join(by_text, "doc_id", "left_anti")
         images = unambiguous(image_matches(unsettled, output_images.join(final, "doc_id", "left_semi")))
     rows = statuses(inputs, session, flags, outputs.filter("not final").select("sha"), best, input_pages, images=images, pictured=pictured)
-    return with_shared(rows)
+    # Written, as the pass over shared outputs reads it several times.
+    return with_shared(written(rows, "report-rows"))

@@ -75,7 +75,7 @@ def f_drag_payload(spark, d):
     return good.select("p_partkey", parts[1].alias("pane"), F.array_join(F.sort_array(F.array_distinct(numbers)).cast("array<string>"), ",").alias("positions"))
 
 
-@query("f_doc_identity")
+@query("f_doc_identity", "SELECT doc_id, 'doc-' || substr(sha1(source || '/' || lang || '|' || doc_id || '.pdf'), 1, 24) AS identity FROM documents")
 def f_doc_identity(spark, d):
     """A stable id of a document: a prefix and 24 digits of the hash of its path and name."""
     seed = F.concat_ws("|", F.concat_ws("/", "source", "lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
