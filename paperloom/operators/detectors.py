@@ -148,17 +148,56 @@ def sender_region(pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(text("s").alias("sender"), text("t").alias("body"))
 
 
+def _form_of(raw: str) -> dict[str, Column]:
+    """Columns for the normal form of a raw name and its number of words."""
+    return {f"{raw}_form": X.company_form(F.col(raw)), f"{raw}_n": F.size(_words(F.col(raw)))}
+
+
+def _accepted(raw: str, least: int = 2, strong_only: bool = False) -> Column:
+    """As ``_named``, over the columns of ``_form_of``."""
+    form, n = F.col(f"{raw}_form"), F.col(f"{raw}_n")
+    strong = form.rlike(X.STRONG_RE)
+    return F.when((n >= least) & (strong if strong_only else (strong | (n >= 3))), form)
+
+
+def with_captions(pages: DataFrame) -> DataFrame:
+    """Adds ``caption``, ``caption_wide``, ``between_parties`` and ``routing_slip`` of page_text.
+
+    The same names as the expressions above give, but cut out step by step: every piece of text that
+    several rules use is a column, so that no regular expression runs twice over a page.
+    """
+    own = pages.columns
+    t = F.col("page_text")
+    df = pages.withColumns(
+        {"__v": _after(t, VERSUS), "__c": _after(t, COMPLAINANT), "__r": _after(t, RESPONDENT), "__b": _before(t, RESPONDENT), "__s": F.when(t.rlike(SUBJECT), F.trim(F.regexp_extract(t, SUBJECT, 1)))}
+    )
+    df = df.withColumns({"__cr": _before(F.col("__c"), RESPONDENT), "__vr": _after(F.col("__v"), RESPONDENT), "__rr": _before(F.col("__r"), RESPONDENT), "__bw": _words(F.col("__b")), "__sv": _after(F.col("__s"), VERSUS)})
+    df = df.withColumns({"__span": _after(F.col("__cr"), VERSUS), "__svr": _after(F.col("__sv"), RESPONDENT)})
+    last = lambda n: F.when(F.size("__bw") >= n, X.without_edge_marks(F.array_join(F.slice("__bw", -n, n), " ")))
+    df = df.withColumns(
+        {
+            "__raw0": _clause(F.coalesce("__vr", "__v")), "__raw1": X.without_edge_marks(F.col("__rr")), "__raw2": _clause(F.coalesce("__svr", "__sv")), "__raw3": F.trim(F.get(F.split("__s", "[.,]"), F.lit(0))),
+            "__raw4": last(4), "__raw5": last(5), "__raw6": last(6), "__clauses": F.transform(F.split(F.regexp_replace("__span", r"\s*\n\s*", " "), "[,.]"), X.without_edge_marks),
+        }
+    )
+    df = df.withColumns({k: c for i in range(7) for k, c in _form_of(f"__raw{i}").items()})
+    real = F.filter("__clauses", lambda c: (c != "") & ~c.rlike(NOISE))
+    df = df.withColumn("__named", F.transform(real, lambda c: F.struct(X.company_form(c).alias("form"), F.size(_words(c)).alias("n"))))
+    good = F.filter("__named", lambda x: (x["n"] >= 2) & ((x["n"] >= 3) | x["form"].rlike(X.STRONG_RE)))
+    df = df.withColumn("between_parties", F.get(good, F.lit(0))["form"])
+    return df.select(
+        *own, F.coalesce("between_parties", _accepted("__raw0")).alias("caption"),
+        F.coalesce(_accepted("__raw1", strong_only=True), *(_accepted(f"__raw{n}", 1, strong_only=True) for n in (6, 5, 4))).alias("caption_wide"),
+        "between_parties", F.coalesce(_accepted("__raw2"), _accepted("__raw3", strong_only=True)).alias("routing_slip"),
+    )
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """All text detectors: doc_id, ord, name, source, weight, in the order in which they count."""
-    pages = pages.filter(F.trim("page_text") != "")
-    text = F.col("page_text")
-    per_page = F.array(
-        F.struct(F.lit(0).alias("d"), caption(text).alias("name"), F.lit("caption").alias("source"), F.lit(0.9).alias("weight")),
-        F.struct(F.lit(0).alias("d"), caption_wide(text).alias("name"), F.lit("caption").alias("source"), F.lit(0.9).alias("weight")),
-        F.struct(F.lit(0).alias("d"), between_parties(text).alias("name"), F.lit("caption").alias("source"), F.lit(0.9).alias("weight")),
-        F.struct(F.lit(1).alias("d"), routing_slip(text).alias("name"), F.lit("routing_slip").alias("source"), F.lit(0.8).alias("weight")),
-    )
-    direct = pages.select("doc_id", "page_idx", F.posexplode(per_page).alias("i", "c")).filter("c.name is not null and c.name <> ''")
+    pages = pages.filter(F.trim("page_text") != "").select("doc_id", "page_idx", "page_text")
+    rule = lambda d, name, source, weight: F.struct(F.lit(d).alias("d"), F.col(name).alias("name"), F.lit(source).alias("source"), F.lit(weight).alias("weight"))
+    per_page = F.array(rule(0, "caption", "caption", 0.9), rule(0, "caption_wide", "caption", 0.9), rule(0, "between_parties", "caption", 0.9), rule(1, "routing_slip", "routing_slip", 0.8))
+    direct = with_captions(pages).select("doc_id", "page_idx", F.posexplode(per_page).alias("i", "c")).filter("c.name is not null and c.name <> ''")
     direct = direct.select("doc_id", (F.col("c.d") * 10**12 + F.col("page_idx") * 10**6 + F.col("i")).alias("ord"), "c.name", "c.source", "c.weight")
     lined = lambda rows, d, source, weight: rows.select("doc_id", (F.lit(d * 10**12) + F.col("page_idx") * 10**6 + F.col("i")).alias("ord"), "name", F.lit(source).alias("source"), F.lit(weight).alias("weight"))
     return direct.unionByName(lined(letterheads(pages), 2, "letterhead", 0.85)).unionByName(lined(signatures(pages), 3, "signature", 0.8))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import token_set_ratio
 from ..functions.text import STRONG_RE, company_form, is_regulator, match_form, words
+from .detectors import HEAD_LINES, candidates, keyword_windows, lines_of, sender_region
 
 # Least score and boost by source, in the order of their labels; sources that confirm alone.
 PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10), ("letterhead", 72, 6), ("signature", 72, 6), ("gazetteer", 68, 5), ("keyword", 88, 0), ("folder", 95, 0))
@@ -80,6 +81,38 @@ def gazetteer(texts: DataFrame, roster: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "entry", weight.alias("weight")).filter("weight is not null")
 
 
+def keyword_candidates(pages: DataFrame, roster: DataFrame) -> DataFrame:
+    """doc_id, page_idx, entry: of each page, the entry that the first of its keyword windows matches beyond doubt."""
+    windows = pages.select("doc_id", "page_idx", F.posexplode(keyword_windows(F.col("page_text"))).alias("i", "name"))
+    sure = margin_matches(roster_matches(windows, roster, normalize=False)).select("name", "entry")
+    return windows.join(sure, "name").groupBy("doc_id", "page_idx").agg(F.min_by("entry", "i").alias("entry"))
+
+
+def all_candidates(pages: DataFrame, roster: DataFrame, folders: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """The eight detectors: doc_id, ord, name, source, weight, in the order in which they count.
+
+    Captions, routing slips, letterheads and signatures from the text; roster (entry, ord) entries whose words
+    occur in order; entries that keyword windows match; ``folders`` (doc_id, ord, name) that look like companies;
+    and what was learned for a folder or a line of a letterhead (``hints``: kind, key, company).  Blank pages
+    and null texts yield nothing.
+    """
+    pages = pages.select("doc_id", "page_idx", "page_text").filter(F.trim("page_text") != "")
+    place = lambda d, o: (F.lit(d * 10**12) + o).cast("long").alias("ord")
+    as_rows = lambda rows, d, o, name, source, weight: rows.select("doc_id", place(d, o), F.col(name).alias("name"), F.lit(source).alias("source"), weight.alias("weight"))
+    found = candidates(pages).unionByName(as_rows(gazetteer(sender_region(pages), roster).join(roster.select("entry", "ord"), "entry"), 4, F.col("ord"), "entry", "gazetteer", F.col("weight")))
+    found = found.unionByName(as_rows(keyword_candidates(pages, roster), 5, F.col("page_idx"), "entry", "keyword", F.lit(0.6)))
+    if folders is not None:
+        found = found.unionByName(as_rows(folder_hints(folders.select("doc_id", "ord", "name"), roster), 6, F.col("ord"), "name", "folder", F.lit(0.4)))
+    if hints is not None:
+        learned = lambda kind: hints.filter(F.col("kind") == kind).select("key", "company")
+        if folders is not None:
+            by_folder = folders.select("doc_id", "ord", F.col("name").alias("key")).join(learned("folders"), "key")
+            found = found.unionByName(as_rows(by_folder, 7, F.col("ord"), "company", "learned", F.lit(0.95)))
+        heads = pages.select("doc_id", "page_idx", F.posexplode(F.slice(lines_of(F.col("page_text")), 1, HEAD_LINES)).alias("i", "line")).withColumn("key", match_form(F.col("line")))
+        found = found.unionByName(as_rows(heads.join(learned("letterheads"), "key"), 7, F.lit(10**9) + F.col("page_idx") * 100 + F.col("i"), "company", "learned", F.lit(0.95)))
+    return found
+
+
 def profile(column: str, place: int, other: int):
     out = F.lit(other)
     for p in PROFILES:

@@ -75,6 +75,17 @@ def c_combine(spark, d):
     return out.select("doc_id", "company_name", "label", "cross_validated", "needs_review")
 
 
+@query("c_resolve", f"WITH {LETTERS_SQL} SELECT doc_id, company AS company_name, 'high' AS label, true AS cross_validated, false AS needs_review FROM letters")
+def c_resolve(spark, d):
+    """All eight detectors over all letters, in folders named after their companies."""
+    docs, names = letters(spark, d), roster(spark, d)
+    folders = docs.select("doc_id", F.lit(0).alias("ord"), F.lower("company").alias("name"))
+    hints = table(spark, d, "nation").select(F.lit("letterheads").alias("kind"), F.upper("n_name").alias("key"), F.upper("n_name").alias("company"))
+    found = resolve.all_candidates(docs, names, folders, hints)
+    out = resolve.combined(docs, found, resolve.roster_matches(found, names))
+    return out.select("doc_id", "company_name", "label", "cross_validated", "needs_review")
+
+
 @query("c_layout_candidates")
 def c_layout_candidates(spark, d):
     """The four best company phrases of each page by layout (C19)."""

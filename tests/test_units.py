@@ -187,3 +187,96 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
     sinks.write_index(spark.createDataFrame(pd.DataFrame({"a": [1], "b": [b"x"]})), str(tmp_path / "i"))
     assert spark.read.json(str(tmp_path / "i")).columns == ["a"]
+
+
+LETTERS = [
+    "JUAN CRUZ, Complainant,\n- versus -\nACME LIFE INSURANCE CORPORATION, Respondent.\nx---x",
+    "ANA LEE, Complainant, vs. 12-345, BETA MUTUAL UNDERWRITERS, INC., Respondents. Order. Respondent GAMMA PLANS INC. Respondent",
+    "Subject: complaint vs. DELTA ASSURANCE COMPANY, claim\nThe president of the Epsilon Memorial Plans Corp, as Respondent",
+    "no company here, Respondent", "", "   \n ", None, "versus versus Respondent Complainant ZETA CO",
+    "INSURANCE COMMISSION\nACME LIFE INSURANCE CORPORATION\nTo: x\nVery truly yours,\nACME LIFE INSURANCE CORP\nManila",
+    "OMICRON ASSURANCE COMPANY\n12 some street\nDear Sirs",
+]
+
+
+def test_staged_captions_equal_the_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import detectors as D
+
+    pages = spark.createDataFrame([(i, 0, t, 7) for i, t in enumerate(LETTERS)], "doc_id long, page_idx int, page_text string, name int")
+    t, names = F.col("page_text"), ("caption", "caption_wide", "between_parties", "routing_slip")
+    want = {r.doc_id: tuple(r[2:]) for r in pages.select("doc_id", "name", *(getattr(D, n)(t).alias(n) for n in names)).collect()}
+    got = {r.doc_id: tuple(r[n] for n in names) for r in D.with_captions(pages).collect()}
+    assert got == want and any(v[0] for v in got.values()) and any(v[3] for v in got.values())
+    assert D.with_captions(pages.limit(0)).count() == 0
+
+
+def test_windows_overlap_and_keep_their_words():
+    import re
+
+    from paperloom.functions.windows import word_windows
+
+    kw = re.compile(r"\b(?:INSURANCE|LIFE)\b", re.IGNORECASE)
+    text = "of the Acme (Life) Insurance, Inc. and of others"
+    assert word_windows(text, kw, 2, 2) == ["Acme ( Life ) Insurance,", "Acme (Life) Insurance , Inc."]
+    assert word_windows(text, kw, 9, 0, frozenset(["of", "the"]))[0] == "Acme ( Life"
+    assert word_windows("", kw, 2, 2) == []
+
+
+def test_date_contexts_overlap(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators.dates import date_candidates
+
+    pages = spark.createDataFrame([(1, 0, "dated 01/02/2019 and then effective 03/04/2020 " + "x" * 300 + " issued 05/06/2021"), (2, 0, None), (3, 0, "")], "doc_id long, page_idx int, page_text string")
+    rows = {str(r.date): set(r.keywords) for r in date_candidates(pages, F.lit("2025-01-01").cast("date")).collect()}
+    assert set(rows) == {"2019-01-02", "2020-03-04", "2021-05-06"}
+    assert {"dated", "effective"} <= rows["2019-01-02"] & rows["2020-03-04"] and "effective" not in rows["2021-05-06"] and "issued" in rows["2021-05-06"]
+
+
+def test_all_detectors(spark):
+    from paperloom.operators import resolve
+
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(LETTERS)], "doc_id long, page_idx int, page_text string")
+    roster = spark.createDataFrame([("ACME LIFE INS CORP", 0), ("ACME LIFE INSURANCE CORPORATION", 1), ("INSURANCE COMMISSION", 2), ("BETA MUTUAL UNDERWRITERS INC", 3)], "entry string, ord long")
+    folders = spark.createDataFrame([(0, 0, "beta mutual underwriters inc"), (4, 0, "scans")], "doc_id long, ord int, name string")
+    hints = spark.createDataFrame([("folders", "scans", "OMEGA"), ("letterheads", "MANILA", "SIGMA")], "kind string, key string, company string")
+    found = {(r.doc_id, r.source, r.name) for r in resolve.all_candidates(pages, roster, folders, hints).collect()}
+    assert {(0, "folder", "BETA MUTUAL UNDERWRITERS INC"), (4, "learned", "OMEGA"), (8, "learned", "SIGMA"), (8, "gazetteer", "ACME LIFE INSURANCE CORPORATION")} <= found
+    assert {x[1] for x in found} >= {"caption", "routing_slip", "letterhead", "signature", "gazetteer", "keyword", "folder", "learned"}
+    assert not any(x[2] == "INSURANCE COMMISSION" for x in found) and not any(x[0] == 6 for x in found)
+    assert resolve.all_candidates(pages.limit(0), roster).count() == 0
+
+
+def test_manifest_rules(spark):
+    """A path entry without its output does not hide a valid entry of the hash, which only valid entries guard."""
+    from paperloom.operators import reconcile
+
+    inputs = spark.createDataFrame([(1, "a", "h1"), (2, "b", "h2"), (3, "c", "h2"), (4, "d", None), (5, "e", "h5"), (6, "f", "h6")], "doc_id long, path string, sha string")
+    manifest = spark.createDataFrame(
+        [("a", "h1", "gone", None, None), ("z", "h1", "out1", None, None), ("b", "h2", "out2", None, None), ("y", "h2", "gone", None, None), ("e", "x", "gone", "s5", None), ("w", "h6", "gone", None, "n6")],
+        "path string, sha string, out_path string, out_sha string, out_name string",
+    )
+    outputs = spark.createDataFrame([("out1", None, None), ("out2", None, ""), ("other", "s5", "n6")], "out_path string, sha string, name string")
+    got = {r.doc_id: (r.in_manifest, r.valid) for r in reconcile.manifest_flags(inputs, manifest, outputs).collect()}
+    assert got == {1: (True, True), 2: (True, True), 3: (True, False), 4: (False, False), 5: (True, True), 6: (True, True)}
+    assert all(not r.in_manifest for r in reconcile.manifest_flags(inputs, manifest.limit(0), outputs).collect())
+
+
+def test_image_rungs(spark):
+    from paperloom.operators import reconcile, similarity
+
+    page = lambda rows: spark.createDataFrame([(d, p, [h, 0, 0, 0], ink) for d, p, h, ink in rows], "doc_id long, page_idx int, hash array<long>, ink double")
+    a = page([(1, 0, -2, 0.1), (1, 1, 0, 0.0), (2, 0, 9, 0.1), (3, 0, 0, 0.0)])
+    b = page([(10, 0, -2, 0.1), (11, 0, 9, 0.1), (12, 0, 9, 0.1), (13, 0, 0, 0.0)])
+    best = {r.doc_id: (r.out_id, r.ambiguous, r.pages) for r in similarity.unambiguous(similarity.image_matches(a, b)).collect()}
+    assert best[1] == (10, False, [0]) and best[2][:2] == (12, True) and 3 not in best and 13 not in {v[0] for v in best.values()}
+    inputs = spark.createDataFrame([(i, f"p{i}", f"h{i}") for i in range(1, 5)], "doc_id long, path string, sha string")
+    none = inputs.limit(0)
+    flags = reconcile.manifest_flags(inputs, spark.createDataFrame([], "path string, sha string, out_path string"), spark.createDataFrame([], "out_path string"))
+    session = reconcile.session_flags(inputs, none, none, none, none, none)
+    texts = spark.createDataFrame([], "doc_id long, out_id long, coverage double, score double, pages array<int>")
+    images = spark.createDataFrame([(1, 10, 1.0, 1.0, False, [0]), (2, 12, 1.0, 1.0, True, [0])], "doc_id long, out_id long, coverage double, score double, ambiguous boolean, pages array<int>")
+    rows = reconcile.statuses(inputs, session, flags, none.select("sha"), texts, none, images=images, pictured=a)
+    assert {r.doc_id: (r.status, r.out_id) for r in rows.collect()} == {1: ("DONE_IMAGE_MATCH", 10), 2: ("BORDERLINE", None), 3: ("REMAINING_NO_OUTPUT", None), 4: ("UNREADABLE", None)}
