@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_set_ratio
+from ..functions.fuzzy import Roster
 from ..functions.text import STRONG_RE, company_form, is_regulator, match_form, words
+from ..sources.shared import written
 from .detectors import HEAD_LINES, candidates, keyword_windows, lines_of, sender_region
 
 # Least score and boost by source, in the order of their labels; sources that confirm alone.
 PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10), ("letterhead", 72, 6), ("signature", 72, 6), ("gazetteer", 68, 5), ("keyword", 88, 0), ("folder", 95, 0))
 STRONG_SOURCES = ("learned", "caption", "routing_slip", "letterhead", "signature", "gazetteer")
 OTHER_LEAST, MATCH_LEAST, WEAK_MOST = 95, 65, 89
-CHUNK = 1000
+CHUNK, PART = 1000, 20_000
 
 
-def roster_matches(names: DataFrame, roster: DataFrame, normalize: bool = True) -> DataFrame:
+def roster_matches(names: DataFrame, roster: DataFrame, normalize: bool = True, least: int = 0) -> DataFrame:
     """(name) and (entry, ord) -> name, entry, score, second: the best entry by token-set ratio.
 
     Scores are cut to whole numbers; ties go to the entry first in order; ``second`` is the best score
-    among entries that differ from the best one.  Each distinct name is scored once, against chunks of the
-    roster that reach it by an equi-join on the chunk number, so neither side must fit in one task.
+    among entries that differ from the best one.  Each distinct name is scored once against every chunk of the
+    roster, ``PART`` names and ``CHUNK`` entries in a task at most; a bound rules out most entries unscored.
+    With ``least``, lower scores may be missing.
     """
-    chunks = roster.withColumn("chunk", F.floor(F.col("ord") / CHUNK)).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("ord", "entry"))).alias("entries"))
-    numbers = roster.agg(F.floor(F.min("ord") / CHUNK).alias("lo"), F.floor(F.max("ord") / CHUNK).alias("hi"))
-    form = company_form(F.col("name")) if normalize else F.col("name")
-    asked = names.select("name").distinct().withColumn("form", form).join(F.broadcast(numbers)).filter("lo is not null")
-    asked = asked.select("name", "form", F.explode(F.sequence("lo", "hi")).alias("chunk"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict = {"name": [], "entry": [], "ord": [], "score": []}
-            for name, form_, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                scored = sorted(((int(token_set_ratio(form_ or "", e["entry"])), -e["ord"], e["entry"]) for e in entries), reverse=True)
-                keep = scored[:1] + [next(x for x in scored if x[2] != scored[0][2])] if any(x[2] != scored[0][2] for x in scored) else scored[:1]
-                for s, o, e in keep:
-                    for k, v in (("name", name), ("entry", e), ("ord", -o), ("score", s)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("name", pa.string()), ("entry", pa.string()), ("ord", pa.int64()), ("score", pa.int32())]))
-
-    found = asked.join(chunks, "chunk").select("name", "form", "entries").mapInArrow(score, "name string, entry string, ord long, score int")
+    distinct = names.select("name").distinct().withColumn("form", company_form(F.col("name")) if normalize else F.col("name"))
+    distinct = written(distinct.filter("name is not null"), "roster-names")
+    parts = max(1, -(-distinct.count() // PART))
+    span = roster.agg(F.floor(F.min("ord") / CHUNK).alias("lo"), F.floor(F.max("ord") / CHUNK).alias("hi")).filter("lo is not null")
+    asked = distinct.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts))).join(F.broadcast(span))  # one row
+    asked = asked.select("name", "form", "part", F.explode(F.sequence("lo", "hi")).alias("chunk"))
+    entries = roster.select("entry", "ord", F.floor(F.col("ord") / CHUNK).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict = {"name": [], "entry": [], "ord": [], "score": []}
+        held = sorted(zip(right.column("ord").to_pylist(), right.column("entry").to_pylist(), strict=True))
+        known = Roster([e for _, e in held])
+        for name, form in zip(left.column("name").to_pylist(), left.column("form").to_pylist(), strict=True) if held else ():
+            for s, i in known.two_best(form or "", least):
+                for k, v in (("name", name), ("entry", held[i][1]), ("ord", held[i][0]), ("score", s)):
+                    out[k].append(v)
+        return pa.table(out, schema=pa.schema([("name", pa.string()), ("entry", pa.string()), ("ord", pa.int64()), ("score", pa.int32())]))
+
+    found = asked.groupBy("chunk", "part").cogroup(entries.groupBy("chunk", "part")).applyInArrow(score, "name string, entry string, ord long, score int")
     w = W.partitionBy("name").orderBy(F.desc("score"), "ord")
     ranked = found.withColumns({"rn": F.row_number().over(w), "top": F.first("entry").over(w)})
     return ranked.groupBy("name").agg(
@@ -84,7 +85,8 @@ def gazetteer(texts: DataFrame, roster: DataFrame) -> DataFrame:
 def keyword_candidates(pages: DataFrame, roster: DataFrame) -> DataFrame:
     """doc_id, page_idx, entry: of each page, the entry that the first of its keyword windows matches beyond doubt."""
     windows = pages.select("doc_id", "page_idx", F.posexplode(keyword_windows(F.col("page_text"))).alias("i", "name"))
-    sure = margin_matches(roster_matches(windows, roster, normalize=False)).select("name", "entry")
+    # A second score under 80 is beaten by any match of 90 or more.
+    sure = margin_matches(roster_matches(windows, roster, normalize=False, least=80)).select("name", "entry")
     return windows.join(sure, "name").groupBy("doc_id", "page_idx").agg(F.min_by("entry", "i").alias("entry"))
 
 
@@ -110,7 +112,7 @@ def all_candidates(pages: DataFrame, roster: DataFrame, folders: DataFrame | Non
             found = found.unionByName(as_rows(by_folder, 7, F.col("ord"), "company", "learned", F.lit(0.95)))
         heads = pages.select("doc_id", "page_idx", F.posexplode(F.slice(lines_of(F.col("page_text")), 1, HEAD_LINES)).alias("i", "line")).withColumn("key", match_form(F.col("line")))
         found = found.unionByName(as_rows(heads.join(learned("letterheads"), "key"), 7, F.lit(10**9) + F.col("page_idx") * 100 + F.col("i"), "company", "learned", F.lit(0.95)))
-    return found
+    return written(found, "company-candidates")
 
 
 def profile(column: str, place: int, other: int):

@@ -280,3 +280,21 @@ def test_image_rungs(spark):
     images = spark.createDataFrame([(1, 10, 1.0, 1.0, False, [0]), (2, 12, 1.0, 1.0, True, [0])], "doc_id long, out_id long, coverage double, score double, ambiguous boolean, pages array<int>")
     rows = reconcile.statuses(inputs, session, flags, none.select("sha"), texts, none, images=images, pictured=a)
     assert {r.doc_id: (r.status, r.out_id) for r in rows.collect()} == {1: ("DONE_IMAGE_MATCH", 10), 2: ("BORDERLINE", None), 3: ("REMAINING_NO_OUTPUT", None), 4: ("UNREADABLE", None)}
+
+
+def test_roster_bounds_lose_nothing():
+    import random
+
+    from paperloom.functions.fuzzy import Roster
+
+    rng = random.Random(2)
+    vocabulary = ["alpha", "alfa", "beta", "bet", "gamma", "delta", "del", "inc", "corp", "insurance", "ins", "a", "zeta"]
+    phrase = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 5)))
+    entries = [phrase() for _ in range(120)]
+    r = Roster(entries)
+    for name in [phrase() for _ in range(150)] + ["", "qqq"]:
+        scores = [token_set_ratio(name, e) for e in entries]
+        assert all(b >= s for b, s in zip(r.bounds(name), scores, strict=True))
+        best = min(range(len(entries)), key=lambda i: (-int(scores[i]), i))
+        other = min((i for i in range(len(entries)) if entries[i] != entries[best]), key=lambda i: (-int(scores[i]), i))
+        assert r.two_best(name) == [(int(scores[best]), best), (int(scores[other]), other)]
