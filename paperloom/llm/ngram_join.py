@@ -42,7 +42,7 @@ class JoinParams:
     more than ``whole`` tokens send to be counted.  ``keys``: minimum hashes, of which ``equal`` must agree
     for two nodes to be tried as one label; the first ``meeting`` of them bring nodes together.
     ``group_nodes``: nodes in a group of the matrix; ``wide``: groups of a token that is left out of the first
-    round, so a cell gives at most as many rows.  ``bucket_cells``, ``chunk_tokens``, ``part_tokens``: what one task holds of the matrix, of a group,
+    round, so a cell gives at most as many rows.  ``bucket_cells``, ``matrix_cells``, ``chunk_tokens``, ``part_tokens``: what one task holds of the sent tokens, of the matrix, of a group,
     and of the questions to it.  ``broadcast_rows``: most rows of two 16-byte columns that are sent to every
     task (32 MB); above that the planner shuffles.  None of these but ``percent`` changes the links."""
 
@@ -55,6 +55,7 @@ class JoinParams:
     group_nodes: int = 64
     wide: int = 12
     bucket_cells: int = 600_000
+    matrix_cells: int = 1_500_000
     chunk_tokens: int = 100_000
     part_tokens: int = 1_000_000
     broadcast_rows: int = 1_000_000
@@ -417,7 +418,7 @@ def open_groups(sets: DataFrame, partition: DataFrame, p: JoinParams) -> DataFra
         total = int(taking.agg(F.sum("n")).first()[0] or 0)
         rows = sets.select("sig", "tokens").join(small(materialize(taking.select("sig", *fields), "join-taking"), p.broadcast_rows), "sig")
 
-        counted = matrix_rows(rows, max(1, -(-total // p.bucket_cells))).groupBy("bucket").applyInArrow(_counting(wide), "id long, group long, cells long, wide long")
+        counted = matrix_rows(rows, max(1, -(-total // p.matrix_cells))).groupBy("bucket").applyInArrow(_counting(wide), "id long, group long, cells long, wide long")
         counted = materialize(counted.groupBy("id", "group").agg(F.sum("cells").alias("cells"), F.sum("wide").alias("wide")), "join-cells")
         left_out = materialize(counted.filter("group = -1").select("id", "wide"), "join-wide")
         need = materialize(taking.select("id", least_shared(F.col("n"), p).alias("need")), "join-need")

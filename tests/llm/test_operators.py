@@ -273,7 +273,7 @@ def test_join_finds_every_link(spark, seed):
             d[rng.randrange(len(d))] = f"e{rng.randrange(9999)}"
         docs.append(d)
     rows = [(i, " ".join(d).upper() if i % 7 == 0 else "  ".join(d), "en", "a") for i, d in enumerate(docs)]
-    got = collections.Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows), ngram_join.JoinParams(share=0.45, whole=30, group_nodes=5, wide=3, chunk_tokens=400, part_tokens=900, bucket_cells=3000, broadcast_rows=10)).collect())
+    got = collections.Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows), ngram_join.JoinParams(share=0.45, whole=30, group_nodes=5, wide=3, chunk_tokens=400, part_tokens=900, bucket_cells=3000, matrix_cells=2000, broadcast_rows=10)).collect())
     assert got == brute_components([r[:2] for r in rows])
 
 
