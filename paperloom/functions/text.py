@@ -139,3 +139,14 @@ def auto_confirmed(qc_passed: Column, company_conf: Column, date: Column, date_c
     dated = date.isNotNull() & (date >= F.make_date(F.lit(earliest_year), F.lit(1), F.lit(1))) & (date <= as_of) & (date_conf >= least)
     passed = qc_passed & (company_conf >= least)
     return F.coalesce(passed & dated if use_dates else passed, F.lit(False))
+
+
+def month_stamp(date: Column, iso: Column | None = None, as_of: Column | None = None) -> Column:
+    """yyyyMM of a date, else of a text that starts like an ISO day, else of ``as_of``; null without any."""
+    found = [F.date_format(date, "yyyyMM")]
+    if iso is not None:
+        parts = F.split(iso, "-")
+        found.append(F.when(F.size(parts) >= 2, F.concat(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))
+    if as_of is not None:
+        found.append(F.date_format(as_of, "yyyyMM"))
+    return F.coalesce(*found)

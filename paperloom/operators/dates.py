@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import context_keywords
 from ..functions.windows import contexts_of
+from ..sources.shared import written
 
 # Month names and the patterns of dates, labels, control numbers and routing slips.
 MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -103,21 +104,81 @@ def control_anchor(text: Column, as_of: Column) -> Column:
     return F.get(F.filter(F.transform(windows, one), lambda x: x["date"].isNotNull()), F.lit(0))
 
 
-def labeled_dates(words: DataFrame, as_of: Column, share: float = 0.02) -> DataFrame:
+def first_date(text: Column, as_of: Column) -> Column:
+    """The date of the first pattern, in the patterns' order, whose first match is a date."""
+    return F.coalesce(*(parsed_date(F.regexp_extract(text, f"(?i)({p})", 1), as_of) for p in PATTERNS))
+
+
+def labeled_dates(words: DataFrame, as_of: Column, share: float = 0.02, reach: int = 80) -> DataFrame:
     """doc_id, page_idx, word_idx, text, left, top, width, page_height -> (doc_id, page_idx, date).
 
     A label's date is the first date word to its right in its row, else the first at or below and right of
-    it.  Labels are two words that stand side by side.
+    it, else the first date in the ``reach`` characters that follow the label in reading order.  Labels are two
+    words that stand side by side; words are numbered without gaps.
     """
     w = W.partitionBy("doc_id", "page_idx").orderBy("word_idx")
     marked = words.withColumns({"next": F.lead("text").over(w), "next_right": F.lead(F.col("left") + F.col("width")).over(w)})
     labels = marked.filter(F.concat_ws(" ", "text", "next").rlike(f"(?i)^{LABEL}")).select("doc_id", "page_idx", F.col("word_idx").alias("label"), F.col("top").alias("ly"), F.col("next_right").alias("lx"), F.greatest(F.col("page_height") * share, F.lit(10.0)).alias("tol"))
-    dated = words.withColumn("date", parsed_date(F.regexp_extract("text", "({}|{})".format(NUMERIC, NUMERIC_SHORT), 1), as_of)).filter("date is not null")
-    pairs = labels.join(dated, ["doc_id", "page_idx"])
-    row = (F.abs(F.col("top") - F.col("ly")) <= F.col("tol")) & (F.col("left") > F.col("lx"))
-    below = (F.col("top") >= F.col("ly")) & (F.col("left") >= F.col("lx"))
-    best = pairs.groupBy("doc_id", "page_idx", "label").agg(F.min_by("date", F.when(row, F.col("word_idx"))).alias("a"), F.min_by("date", F.when(below, F.col("word_idx"))).alias("b"))
-    return best.select("doc_id", "page_idx", F.coalesce("a", "b").alias("date")).filter("date is not null").distinct()
+    dated = words.withColumn("date", parsed_date(F.regexp_extract("text", "({}|{})".format(NUMERIC, NUMERIC_SHORT), 1), as_of))
+    # Words take two characters at least, so this many reach as far as the text after a label.
+    near = F.col("word_idx").between(F.col("label"), F.col("label") + reach // 2 + 2)
+    pairs = labels.join(dated, ["doc_id", "page_idx"]).filter(F.col("date").isNotNull() | near)
+    row = F.col("date").isNotNull() & (F.abs(F.col("top") - F.col("ly")) <= F.col("tol")) & (F.col("left") > F.col("lx"))
+    below = F.col("date").isNotNull() & (F.col("top") >= F.col("ly")) & (F.col("left") >= F.col("lx"))
+    best = pairs.groupBy("doc_id", "page_idx", "label").agg(
+        F.min_by("date", F.when(row, F.col("word_idx"))).alias("a"), F.min_by("date", F.when(below, F.col("word_idx"))).alias("b"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("word_idx", "text")))), lambda x: x["text"]), " ").alias("line"),
+    )
+    after = F.substring(F.regexp_replace("line", rf"(?i)^{LABEL}", ""), 1, reach)
+    return best.select("doc_id", "page_idx", F.coalesce("a", "b", first_date(after, as_of)).alias("date")).filter("date is not null").distinct()
+
+
+def _best_mentions(candidates: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, date, ord, conf, keywords, ambiguous): the surest mention of a date on a page."""
+    best = candidates.groupBy("doc_id", "page_idx", "date").agg(F.max_by(F.struct("conf", "keywords", "ambiguous"), F.struct("conf", -F.col("ord"))).alias("b"), F.min("ord").alias("ord"))
+    return best.select("doc_id", "page_idx", "date", "ord", "b.*")
+
+
+def _anchored(rows: DataFrame, labeled: DataFrame, control: DataFrame) -> DataFrame:
+    """Rows with whether a label (``labeled``) and whether a control number (``confirmed``, else null) names their date."""
+    rows = rows.join(labeled.select("doc_id", "page_idx", "date").distinct().withColumn("labeled", F.lit(True)), ["doc_id", "page_idx", "date"], "left")
+    return rows.join(control.select("doc_id", "page_idx", "date", "confirmed"), ["doc_id", "page_idx", "date"], "left")
+
+
+def _own_score() -> Column:
+    return F.lit(20.0) + F.size("keywords") * 15 + F.least("conf", F.lit(100.0)) * 0.3 + F.when(F.col("ambiguous"), -35.0).otherwise(20.0)
+
+
+def _anchor_bonus() -> Column:
+    return F.when(F.col("labeled") & F.col("confirmed").isNotNull(), 100).when(F.col("confirmed"), 90).when(F.col("confirmed").isNotNull(), 60).when(F.col("labeled"), 80).otherwise(0)
+
+
+def disagreeing_pages(labeled: DataFrame, control: DataFrame) -> DataFrame:
+    """(doc_id, page_idx) where labels and control numbers name dates and none in common."""
+    both = labeled.groupBy("doc_id", "page_idx").agg(F.collect_set("date").alias("l")).join(control.groupBy("doc_id", "page_idx").agg(F.collect_set("date").alias("c")), ["doc_id", "page_idx"])
+    return both.filter(~F.arrays_overlap("l", "c")).select("doc_id", "page_idx")
+
+
+def quick_confidence(pages: DataFrame, candidates: DataFrame, labeled: DataFrame, control: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, quick, anchored) of every page: the confidence, 100 at most, that the pages up to it give.
+
+    It is the best score so far, labels and control numbers included wherever they disagree; null before the
+    first candidate.  A page is anchored if a label or a control number on it names a date.
+    """
+    rows = _anchored(_best_mentions(candidates), labeled, control)
+    scores = rows.groupBy("doc_id", "page_idx").agg(F.max(_own_score() + _anchor_bonus()).alias("score"))
+    firsts = rows.groupBy("doc_id", "date").agg(F.min("page_idx").alias("page_idx")).groupBy("doc_id", "page_idx").agg(F.count(F.lit(1)).alias("new"))
+    anchors = labeled.select("doc_id", "page_idx").union(control.select("doc_id", "page_idx")).distinct().withColumn("anchored", F.lit(True))
+    on = ["doc_id", "page_idx"]
+    every = pages.select(*on).distinct().join(scores, on, "left").join(firsts, on, "left").join(anchors, on, "left")
+    so_far = W.partitionBy("doc_id").orderBy("page_idx").rowsBetween(W.unboundedPreceding, 0)
+    quick = F.max("score").over(so_far) + F.when(F.sum(F.coalesce("new", F.lit(0))).over(so_far) <= 1, 15.0).otherwise(0.0)
+    return every.select(*on, F.floor(F.least(quick, F.lit(100.0))).cast("int").alias("quick"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
+
+
+def quick_stops(quick: DataFrame) -> DataFrame:
+    """(doc_id, stop): the first anchored page after the first one with enough confidence; later pages are not read."""
+    return quick.filter((F.col("page_idx") >= 1) & (F.col("quick") >= STOP_SCORE) & F.col("anchored")).groupBy("doc_id").agg(F.min("page_idx").alias("stop"))
 
 
 def scored(candidates: DataFrame, labeled: DataFrame, control: DataFrame, until: DataFrame | None = None) -> DataFrame:
@@ -128,25 +189,27 @@ def scored(candidates: DataFrame, labeled: DataFrame, control: DataFrame, until:
     """
     if until is not None:
         candidates = candidates.join(until, "doc_id", "left").filter(F.col("stop").isNull() | (F.col("page_idx") <= F.col("stop"))).drop("stop")
-    best = candidates.groupBy("doc_id", "page_idx", "date").agg(F.max_by(F.struct("conf", "keywords", "ambiguous"), F.struct("conf", -F.col("ord"))).alias("b"), F.min("ord").alias("ord"))
+    best = _best_mentions(candidates)
     dates = best.groupBy("doc_id").agg(F.count_distinct("date").alias("dates"))
-    rows = best.join(dates, "doc_id").select("doc_id", "page_idx", "date", "ord", "b.*", "dates")
-    rows = rows.join(labeled.withColumn("labeled", F.lit(True)), ["doc_id", "page_idx", "date"], "left").join(control.select("doc_id", "page_idx", "date", "confirmed"), ["doc_id", "page_idx", "date"], "left")
-    differ = labeled.groupBy("doc_id", "page_idx").agg(F.collect_set("date").alias("l")).join(control.groupBy("doc_id", "page_idx").agg(F.collect_set("date").alias("c")), ["doc_id", "page_idx"])
-    differ = differ.select("doc_id", "page_idx", (~F.arrays_overlap("l", "c")).alias("differ"))
-    rows = rows.join(differ, ["doc_id", "page_idx"], "left")
-    base = F.lit(20.0) + F.size("keywords") * 15 + F.least("conf", F.lit(100.0)) * 0.3 + F.when(F.col("dates") <= 1, 15.0).otherwise(0.0) + F.when(F.col("ambiguous"), -35.0).otherwise(20.0)
-    bonus = F.when(F.coalesce("differ", F.lit(False)), 0).when(F.col("labeled") & F.col("confirmed").isNotNull(), 100).when(F.col("confirmed"), 90).when(F.col("confirmed").isNotNull(), 60).when(F.col("labeled"), 80).otherwise(0)
-    return rows.select("doc_id", "page_idx", "date", "ord", (base + bonus).alias("score"), F.coalesce("differ", F.lit(False)).alias("differ"))
-
-
-def decided(docs: DataFrame, scores: DataFrame, routing: DataFrame) -> DataFrame:
-    """doc_id, date, confidence, method, needs_review: a routing date decides, else the best candidate."""
+    rows = _anchored(best.join(dates, "doc_id"), labeled, control)
+    rows = rows.join(disagreeing_pages(labeled, control).withColumn("differ", F.lit(True)), ["doc_id", "page_idx"], "left")
+    score = _own_score() + F.when(F.col("dates") <= 1, 15.0).otherwise(0.0) + F.when(F.coalesce("differ", F.lit(False)), 0).otherwise(_anchor_bonus())
+    return rows.select("doc_id", "page_idx", "date", "ord", score.alias("score"), F.coalesce("differ", F.lit(False)).alias("differ"))
+
+
+def decided(docs: DataFrame, scores: DataFrame, routing: DataFrame, differing: DataFrame | None = None) -> DataFrame:
+    """doc_id, date, confidence, method, needs_review: a routing date decides, else the best candidate.
+
+    ``differing``: pages (doc_id, page_idx) where anchors disagree, with candidates or without.
+    """
     per_date = scores.groupBy("doc_id", "date").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "page_idx", "ord")).alias("place"), F.bool_or("differ").alias("differ"))
     w = W.partitionBy("doc_id").orderBy("place")
     ranked = per_date.withColumns({"rn": F.row_number().over(w), "next": F.lead("score").over(w), "any_differ": F.bool_or("differ").over(W.partitionBy("doc_id"))}).filter("rn = 1")
     best = ranked.select("doc_id", "date", F.floor(F.least("score", F.lit(float(FALLBACK_MOST)))).cast("int").alias("confidence"), (F.col("any_differ") | F.coalesce(F.col("score") - F.col("next") < REVIEW_GAP, F.lit(False))).alias("needs_review"))
     out = docs.select("doc_id").join(routing.select("doc_id", F.col("date").alias("r")), "doc_id", "left").join(best, "doc_id", "left")
+    if differing is not None:
+        out = out.join(differing.select("doc_id").distinct().withColumn("elsewhere", F.lit(True)), "doc_id", "left")
+        out = out.withColumn("needs_review", F.col("needs_review") | F.coalesce("elsewhere", F.lit(False)))
     routed = F.col("r").isNotNull()
     return out.select(
         "doc_id", F.coalesce("r", "date").alias("date"), F.when(routed, ROUTING_CONFIDENCE).otherwise(F.coalesce("confidence", F.lit(0))).alias("confidence"),
@@ -160,3 +223,31 @@ def stop_pages(page_scores: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("page_idx").rowsBetween(W.unboundedPreceding, 0)
     so_far = page_scores.withColumn("best", F.max("score").over(w))
     return so_far.filter((F.col("page_idx") >= 1) & (F.col("best") >= STOP_SCORE) & F.col("anchored")).groupBy("doc_id").agg(F.min("page_idx").alias("stop"))
+
+
+def document_dates(pages: DataFrame, words: DataFrame, as_of: Column, include_date: bool = True, skipped: DataFrame | None = None, conf: Column | None = None) -> DataFrame:
+    """From pages (doc_id, page_idx, page_text) and words (as ``labeled_dates`` takes them) to doc_id, date,
+    confidence, method, needs_review, one row per document.
+
+    Pages in ``skipped`` (doc_id, page_idx: blank ones and separators) give no candidates, but a routing slip on any
+    page decides.  Reading stops at the page that makes the document's date sure.  Without ``include_date`` no
+    date is looked for and the method is "skipped".  ``conf``: confidence of a candidate's reading.
+    """
+    docs = pages.select("doc_id").distinct()
+    if not include_date:
+        return docs.select("doc_id", F.lit(None).cast("date").alias("date"), F.lit(0).alias("confidence"), F.lit("skipped").alias("method"), F.lit(False).alias("needs_review"))
+    pages = pages.select("doc_id", "page_idx", "page_text")
+    slips = pages.select("doc_id", "page_idx", routing_date(F.col("page_text"), as_of).alias("r")).filter("r.date is not null")
+    routing = slips.groupBy("doc_id").agg(F.min_by("r.date", "page_idx").alias("date"))
+    # What a routing slip settles needs no scores.
+    read = pages.join(routing, "doc_id", "left_anti")
+    if skipped is not None:
+        read = read.join(skipped.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_anti")
+    found = written(date_candidates(read, as_of).withColumn("conf", F.lit(100.0) if conf is None else conf), "date-candidates")
+    labeled = written(labeled_dates(words.join(read.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_semi"), as_of), "labeled-dates")
+    control = read.select("doc_id", "page_idx", control_anchor(F.col("page_text"), as_of).alias("c")).select("doc_id", "page_idx", "c.date", "c.confirmed").filter("date is not null")
+    control = written(control, "control-dates")
+    stops = written(quick_stops(quick_confidence(read, found, labeled, control)), "date-stops")
+    until = lambda rows: rows.join(stops, "doc_id", "left").filter(F.col("stop").isNull() | (F.col("page_idx") <= F.col("stop"))).drop("stop")
+    labeled, control = until(labeled), until(control)
+    return decided(docs, scored(until(found), labeled, control), routing, disagreeing_pages(labeled, control).join(found, "doc_id", "left_semi"))

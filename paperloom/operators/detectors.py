@@ -14,20 +14,25 @@ from ..functions import text as X
 from ..functions.windows import windows_of
 from .layout import runs
 
-# Caption words, the subject line, noise that opens no company name, officers' titles.
+# Caption words, the header of a case, the subject line, noise that opens no company name, officers' titles.
 VERSUS = r"(?:-\s*versus\s*-|versus|vs\.?\s|vs\s*\.\s)"
 RESPONDENT = r"\b(?:respondents?|responder)\b"
 COMPLAINANT = r"\bcomplainants?\b"
+CASE_HEADER = r"(?i)republic\s+of\s+the\s+philippines"
 SUBJECT = r"(?i)subject\s*:\s*(.+?)(?:\n|$)"
 NOISE = r"(?i)^(?:[\d\s\-/().]+$|I\.?C\.?\s*\(CAD\)|CAD\s+CASE)"
 TITLES = r"president|chairman|chief\s+executive\s+officer|ceo|managing\s+director"
 HEAD_LINES, SIGNATURE_LINES, SIGNATURE_CHARS = 15, 8, 500
 FILLER = (
-    "president chairman ceo chief executive officer managing director of the for by its his her their a an in on at to from "
-    "as and or represented general manager but no not nor yet also too very just only now here there then than"
-).split()
-
-WINDOW_STOP = "versus vs v the of and for by its his her their a an in on at to from".split()
+    "president", "chairman", "ceo", "chief", "executive", "officer", "managing", "director", "of", "the", "for", "by",
+    "its", "his", "her", "their", "a", "an", "in", "on", "at", "to", "from", "as", "and", "or", "represented",
+    "general", "manager", "but", "no", "not", "nor", "yet", "also", "too", "very", "just", "only", "now", "here",
+    "there", "then", "than",
+)
+WINDOW_STOP = (
+    "versus", "vs", "v", "the", "of", "and", "for", "by", "its", "his", "her", "their", "a", "an", "in", "on", "at",
+    "to", "from",
+)
 
 
 def _words(c: Column) -> Column:
@@ -98,7 +103,7 @@ def _normal_windows(windows: Column) -> Column:
 def caption_keywords(text: Column) -> Column:
     """The first keyword before "Respondent" whose window, four words before and three after it, has a strong
     keyword in its normal form."""
-    windows = _normal_windows(windows_of(_before(text, RESPONDENT), X.ANY_KEYWORD_RE.removeprefix("(?i)"), 4, 3, tuple(WINDOW_STOP)))
+    windows = _normal_windows(windows_of(_before(text, RESPONDENT), X.ANY_KEYWORD_RE.removeprefix("(?i)"), 4, 3, WINDOW_STOP))
     return F.get(F.filter(windows, lambda w: w.rlike(X.STRONG_RE)), F.lit(0))
 
 

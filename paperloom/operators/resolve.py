@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import Roster
+from ..functions.fuzzy import Roster, token_set_ratio
 from ..functions.text import STRONG_RE, company_form, is_regulator, match_form, words
 from ..sources.shared import written
-from .detectors import HEAD_LINES, candidates, keyword_windows, lines_of, sender_region
+from .detectors import CASE_HEADER, COMPLAINANT, HEAD_LINES, RESPONDENT, candidates, caption_keywords, header_corroborated, keyword_windows, lines_of, sender_region, with_captions
 
 # Least score and boost by source, in the order of their labels; sources that confirm alone.
 PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10), ("letterhead", 72, 6), ("signature", 72, 6), ("gazetteer", 68, 5), ("keyword", 88, 0), ("folder", 95, 0))
@@ -201,3 +202,43 @@ def tier_matches(names: DataFrame, matches: DataFrame, cross_validated: str | No
         F.when(confirmed & (crossed | high), "high").when(confirmed, "medium").when(known, "low").otherwise("none").alias("label"),
         (~confirmed).alias("needs_review"),
     )
+
+
+def similar_names(a: str, b: str, least: int = 70) -> Column:
+    """Whether two columns of names are alike; false where one is null."""
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and q is not None and token_set_ratio(p, q) >= least for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    return alike(F.col(a), F.col(b))
+
+
+def tier_ladder(pages: DataFrame, roster: DataFrame) -> DataFrame:
+    """doc_id, name, tier, cross_validated, company_name, confidence, label, needs_review: one row per document.
+
+    The first tier that names a company decides: the caption of the best page (a case header counts 4, both
+    parties 2, a strong keyword 1; a page without any of these does not count, the first of equals does), then of the
+    first page that has one the routing slip, the wide caption, the words between the parties, the caption's keywords,
+    a keyword window that the roster matches beyond doubt, and the corroborated header.  Caption and routing slip
+    confirm each other if they are alike.  Without any, the name is empty, the tier "unresolved".
+    """
+    docs, t = pages.select("doc_id").distinct(), F.col("page_text")
+    pages = pages.select("doc_id", "page_idx", "page_text").filter("page_text <> ''")
+    rows = with_captions(pages).withColumns({"caption_keyword": caption_keywords(t), "header_corroborated": header_corroborated(t)})
+    marks = F.when(t.rlike(CASE_HEADER), 4).otherwise(0) + F.when(t.rlike(f"(?i){COMPLAINANT}") & t.rlike(f"(?i){RESPONDENT}"), 2).otherwise(0) + F.when(F.col("caption").rlike(STRONG_RE), 1).otherwise(0)
+    first = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("page_idx"))).alias(c)
+    best = rows.withColumn("marks", F.when(F.col("caption") != "", marks)).groupBy("doc_id").agg(
+        F.max_by("caption", F.when(F.col("marks") > 0, F.struct("marks", -F.col("page_idx")))).alias("caption"), first("routing_slip"), first("caption_wide"),
+        first("between_parties"), first("caption_keyword"), first("header_corroborated"),
+    )
+    best = written(docs.join(best, "doc_id", "left"), "ladder-names")
+    # Keyword windows are matched only where no surer tier names a company.
+    tiers = (("caption", "caption"), ("routing_slip", "routing_slip"), ("caption_wide", "caption_wide"), ("complainant_respondent", "between_parties"), ("caption_keyword", "caption_keyword"))
+    open_ = best.filter(F.coalesce(*(F.col(c) for _, c in tiers)).isNull()).select("doc_id")
+    full = keyword_candidates(pages.join(open_, "doc_id", "left_semi"), roster).groupBy("doc_id").agg(F.min_by("entry", "page_idx").alias("full_keyword"))
+    tiers += (("full_keyword", "full_keyword"), ("header_corroborated", "header_corroborated"))
+    chosen = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("name"), F.lit(tier).alias("tier"))) for tier, c in tiers), F.struct(F.lit("").alias("name"), F.lit("unresolved").alias("tier")))
+    named = best.join(full, "doc_id", "left").withColumn("cross_validated", similar_names("caption", "routing_slip"))
+    named = named.select("doc_id", "cross_validated", chosen.alias("n")).select("doc_id", "n.name", "n.tier", "cross_validated")
+    return tier_matches(named, roster_matches(named.filter("name <> ''"), roster), "cross_validated")

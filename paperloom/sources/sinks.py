@@ -32,6 +32,11 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return counts.select(done.cast("int").alias("ord"), F.format_string("%-36s %8d", "status", "n").alias("line"))
 
 
+def write_text(lines: DataFrame, path: str) -> None:
+    """(section, part, key, line) as text files that follow each other: sorted by ranges, not in one task."""
+    lines.orderBy("section", "part", "key", "line").select("line").write.mode("overwrite").text(path)
+
+
 def audit_rows(plan: DataFrame, docs: DataFrame) -> DataFrame:
     """An audit row for every document: its placement, or why it has none."""
     reason = F.when(F.col("status") != "confirmed", F.concat(F.lit("error: "), "status")).when(F.trim("company") == "", "error: no company").otherwise("ok")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SKIPPED_FOLDERS
+from ..functions.text import SKIPPED_FOLDERS, company_form
 
 MANIFEST = T.StructType(
     [
@@ -18,6 +18,9 @@ MANIFEST = T.StructType(
     ]
 )
 
+# Words of which a heading of a roster file has one.
+ROSTER_HEADINGS = ("company", "name", "customer", "vendor", "account")
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -51,11 +54,32 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """Names from a CSV file, one per line, without a header line that looks like one."""
-    names = spark.read.option("encoding", "UTF-8").csv(path, schema="entry string").filter(F.trim("entry") != "")
-    header = F.lower(F.trim("entry")).isin("company", "company name", "name", "companies", "roster")
-    return names.filter(~header).select(F.trim(F.regexp_replace("entry", "﻿", "")).alias("entry")).distinct()
+def read_roster(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
+    """Names (entry) in the first column of CSV files, in normal form, each once, without those in ``existing``.
+
+    The first line of a file goes if it looks like a heading; the same words further down are a name.
+    """
+    cells = spark.read.option("encoding", "UTF-8").option("multiLine", True).csv(path, schema="entry string")
+    cells = cells.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("entry", "\ufeff", "").alias("entry"))
+    # A file is read by one task, so its rows have rising numbers.  One row per file.
+    heads = cells.groupBy("file").agg(F.min_by("entry", "at").alias("entry"), F.min("at").alias("at"))
+    heads = heads.filter(F.lower("entry").rlike("|".join(ROSTER_HEADINGS))).select("file", "at")
+    names = cells.join(heads, ["file", "at"], "left_anti").filter(F.trim("entry") != "").select(company_form(F.trim("entry")).alias("entry")).distinct()
+    return names if existing is None else names.join(existing.select("entry"), "entry", "left_anti")
+
+
+def read_hints(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, key, company) of a hints file: the maps ``folders`` and ``letterheads``.
+
+    A missing file, one that is no JSON object and a missing map give no rows.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kinds = ("folders", "letterheads")
+    schema = ", ".join(f"{k} map<string,string>" for k in kinds)
+    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    hints = spark.read.option("multiLine", True).schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    one = lambda kind: hints.select(F.lit(kind).alias("kind"), F.explode(kind).alias("key", "company"))
+    return one(kinds[0]).union(one(kinds[1]))
 
 
 def text_pages(docs: DataFrame, lines: int = 10) -> DataFrame:

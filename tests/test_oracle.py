@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from paperloom.plans import composite_queries, desk_queries, more_queries, registry, relational_queries, scalar_queries, stream_queries  # noqa: F401
+from paperloom.plans import composite_queries, desk_queries, more_queries, registry, relational_queries, report_queries, scalar_queries, stream_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import arrays as A
 from paperloom.functions import text as X
 from paperloom.functions.fuzzy import common_subsequence, token_set_ratio
-from paperloom.operators import dates, detectors, naming, qc, reconcile, resolve, session, similarity
+from paperloom.operators import dates, detectors, naming, qc, reconcile, reports, resolve, session, similarity
 from paperloom.plans.finalize import finalize_plan
 from paperloom.sources import sinks, tables
 
@@ -298,3 +298,48 @@ def test_roster_bounds_lose_nothing():
         best = min(range(len(entries)), key=lambda i: (-int(scores[i]), i))
         other = min((i for i in range(len(entries)) if entries[i] != entries[best]), key=lambda i: (-int(scores[i]), i))
         assert r.two_best(name) == [(int(scores[best]), best), (int(scores[other]), other)]
+
+
+def test_text_report_order_and_empty(spark, tmp_path):
+    rows = spark.createDataFrame([("BORDERLINE", "/in/b.pdf", "b.pdf", None, None, None), ("DONE_SESSION", "C:\\in\\a.pdf", "a.pdf", "o.pdf", 0.5, "why")], "status string, path string, rel_path string, output_match string, score double, reason string")
+    outputs = spark.createDataFrame([], "status string, rel_path string, matched_inputs array<string>, reason string")
+    sinks.write_text(reports.text_report(rows, outputs, {"Input": "x"}), str(tmp_path / "t"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "t")).orderBy("_metadata.file_name", "_metadata.file_block_start").collect()]
+    assert lines[:3] == ["Remaining documents report", "=" * 48, "Input: x"]
+    at = lines.index("--- REMAINING - scan these ---")
+    assert lines[at + 1] == "  BORDERLINE" + " " * 25 + "b.pdf  ()"
+    assert lines[lines.index("--- DONE ---") + 1].endswith("a.pdf -> o.pdf [0.500]  (why)")
+    assert lines.count("  (none)") == 3
+    assert [r.input_file for r in reports.remaining_table(rows).orderBy("rel_path").collect()] == ["a.pdf", "b.pdf"]
+    assert reports.text_report(rows.limit(0), outputs, {}).filter("line = '  (none)'").count() == 5
+
+
+def test_roster_and_hints_files(spark, tmp_path):
+    (tmp_path / "r.csv").write_bytes("\ufeffVendor,No\r\nAlpha Insurance Corporation,1\r\n\"Beta, the\nsecond\",2\r\nVendor,3\r\n".encode())
+    got = {r.entry for r in tables.read_roster(spark, str(tmp_path / "r.csv")).collect()}
+    assert len(got) == 3 and "VENDOR" in got
+    held = spark.createDataFrame([("VENDOR",)], ["entry"])
+    assert {r.entry for r in tables.read_roster(spark, str(tmp_path / "r.csv"), held).collect()} == got - {"VENDOR"}
+    (tmp_path / "h.json").write_text('{"folders": {"a": "A"}}')
+    (tmp_path / "bad.json").write_text("[1, 2")
+    assert [tuple(r) for r in tables.read_hints(spark, str(tmp_path / "h.json")).collect()] == [("folders", "a", "A")]
+    assert not tables.read_hints(spark, str(tmp_path / "bad.json")).count() and not tables.read_hints(spark, str(tmp_path / "none.json")).count()
+
+
+def test_document_dates_disagreement(spark):
+    """Anchors that disagree on a page without candidates of theirs ask for a review; null and empty pages do not."""
+    pages = spark.createDataFrame([(1, 0, "On March 5, 2010 we wrote"), (2, 0, None), (2, 1, ""), (3, 0, "March 5, 2010 only")], "doc_id long, page_idx int, page_text string")
+    words = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate("Document Date: 01/13/2011 no 9002000777".split())], "doc_id long, page_idx int, word_idx int, text string")
+    words = words.withColumns({"left": F.col("word_idx") * 50.0, "top": F.lit(0.0), "width": F.lit(40.0), "page_height": F.lit(800.0)})
+    got = {r.doc_id: r for r in dates.document_dates(pages, words, F.lit("2024-01-01").cast("date")).collect()}
+    assert str(got[1].date) == "2010-03-05" and got[2].date is None and got[2].confidence == 0 and not got[2].needs_review and not got[3].needs_review
+    assert dates.document_dates(pages.limit(0), words, F.lit("2024-01-01").cast("date")).count() == 0
+
+
+def test_tier_ladder_takes_first_of_equal_pages(spark):
+    text = "A. Cruz, Complainant, versus {} Insurance Corporation, Respondent."
+    pages = spark.createDataFrame([(1, 0, text.format("Alpha")), (1, 1, text.format("Beta")), (2, 0, None)], "doc_id long, page_idx int, page_text string")
+    roster = spark.createDataFrame([("ALPHA INS CORP", 1), ("BETA INS CORP", 2)], "entry string, ord long")
+    got = {r.doc_id: r for r in resolve.tier_ladder(pages, roster).collect()}
+    assert (got[1].company_name, got[1].tier, got[1].label) == ("ALPHA INS CORP", "caption", "high")
+    assert (got[2].company_name, got[2].tier, got[2].needs_review) == ("", "unresolved", True)
