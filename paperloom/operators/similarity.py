@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import jaccard, page_tokens
+from ..functions.text import page_tokens
+from ..sources.shared import written
 
 
 def tokenized(pages: DataFrame, least: int = 3) -> DataFrame:
@@ -20,10 +22,14 @@ def document_frequency(pages: DataFrame) -> DataFrame:
 
 
 def rarest_tokens(pages: DataFrame, df: DataFrame, k: int = 8) -> DataFrame:
-    """doc_id, page_idx, token, df: each page's ``k`` tokens of least document frequency, ties by token."""
-    exploded = pages.select("doc_id", "page_idx", F.explode("tokens").alias("token")).join(df, "token")
-    w = W.partitionBy("doc_id", "page_idx").orderBy("df", "token")
-    return exploded.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+    """doc_id, page_idx, token, df: each page's ``k`` tokens of least document frequency, ties by token.
+
+    Frequencies may be those of tokens' hashes; then the hash of a token is returned.
+    """
+    key = F.xxhash64("word") if df.schema["token"].dataType == T.LongType() else F.col("word")
+    exploded = pages.select("doc_id", "page_idx", F.explode("tokens").alias("word")).withColumn("token", key).join(df, "token")
+    w = W.partitionBy("doc_id", "page_idx").orderBy("df", "word")
+    return exploded.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("doc_id", "page_idx", "token", "df")
 
 
 def followed_tokens(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: int = 20, share: int = 5, few: int = 40) -> DataFrame:
@@ -37,28 +43,38 @@ def followed_tokens(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: in
     return rare.crossJoin(F.broadcast(n)).select("doc_id", "token", (F.col("df") <= F.col("most")).alias("followed"))
 
 
-def candidate_documents(inputs: DataFrame, outputs: DataFrame, k: int = 8) -> DataFrame:
-    """doc_id, out_id: documents that share a followed token, which keeps the join near-linear."""
+def candidate_documents(inputs: DataFrame, outputs: DataFrame, k: int = 8, followed: DataFrame | None = None) -> DataFrame:
+    """doc_id, out_id: documents that share a followed token, which keeps the join near-linear.
+
+    ``followed``: what ``followed_tokens`` gave, if it is at hand.
+    """
     postings = outputs.select(F.col("doc_id").alias("out_id"), F.explode("tokens").alias("token")).distinct()
-    return followed_tokens(inputs, outputs, k).filter("followed").join(postings, "token").select("doc_id", "out_id").distinct()
+    rare = followed_tokens(inputs, outputs, k) if followed is None else followed
+    return rare.filter("followed").join(postings, "token").select("doc_id", "out_id").distinct()
+
+
+def hashed_jaccard(a, b):
+    """Share of common elements of two arrays of distinct 64-bit numbers; 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def _whole(pages: DataFrame) -> DataFrame:
     """doc_id, sig, pages: each document in one row, with the digest of its pages' token sets."""
-    docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", F.sort_array("tokens").alias("tokens")))).alias("pages"))
+    docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", F.sort_array("tokens").alias("hashes")))).alias("pages"))
     return docs.select("doc_id", F.sha2(F.to_json("pages"), 256).alias("sig"), "pages")
 
 
-def unfollowed_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75, k: int = 8) -> DataFrame:
+def unfollowed_matches(inputs: DataFrame, outputs: DataFrame, followed: DataFrame, page_least: float = 0.75) -> DataFrame:
     """As ``text_matches``, for the inputs that share tokens with the outputs but have none to follow.
 
     They are compared with all outputs.  Documents with the same pages are compared once; outputs without
     a common token are left out, as they score nothing.
     """
-    alone = followed_tokens(inputs, outputs, k).groupBy("doc_id").agg(F.bool_or("followed").alias("any")).filter("not any").select("doc_id")
+    alone = followed.groupBy("doc_id").agg(F.bool_or("followed").alias("any")).filter("not any").select("doc_id")
     one, two = _whole(inputs.join(alone, "doc_id", "left_semi")), _whole(outputs).select(F.col("doc_id").alias("out_id"), F.col("sig").alias("out_sig"), F.col("pages").alias("out_pages"))
     pairs = one.groupBy("sig").agg(F.first("pages").alias("pages")).crossJoin(two.groupBy("out_sig").agg(F.first("out_pages").alias("out_pages")))
-    best = F.transform("pages", lambda p: F.array_max(F.transform("out_pages", lambda q: F.struct(jaccard(p["tokens"], q["tokens"]).alias("s"), (-q["page_idx"]).alias("p")))))
+    best = F.transform("pages", lambda p: F.array_max(F.transform("out_pages", lambda q: F.struct(hashed_jaccard(p["hashes"], q["hashes"]).alias("s"), (-q["page_idx"]).alias("p")))))
     scored = pairs.select("sig", "out_sig", best.alias("best")).withColumn("scores", F.transform("best", lambda b: b["s"])).filter(F.array_max("scores") > 0)
     good = F.filter("best", lambda b: b["s"] >= page_least)
     found = scored.select("sig", "out_sig", (F.size(good) / F.size("best")).alias("coverage"), trimmed_mean(F.col("scores")).alias("score"), F.sort_array(F.array_distinct(F.transform(good, lambda b: -b["p"]))).alias("pages"))
@@ -77,18 +93,23 @@ def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75
     Inputs meet the outputs that share a followed token with them, or all outputs where there is none.
     Each input page takes its best output page (the first, on ties); coverage is the share of pages at or
     above ``page_least`` and score the trimmed mean of the page scores, both to nine digits, so that neither
-    depends on the order of sums.
+    depends on the order of sums.  Pages are compared by 64-bit hashes of their distinct tokens.
     """
-    pairs = candidate_documents(inputs, outputs, k)
-    pages = pairs.join(inputs, "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("tokens").alias("out_tokens")), "out_id")
-    scored = pages.select("doc_id", "out_id", "page_idx", "out_page", jaccard(F.col("tokens"), F.col("out_tokens")).alias("s"))
+    # Written, as texts are cut into tokens here and several steps read them.
+    hashes = lambda pages: pages.select("doc_id", "page_idx", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    inputs, outputs = written(inputs.select("doc_id", "page_idx", "tokens"), "input-tokens"), written(hashes(outputs), "output-tokens")
+    rare = written(followed_tokens(inputs, outputs, k), "followed-tokens")
+    inputs = hashes(inputs)
+    pairs = candidate_documents(inputs, outputs, k, rare)
+    pages = pairs.join(inputs.withColumnRenamed("tokens", "hashes"), "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("tokens").alias("out_hashes")), "out_id")
+    scored = pages.select("doc_id", "out_id", "page_idx", "out_page", hashed_jaccard(F.col("hashes"), F.col("out_hashes")).alias("s"))
     best = scored.groupBy("doc_id", "out_id", "page_idx").agg(F.max(F.struct("s", (-F.col("out_page")).alias("p"))).alias("b"))
     followed = best.groupBy("doc_id", "out_id").agg(
         F.avg((F.col("b.s") >= page_least).cast("double")).alias("coverage"),
         trimmed_mean(F.collect_list("b.s")).alias("score"),
         F.sort_array(F.collect_set(F.when(F.col("b.s") >= page_least, -F.col("b.p")))).alias("pages"),
     )
-    found = followed.unionByName(unfollowed_matches(inputs, outputs, page_least, k))
+    found = followed.unionByName(unfollowed_matches(inputs, outputs, rare, page_least))
     return found.withColumns({"coverage": F.round("coverage", 9), "score": F.round("score", 9)})
 
 
