@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .naming import numbered_globally
 from .reconcile import REMAINING
 
 # Points per inch, the recognition resolution and its least confidence.
@@ -185,3 +186,14 @@ def display_size(width: Column, height: Column, rotation: Column) -> Column:
     """Size of a page as it is shown: sides change places on a quarter turn."""
     turned = F.pmod(rotation, F.lit(180)) == 90
     return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def reviewed_in_order(docs: DataFrame) -> DataFrame:
+    """Documents with ``pos``, their place from 0 by name (none first), then path."""
+    named = docs.withColumn("__name", F.coalesce("name", F.lit("")))
+    return numbered_globally(named, ["__name", "path"], 0, "pos").drop("__name")
+
+
+def resumed_plan(plan: DataFrame, processed: DataFrame) -> DataFrame:
+    """path, pos: the plan's paths that are not processed, each once, with their place from 0 by path."""
+    return numbered_globally(plan.select("path").distinct().join(processed.select("path").distinct(), "path", "left_anti"), ["path"], 0, "pos")

@@ -171,3 +171,15 @@ def j_session_lists(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("in/"), F.col("o_orderkey").cast("string")).alias("path"))
     part = lambda rule: o.filter(rule)
     return session_flags(o, part("doc_id % 7 = 0"), part("doc_id % 11 = 0"), part("doc_id % 13 = 0"), part("doc_id % 2 = 0"), part("doc_id % 3 = 0"))
+
+
+@query("o_reviewed_order", "SELECT p_partkey, row_number() OVER (ORDER BY coalesce(nullif(p_brand, 'Brand#1'), ''), 'in/' || p_partkey) - 1 AS pos FROM part")
+def o_reviewed_order(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.nullif("p_brand", F.lit("Brand#1")).alias("name"), F.concat(F.lit("in/"), F.col("p_partkey").cast("string")).alias("path"))
+    return desk.reviewed_in_order(p).select("p_partkey", "pos")
+
+
+@query("o_resumed_plan", "SELECT path, row_number() OVER (ORDER BY path) - 1 AS pos FROM (SELECT DISTINCT 'in/' || o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0))")
+def o_resumed_plan(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("in/"), F.col("o_custkey").cast("string")).alias("path"))
+    return desk.resumed_plan(o, o.filter("o_orderkey % 20 = 0"))

@@ -343,3 +343,16 @@ def test_tier_ladder_takes_first_of_equal_pages(spark):
     got = {r.doc_id: r for r in resolve.tier_ladder(pages, roster).collect()}
     assert (got[1].company_name, got[1].tier, got[1].label) == ("ALPHA INS CORP", "caption", "high")
     assert (got[2].company_name, got[2].tier, got[2].needs_review) == ("", "unresolved", True)
+
+
+def test_cancelled_stream_goes_on_later(spark, tmp_path):
+    from paperloom.streaming import control, incremental
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    start = lambda: incremental.append_results(incremental.stream_table(spark, str(tmp_path / "in"), "id long"), lambda df: df, str(tmp_path / "out"), str(tmp_path / "at"))
+    seen = []
+    assert not control.run_until_cancelled(start(), lambda: True, seen.append)
+    assert control.run_until_cancelled(start(), lambda: False, seen.append) and len(seen) >= 2
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+    assert control.progress_text(2, 10, 4.0) == ("Processing 2/10 (working...) ~16s left", 26)
+    assert control.progress_text(0, 0, 1.0) == ("Processing 0/0 (working...)", 10)
