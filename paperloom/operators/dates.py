@@ -106,7 +106,9 @@ def control_anchor(text: Column, as_of: Column) -> Column:
 
 def first_date(text: Column, as_of: Column) -> Column:
     """The date of the first pattern, in the patterns' order, whose first match is a date."""
-    return F.coalesce(*(parsed_date(F.regexp_extract(text, f"(?i)({p})", 1), as_of) for p in PATTERNS))
+    # One lambda keeps the parser once in the plan.
+    found = F.transform(F.array(*(F.regexp_extract(text, f"(?i)({p})", 1) for p in PATTERNS)), lambda m: parsed_date(m, as_of))
+    return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
 def labeled_dates(words: DataFrame, as_of: Column, share: float = 0.02, reach: int = 80) -> DataFrame:

@@ -20,9 +20,9 @@ def p_roster_search(spark, d):
     return desk.found_in_roster(roster(spark, d).select("entry"), "  AN ")
 
 
-@query("j_roster_delete", "SELECT DISTINCT upper(p_name) || ' INSURANCE CORPORATION' AS entry FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size % 7 = 0)")
+@query("j_roster_delete", "SELECT DISTINCT upper(p_name) || ' INSURANCE CORPORATION' AS entry FROM part WHERE p_name >= 'm'")
 def j_roster_delete(spark, d):
-    gone = table(spark, d, "part").filter("p_size % 7 = 0").select(F.concat(F.upper("p_name"), F.lit(" INSURANCE CORPORATION")).alias("entry"))
+    gone = table(spark, d, "part").filter("p_name < 'm'").select(F.concat(F.upper("p_name"), F.lit(" INSURANCE CORPORATION")).alias("entry"))
     return desk.roster_without(roster(spark, d).select("entry"), gone)
 
 

@@ -157,11 +157,11 @@ def c_ladder(spark, d):
     return resolve.tier_ladder(pages, roster(spark, d).withColumn("entry", company_form(F.col("entry")))).drop("company_name")
 
 
-@query("j_roster_import", "SELECT DISTINCT upper(p_name) || ' INS CORP' AS entry FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size % 7 = 0)")
+@query("j_roster_import", "SELECT DISTINCT upper(p_name) || ' INS CORP' AS entry FROM part WHERE p_name >= 'm'")
 def j_roster_import(spark, d):
     """Names from text files with a heading each, without those that the roster has."""
     path = f"{shared_folder(spark)}/paperloom/roster-{uuid.uuid4().hex}"
-    names = table(spark, d, "part").select("p_size", F.concat("p_name", F.lit(" Insurance Corporation")).alias("Customer Name"))
+    names = table(spark, d, "part").select("p_name", "p_size", F.concat("p_name", F.lit(" Insurance Corporation")).alias("Customer Name"))
     sinks.export_csv(names.select("Customer Name", "p_size"), path)
-    held = names.filter("p_size % 7 = 0").select(company_form(F.col("Customer Name")).alias("entry"))
+    held = names.filter("p_name < 'm'").select(company_form(F.col("Customer Name")).alias("entry"))
     return tables.read_roster(spark, path, held)
