@@ -178,7 +178,8 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """documents -> doc_id, held_out, score, predicted, one row per input row.
 
     Null texts score as empty ones, which get the score of a chunk of padding; repeated rows score alike;
-    an empty table gives an empty result; only doc_id (for held_out) and text are read.
+    an empty table gives an empty result; only doc_id (for held_out) and text are read, whatever other columns
+    are called.  Very long texts are scored to their end.
     """
     p = model.p
 

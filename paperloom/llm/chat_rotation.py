@@ -42,7 +42,7 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = 4096, overfull: int
     number, ties by role and text; a null turn comes first in part 0, a null text is empty, a null role
     speaks as "unknown" and, like "system", gets no perspective of its own.  A null conv_id is one
     conversation.  Conversations without participants yield nothing, as does an empty table; repeated
-    rows are repeated turns; other columns are ignored.
+    rows are repeated turns; a very long text is rendered whole; other columns are ignored, whatever their names.
     """
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / part_turns).cast("long"))

@@ -313,8 +313,8 @@ def quality_rules(docs: DataFrame, params: RobustParams = RobustParams()) -> Dat
 
     A null text counts as empty and fails the base rule, as does any text under ten words.  Null
     languages and sources are values of their own.  Too small a pool is judged by its language, too
-    small a language by all documents.  Repeated rows are judged alike; an empty
-    table gives an empty result; other columns are ignored.
+    small a language by all documents.  Repeated rows are judged alike; very long texts are counted whole; an
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     stats = materialize(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"), "rules-stats")
     return judge(stats, fit(stats, params), params).select("doc_id", *BASE, "base_failed", "distance", "kept")

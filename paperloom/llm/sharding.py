@@ -127,7 +127,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, parts: int = 64) -> DataF
 
     Sizes are UTF-8 bytes plus 8.  Documents with equal texts share a shard; null counts as the empty
     text.  ``slot`` numbers a shard's rows from 0 without gaps, in an order fixed by ids and texts (rows
-    equal in both are alike).  An empty table gives an empty result; other columns are ignored.
+    equal in both are alike).  A very long text is one item like others; if it outweighs a shard's mean load, it
+    is one by itself.  An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", (utf8_bytes(F.col("text")) + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))

@@ -207,6 +207,9 @@ def test_top_k_few_and_empty(spark):
     rows = topk_nra.top_k(mk(few), F.col("vec_id") % 50 == 0).collect()
     assert {(r.query_id, r.vec_id) for r in rows} == {(0, 1), (0, 50), (50, 0), (50, 1)}
     assert topk_nra.top_k(mk(few[:0]), F.col("vec_id") % 50 == 0).count() == 0
+    names = ("rank", "score", "query_id", "vec", "copies", "block")
+    clash = topk_nra.top_k(mk(few).select("vec_id", "embedding", *(F.lit(9).alias(c) for c in names)), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in clash) == sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows)
     huge = [(0, [3e38, 3e38]), (1, [3e38, -1.0])]
     assert topk_nra.top_k(mk(huge), F.col("vec_id") % 50 == 0).count() == 1
 
@@ -496,6 +499,16 @@ def test_rotation(spark):
     assert chat_rotation.rotate_perspectives(t.limit(0)).count() == 0
 
 
+def test_rotation_of_long_texts_and_clashing_names(spark):
+    turns = [(1, 0, "ann", LONG), (1, 1, "bob", "short"), (1, 1, "bob", "short")]
+    t = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    names = ("part", "piece", "rows", "n_turns", "participant", "segments", "speaker", "mask", "start", "end", "share")
+    rows = {r.participant: r for r in chat_rotation.rotate_perspectives(t.select("*", *(F.lit("x").alias(c) for c in names))).collect()}
+    assert set(rows) == {"ann", "bob"} and all(r.n_turns == 3 for r in rows.values())
+    learned = [rows["ann"].text[s.start : s.end] for s in rows["ann"].segments if s.mask]
+    assert learned == [LONG + "<|im_end|>"]
+
+
 def test_long_dialogues_come_in_parts(spark):
     t = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     rows = chat_rotation.rotate_perspectives(t, part_turns=32).filter("participant = 'a'").orderBy("part").collect()
