@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, and the words themselves (Java and Python syntax alike).
 SPACE_CHARS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,3 +102,13 @@ def trim() -> None:
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
+
+
+def word_lists(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, a stretch of about ``size`` bytes at a time."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + size) if at + size < len(data) else None
+        end = gap.start() if gap else len(data)
+        yield data[at:end].split()
+        at = end

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import byte_cnn
 from .chat_rotation import rotate_perspectives
 from .common import table
+from .filter_audit import audit_filters
 from .mixing import mix_to_weights
 from .ngram_join import jaccard_components
 from .packing import pack_power_of_two
@@ -17,6 +18,8 @@ from .pii import surrogate_pii
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
+from .simhash_join import simhash_components
+from .source_divergence import source_divergence
 from .topk_nra import top_k
 
 
@@ -78,6 +81,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -90,11 +105,20 @@ def queries() -> dict:
         "op8_token_group_join": op8_token_group_join,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_secret_scan": op10_secret_scan,
+        "op11_simhash_grid": op11_simhash_grid,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nra_top_k": OP2_SQL, "op3_perspectives": OP3_SQL, "op7_mix_weights": OP7_SQL}
+    return {
+        "op2_nra_top_k": OP2_SQL,
+        "op3_perspectives": OP3_SQL,
+        "op7_mix_weights": OP7_SQL,
+        "op12_filter_audit": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
+    }
 
 
 OP2_SQL = """
@@ -145,3 +169,68 @@ SELECT doc_id, size, source_size, target,
        (size * least(2, whole + CASE WHEN after <= budget OR (after - tie <= budget AND after - budget < budget - (after - tie)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, map {
+    'A': len(w) < 50,
+    'B': 100 * len(list_distinct(w)) < 65 * len(w),
+    'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(d.doc_id > least, false)} AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE length(regexp_replace('ABCDE', '[' || a.x || b.x || c.x || d.x || e.x || ']', '', 'g')) = 0),
+s AS (SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter, string_split(substr(filter_order, 1, step - 1), '') AS earlier
+      FROM o, range(1, 6) r(step)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+e AS (
+  SELECT g.*, filter_order, step, letter, fails[letter] AS own, len(list_filter(earlier, lambda x: x <> '' AND coalesce(fails[x], false))) > 0 AS gone,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) AS failed
+  FROM g, s),
+r AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (WHERE NOT own AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE own AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE own AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM e GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+z AS (
+  SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT z.lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (z.total + v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (lang_n + 1) // (v.total + v))::BIGINT AS q
+  FROM z JOIN v ON z.lang = v.lang),
+r AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 200
+"""
