@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .similarity import best_match, image_matches, text_matches, unambiguous
+from .similarity import best_text_matches, image_matches, unambiguous
 
 REMAINING = ("REMAINING_PENDING", "REMAINING_AUTO", "REMAINING_RAW_COPY", "REMAINING_NO_OUTPUT", "REMAINING_MANIFEST_MISSING_OUTPUT", "BORDERLINE", "UNREADABLE")
 
@@ -147,7 +147,7 @@ def report(inputs, outputs, session, manifest, input_pages, output_pages, out_pa
     flags = manifest_flags(inputs, manifest, out_paths)
     settled = session.filter("reviewed or pending or auto").select("doc_id").union(flags.filter("in_manifest").select("doc_id")).distinct()
     final = outputs.filter("final").select(F.col("out_id").alias("doc_id")).distinct()
-    best = best_match(text_matches(input_pages.join(settled, "doc_id", "left_anti"), output_pages.join(final, "doc_id", "left_semi"))).select("doc_id", "out_id", "coverage", "score", "pages")
+    best = best_text_matches(input_pages.join(settled, "doc_id", "left_anti"), output_pages.join(final, "doc_id", "left_semi"))
     images = pictured = None
     if input_images is not None and output_images is not None:
         pictured = input_images.select("doc_id")

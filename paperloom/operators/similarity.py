@@ -12,7 +12,7 @@ from ..sources.shared import written
 
 
 def tokenized(pages: DataFrame, least: int = 3) -> DataFrame:
-    """doc_id, page_idx, tokens of the pages with at least ``least`` tokens."""
+    """doc_id, page_idx, tokens of the pages with at least ``least`` tokens: 3 for pages to be found, 1 for those to find them in."""
     return pages.select("doc_id", "page_idx", page_tokens(F.col("page_text")).alias("tokens")).filter(F.size("tokens") >= least)
 
 
@@ -32,14 +32,14 @@ def rarest_tokens(pages: DataFrame, df: DataFrame, k: int = 8) -> DataFrame:
     return exploded.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("doc_id", "page_idx", "token", "df")
 
 
-def followed_tokens(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: int = 20, share: int = 5, few: int = 40) -> DataFrame:
+def followed_tokens(inputs: DataFrame, outputs: DataFrame, k: int = 8, floor: int = 20, share: int = 5, few: int = 40, df: DataFrame | None = None) -> DataFrame:
     """doc_id, token, followed: the rarest tokens of the inputs' pages that occur in the outputs.
 
     Frequencies are those among the outputs; tokens in more than max(floor, outputs / share) documents
-    are not followed, and none is where there are at most ``few`` outputs.
+    are not followed, and none is where there are at most ``few`` outputs.  ``df``: the frequencies, if at hand.
     """
     n = outputs.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") > few, F.greatest(F.lit(floor), F.floor(F.col("n") / share))).otherwise(0).alias("most"))
-    rare = rarest_tokens(inputs, document_frequency(outputs), k).select("doc_id", "token", "df").distinct()
+    rare = rarest_tokens(inputs, document_frequency(outputs) if df is None else df, k).select("doc_id", "token", "df").distinct()
     return rare.crossJoin(F.broadcast(n)).select("doc_id", "token", (F.col("df") <= F.col("most")).alias("followed"))
 
 
@@ -65,20 +65,100 @@ def _whole(pages: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.to_json("pages"), 256).alias("sig"), "pages")
 
 
+def _each_once(docs: DataFrame) -> DataFrame:
+    """sig, first, pages: of documents with the same pages the one with the least id."""
+    first = docs.groupBy("sig").agg(F.min("doc_id").alias("first"))
+    return first.join(docs.select(F.col("doc_id").alias("first"), "pages"), "first").select("sig", "first", "pages")
+
+
+def _scored(pairs: DataFrame, page_least: float) -> DataFrame:
+    """sig, out_sig, pages, out_pages -> sig, out_sig, coverage, score, pages; without pairs that share no token."""
+    each = pairs.select("sig", "out_sig", F.explode("pages").alias("p"), "out_pages").select("sig", "out_sig", "p", F.explode("out_pages").alias("q"))
+    each = each.select("sig", "out_sig", "p.page_idx", F.col("q.page_idx").alias("out_page"), hashed_jaccard(F.col("p.hashes"), F.col("q.hashes")).alias("s"))
+    best = each.groupBy("sig", "out_sig", "page_idx").agg(F.max(F.struct("s", (-F.col("out_page")).alias("p"))).alias("b"))
+    good = F.col("b.s") >= page_least
+    scored = best.groupBy("sig", "out_sig").agg(
+        F.round(F.avg(good.cast("double")), 9).alias("coverage"), F.round(trimmed_mean(F.collect_list("b.s")), 9).alias("score"),
+        F.sort_array(F.collect_set(F.when(good, -F.col("b.p")))).alias("pages"), F.max("b.s").alias("__top"),
+    )
+    return scored.filter("__top > 0").drop("__top")
+
+
+def _out(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({"sig": "out_sig", "first": "out_first", "pages": "out_pages", "doc_id": "out_id"})
+
+
 def unfollowed_matches(inputs: DataFrame, outputs: DataFrame, followed: DataFrame, page_least: float = 0.75) -> DataFrame:
     """As ``text_matches``, for the inputs that share tokens with the outputs but have none to follow.
 
-    They are compared with all outputs.  Documents with the same pages are compared once; outputs without
-    a common token are left out, as they score nothing.
+    They are compared with all outputs that share any token, as others score nothing.  Documents with the
+    same pages are compared once.
     """
     alone = followed.groupBy("doc_id").agg(F.bool_or("followed").alias("any")).filter("not any").select("doc_id")
-    one, two = _whole(inputs.join(alone, "doc_id", "left_semi")), _whole(outputs).select(F.col("doc_id").alias("out_id"), F.col("sig").alias("out_sig"), F.col("pages").alias("out_pages"))
-    pairs = one.groupBy("sig").agg(F.first("pages").alias("pages")).crossJoin(two.groupBy("out_sig").agg(F.first("out_pages").alias("out_pages")))
-    best = F.transform("pages", lambda p: F.array_max(F.transform("out_pages", lambda q: F.struct(hashed_jaccard(p["hashes"], q["hashes"]).alias("s"), (-q["page_idx"]).alias("p")))))
-    scored = pairs.select("sig", "out_sig", best.alias("best")).withColumn("scores", F.transform("best", lambda b: b["s"])).filter(F.array_max("scores") > 0)
-    good = F.filter("best", lambda b: b["s"] >= page_least)
-    found = scored.select("sig", "out_sig", (F.size(good) / F.size("best")).alias("coverage"), trimmed_mean(F.col("scores")).alias("score"), F.sort_array(F.array_distinct(F.transform(good, lambda b: -b["p"]))).alias("pages"))
-    return found.join(one.select("doc_id", "sig"), "sig").join(two.select("out_id", "out_sig"), "out_sig").select("doc_id", "out_id", "coverage", "score", "pages")
+    one, two = _whole(inputs.join(alone, "doc_id", "left_semi")), _out(_whole(outputs))
+    tokens = lambda df, sig, pages: df.select(sig, F.explode(F.array_distinct(F.flatten(F.transform(pages, lambda p: p["hashes"])))).alias("token")).distinct()
+    pairs = tokens(one, "sig", "pages").join(tokens(two, "out_sig", "out_pages"), "token").select("sig", "out_sig").distinct()
+    pairs = pairs.join(one.groupBy("sig").agg(F.first("pages").alias("pages")), "sig").join(two.groupBy("out_sig").agg(F.first("out_pages").alias("out_pages")), "out_sig")
+    return _scored(pairs, page_least).join(one.select("doc_id", "sig"), "sig").join(two.select("out_id", "out_sig"), "out_sig").select("doc_id", "out_id", "coverage", "score", "pages")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float, df: DataFrame) -> DataFrame:
+    """(id, page_idx, hashes) against the same with other_id -> id, other_id: a pair for every two that have
+    pages whose sets of tokens are at least ``least`` (over 0) similar by Jaccard, and some that have none.
+
+    Tokens go from the rarest to the most frequent by ``df`` (token, df: all tokens of the right at least);
+    others come first, as they meet nothing.  A
+    set of n tokens shares one of its first n - ceil(least * n) + 1 with any set so similar, so only these
+    are joined: common tokens meet only where a set has no others.  What two sets share there and the number
+    of tokens that one of them has left bound what they share at all, which rules out most that meet.
+    """
+
+    def prefixes(sets: DataFrame, key: str) -> DataFrame:
+        tokens = sets.select(key, "page_idx", F.explode("hashes").alias("token")).join(df, "token", "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+        ordered = tokens.groupBy(key, "page_idx").agg(order.alias("order")).withColumn("n", F.size("order"))
+        ordered = ordered.withColumn("rest", F.least(F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") - 1, F.col("n") - 1))
+        rows = ordered.select(key, F.col("page_idx").alias(f"{key}_page"), F.col("n").alias(f"{key}_n"), F.col("rest").alias(f"{key}_rest"), F.explode(F.slice("order", F.lit(1), F.col("n") - F.col("rest"))).alias("x"))
+        return rows.filter("x.df > 0").select(F.col("x.token").alias("token"), *rows.columns[:-1])
+
+    rows = prefixes(left, "id").join(prefixes(right, "other_id"), "token").filter((F.col("id_n") >= least * F.col("other_id_n") - 1e-6) & (F.col("other_id_n") >= least * F.col("id_n") - 1e-6))
+    met = rows.groupBy(*(c for c in rows.columns if c != "token")).agg(F.count(F.lit(1)).alias("met"))
+    most = F.col("met") + F.greatest("id_rest", "other_id_rest")
+    return met.filter(most * (1 + least) >= (F.col("id_n") + F.col("other_id_n")) * least - 1e-6).select("id", "other_id").distinct()
+
+
+def similar_documents(inputs: DataFrame, outputs: DataFrame, least: float, page_least: float = 0.75, k: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of different documents whose score reaches ``least`` or that cover a page, and who has which pages.
+
+    Returns (sig, out_sig, out_first, coverage, score, pages), (doc_id, sig) and (out_id, out_sig).  The pairs
+    are those of ``text_matches``, but none is looked at unless some of its pages are ``least`` similar.
+    """
+    hashes = lambda pages: pages.select("doc_id", "page_idx", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    inputs, outputs = written(inputs.select("doc_id", "page_idx", "tokens"), "input-tokens"), written(hashes(outputs), "output-tokens")
+    ins, outs = written(_whole(hashes(inputs)), "input-documents"), written(_whole(outputs), "output-documents")
+    one, two = written(_each_once(ins), "inputs-once"), written(_out(_each_once(outs)), "outputs-once")
+    sets = lambda df, doc, pages, name: df.select(F.col(doc).alias(name), F.explode(pages).alias("p")).select(name, "p.page_idx", "p.hashes")
+    df = written(document_frequency(outputs), "token-documents")
+    near = similar_sets(sets(one, "first", "pages", "id"), sets(two, "out_first", "out_pages", "other_id"), min(least, page_least), df)
+    near = written(near.select(F.col("id").alias("first"), F.col("other_id").alias("out_first")), "near-documents")
+    firsts = inputs.join(near.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    followed = followed_tokens(firsts, outputs, k, df=df).filter("followed").groupBy(F.col("doc_id").alias("first")).agg(F.collect_set("token").alias("followed"))
+    pairs = near.join(one.join(followed, "first", "left"), "first").join(two, "out_first")
+    meets = F.col("followed").isNull() | F.exists("out_pages", lambda p: F.arrays_overlap("followed", p["hashes"]))
+    found = _scored(pairs.filter(meets), page_least).filter((F.col("score") >= least) | (F.col("coverage") > 0))
+    return found.join(two.select("out_sig", "out_first"), "out_sig"), ins.select("doc_id", "sig"), _out(outs.select("doc_id", "sig"))
+
+
+def best_text_matches(inputs: DataFrame, outputs: DataFrame, least: float = 0.6, page_least: float = 0.75, k: int = 8) -> DataFrame:
+    """doc_id, out_id, coverage, score, pages: each input's best output, if it covers a page or scores ``least``.
+
+    What ``best_match`` of ``text_matches`` gives for these inputs, without looking at other pairs and without a
+    row for every pair of copies.  Inputs whose best output scores less have no row.
+    """
+    pairs, ins, _ = similar_documents(inputs, outputs, least, page_least, k)
+    rank = F.struct("coverage", "score", (-F.col("out_first")).alias("o"))
+    best = pairs.groupBy("sig").agg(F.max_by(F.struct(F.col("out_first").alias("out_id"), "coverage", "score", "pages"), rank).alias("b"))
+    return ins.join(best, "sig").select("doc_id", "b.*")
 
 
 def trimmed_mean(scores, share: float = 0.9):
@@ -87,30 +167,32 @@ def trimmed_mean(scores, share: float = 0.9):
     return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
 
 
-def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75, k: int = 8) -> DataFrame:
+def text_matches(inputs: DataFrame, outputs: DataFrame, page_least: float = 0.75, k: int = 8, least: float = 0.0) -> DataFrame:
     """doc_id, out_id, coverage, score, pages: pairs with their page-by-page similarity.
 
     Inputs meet the outputs that share a followed token with them, or all outputs where there is none.
     Each input page takes its best output page (the first, on ties); coverage is the share of pages at or
     above ``page_least`` and score the trimmed mean of the page scores, both to nine digits, so that neither
     depends on the order of sums.  Pages are compared by 64-bit hashes of their distinct tokens.
+
+    With ``least`` over 0 only pairs of at least that score are returned, and only pairs with pages that
+    similar are looked at.  Without it every pair that shares a token followed is, which can be a fixed share
+    of all pairs.
     """
+    if least > 0:
+        pairs, ins, outs = similar_documents(inputs, outputs, least, page_least, k)
+        return pairs.filter(F.col("score") >= least).join(ins, "sig").join(outs, "out_sig").select("doc_id", "out_id", "coverage", "score", "pages")
     # Written, as texts are cut into tokens here and several steps read them.
     hashes = lambda pages: pages.select("doc_id", "page_idx", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     inputs, outputs = written(inputs.select("doc_id", "page_idx", "tokens"), "input-tokens"), written(hashes(outputs), "output-tokens")
     rare = written(followed_tokens(inputs, outputs, k), "followed-tokens")
     inputs = hashes(inputs)
     pairs = candidate_documents(inputs, outputs, k, rare)
-    pages = pairs.join(inputs.withColumnRenamed("tokens", "hashes"), "doc_id").join(outputs.select(F.col("doc_id").alias("out_id"), F.col("page_idx").alias("out_page"), F.col("tokens").alias("out_hashes")), "out_id")
-    scored = pages.select("doc_id", "out_id", "page_idx", "out_page", hashed_jaccard(F.col("hashes"), F.col("out_hashes")).alias("s"))
-    best = scored.groupBy("doc_id", "out_id", "page_idx").agg(F.max(F.struct("s", (-F.col("out_page")).alias("p"))).alias("b"))
-    followed = best.groupBy("doc_id", "out_id").agg(
-        F.avg((F.col("b.s") >= page_least).cast("double")).alias("coverage"),
-        trimmed_mean(F.collect_list("b.s")).alias("score"),
-        F.sort_array(F.collect_set(F.when(F.col("b.s") >= page_least, -F.col("b.p")))).alias("pages"),
-    )
-    found = followed.unionByName(unfollowed_matches(inputs, outputs, rare, page_least))
-    return found.withColumns({"coverage": F.round("coverage", 9), "score": F.round("score", 9)})
+    one = _whole(inputs).select(F.col("doc_id").alias("sig"), "pages")
+    two = _whole(outputs).select(F.col("doc_id").alias("out_sig"), F.col("pages").alias("out_pages"))
+    pairs = pairs.select(F.col("doc_id").alias("sig"), F.col("out_id").alias("out_sig")).join(one, "sig").join(two, "out_sig")
+    followed = _scored(pairs, page_least).withColumnsRenamed({"sig": "doc_id", "out_sig": "out_id"})
+    return followed.select("doc_id", "out_id", "coverage", "score", "pages").unionByName(unfollowed_matches(inputs, outputs, rare, page_least))
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -116,15 +116,15 @@ def w_top3_gap(spark, d):
 
 
 PAGES_SQL = """pages_ AS (SELECT doc_id, (i - 1) // 10 AS page_idx, string_agg(line, chr(10) ORDER BY i) AS page_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY 1, 2),
-tok AS (SELECT doc_id, page_idx, list_distinct(regexp_extract_all(lower(page_text), '[a-z0-9]{4,}')) AS t FROM pages_ WHERE len(list_distinct(regexp_extract_all(lower(page_text), '[a-z0-9]{4,}'))) >= 3),
-inp AS (SELECT * FROM tok WHERE doc_id % 2 = 0), outp AS (SELECT * FROM tok WHERE doc_id % 2 = 1),
+tok AS (SELECT doc_id, page_idx, list_distinct(regexp_extract_all(lower(page_text), '[a-z0-9]{4,}')) AS t FROM pages_ WHERE len(regexp_extract_all(lower(page_text), '[a-z0-9]{4,}')) > 0),
+inp AS (SELECT * FROM tok WHERE len(t) >= 3 AND doc_id % 2 = 0), outp AS (SELECT * FROM tok WHERE doc_id % 2 = 1),
 df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM outp) GROUP BY token),
 rare AS (SELECT * FROM (SELECT doc_id, page_idx, token, df, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY df, token) AS rn FROM (SELECT doc_id, page_idx, unnest(t) AS token FROM inp) JOIN df USING (token)) WHERE rn <= 8)"""
 
 
 def _sides(spark, d):
-    tokens = similarity.tokenized(text_pages(table(spark, d, "documents")))
-    return tokens.filter("doc_id % 2 = 0"), tokens.filter("doc_id % 2 = 1")
+    pages = text_pages(table(spark, d, "documents"))
+    return similarity.tokenized(pages.filter("doc_id % 2 = 0")), similarity.tokenized(pages.filter("doc_id % 2 = 1"), least=1)
 
 
 @query("w_rare8", f"WITH {PAGES_SQL} SELECT doc_id, page_idx::INTEGER AS page_idx, token, df FROM rare")
@@ -251,8 +251,8 @@ tm AS (SELECT doc_id, out_id, round(avg(CASE WHEN s >= 0.75 THEN 1.0::DOUBLE ELS
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(coverage, 9) DESC, round(score, 9) DESC, out_id) AS rn FROM tm) WHERE rn = 1)"""
 
 
-def _matches(spark, d):
-    return similarity.text_matches(*_sides(spark, d))
+def _matches(spark, d, least=0.0):
+    return similarity.text_matches(*_sides(spark, d), least=least)
 
 
 @query("j_jaccard_rare", f"WITH {PAGES_SQL}, {JACCARD_SQL} SELECT doc_id, out_id, round(coverage, 9) AS coverage, round(score, 9) AS score FROM best")
@@ -262,7 +262,7 @@ def j_jaccard_rare(spark, d):
 
 @query("j_page_argmax", f"WITH {PAGES_SQL}, {JACCARD_SQL} SELECT doc_id, out_id, coalesce(array_to_string(pages, ','), '') AS pages FROM tm WHERE score >= 0.5")
 def j_page_argmax(spark, d):
-    return _matches(spark, d).filter("score >= 0.5").select("doc_id", "out_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    return _matches(spark, d, 0.5).select("doc_id", "out_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 BITS_SQL = "(SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT)), lambda a, b: a * 2 + b) AS bits FROM embeddings)"
@@ -344,7 +344,7 @@ def r_remaining(spark, d):
 pg AS (SELECT doc_id, out_id, row_number() OVER (PARTITION BY out_id, page ORDER BY round(score, 9) DESC, k DESC, doc_id) AS rn FROM (SELECT doc_id, out_id, score, len(pages) AS k, unnest(pages) AS page FROM mt))
 SELECT doc_id, out_id, coalesce(len(pages), 0) = 0 OR EXISTS (SELECT 1 FROM pg WHERE rn = 1 AND pg.doc_id = mt.doc_id AND pg.out_id = mt.out_id) AS kept FROM mt""")
 def r_set_cover(spark, d):
-    m = _matches(spark, d).filter("coverage >= 0.8 and score >= 0.85")
+    m = _matches(spark, d, 0.85).filter("coverage >= 0.8")
     return reconcile.covering_inputs(m)
 
 
