@@ -77,7 +77,10 @@ def date_candidates(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 def routing_date(text: Column, as_of: Column) -> Column:
-    """struct(date, source) near a control number or a routing slip's header, null without one."""
+    """struct(date, source) near a control number or a routing slip's header, null without one.
+
+    Any day up to the end of ``as_of``'s year will do: slips are dated ahead."""
+    as_of = F.make_date(F.year(as_of), F.lit(12), F.lit(31))
     fit = lambda d: in_range(d, as_of, ROUTING_FLOOR)
     parts = lambda c, p, order=(1, 2, 3): ymd(*(_int(F.regexp_extract(c, p, i)) for i in order))
     after_control = F.regexp_extract_all(text, F.lit(rf"{CONTROL}(?=([\s\S]{{0,80}}))"), F.lit(1))

@@ -19,6 +19,15 @@ POINTS, SCAN_DPI, LEAST_CONFIDENCE = 72.0, 150, 20
 # ---- lists ---------------------------------------------------------------------------------------
 
 
+def native_text(pages: DataFrame, probe: int = 3, least: int = 40) -> DataFrame:
+    """doc_id, has_text: whether the first ``probe`` pages hold ``least`` characters, so that none need be recognised.
+
+    White space around a page's text does not count; null texts are empty; documents without these pages have no row.
+    """
+    length = F.length(F.regexp_replace(F.coalesce("page_text", F.lit("")), r"^\s+|\s+$", ""))
+    return pages.filter(F.col("page_idx") < probe).groupBy("doc_id").agg((F.sum(length) >= least).alias("has_text"))
+
+
 def pending(docs: DataFrame) -> DataFrame:
     """Documents that were not reviewed; a null mark is not reviewed."""
     return docs.filter(~F.coalesce("reviewed", F.lit(False)))

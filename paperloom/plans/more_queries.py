@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 from ..functions.text import ANY_KEYWORD_RE, STRONG_RE, company_form, is_regulator
-from ..operators import resolve, similarity
+from ..operators import desk, resolve, similarity
 from ..sources import sinks
 from ..sources.tables import roster, table
 from .registry import query
@@ -31,10 +31,11 @@ def p_valid_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.try_to_date(raw, "yyyy-MM-dd").alias("confirmed"))
 
 
-@query("p_native_probe", "SELECT conv_id, sum(length(trim(text, ' ' || chr(10))))::BIGINT >= 400 AS has_text FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@query("p_native_probe", "SELECT conv_id, sum(length(trim(text, ' ' || chr(10))))::BIGINT >= 40 AS has_text FROM conversations WHERE turn < 3 GROUP BY conv_id")
 def p_native_probe(spark, d):
     """Whether the first three pages hold enough text to do without recognition."""
-    return table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg((F.sum(F.length(F.btrim("text", F.lit(" \n")))) >= 400).alias("has_text"))
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_idx"), F.col("text").alias("page_text"))
+    return desk.native_text(pages).withColumnRenamed("doc_id", "conv_id")
 
 
 @query("p_blank_verified", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 2)) < 2 AS blank FROM documents")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, words
-from ..operators import layout, naming, qc, reconcile, resolve, session, similarity
+from ..operators import layout, naming, qc, reconcile, reports, resolve, session, similarity
+from ..sources.shared import written
 from ..sources.tables import roster, table, text_pages
 from .registry import query
 
@@ -229,7 +230,7 @@ mf AS (SELECT doc_id, valid OR missing AS in_manifest, valid FROM mv)"""
 
 @query("j_manifest_guard", f"WITH {MANIFEST_SQL} SELECT * FROM mf")
 def j_manifest_guard(spark, d):
-    return reconcile.manifest_flags(*_manifest_tables(spark, d))
+    return reconcile.manifest_flags(*_manifest_tables(spark, d)).select("doc_id", "in_manifest", "valid")
 
 
 @query("j_session_flags", "SELECT o_orderkey, o_orderstatus = 'F' AS reviewed, o_orderstatus = 'O' AND o_orderkey % 2 = 0 AS pending, o_orderkey % 5 = 0 AND o_orderstatus = 'P' AS auto FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 3 = 0)")
@@ -306,10 +307,11 @@ def _session(spark, d):
     return table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 14 == 0).alias("reviewed"), (F.col("doc_id") % 22 == 0).alias("pending"), (F.col("doc_id") % 26 == 0).alias("auto"))
 
 
-def _report(spark, d):
+def _report(spark, d, name=None):
     inputs, manifest, there = _manifest_tables(spark, d)
     a, b = _sides(spark, d)
     outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha", (F.col("doc_id") % 5 != 3).alias("final"))
+    outputs = outputs if name is None else outputs.withColumn("name", name)
     return reconcile.report(inputs, outputs, _session(spark, d), manifest, a, b, there)
 
 
@@ -322,7 +324,7 @@ st AS (SELECT i.doc_id, b.out_id, b.score, b.pages, CASE WHEN reviewed THEN 'DON
 mt AS (SELECT *, count(*) OVER (PARTITION BY out_id) AS n FROM st WHERE status = 'DONE_TEXT_MATCH'),
 pg AS (SELECT doc_id, out_id, row_number() OVER (PARTITION BY out_id, page ORDER BY score DESC, k DESC, doc_id) AS rn FROM (SELECT doc_id, out_id, score, len(pages) AS k, unnest(pages) AS page FROM mt WHERE n > 1)),
 kp AS (SELECT doc_id, out_id, coalesce(len(pages), 0) = 0 OR doc_id IN (SELECT doc_id FROM pg WHERE rn = 1 AND pg.out_id = mt.out_id) AS kept FROM mt WHERE n > 1),
-rp AS (SELECT st.doc_id, CASE WHEN st.status = 'DONE_TEXT_MATCH' THEN st.out_id END AS out_id, CASE WHEN kept IS NULL THEN status WHEN NOT kept THEN 'BORDERLINE' WHEN (SELECT count(*) FROM kp k2 WHERE k2.kept AND k2.out_id = st.out_id) > 1 THEN 'SHARED_OUTPUT' ELSE status END AS status FROM st LEFT JOIN kp USING (doc_id))"""
+rp AS (SELECT st.doc_id, CASE WHEN st.status IN ('DONE_TEXT_MATCH', 'BORDERLINE') THEN st.out_id END AS out_id, CASE WHEN kept IS NULL THEN status WHEN NOT kept THEN 'BORDERLINE' WHEN (SELECT count(*) FROM kp k2 WHERE k2.kept AND k2.out_id = st.out_id) > 1 THEN 'SHARED_OUTPUT' ELSE status END AS status FROM st LEFT JOIN kp USING (doc_id))"""
 
 
 @query("r_statuses", REPORT_SQL + " SELECT status, count(*) AS inputs FROM rp GROUP BY status")
@@ -348,11 +350,50 @@ def r_set_cover(spark, d):
     return reconcile.covering_inputs(m)
 
 
-@query("j_output_status", REPORT_SQL + """, u AS (SELECT out_id, count(*) AS inputs FROM rp WHERE status IN ('DONE_TEXT_MATCH', 'SHARED_OUTPUT') GROUP BY out_id)
-SELECT h.doc_id AS out_id, CASE WHEN inputs > 1 THEN 'SHARED_OUTPUT' WHEN inputs = 1 THEN 'MATCHED' WHEN h.sha IN (SELECT sha FROM i WHERE sha IS NOT NULL) THEN 'RAW_COPY' ELSE 'ORPHAN_OUTPUT' END AS status, coalesce(inputs, 0) AS inputs FROM h LEFT JOIN u ON u.out_id = h.doc_id WHERE h.doc_id % 2 = 1""")
+OUTPUTS_SQL = """u AS (SELECT out_id, count(*) AS inputs FROM rp WHERE status IN ('DONE_TEXT_MATCH', 'SHARED_OUTPUT') GROUP BY out_id),
+ou AS (SELECT h.doc_id AS out_id, h.doc_id % 5 <> 3 AS final, inputs, h.sha IN (SELECT sha FROM i WHERE sha IS NOT NULL) AS raw FROM h LEFT JOIN u ON u.out_id = h.doc_id WHERE h.doc_id % 2 = 1),
+os AS (SELECT *, CASE WHEN final AND inputs > 1 THEN 'SHARED_OUTPUT' WHEN final AND inputs = 1 THEN 'MATCHED' WHEN NOT final AND raw THEN 'RAW_COPY' ELSE 'ORPHAN_OUTPUT' END AS status FROM ou)"""
+
+
+def _output_statuses(spark, d, rows):
+    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha", (F.col("doc_id") % 5 != 3).alias("final"))
+    return reconcile.output_statuses(outputs, rows, _hashed(spark, d).filter("doc_id % 2 = 0"))
+
+
+@query("j_output_status", REPORT_SQL + f", {OUTPUTS_SQL} SELECT out_id, status, coalesce(inputs, 0) AS inputs FROM os")
 def j_output_status(spark, d):
-    outputs = _hashed(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("out_id"), "sha")
-    return reconcile.output_statuses(outputs, _report(spark, d).filter(F.col("status").isin("DONE_TEXT_MATCH", "SHARED_OUTPUT")), _hashed(spark, d).filter("doc_id % 2 = 0"))
+    return _output_statuses(spark, d, _report(spark, d)).select("out_id", "status", "inputs")
+
+
+LINES_SQL = """nm AS (SELECT path, sha, coalesce(nullif(out_name, ''), out_path) AS n FROM e WHERE out_path IN (SELECT out_path FROM there) OR (out_sha IS NOT NULL AND out_sha IN (SELECT sha FROM there WHERE sha IS NOT NULL)) OR (coalesce(out_name, '') <> '' AND out_name IN (SELECT name FROM there))),
+rs AS (SELECT rp.doc_id, rp.status, rp.out_id, st.score, st.status AS first, coverage, kept FROM rp JOIN st USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kp USING (doc_id)),
+rd AS (SELECT doc_id, status, rs.doc_id || '.pdf' AS rel,
+  CASE WHEN first = 'DONE_MANIFEST' THEN 1.0::DOUBLE WHEN first IN ('DONE_TEXT_MATCH', 'BORDERLINE') OR first IN ('REMAINING_RAW_COPY', 'REMAINING_NO_OUTPUT') AND coverage > 0 THEN round(score, 9) END AS score,
+  CASE WHEN first = 'DONE_MANIFEST' THEN coalesce((SELECT min(n) FROM nm WHERE nm.path = 'in/' || doc_id), (SELECT min(n) FROM nm JOIN i ON nm.sha = i.sha WHERE i.doc_id = rs.doc_id)) WHEN out_id IS NOT NULL THEN 'o' || out_id || '.pdf' ELSE '' END AS match,
+  CASE WHEN kept IS NOT NULL AND NOT kept THEN 'matches the same pages as another input; likely a duplicate page or shared template'
+    WHEN status = 'SHARED_OUTPUT' THEN (SELECT count(*) FROM kp k2 WHERE k2.kept AND k2.out_id = rs.out_id) || ' inputs map to different pages of the same output; likely merged'
+    WHEN first = 'DONE_TEXT_MATCH' THEN 'page fingerprint match (' || round_even(round(coverage, 9) * 100, 0)::BIGINT || '% of pages)' ELSE map {
+    'DONE_SESSION': 'marked reviewed in saved session', 'DONE_MANIFEST': 'original SHA-256 is in rename_manifest.csv', 'REMAINING_PENDING': 'in saved session pending list', 'REMAINING_AUTO': 'auto-confirmed in session but not finalized',
+    'REMAINING_MANIFEST_MISSING_OUTPUT': 'manifest entry exists but its output file is missing', 'REMAINING_RAW_COPY': 'output contains only an unrenamed copy of this file', 'BORDERLINE': 'weak match; verify before scanning',
+    'UNREADABLE': 'no usable text layer or page images; cannot compare safely', 'REMAINING_NO_OUTPUT': 'no finalized output found'}[first] END AS reason FROM rs),
+ls AS (SELECT CASE WHEN status IN ('DONE_SESSION', 'DONE_MANIFEST', 'DONE_TEXT_MATCH') THEN 3 WHEN status = 'SHARED_OUTPUT' THEN 2 ELSE 1 END AS section, 1 AS part, rel AS key,
+  '  ' || rpad(status, 34, ' ') || ' ' || rel || CASE WHEN match <> '' THEN ' -> ' || match ELSE '' END || CASE WHEN coalesce(score, 0) <> 0 THEN ' [' || printf('%.3f', score) || ']' ELSE '' END || '  (' || reason || ')' AS line FROM rd
+  UNION ALL SELECT CASE status WHEN 'ORPHAN_OUTPUT' THEN 4 ELSE 5 END, 1, 'o' || out_id || '.pdf', '  o' || out_id || '.pdf  (' || CASE WHEN status = 'RAW_COPY' THEN 'byte-identical to an input PDF; not finalized' WHEN final THEN 'no input matched this finalized file' ELSE 'unrecognized file in output' END || ')' FROM os WHERE status IN ('ORPHAN_OUTPUT', 'RAW_COPY')),
+hd AS (SELECT * FROM (VALUES (1, 'REMAINING - scan these'), (2, 'SHARED / MERGED - done, verify'), (3, 'DONE'), (4, 'ORPHAN OUTPUTS - no input matched'), (5, 'RAW COPIES - present in output but not finalized')) AS t(section, name))"""
+
+
+@query("r_text_report", REPORT_SQL + f""", {OUTPUTS_SQL}, {LINES_SQL}
+SELECT * FROM ls UNION ALL SELECT section, 1, '', '  (none)' FROM hd WHERE section NOT IN (SELECT section FROM ls) UNION ALL SELECT section, 0, '', '--- ' || name || ' ---' FROM hd UNION ALL SELECT section, 2, '', '' FROM hd
+UNION ALL SELECT * FROM (VALUES (0, 0, '00', 'Remaining documents report'), (0, 0, '01', repeat('=', 48)), (0, 0, '02', 'Input: in'), (0, 0, '03', ''), (0, 2, '', ''))
+UNION ALL SELECT 0, 1, '0', 'Input PDFs: ' || count(*) FROM rd UNION ALL SELECT 0, 1, '1', 'Done: ' || count(*) FROM rd WHERE status LIKE 'DONE%' OR status = 'SHARED_OUTPUT'
+UNION ALL SELECT 0, 1, '2', 'Remaining: ' || count(*) FROM rd WHERE NOT (status LIKE 'DONE%' OR status = 'SHARED_OUTPUT') UNION ALL SELECT 0, 1, '3', 'Shared/merged: ' || count(*) FROM rd WHERE status = 'SHARED_OUTPUT'
+UNION ALL SELECT 0, 1, '4', 'Orphan outputs: ' || count(*) FROM os WHERE status = 'ORPHAN_OUTPUT'""")
+def r_text_report(spark, d):
+    """From the tables to the text: all inputs and outputs with their reasons."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"), F.lit(".pdf"))
+    rows = written(_report(spark, d, name("o", "out_id")), "report-texts")
+    outputs = _output_statuses(spark, d, rows).withColumn("rel_path", name("o", "out_id"))
+    return reports.text_report(rows.withColumn("rel_path", name("", "doc_id")), written(outputs, "report-outputs"), {"Input": "in"})
 
 
 # ---- fuzzy roster joins --------------------------------------------------------------------------

@@ -279,7 +279,7 @@ def test_image_rungs(spark):
     texts = spark.createDataFrame([], "doc_id long, out_id long, coverage double, score double, pages array<int>")
     images = spark.createDataFrame([(1, 10, 1.0, 1.0, False, [0]), (2, 12, 1.0, 1.0, True, [0])], "doc_id long, out_id long, coverage double, score double, ambiguous boolean, pages array<int>")
     rows = reconcile.statuses(inputs, session, flags, none.select("sha"), texts, none, images=images, pictured=a)
-    assert {r.doc_id: (r.status, r.out_id) for r in rows.collect()} == {1: ("DONE_IMAGE_MATCH", 10), 2: ("BORDERLINE", None), 3: ("REMAINING_NO_OUTPUT", None), 4: ("UNREADABLE", None)}
+    assert {r.doc_id: (r.status, r.out_id) for r in rows.collect()} == {1: ("DONE_IMAGE_MATCH", 10), 2: ("BORDERLINE", 12), 3: ("REMAINING_NO_OUTPUT", None), 4: ("UNREADABLE", None)}
 
 
 def test_roster_bounds_lose_nothing():
