@@ -22,20 +22,20 @@ PAD = 256
 
 @dataclass(frozen=True)
 class CnnParams:
-    """``sample``: labelled documents per class to learn from, taken in the order of a hash of their id;
-    ``stretch``: characters of each that are learned from, at a place that the hash decides."""
+    """``sample``: labelled texts per class to learn from, each whole, taken in the order of a hash of their id;
+    ``group``: chunks that are convolved at a time."""
 
     width: int = 6
     filters: int = 16
     chunk: int = 1024
     sample: int = 1024
-    stretch: int = 4096
     epochs: int = 30
     batch: int = 32
     rate: float = 0.01
     decay: float = 1e-4
     seed: int = 7
     threshold: float = 0.3
+    group: int = 192
 
 
 def chunks_of(data: bytes, p: CnnParams) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +77,16 @@ class Model:
         return np.maximum(np.take_along_axis(acts, at[:, None, :], 1)[:, 0, :], 0), at
 
     def logits(self, x: np.ndarray, owned: np.ndarray, doc: np.ndarray, docs: int):
-        top, at = self.pooled(x)
+        parts = [self.pooled(x[s : s + self.p.group]) for s in range(0, len(x), self.p.group)]
+        top, at = (np.concatenate(c) for c in zip(*parts))
         share = owned / np.bincount(doc, owned, docs)[doc]
         mean = np.zeros((docs, top.shape[1]), np.float32)
         np.add.at(mean, doc, top * share[:, None].astype(np.float32))
         return mean @ self.parts["out"] + self.parts["shift"][0], mean, top, at, share
 
-    def score(self, texts: list[bytes], group: int = 192) -> np.ndarray:
-        """Probability of label 1 of each text; at most ``group`` chunks are unfolded at a time."""
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Probability of label 1 of each text."""
+        group = self.p.group
         sums, whole = np.zeros((len(texts), self.p.filters)), np.zeros(len(texts))
         held, owner, owns = [], [], []
 
@@ -114,14 +116,13 @@ class Model:
 
 def train(texts: list[bytes], labels: np.ndarray, prior: float, p: CnnParams) -> Model:
     """Adam on the logistic loss with the classes weighted alike; the output is then shifted to ``prior``,
-    the share of label 1 among all training labels."""
+    the share of label 1 among all training labels.  Texts are learned from whole."""
     model = Model(p)
     if len(texts) == 0 or labels.min() == labels.max():
         model.parts["out"][:] = 0
         model.parts["shift"][0] = math.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
         return model
     rng = np.random.default_rng(p.seed)
-    cut = [chunks_of(t, p) for t in texts]
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in model.parts.items()}
     second = {k: np.zeros_like(v) for k, v in model.parts.items()}
@@ -131,9 +132,10 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, p: CnnParams) ->
         order = rng.permutation(len(texts))
         for s in range(0, len(order), p.batch):
             pick = order[s : s + p.batch]
-            x = np.concatenate([cut[i][0] for i in pick])
-            owned = np.concatenate([cut[i][1] for i in pick])
-            doc = np.repeat(np.arange(len(pick)), [len(cut[i][0]) for i in pick])
+            cut = [chunks_of(texts[i], p) for i in pick]
+            x = np.concatenate([c[0] for c in cut])
+            owned = np.concatenate([c[1] for c in cut])
+            doc = np.repeat(np.arange(len(pick)), [len(c[0]) for c in cut])
             z, mean, top, at, share = model.logits(x, owned, doc, len(pick))
             dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * weight[pick] / len(pick)
             dz = dz.astype(np.float32)
@@ -159,16 +161,19 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: CnnParams = CnnParams(), label: str = "quality") -> Model:
-    """Learns from the labelled documents that are not held out."""
+    """Learns from the labelled documents that are not held out, at most ``sample`` labels of each class.
+
+    Repeated labels of an id count once in training and each in the class balance; null texts teach nothing."""
     rows = labels.select("doc_id", F.col(label).alias("y")).filter(~is_held_out(F.col("doc_id")) & F.col("y").isin(0, 1))
     counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     key = F.md5(F.col("doc_id").cast("string"))
-    one = lambda y: rows.filter(F.col("y") == y).orderBy(key, "doc_id").limit(p.sample)
+    one = lambda y: rows.filter(F.col("y") == y).distinct().orderBy(key, "doc_id").limit(p.sample)
     chosen = docs.sparkSession.createDataFrame([(r[0], r[1]) for y in (0, 1) for r in one(y).collect()], "doc_id long, y int")
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - p.stretch, F.lit(0)) + 1).cast("int") + 1
     # At most 2 * sample rows: small enough to send to every task.
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    taken = sorted(tuple(r) for r in found.select("doc_id", "y", F.substring("text", place, F.lit(p.stretch)).alias("part")).limit(4 * p.sample).collect())
+    # An id that several rows have stands for its least text, so that there is one row for each id and label.
+    found = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    taken = [tuple(r) for r in found.orderBy("doc_id", "y").collect()]
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     return train([r[2].encode() for r in taken], np.array([r[1] for r in taken], np.float32), prior, p)

@@ -157,7 +157,7 @@ def sent_cells(docs: DataFrame, p: JoinParams, buckets: int) -> DataFrame:
 
 
 def shared_ids(cells: np.ndarray) -> np.ndarray:
-    """The number of every counted cell whose token another set sends as well.
+    """The number of every counted cell whose token another set sends as well, once per cell.
 
     Tokens that agree in the bits that are kept here count as one: more is reported as shared, never less."""
     order = np.argsort(cells["token"], kind="stable")
@@ -169,10 +169,10 @@ def shared_ids(cells: np.ndarray) -> np.ndarray:
     token, number = token[order], number[order]
     if not len(token):
         return np.empty(0, np.int64)
-    first = np.concatenate(([True], (token[1:] != token[:-1]) | (number[1:] != number[:-1])))
-    token, number = token[first], number[first]
-    same = token[1:] == token[:-1]
-    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    run = np.concatenate(([True], token[1:] != token[:-1]))
+    other = run | np.concatenate(([True], number[1:] >> np.uint64(1) != number[:-1] >> np.uint64(1)))
+    sets = np.add.reduceat(other.astype(np.int64), np.flatnonzero(run))
+    several = sets[np.cumsum(run) - 1] > 1
     return (number[several & (number & np.uint64(1) == 1)] >> np.uint64(1)).astype(np.int64)
 
 
@@ -195,9 +195,9 @@ def linkable(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def least_shared(n: Column, p: JoinParams) -> Column:
-    """How many of its n tokens a set shares with a partner at least; for larger sets one less, as two of its
-    tokens may agree in the bits that cells keep and so be counted as one."""
-    return F.ceil(n * p.percent / F.lit(100)) - (n > 16).cast("int")
+    """How many of its n tokens a set shares with a partner at least.  Cells are counted one by one, also where
+    two tokens of a set agree in the bits that are kept, so no count falls short of it."""
+    return F.ceil(n * p.percent / F.lit(100))
 
 
 _SETS = pa.schema([("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
@@ -329,7 +329,8 @@ def matrix_rows(sets: DataFrame, buckets: int) -> DataFrame:
 
 def matrix_counts(heads: np.ndarray, token: np.ndarray, at: np.ndarray, wide: int) -> dict[str, np.ndarray]:
     """Cells of one bucket -> (id, group, cells, wide): how many of the node's tokens the group has besides it,
-    for groups that the node's own one asks; and, with group -1, how many of its tokens are too wide."""
+    for groups that the node's own one asks; and, with group -1, how many of its tokens are too wide.  A token
+    that a node has twice, by the bits that are kept, counts twice."""
     order = np.argsort(token, kind="stable")
     token, at = token[order], at[order]
     same = token[1:] == token[:-1]
@@ -348,6 +349,7 @@ def matrix_counts(heads: np.ndarray, token: np.ndarray, at: np.ndarray, wide: in
         return {c: np.empty(0, np.int64) for c in ("id", "group", "cells", "wide")}
     change = lambda *columns: np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
     first = change(token, node, group, tag)
+    times = np.diff(np.concatenate((np.flatnonzero(first), [len(token)])))
     token, node, group, tag = token[first], node[first], group[first], tag[first]
     cell_start = change(token, group)  # of the cells (token, group)
     cell = np.cumsum(cell_start) - 1
@@ -359,9 +361,9 @@ def matrix_counts(heads: np.ndarray, token: np.ndarray, at: np.ndarray, wide: in
     cells_in = np.bincount(run)
     run_end = np.cumsum(cells_in)
     too_wide = cells_in[run[cell]] > wide
-    out = [np.stack([ids[u], np.full(len(u), -1), np.zeros(len(u), np.int64), c]) for u, c in [np.unique(node[too_wide], return_counts=True)]]
+    out = [np.stack([ids[u], np.full(len(u), -1), np.zeros(len(u), np.int64), c]) for u, c in [np.unique(np.repeat(node[too_wide], times[too_wide]), return_counts=True)]]
     # A cell's own group counts if another label has the token there.
-    ask = np.flatnonzero(~too_wide)
+    ask = np.repeat(np.flatnonzero(~too_wide), times[~too_wide])
     reach, end, keys, counts, step, held = cell[ask], run_end[run[cell[ask]]], [], [], 0, 0
     while len(ask):
         hit = (labels[reach] > 1) if step == 0 else np.ones(len(ask), bool)

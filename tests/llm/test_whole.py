@@ -3,7 +3,9 @@
 import random
 import string
 
-from paperloom.llm import pii, quality_rules, secret_scan
+import numpy as np
+
+from paperloom.llm import byte_cnn, ngram_join, pii, quality_rules, secret_scan
 
 KEY = "a key for tests"
 
@@ -96,3 +98,54 @@ def test_small_groups_are_judged(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality_rules.quality_rules(docs).filter("kept").collect()}
     assert not kept & {1000, 1001, 1002} and len(kept) >= 335
+
+
+def test_colliding_tokens_are_counted_one_by_one():
+    """Sets of 300,000 tokens, of which some agree in the 32 bits that cells keep."""
+    rng = np.random.default_rng(5)
+    common, own = rng.integers(0, 1 << 63, 300_000).astype(np.uint64), rng.integers(0, 1 << 63, 300_000).astype(np.uint64)
+    kept = lambda t: ngram_join._dealt(t, 1)[1]
+    assert len(np.unique(kept(common))) < len(common)
+    cells = np.empty(900_000, ngram_join._CELL)
+    cells["token"] = np.concatenate((kept(common), kept(own), kept(common)))
+    cells["id"] = np.repeat(np.array([3, 3, 5], np.uint64), 300_000)
+    reported = np.bincount(ngram_join.shared_ids(cells), minlength=3)
+    assert reported[2] == 300_000 and 300_000 <= reported[1] < 300_200
+    heads = np.array([(1, 11, 0, 1), (2, 12, 1, 1)], ngram_join._HEAD)
+    token, at = np.concatenate((kept(common), kept(common))), np.repeat(np.array([0, 1]), 300_000)
+    found = ngram_join.matrix_counts(heads, token, at, 12)
+    assert found["cells"].sum() == 300_000 and found["wide"].sum() == 0
+    assert ngram_join.matrix_counts(heads, token, at, 1)["wide"].tolist() == [300_000, 300_000]
+
+
+def test_very_long_texts_at_the_limit(spark):
+    """Texts of 120,000 words: two share just three quarters of their shingles, two others just less."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(360_000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    # n shared shingles in front, and the same number of own ones behind: n / (n + 2 * own).
+    a, b = words[:120_000], words[:102_858] + words[120_000:137_140]
+    c, d = words[140_000:260_000], words[140_000:242_840] + words[260_000:277_160]
+    for one, two, links in ((a, b, True), (c, d, False)):
+        x, y = shingles(one), shingles(two)
+        both = len(x & y)
+        assert (100 * both >= 75 * (len(x) + len(y) - both)) is links and abs(both / (len(x) + len(y) - both) - 0.75) < 1e-3
+    docs = texts(spark, [" ".join(t) for t in (a, b, c, d)])
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_training_texts_are_whole_and_rows_do_not_depend_on_order(spark):
+    """What tells the classes apart stands at the end of long texts; labels and rows repeat."""
+    rng = random.Random(3)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(i, fill(900) + (" zzqxj" if i % 2 else " plain") * 150) for i in range(300)]
+    labels = [(i, i % 2) for i in range(300)]
+    p = byte_cnn.CnnParams(sample=60, epochs=25, filters=8)
+    make = lambda r, y: byte_cnn.fit(spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, quality int"), p)
+    one = make(rows, labels)
+    two = make(rows[::-1] + rows[:50] + [(None, "zzqxj"), (7, None)], labels[::-1])
+    again = make(rows, labels + labels)
+    for k, v in one.parts.items():
+        assert np.array_equal(v, two.parts[k]) and np.allclose(v, again.parts[k])
+    scores = one.score([t.encode() for _, t in rows])
+    assert np.mean((scores >= 0.5) == np.array([i % 2 for i in range(300)])) > 0.95
