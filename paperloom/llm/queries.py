@@ -41,7 +41,7 @@ def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = rotate_perspectives(table(spark, sf_dir, "conversations"))
     learned = F.transform(F.filter("segments", lambda s: s["mask"]), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
-    return rendered.select("conv_id", "participant", "part", "piece", "n_turns", "text", F.array_join(learned, ",").alias("loss_spans"))
+    return rendered.select("conv_id", "participant", "part", "n_turns", "text", F.array_join(learned, ",").alias("loss_spans"))
 
 
 def op4_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, floor(coalesce(turn, 0) / 4096)::BIGINT AS part FROM conversations),
+WITH b AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + coalesce(strlen(role), 0) + 64 AS cost FROM conversations),
+t AS (
+  SELECT conv_id, turn, role, text, digest,
+    floor((sum(cost) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - cost) / 16777216)::BIGINT AS part FROM b),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role <> 'system'),
 g AS (
   SELECT p.participant, t.*, coalesce(t.role = p.participant, false) AS mask,
@@ -141,10 +144,10 @@ g AS (
          ELSE '<|im_start|>user name=' || translate(replace(coalesce(t.role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') || chr(10) END AS head,
     replace(t.text, '<|', '< |') || '<|im_end|>' AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING) AS upto FROM g)
-SELECT conv_id, participant, part, 0::BIGINT AS piece, count(*)::INTEGER AS n_turns,
-  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text,
-  coalesce(string_agg(CASE WHEN mask THEN (upto - 1 - length(body))::VARCHAR || ':' || (upto - 1)::VARCHAR END, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text), '') AS loss_spans
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS upto FROM g)
+SELECT conv_id, participant, part, count(*)::INTEGER AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, digest) AS text,
+  coalesce(string_agg(CASE WHEN mask THEN (upto - 1 - length(body))::VARCHAR || ':' || (upto - 1)::VARCHAR END, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, digest), '') AS loss_spans
 FROM o GROUP BY conv_id, participant, part
 """
 

@@ -510,8 +510,20 @@ def test_rotation_of_long_texts_and_clashing_names(spark):
 
 
 def test_long_dialogues_come_in_parts(spark):
-    t = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    rows = chat_rotation.rotate_perspectives(t, part_turns=32).filter("participant = 'a'").orderBy("part").collect()
-    assert len(rows) == 32 and "".join(r.text for r in rows).count("<|im_start|>") == 1000
-    crowded = chat_rotation.rotate_perspectives(t.withColumn("turn", F.lit(3)), overfull=100).filter("participant = 'a'").collect()
-    assert sum(r.n_turns for r in crowded) == 1000 and max(r.n_turns for r in crowded) < 300
+    """Joined, the parts of a long dialogue are its whole rendering, also where all turns share a number."""
+    said = F.concat(F.lit("t"), F.col("id").cast("string"))
+    t = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), said.alias("text"))
+    short = spark.createDataFrame([(2, 0, "a", "hi"), (None, None, "a", None)], "conv_id int, turn int, role string, text string")
+    for turns in (t.union(short), t.withColumn("turn", F.lit(3)).union(t), t.withColumns({"conv_id": F.lit(None).cast("int"), "text": F.lit("same")})):
+        whole = {(r.conv_id, r.participant): r for r in chat_rotation.rotate_perspectives(turns).collect()}
+        cut = {}
+        for r in chat_rotation.rotate_perspectives(turns, part_bytes=2000).orderBy("part").collect():
+            cut.setdefault((r.conv_id, r.participant), []).append(r)
+        assert set(cut) == set(whole)
+        for key, rows in cut.items():
+            assert "".join(r.text for r in rows) == whole[key].text
+            assert [s.turn for r in rows for s in r.segments] == [s.turn for s in whole[key].segments]
+            for r in rows:
+                assert all(r.text[s.start : s.end].endswith("<|im_end|>") and r.text[: s.start].endswith("assistant\n") == s.mask for s in r.segments)
+                assert r.n_turns <= 2000 // 64 + 1 and len(r.segments) == r.n_turns
+        assert any(len(rows) > 20 for rows in cut.values())
