@@ -165,3 +165,12 @@ def j_roster_import(spark, d):
     sinks.export_csv(names.select("Customer Name", "p_size"), path)
     held = names.filter("p_name < 'm'").select(company_form(F.col("Customer Name")).alias("entry"))
     return tables.read_roster(spark, path, held)
+
+
+@query("s_known_roster", "SELECT DISTINCT upper(p_name) || ' INS CORP' AS entry FROM part")
+def s_known_roster(spark, d):
+    """A roster in JSON files, one of each brand, that a user without one of their own starts from."""
+    path = f"{shared_folder(spark)}/paperloom/known-{uuid.uuid4().hex}"
+    names = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.collect_set(F.concat(F.upper("p_name"), F.lit(" INS CORP")))).alias("value"))
+    names.write.partitionBy("p_brand").text(path)
+    return tables.read_known(spark, f"{path}-own", seed=path)

@@ -68,16 +68,35 @@ def read_roster(spark: SparkSession, path: str, existing: DataFrame | None = Non
     return names if existing is None else names.join(existing.select("entry"), "entry", "left_anti")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def read_known(spark: SparkSession, path: str, seed: str | None = None) -> DataFrame:
+    """Names (entry) of a roster in JSON, as written, each once: a file with a list of texts, or a folder of such files.
+
+    A missing ``path`` is answered by ``seed``, the list that a user starts from; nothing is read from the seed once
+    ``path`` is there.  A file that holds no list gives no rows, as do null elements; empty texts stay out as well.
+    """
+    found = next((p for p in (path, seed) if p and _exists(spark, p)), None)
+    if found is None:
+        return spark.createDataFrame([], "entry string")
+    lists = spark.read.option("recursiveFileLookup", True).text(found, wholetext=True)
+    # A value that is no list would be taken for the only element of one.
+    lists = lists.filter(F.regexp_like("value", F.lit(r"^[\s\uFEFF]*\[")))
+    names = lists.select(F.explode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")).alias("entry"))
+    return names.filter(F.trim("entry") != "").distinct()
+
+
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
     """(kind, key, company) of a hints file: the maps ``folders`` and ``letterheads``.
 
     A missing file, one that is no JSON object and a missing map give no rows.
     """
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     kinds = ("folders", "letterheads")
     schema = ", ".join(f"{k} map<string,string>" for k in kinds)
-    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-    hints = spark.read.option("multiLine", True).schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    hints = spark.read.option("multiLine", True).schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
     one = lambda kind: hints.select(F.lit(kind).alias("kind"), F.explode(kind).alias("key", "company"))
     return one(kinds[0]).union(one(kinds[1]))
 

@@ -326,6 +326,19 @@ def test_roster_and_hints_files(spark, tmp_path):
     assert not tables.read_hints(spark, str(tmp_path / "bad.json")).count() and not tables.read_hints(spark, str(tmp_path / "none.json")).count()
 
 
+def test_known_roster_and_its_seed(spark, tmp_path):
+    """The user's list wins over the seed, also where it is broken; only a missing one is answered by the seed."""
+    own, seed, missing = (str(tmp_path / f"{n}.json") for n in ("own", "seed", "missing"))
+    (tmp_path / "seed.json").write_text('[\n  "ALPHA INC",\n  "\u00d1AME, THE",\n  "ALPHA INC",\n  null,\n  " "\n]', encoding="utf-8")
+    read = lambda *paths: sorted(r.entry for r in tables.read_known(spark, *paths).collect())
+    assert read(missing, seed) == ["ALPHA INC", "\u00d1AME, THE"]
+    for broken in ("", "[1, ", '{"a": 1}', '"BETA"', "[]", "null"):
+        (tmp_path / "own.json").write_text(broken)
+        assert read(own, seed) == [], broken
+    (tmp_path / "own.json").write_text('\ufeff["BETA"]', encoding="utf-8")
+    assert read(own, seed) == ["BETA"] and read(missing) == [] and read(missing, missing) == []
+
+
 def test_document_dates_disagreement(spark):
     """Anchors that disagree on a page without candidates of theirs ask for a review; null and empty pages do not."""
     pages = spark.createDataFrame([(1, 0, "On March 5, 2010 we wrote"), (2, 0, None), (2, 1, ""), (3, 0, "March 5, 2010 only")], "doc_id long, page_idx int, page_text string")
