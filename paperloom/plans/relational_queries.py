@@ -412,8 +412,12 @@ def j_fuzzy_best(spark, d):
 
 @query("j_fuzzy_margin")
 def j_fuzzy_margin(spark, d):
-    rows = _misspelt(spark, d)
-    return rows.join(resolve.margin_matches(resolve.roster_matches(rows, roster(spark, d), normalize=False)), "name").select("p_partkey", "entry", "score")
+    """Names as a scan may have them (words turned round, or a letter lost) against the bare roster of all names."""
+    own = F.upper("p_name")
+    turned = F.array_join(F.reverse(F.split(own, " ")), " ")
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, turned).otherwise(F.substring(own, F.lit(2), F.length(own))).alias("name"))
+    entries = roster(spark, d).withColumn("entry", F.regexp_replace("entry", " INSURANCE CORPORATION$", ""))
+    return rows.join(resolve.margin_matches(resolve.roster_matches(rows, entries, normalize=False)), "name").select("p_partkey", "entry", "score")
 
 
 @query("j_gazetteer", """WITH r AS (SELECT DISTINCT upper(p_name) AS entry FROM part), q AS (SELECT o_orderkey AS doc_id, upper(p_name) AS own, (SELECT upper(p_name) FROM part p2 WHERE p2.p_partkey = 1 + o_orderkey % 7) AS other FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),

@@ -25,6 +25,23 @@ def test_roster_queries_take_all_parts(spark):
         assert (r.score, r.entry) == (max(scores), entries[scores.index(max(scores))])
 
 
+def test_margin_query_finds_all_names_that_stand_out(spark):
+    """Brute force: the best score over all names, and the best among the others."""
+    parts = {r.p_partkey: r.p_name.upper() for r in tables.table(spark, FOLDER, "part").collect()}
+    entries = sorted(set(parts.values()))
+    want = {}
+    for key, own in parts.items():
+        name = " ".join(reversed(own.split(" "))) if key % 2 == 0 else own[1:]
+        scores = [int(token_set_ratio(name, e)) for e in entries]
+        best = max(scores)
+        at = scores.index(best)
+        if best >= 90 and best - max(scores[:at] + scores[at + 1 :]) >= 10:
+            want[key] = (entries[at], best)
+    found = registry.QUERIES["j_fuzzy_margin"](spark, FOLDER).collect()
+    assert len(found) == len(want) > 100
+    assert {r.p_partkey: (r.entry, r.score) for r in found} == want
+
+
 def brute_matches(inputs, outputs):
     found = {}
     for i, a in inputs.items():
