@@ -170,7 +170,7 @@ def j_session_lists(spark, d):
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("in/"), F.col("o_orderkey").cast("string")).alias("path"))
     part = lambda rule: o.filter(rule)
-    return session_flags(o, part("doc_id % 7 = 0"), part("doc_id % 11 = 0"), part("doc_id % 13 = 0"), part("doc_id % 2 = 0"), part("doc_id % 3 = 0"))
+    return session_flags(o, part("doc_id % 7 = 0"), part("doc_id % 11 = 0"), part("doc_id % 13 = 0"), part("doc_id % 2 = 0"), part("doc_id % 3 = 0")).drop("planned")
 
 
 @query("o_reviewed_order", "SELECT p_partkey, row_number() OVER (ORDER BY coalesce(nullif(p_brand, 'Brand#1'), ''), 'in/' || p_partkey) - 1 AS pos FROM part")
