@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reconcile import REMAINING
+
+# The lists of a session that a new scan fills again.
+SCANNED_LISTS = ("all_flagged_docs", "auto_confirmed_docs")
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """Rows of ``new`` replace those of the same key in place; others follow in their order."""
@@ -54,3 +59,27 @@ def repaired(snapshot: DataFrame, left: DataFrame, mode: str) -> DataFrame:
     else:
         scan = F.struct(F.col("scan.plan").alias("plan"), F.array_except(F.col("scan.plan"), F.col("__left")).alias("processed"))
     return both.withColumn("scan", scan).drop("__left")
+
+
+def repaired_plan(report: DataFrame, mode: str) -> DataFrame:
+    """(path, status, ...) -> the rows that a repaired session plans, with ``processed``: one row per path, no arrays.
+
+    ``reprocess`` plans what remains, nothing of it processed; ``review`` plans every input and marks those done
+    as processed.  A row without a status remains; repeated rows and other columns are kept; another mode is an error.
+    """
+    left = F.coalesce(F.col("status").isin(*REMAINING), F.lit(True))
+    if mode == "reprocess":
+        return report.filter(left).withColumn("processed", F.lit(False))
+    if mode == "review":
+        return report.withColumn("processed", ~left)
+    raise ValueError(f"mode is 'reprocess' or 'review', not {mode!r}")
+
+
+def repaired_documents(docs: DataFrame, mode: str) -> DataFrame:
+    """A session's documents (``list`` names the list of each) after a repair.
+
+    ``reprocess`` empties the lists that a scan fills again, ``review`` keeps all; a null list is no such list.
+    """
+    if mode not in ("reprocess", "review"):
+        raise ValueError(f"mode is 'reprocess' or 'review', not {mode!r}")
+    return docs if mode == "review" else docs.filter(~F.coalesce(F.col("list").isin(*SCANNED_LISTS), F.lit(False)))

@@ -190,6 +190,23 @@ def k_repair_session(spark, d):
     return done.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("processed"))
 
 
+@query("k_repaired_plan", "SELECT 'reprocess' AS mode, c_custkey::VARCHAR AS path, false AS processed FROM customer WHERE c_custkey % 5 IN (0, 2, 4) UNION ALL SELECT 'review', c_custkey::VARCHAR, c_custkey % 5 IN (1, 3) FROM customer")
+def k_repaired_plan(spark, d):
+    """What a session plans after a repair of either mode."""
+    status = F.element_at(F.array(*map(F.lit, ("REMAINING_NO_OUTPUT", "DONE_TEXT_MATCH", "BORDERLINE", "SHARED_OUTPUT", "UNREADABLE"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    report = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), status.alias("status"))
+    plans = [session.repaired_plan(report, m).select(F.lit(m).alias("mode"), "path", "processed") for m in ("reprocess", "review")]
+    return plans[0].union(plans[1])
+
+
+@query("k_repaired_documents", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'confirmed_docs' END AS list FROM orders WHERE o_orderkey % 3 = 0")
+def k_repaired_documents(spark, d):
+    """A session's documents after a repair that scans again: those that a scan lists are gone."""
+    key = F.col("o_orderkey")
+    which = F.when(key % 3 == 1, "all_flagged_docs").when(key % 3 == 2, "auto_confirmed_docs").when(F.col("o_orderstatus") != "O", "confirmed_docs")
+    return session.repaired_documents(table(spark, d, "orders").select(key, which.alias("list")), "reprocess")
+
+
 def _confirmed(spark, d):
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")

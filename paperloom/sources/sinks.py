@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,12 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.drop(*(c for c, t in rows.dtypes if t == "binary")).write.mode("overwrite").json(path)
 
 
+def discard_snapshot(spark: SparkSession, path: str) -> bool:
+    """Deletes a saved session, and with it the state of its scan; False if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def with_base64(rows: DataFrame) -> DataFrame:
     """Binary columns as base64 text, for snapshots."""
     return rows.withColumns({c: F.base64(c) for c, t in rows.dtypes if t == "binary"})

@@ -147,6 +147,24 @@ def test_repair(spark):
     assert session.repaired(snap, left, "review").first().scan.processed == ["x"]
 
 
+def test_repaired_rows(spark, tmp_path):
+    """No status remains; repeated rows and other columns stay; empty tables and unknown modes."""
+    report = spark.createDataFrame([("a", "DONE_SESSION", 1), ("b", "BORDERLINE", 2), ("b", "BORDERLINE", 2), (None, None, 3), ("c", "SHARED_OUTPUT", 4)], "path string, status string, plan int")
+    rows = lambda mode: sorted((r.plan, r.path, r.processed) for r in session.repaired_plan(report, mode).collect())
+    assert rows("reprocess") == [(2, "b", False), (2, "b", False), (3, None, False)]
+    assert rows("review") == [(1, "a", True), (2, "b", False), (2, "b", False), (3, None, False), (4, "c", True)]
+    assert session.repaired_plan(report.limit(0), "review").count() == 0
+    docs = spark.createDataFrame([(1, "all_flagged_docs"), (2, "reviewed"), (3, None), (4, "auto_confirmed_docs")], "doc_id int, list string")
+    assert [r.doc_id for r in session.repaired_documents(docs, "reprocess").orderBy("doc_id").collect()] == [2, 3]
+    assert session.repaired_documents(docs, "review").count() == 4
+    for repair, t in ((session.repaired_plan, report), (session.repaired_documents, docs)):
+        with pytest.raises(ValueError):
+            repair(t, "other")
+    saved = f"{tmp_path}/session.json"
+    sinks.write_index(docs, saved)
+    assert sinks.discard_snapshot(spark, saved) and not sinks.discard_snapshot(spark, saved)
+
+
 def test_collisions_step_over_names_in_use(spark):
     rows = spark.createDataFrame([(i, "f", n) for i, n in enumerate(["a.pdf", "a.pdf", "a_1.pdf", "a.pdf"])], "id int, folder string, name string")
     there = spark.createDataFrame([("f", "a_2.pdf")], "folder string, name string")
