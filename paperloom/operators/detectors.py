@@ -46,13 +46,19 @@ def _named(raw: Column, least: int = 2, strong_only: bool = False) -> Column:
     return F.when((n >= least) & (strong if strong_only else (strong | (n >= 3))), form)
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """What stands before and after the first match; one part without a match.  One pass finds both."""
+    return F.split(text, f"(?i){pattern}", 2)
+
+
 def _after(text: Column, pattern: str) -> Column:
     """What follows the first match, null without one."""
-    return F.when(text.rlike(f"(?i){pattern}"), F.regexp_extract(text, rf"(?is)^.*?{pattern}(.*)$", 1))
+    return F.get(_parts(text, pattern), F.lit(1))
 
 
 def _before(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(f"(?i){pattern}"), F.regexp_extract(text, rf"(?is)^(.*?){pattern}", 1))
+    parts = _parts(text, pattern)
+    return F.when(F.size(parts) > 1, parts[0])
 
 
 def _clause(text: Column, marks: str = "[.]") -> Column:

@@ -116,6 +116,11 @@ def all_candidates(pages: DataFrame, roster: DataFrame, folders: DataFrame | Non
     return written(found, "company-candidates")
 
 
+def text_candidates(pages: DataFrame) -> DataFrame:
+    """The candidates of the detectors that need nothing but the texts, cut out once and written."""
+    return written(candidates(pages), "company-candidates")
+
+
 def profile(column: str, place: int, other: int):
     out = F.lit(other)
     for p in PROFILES:
@@ -135,6 +140,7 @@ def combined(docs: DataFrame, candidates: DataFrame, matches: DataFrame, thresho
     Candidates that match the same entry support each other; the entry with the most sources, then the
     highest confidence, then the best score, then the first candidate wins.  Two sources decide; a lone
     weak source stays below.  Without a match the folder, else the heaviest candidate, is suggested.
+    The candidates are read several times: give a table that is written (``text_candidates``, ``all_candidates``).
     """
     scored = candidates.join(matches.select("name", "entry", "score"), "name", "left").filter((F.col("score") >= MATCH_LEAST) & F.col("entry").isNotNull())
     conf = F.when(F.col("score") >= profile("source", 1, OTHER_LEAST), F.least(F.lit(100), F.col("score") + profile("source", 2, 0))).otherwise(0)

@@ -70,7 +70,7 @@ def c_candidates(spark, d):
 @query("c_combine", f"WITH {LETTERS_SQL} SELECT doc_id, company AS company_name, 'high' AS label, true AS cross_validated, false AS needs_review FROM letters")
 def c_combine(spark, d):
     docs = letters(spark, d)
-    found = detectors.candidates(docs)
+    found = resolve.text_candidates(docs)
     out = resolve.combined(docs, found, resolve.roster_matches(found, roster(spark, d)))
     return out.select("doc_id", "company_name", "label", "cross_validated", "needs_review")
 
