@@ -218,7 +218,29 @@ def _confirmed(spark, d):
 
 
 @query("k_finalize_plan", """WITH q AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate::DATE END AS day, lpad((o_custkey % 25)::VARCHAR, 3, '0') AS div, o_orderpriority AS company, 'd' || (o_custkey % 40) AS folder, o_orderkey % 6 AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 11 > 0),
-s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY day NULLS LAST, doc_id) AS seq FROM q)
+s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS seq FROM q)
 SELECT doc_id, seq::INTEGER AS seq, folder, upper(lpad(seq::VARCHAR, 4, '0') || '_' || div || '_' || company) || '.pdf' AS placed, array_to_string(list_filter(range(0, n), lambda p: p NOT IN (0, 1, 3)), ',') AS kept_pages FROM s""")
 def k_finalize_plan(spark, d):
     return finalize_plan(_confirmed(spark, d)).withColumn("kept_pages", F.array_join(F.col("kept_pages").cast("array<string>"), ","))
+
+
+def _layout_sql(folder: str, seq: str, where: str, name: str) -> str:
+    """The plan in one of the other layouts."""
+    return f"""WITH q AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate::DATE END AS day, printf('%03d', o_custkey % 25) AS div, o_orderpriority AS company, o_orderkey % 6 AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 11 > 0),
+s AS (SELECT *, {folder} AS folder, {seq} AS seq FROM q WHERE {where})
+SELECT doc_id, seq::INTEGER AS seq, folder, upper({name}) || '.pdf' AS placed, array_to_string(list_filter(range(0, n), lambda p: p NOT IN (0, 1, 3)), ',') AS kept_pages FROM s"""
+
+
+@query("k_finalize_flat", _layout_sql("''", "(SELECT max(c_custkey % 500) FROM customer) + row_number() OVER (ORDER BY day, doc_id)", "day IS NOT NULL", "strftime(day, '%Y%m') || printf('%04d', seq) || '_' || div || '_' || company"))
+def k_finalize_flat(spark, d):
+    """One folder, dates in the names; numbers go on after the files that are there, one for each customer."""
+    there = table(spark, d, "customer").select(F.lit("").alias("folder"), F.format_string("%04d_001_OLD.pdf", F.col("c_custkey") % 500).alias("name"))
+    plan = finalize_plan(_confirmed(spark, d), "flat", include_date=True, existing=there)
+    return plan.withColumn("kept_pages", F.array_join(F.col("kept_pages").cast("array<string>"), ","))
+
+
+@query("k_finalize_company", _layout_sql("div || '/' || company", "row_number() OVER (PARTITION BY div ORDER BY doc_id)", "true", "printf('%04d', seq) || '_' || div || '_' || company"))
+def k_finalize_company(spark, d):
+    """A folder for every division and company; without dates the order of the scan numbers each division."""
+    plan = finalize_plan(_confirmed(spark, d), "company")
+    return plan.withColumn("kept_pages", F.array_join(F.col("kept_pages").cast("array<string>"), ","))

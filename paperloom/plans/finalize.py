@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import division_code, final_filename
-from ..operators.naming import numbered_per_group, without_collisions
+from ..functions.text import division_code, final_filename, safe_filename
+from ..operators.naming import file_sequence, numbered_per_group, without_collisions
 
 
 def finalize_plan(docs: DataFrame, layout: str = "mirror", include_date: bool = False, start: int = 1, existing: DataFrame | None = None, drop_blank: bool = True, drop_docsep: bool = True) -> DataFrame:
     """docs (doc_id, status, date, division, company, rel_dir, n_pages, blank, docsep) -> the confirmed
     ones with seq, folder, placed, kept_pages.
 
-    ``mirror`` keeps the input's folders and numbers each; ``company`` and ``flat`` have one folder per
-    division and company, or one in all.  Documents without a company are refused; with ``include_date``,
-    those without a date too.  Numbers follow dates (none last), then ids.
+    ``mirror`` keeps the input's folders and numbers each.  ``company`` has a folder per division and company (cleaned
+    as in file names) and numbers each division through.  ``flat`` has one folder and one run of numbers, which goes
+    on after the highest one among ``existing`` (folder, name).  Documents without a company are refused; with
+    ``include_date``, those without a date too.  Numbers follow dates where these are on, then ids: without
+    dates the order of the scan decides.
     """
     rows = docs.filter((F.col("status") == "confirmed") & (F.trim("company") != ""))
     if include_date:
         rows = rows.filter("date is not null")
     rows = rows.withColumn("division", division_code(F.col("division")))
-    folder = {"mirror": F.col("rel_dir"), "company": F.concat_ws("/", "division", "company"), "flat": F.lit("")}[layout]
-    rows = numbered_per_group(rows.withColumn("folder", folder), ["folder"], [F.col("date").asc_nulls_last(), F.col("doc_id")], start)
+    folder = {"mirror": F.col("rel_dir"), "company": F.concat_ws("/", "division", safe_filename(F.col("company"))), "flat": F.lit("")}[layout]
+    group = {"mirror": ["folder"], "company": ["division"], "flat": []}[layout]
+    order = [F.col("date").asc_nulls_last(), F.col("doc_id")] if include_date else [F.col("doc_id")]
+    rows = numbered_per_group(rows.withColumn("folder", folder), group, order, start)
+    if layout == "flat" and existing is not None:
+        used = existing.filter("folder = ''").agg(F.coalesce(F.max(file_sequence(F.col("name"))), F.lit(0)).alias("__used"))  # one row
+        rows = rows.crossJoin(F.broadcast(used)).withColumn("seq", F.col("seq") + F.greatest(F.col("__used") - (start - 1), F.lit(0))).drop("__used")
     name = final_filename(F.col("seq"), F.col("division"), F.col("company"), F.date_format("date", "yyyyMM"), include_date)
     rows = without_collisions(rows.withColumn("name", name), "folder", "name", [F.col("doc_id")], existing)
     none = F.array().cast("array<int>")

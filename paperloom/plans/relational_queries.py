@@ -63,10 +63,11 @@ def a_blank_summary(spark, d):
     return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("pages") / F.sum("pages").over(W.partitionBy()), 6))
 
 
-@query("a_next_sequence", """SELECT o_custkey, coalesce(max(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 10000 END), 0)::INTEGER + 1 AS next_seq FROM orders GROUP BY o_custkey""")
+@query("a_next_sequence", """SELECT o_custkey, coalesce(max(CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 10000 END), 0)::INTEGER + 1 AS next_seq FROM orders GROUP BY o_custkey""")
 def a_next_sequence(spark, d):
-    seq = F.format_string("%04d", F.col("o_orderkey") % 10000)
-    name = F.when(F.col("o_orderkey") % 3 > 0, F.concat(seq, F.lit("_001_X.pdf"))).otherwise(F.concat(F.lit("202001"), seq, F.lit("_001_X.pdf")))
+    """Names without and with a month count, others do not."""
+    k, seq = F.col("o_orderkey"), F.format_string("%04d", F.col("o_orderkey") % 10000)
+    name = F.when(k % 3 == 0, F.concat(seq, F.lit("_001_X.pdf"))).when(k % 3 == 1, F.concat(F.lit("202001"), seq, F.lit("_001_X.pdf"))).otherwise(F.concat(F.lit("scan"), seq, F.lit("_001_X.pdf")))
     return naming.next_sequence(table(spark, d, "orders").select("o_custkey", name.alias("name")), ["o_custkey"])
 
 
@@ -97,7 +98,7 @@ def w_seq_global(spark, d):
 
 @query("w_seq_per_folder", "SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id)::INTEGER AS seq FROM documents")
 def w_seq_per_folder(spark, d):
-    return naming.numbered_per_group(table(spark, d, "documents"), ["source", "lang"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "seq")
+    return naming.numbered_per_group(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), ["source", "lang"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "seq")
 
 
 @query("w_topk_badge", "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS badge, value >= 65 AS high FROM events) WHERE badge <= 4")
