@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import desk
+from ..sources import box_cache
+from ..sources.shared import shared_folder
 from ..sources.tables import roster, table
 from .registry import query
 
@@ -132,6 +136,26 @@ def s_page_boxes(spark, d):
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("boxes"), F.round(F.sum("y0"), 6).alias("y"))
 
 
+BOX_CACHE_SQL = """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::DOUBLE AS q, l_discount * 1000 AS conf FROM lineitem),
+d AS (SELECT DISTINCT k FROM b WHERE k % 2 = 0),
+f AS (SELECT k, n, q, 'digital' AS source FROM b WHERE k % 2 = 0 UNION ALL SELECT k, n, q * 0.48::DOUBLE, 'scanned' FROM b WHERE k % 2 = 1 AND conf >= 20)
+SELECT CASE WHEN k % 3 = 0 THEN 'cache' ELSE source END AS source, count(*) AS boxes, count(DISTINCT k) AS pages, round(sum(q), 6) AS y FROM f GROUP BY 1"""
+
+
+@query("k_box_cache", BOX_CACHE_SQL)
+def k_box_cache(spark, d):
+    """A third of the pages is read first; when all are, these come from the cache and nothing of them is recognised again."""
+    li = table(spark, d, "lineitem")
+    box = lambda rows, conf: rows.select(F.col("l_orderkey").cast("string").alias("sha"), F.lit(0).alias("page_idx"), F.col("l_linenumber").cast("int").alias("ord"), F.col("l_returnflag").alias("text"), *(F.col("l_quantity").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), conf.cast("double").alias("conf"))
+    wanted = li.select(F.col("l_orderkey").cast("string").alias("sha"), F.lit(0).alias("page_idx"), F.lit(40.0).alias("height")).distinct()
+    digital, scanned = box(li.filter("l_orderkey % 2 = 0"), F.lit(5)), box(li, F.col("l_discount") * 1000)
+    path = f"{shared_folder(spark)}/paperloom/box-cache-{uuid.uuid4().hex}"
+    recognise = lambda pages: scanned.join(pages, ["sha", "page_idx"], "left_semi")
+    box_cache.boxes_through_cache(path, wanted.filter("sha % 3 = 0"), digital, recognise)
+    found = box_cache.boxes_through_cache(path, wanted, digital, recognise)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("boxes"), F.count_distinct("sha").alias("pages"), F.round(F.sum("y0"), 6).alias("y"))
+
+
 @query("j_line_at", """WITH l AS (SELECT l_orderkey AS page, l_linenumber AS line_ord, 'line ' || l_linenumber AS text, l_linenumber * 10.0::DOUBLE AS x0, l_quantity::DOUBLE AS y0, l_linenumber * 10.0::DOUBLE + 30 AS x1, l_quantity::DOUBLE + 8 AS y1 FROM lineitem),
 p AS (SELECT o_orderkey AS id, o_orderkey AS page, (o_custkey % 90)::DOUBLE AS px, (o_custkey % 50)::DOUBLE AS py FROM orders),
 h AS (SELECT *, px BETWEEN x0 - 6 AND x1 + 6 AS inside, CASE WHEN px BETWEEN x0 AND x1 THEN 0 ELSE least(abs(px - x0), abs(px - x1)) END AS far FROM p JOIN l USING (page) WHERE py BETWEEN y0 - 6 AND y1 + 6)
