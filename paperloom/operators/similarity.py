@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -211,19 +214,66 @@ def hamming(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def near_bits(left: DataFrame, right: DataFrame, most: int = 10, bits: int = 64) -> DataFrame:
-    """id, bits against other_id, other_bits within ``most`` differing bits.
+def band_radii(most: int, bands: int) -> list[int]:
+    """How many bits may differ in each band: vectors that differ in at most ``most`` bits are within the radius of one
+    band at least, as all bands beyond theirs would make more than ``most``."""
+    each, over = divmod(most, bands)
+    return [each if i <= over else each - 1 for i in range(bands)]
+
 
-    Two vectors that differ in at most ``most`` bits agree on one of ``most`` + 1 bands, so an equi-join on
-    bands finds every pair; the distance is then computed exactly.
+def bands_for(few: int, many: int, most: int, bits: int, probes: int = 5000) -> tuple[int, float, float]:
+    """bands, probes and share of pairs that meet, where these cost least: rows sent by ``few`` vectors that probe, by
+    ``many`` that are probed, and pairs of random vectors that meet and are compared; at most ``probes`` a vector.
+
+    Every choice finds the same pairs.  Bands grow wider, with more probes, as there are more vectors.
     """
-    bands = most + 1
+    plans = []
+    for bands in range(min(2, most + 1), min(most + 1, bits) + 1):
+        sent, met = 0, 0.0
+        for (a, b), r in zip(_cuts(bits, bands), band_radii(most, bands)):
+            ball = sum(math.comb(b - a, k) for k in range(r + 1))
+            sent, met = sent + ball, met + ball / 2 ** (b - a)
+        if sent <= max(probes, most + 1):
+            plans.append((few * sent + many * bands + few * many * met, bands, sent, met))
+    return min(plans)[1:]
+
+
+def _cuts(bits: int, bands: int) -> list[tuple[int, int]]:
     cuts = [round(i * bits / bands) for i in range(bands + 1)]
-    band = lambda c: F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))))
-    one = left.select("id", "bits", band(F.col("bits")).alias("x")).select("id", "bits", "x.*")
-    two = right.select(F.col("id").alias("other_id"), F.col("bits").alias("other_bits"), band(F.col("bits")).alias("x")).select("other_id", "other_bits", "x.*")
-    pairs = one.join(two, ["band", "part"]).select("id", "other_id", "bits", "other_bits").distinct()
-    return pairs.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")))).filter(F.col("distance") <= most)
+    return list(zip(cuts, cuts[1:]))
+
+
+def _within(width: int, radius: int) -> list[int]:
+    """All masks of at most ``radius`` bits."""
+    return [sum(1 << k for k in at) for n in range(radius + 1) for at in itertools.combinations(range(width), n)]
+
+
+def near_bits(left: DataFrame, right: DataFrame, most: int = 10, bits: int = 64, bands: int | None = None) -> DataFrame:
+    """id, bits against other_id, other_bits within ``most`` differing bits.
+
+    Vectors are cut into bands.  Those of the smaller side send, for each band, every value within the band's radius,
+    the others their own, so that an equi-join finds every pair; the distance is then computed exactly, before
+    pairs that met twice are made one.  The number of ``bands`` follows from the counted sides (``bands_for``); it
+    changes no result.  Null ids or vectors meet nothing; repeated rows give each pair once.
+    """
+    left, right = left.filter("id is not null and bits is not null"), right.filter("id is not null and bits is not null")
+    sizes = left.count(), right.count()
+    swapped = sizes[0] > sizes[1]
+    bands = bands or bands_for(min(sizes), max(sizes), most, bits)[0]
+    parts = list(zip(_cuts(bits, bands), band_radii(most, bands)))
+
+    def sent(c: str, i: int, a: int, b: int, radius: int):
+        own = F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))
+        masks = F.split(F.lit(",".join(map(str, _within(b - a, radius)))), ",").cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), own.bitwiseXOR(m).alias("part")))
+
+    def keys(c: str, probing: bool):
+        return F.explode(F.concat(*(sent(c, i, a, b, r if probing else 0) for i, ((a, b), r) in enumerate(parts) if r >= 0))).alias("x")
+
+    one = left.select("id", "bits", keys("bits", not swapped)).select("id", "bits", "x.*")
+    two = right.select(F.col("id").alias("other_id"), F.col("bits").alias("other_bits"), keys("bits", swapped)).select("other_id", "other_bits", "x.*")
+    met = one.join(two, ["band", "part"]).withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))))
+    return met.filter(F.col("distance") <= most).select("id", "other_id", "bits", "other_bits", "distance").distinct()
 
 
 def image_matches(inputs: DataFrame, outputs: DataFrame, most: int = 10, words: int = 4, least_ink: float = 0.006) -> DataFrame:
