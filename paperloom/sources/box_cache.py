@@ -20,7 +20,7 @@ KEY = ["sha", "page_idx"]
 BOX = ["ord", "text", "x0", "y0", "x1", "y1", "conf"]
 SCHEMA = "sha string, page_idx int, zone string, writer string, boxes array<struct<ord: int, text: string, x0: double, y0: double, x1: double, y1: double, conf: double>>, bucket int"
 BOXES = "sha string, page_idx int, ord int, text string, x0 double, y0 double, x1 double, y1 double, conf double"
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(sha: Column) -> Column:
@@ -52,14 +52,14 @@ def store(path: str, boxes: DataFrame, top: float | None = None) -> None:
     kept = boxes.filter("sha is not null and page_idx is not null").select(*KEY, F.struct(*(F.col(c) for c in BOX)).alias("box"))
     pages = kept.groupBy(*KEY).agg(F.sort_array(F.collect_list("box")).alias("boxes"))
     rows = pages.select("sha", F.col("page_idx").cast("int").alias("page_idx"), F.lit(zone_key(top)).alias("zone"), F.lit(uuid.uuid4().hex).alias("writer"), "boxes", bucket_of(F.col("sha")).alias("bucket"))
-    # Rows of a bucket go to one file each, not to one of every task.
-    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    # Rows of a bucket come together, not as a small file of every task; a large bucket is split again.
+    rows.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def compact(path: str, target: str, spark: SparkSession) -> None:
     """A copy of the cache with every page once."""
     once = stored(spark, path).groupBy(*KEY, "zone", "bucket").agg(F.min_by(F.struct("writer", "boxes"), "writer").alias("x"))
-    once.select(*KEY, "zone", "x.writer", "x.boxes", "bucket").repartition("bucket").write.mode("error").partitionBy("bucket").parquet(target)
+    once.select(*KEY, "zone", "x.writer", "x.boxes", "bucket").hint("rebalance", F.col("bucket")).write.mode("error").partitionBy("bucket").parquet(target)
 
 
 def boxes_through_cache(path: str, wanted: DataFrame, digital: DataFrame, recognise: Callable[[DataFrame], DataFrame], top: float | None = None) -> DataFrame:
