@@ -72,7 +72,7 @@ def k_json_rows(spark, d):
 
 
 @query("k_rename_log", """WITH q AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate::DATE END AS day, (o_custkey % 25)::VARCHAR AS div, o_orderpriority AS company, 'd' || (o_custkey % 40) AS folder, o_orderkey % 6 AS n, o_orderkey % 11 > 0 AS ok FROM orders WHERE o_orderstatus = 'F'),
-r AS (SELECT *, row_number() OVER (PARTITION BY folder, ok ORDER BY day NULLS LAST, doc_id) AS seq FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, ok ORDER BY doc_id) AS seq FROM q),
 s AS (SELECT *, upper(lpad(seq::VARCHAR, 4, '0') || '_' || lpad(div, 3, '0') || '_' || company) || '.pdf' AS placed FROM r)
 SELECT '2024-01-02' AS timestamp, 'p' || doc_id AS original_path, CASE WHEN ok THEN placed ELSE '' END AS new_filename, CASE WHEN ok THEN 'out/' || folder || '/' || placed ELSE '' END AS new_path, div AS division_code, CASE WHEN ok THEN company ELSE '' END AS company_name,
  coalesce(strftime(day, '%Y-%m-%d'), '') AS document_date, CASE WHEN ok THEN coalesce(strftime(day, '%Y%m'), '') ELSE '' END AS yyyymm, CASE WHEN ok THEN seq::VARCHAR ELSE '' END AS sequence_number, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 70 END AS confidence, 'scored' AS method,
