@@ -80,6 +80,20 @@ def test_sets_of_all_sizes(spark):
         assert want <= got and len(got) < 3600
 
 
+@pytest.mark.parametrize("part", [6_000_000, 40])
+def test_only_similar_sets_leave_their_parts(spark, monkeypatch, part):
+    """Sets that share rare tokens but too few, in one part and in many: no row is made for those."""
+    monkeypatch.setattr(similarity, "PART_TOKENS", part, raising=False)
+    rng = random.Random(5)
+    docs = lambda first: {first + i: [{f"t{k}" for k in rng.sample(range(40), rng.randrange(1, 12))} for _ in range(rng.randrange(1, 3))] for i in range(50)}
+    left, right = docs(0), docs(1000)
+    sets = lambda docs, key: pages_of(spark, docs).selectExpr(f"doc_id as {key}", "page_idx", "transform(tokens, t -> xxhash64(t)) as hashes")
+    df = similarity.document_frequency(sets(right, "doc_id").withColumnRenamed("hashes", "tokens"))
+    got = [tuple(r) for r in similarity.similar_sets(sets(left, "id"), sets(right, "other_id"), 0.4, df).collect()]
+    want = {(i, o) for i, d in left.items() for o, e in right.items() if any(len(a & b) >= 0.4 * len(a | b) - 1e-12 for a in d for b in e)}
+    assert sorted(got) == sorted(want) and 20 < len(want) < 1000
+
+
 def test_empty_sides_match_nothing(spark):
     some, none = pages_of(spark, {1: [{"abcd", "efgh", "ijkl"}]}), pages_of(spark, {1: [{"x"}]}).limit(0)
     for a, b in ((some, none), (none, some), (none, none)):
