@@ -42,17 +42,23 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: as a plain expression each use would
+    repeat it, and nested uses would multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_range(date: Column, as_of: Column, floor: int = YEAR_FLOOR) -> Column:
-    return F.when((F.year(date) >= floor) & (date <= as_of), date)
+    return once(date, lambda d: F.when((F.year(d) >= floor) & (d <= as_of), d))
 
 
 def parsed_date(text: Column, as_of: Column, floor: int = YEAR_FLOOR) -> Column:
     """The date of a matched text in one of the four forms."""
-    a, b, c = (_int(F.regexp_extract(text, r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})$", i)) for i in (1, 2, 3))
-    year = F.when(c < 100, c + F.when(c < 69, 2000).otherwise(1900)).otherwise(c)
-    numeric = F.when(a <= 12, ymd(year, a, b)).otherwise(ymd(year, b, a))
+    parts = F.struct(*(_int(F.regexp_extract(text, r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})$", i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))))
+    year = lambda c: F.when(c < 100, c + F.when(c < 69, 2000).otherwise(1900)).otherwise(c)
+    numeric = once(parts, lambda x: ymd(year(x["c"]), F.when(x["a"] <= 12, x["a"]).otherwise(x["b"]), F.when(x["a"] <= 12, x["b"]).otherwise(x["a"])))
     name = F.lower(F.substring(F.regexp_extract(text, f"(?i)({MONTHS})", 1), 1, 3))
-    month = F.when(name != "", F.array_position(F.array(*map(F.lit, MONTH_KEYS)), name).cast("int"))
+    month = once(name, lambda n: F.when(n != "", F.array_position(F.array(*map(F.lit, MONTH_KEYS)), n).cast("int")))
     day, yr = _int(F.regexp_extract(text, r"\b(\d{1,2})\b", 1)), _int(F.regexp_extract(text, r"\b(\d{4})\b", 1))
     return in_range(F.coalesce(numeric, ymd(yr, month, day)), as_of, floor)
 
@@ -87,16 +93,16 @@ def routing_date(text: Column, as_of: Column) -> Column:
     control = F.transform(after_control, lambda w: F.struct(fit(parsed_date(F.regexp_extract(w, f"({CONTROL_DATE})", 1), as_of)).alias("date"), F.lit("control_number").alias("source")))
 
     def ladder(w: Column) -> Column:
-        a, b = _int(F.regexp_extract(w, GLITCHED, 1)), _int(F.regexp_extract(w, GLITCHED, 2))
-        y = _int(F.regexp_extract(w, GLITCHED, 3))
-        mmdd = fit(F.when(a <= 12, ymd(y, a, b)).otherwise(ymd(y, b, a)))
-        iso, day = fit(parts(w, ISO_TIME)), fit(parts(w, ISO_DAY))
-        bad = F.transform(F.regexp_extract_all(w, F.lit(f"({CORRUPTED})"), F.lit(1)), lambda m: fit(ymd(F.when(_int(F.regexp_extract(m, CORRUPTED, 1)) < 100, _int(F.regexp_extract(m, CORRUPTED, 1)) + 2000).otherwise(_int(F.regexp_extract(m, CORRUPTED, 1))), _int(F.regexp_extract(m, CORRUPTED, 2)), _int(F.regexp_extract(m, CORRUPTED, 3)))))
-        corrupted = F.get(F.filter(bad, lambda x: x.isNotNull()), F.lit(0))
-        source = F.when(mmdd.isNotNull(), "routing_slip_mmdd").when(iso.isNotNull(), "routing_slip_iso").when(day.isNotNull(), "routing_slip_date_only").otherwise("routing_slip_corrupted")
-        return F.struct(F.coalesce(mmdd, iso, day, corrupted).alias("date"), source.alias("source"))
-
-    header = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?=({ROUTING}[\s\S]{{0,285}}))"), F.lit(1)), lambda w: ladder(F.substring(w, 1, 300)))
+        numbers = F.struct(*(_int(F.regexp_extract(w, GLITCHED, i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "y"))))
+        mmdd = once(numbers, lambda x: fit(ymd(x["y"], F.when(x["a"] <= 12, x["a"]).otherwise(x["b"]), F.when(x["a"] <= 12, x["b"]).otherwise(x["a"]))))
+        year = lambda y: F.when(y < 100, y + 2000).otherwise(y)
+        one = lambda m: fit(ymd(once(_int(F.regexp_extract(m, CORRUPTED, 1)), year), _int(F.regexp_extract(m, CORRUPTED, 2)), _int(F.regexp_extract(m, CORRUPTED, 3))))
+        bad = F.transform(F.regexp_extract_all(w, F.lit(f"({CORRUPTED})"), F.lit(1)), one)
+        rungs = (("routing_slip_mmdd", mmdd), ("routing_slip_iso", fit(parts(w, ISO_TIME))), ("routing_slip_date_only", fit(parts(w, ISO_DAY))), ("routing_slip_corrupted", F.get(F.filter(bad, lambda x: x.isNotNull()), F.lit(0))))
+        found = F.array(*(F.struct(d.alias("date"), F.lit(source).alias("source")) for source, d in rungs))
+        return F.get(F.filter(found, lambda x: x["date"].isNotNull()), F.lit(0))
+
+    header = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?=({ROUTING}[\s\S]{{0,285}}))"), F.lit(1)), lambda w: once(F.substring(w, 1, 300), ladder))
     return F.get(F.filter(F.concat(control, header), lambda x: x["date"].isNotNull()), F.lit(0))
 
 
@@ -110,7 +116,7 @@ def control_anchor(text: Column, as_of: Column) -> Column:
 def first_date(text: Column, as_of: Column) -> Column:
     """The date of the first pattern, in the patterns' order, whose first match is a date."""
     # One lambda keeps the parser once in the plan.
-    found = F.transform(F.array(*(F.regexp_extract(text, f"(?i)({p})", 1) for p in PATTERNS)), lambda m: parsed_date(m, as_of))
+    found = F.transform(F.array(*(F.regexp_extract(text, f"(?i)({p})", 1) for p in PATTERNS)), lambda m: F.when(m != "", parsed_date(m, as_of)))
     return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
@@ -124,7 +130,8 @@ def labeled_dates(words: DataFrame, as_of: Column, share: float = 0.02, reach: i
     w = W.partitionBy("doc_id", "page_idx").orderBy("word_idx")
     marked = words.withColumns({"next": F.lead("text").over(w), "next_right": F.lead(F.col("left") + F.col("width")).over(w)})
     labels = marked.filter(F.concat_ws(" ", "text", "next").rlike(f"(?i)^{LABEL}")).select("doc_id", "page_idx", F.col("word_idx").alias("label"), F.col("top").alias("ly"), F.col("next_right").alias("lx"), F.greatest(F.col("page_height") * share, F.lit(10.0)).alias("tol"))
-    dated = words.withColumn("date", parsed_date(F.regexp_extract("text", "({}|{})".format(NUMERIC, NUMERIC_SHORT), 1), as_of))
+    # Few words are dates: only these are parsed.
+    dated = words.withColumn("date", once(F.regexp_extract("text", "({}|{})".format(NUMERIC, NUMERIC_SHORT), 1), lambda m: F.when(m != "", parsed_date(m, as_of))))
     # Words take two characters at least, so this many reach as far as the text after a label.
     near = F.col("word_idx").between(F.col("label"), F.col("label") + reach // 2 + 2)
     pairs = labels.join(dated, ["doc_id", "page_idx"]).filter(F.col("date").isNotNull() | near)
@@ -243,7 +250,8 @@ def document_dates(pages: DataFrame, words: DataFrame, as_of: Column, include_da
         return docs.select("doc_id", F.lit(None).cast("date").alias("date"), F.lit(0).alias("confidence"), F.lit("skipped").alias("method"), F.lit(False).alias("needs_review"))
     pages = pages.select("doc_id", "page_idx", "page_text")
     slips = pages.select("doc_id", "page_idx", routing_date(F.col("page_text"), as_of).alias("r")).filter("r.date is not null")
-    routing = slips.groupBy("doc_id").agg(F.min_by("r.date", "page_idx").alias("date"))
+    # Written, as every later step leaves out what the slips settle and would read them all again.
+    routing = written(slips.groupBy("doc_id").agg(F.min_by("r.date", "page_idx").alias("date")), "routing-dates")
     # What a routing slip settles needs no scores.
     read = pages.join(routing, "doc_id", "left_anti")
     if skipped is not None:

@@ -116,11 +116,16 @@ def d_quick_stop(spark, d):
     return dates.quick_stops(_quick(spark, d))
 
 
+def _spread(spark, d):
+    """Orders in as many parts as the session's shuffles have: what reads their texts is bound by the processor, and a small file is one part."""
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
 @query("d_label_text", "SELECT o_orderkey AS doc_id, 0 AS page_idx, o_orderdate::DATE AS date FROM orders")
 def d_label_text(spark, d):
     """Labelled dates in words of their own, which only the text after the label gives."""
     line = F.split(F.concat(F.lit("Our Document Date: "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" thanks")), " ")
-    words = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(line).alias("word_idx", "text"))
+    words = _spread(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(line).alias("word_idx", "text"))
     return dates.labeled_dates(words.withColumns({"left": F.col("word_idx") * 50.0, "top": F.lit(20.0), "width": F.lit(40.0), "page_height": F.lit(800.0)}), as_of())
 
 
@@ -134,7 +139,7 @@ def d_document_dates(spark, d):
     first = F.when(k == 1, F.concat(F.lit("issued "), day, F.lit(" here"))).when(k == 2, "Letter of March 5, 2010 and one of April 6, 2011 follow").otherwise("On March 5, 2010 we wrote")
     second = F.when(k == 0, "Document Routing Slip x 2020-05-17 10:04:53").when(k == 3, "no 9002000777 dated 01/02/2015 2017-09-20 10:04:53")
     third = F.when(k == 3, "issued, dated and effective June 7, 2012")
-    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(first, second, third)).alias("page_idx", "page_text"))
+    pages = _spread(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(first, second, third)).alias("page_idx", "page_text"))
     words = pages.filter("false").select("doc_id", "page_idx", F.lit(0).alias("word_idx"), F.lit("").alias("text"), *(F.lit(0.0).alias(c) for c in ("left", "top", "width", "page_height")))
     return dates.document_dates(pages, words, as_of(), skipped=pages.filter("doc_id % 4 = 0 and page_idx = 1"))
 
