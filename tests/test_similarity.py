@@ -100,3 +100,31 @@ def test_empty_sides_match_nothing(spark):
         assert similarity.best_text_matches(a, b).collect() == similarity.text_matches(a, b).collect() == similarity.text_matches(a, b, least=0.5).collect() == []
     far = pages_of(spark, {5: [{"mnop", "qrst"}], 6: [set()]})
     assert similarity.best_text_matches(some, far).collect() == similarity.text_matches(some, far).collect() == []
+
+
+def brute_best(inputs, outputs):
+    allowed, best = set(candidates(inputs, outputs)), {}
+    for (i, o), v in brute_matches(inputs, outputs).items():
+        if (i, o) in allowed and (i not in best or (v[:2], -o) > (best[i][1][:2], -best[i][0])):
+            best[i] = (o, v)
+    return best
+
+
+@pytest.mark.parametrize("n, part", [(30, 6_000_000), (150, 6_000_000), (150, 400)])
+def test_best_of_all_pairs_however_low(spark, monkeypatch, n, part):
+    """The best output of every input, in one part and in many, where most share a few tokens only; no pair is returned for it."""
+    monkeypatch.setattr(similarity, "PART_TOKENS", part)
+    rng = random.Random(n)
+    inputs, outputs = corpus(rng, 60, 0), corpus(rng, n, 1000)
+    found = similarity.best_text_matches(pages_of(spark, inputs), pages_of(spark, outputs), least=0.0).collect()
+    assert {r.doc_id: (r.out_id, (r.coverage, r.score, r.pages)) for r in found} == brute_best(inputs, outputs)
+    assert len(found) == len({r.doc_id for r in found}) and any(0 < r.score < 0.6 for r in found)
+
+
+def test_parts_are_read_and_not_shuffled(spark, monkeypatch):
+    """A part of one side meets all parts of the other where they are written: nothing is sent once for each of these."""
+    monkeypatch.setattr(similarity, "PART_TOKENS", 40)
+    rng = random.Random(2)
+    sets = lambda first, key: pages_of(spark, {first + i: [{f"t{k}" for k in rng.sample(range(90), 9)}] for i in range(40)}).selectExpr(f"doc_id as {key}", "page_idx", "transform(tokens, t -> xxhash64(t)) as hashes")
+    plan = similarity.similar_sets(sets(0, "id"), sets(1000, "other_id"), 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
