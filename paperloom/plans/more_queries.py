@@ -187,7 +187,7 @@ def j_image_match(spark, d):
     docs = docs.select("doc_id", F.lit(0).alias("page_idx"), F.lit(40).alias("width"), height.alias("height"), "b")
     pages = images.fingerprints(docs.withColumn("pixels", F.encode(F.rpad("b", F.col("height") * 40, F.lit("A")), "UTF-8")))
     a, b = pages.filter("doc_id % 2 = 0"), pages.filter("doc_id % 2 = 1")
-    return similarity.unambiguous(similarity.image_matches(a, b)).select("doc_id", "out_id", "ambiguous")
+    return similarity.best_image_matches(a, b).select("doc_id", "out_id", "ambiguous")
 
 
 @query("f_forms_agree", "SELECT p_partkey, true AS strong, true AS any_keyword FROM part")

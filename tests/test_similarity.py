@@ -128,3 +128,29 @@ def test_parts_are_read_and_not_shuffled(spark, monkeypatch):
     sets = lambda first, key: pages_of(spark, {first + i: [{f"t{k}" for k in rng.sample(range(90), 9)}] for i in range(40)}).selectExpr(f"doc_id as {key}", "page_idx", "transform(tokens, t -> xxhash64(t)) as hashes")
     plan = similarity.similar_sets(sets(0, "id"), sets(1000, "other_id"), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "CartesianProduct" in plan
+
+
+def test_best_images_against_brute_force(spark):
+    """Pages with the same empty foot, in copies and near copies: best match and doubt as over all pairs, and few hashes that meet."""
+    rng = random.Random(11)
+    flipped = lambda h, n: [w ^ sum(1 << (b % 63) for b in at if b // 63 == i) for i, w in enumerate(h) for at in [bits]] if (bits := set(rng.sample(range(126), n))) is not None else h
+    bases = [[rng.randrange(2**62), rng.randrange(2**62), 0, 0] for _ in range(40)]
+    docs = {}
+    for i in range(160):
+        docs[i] = [rng.choice(bases) if i % 3 else flipped(rng.choice(bases), rng.randrange(14)) for _ in range(rng.randrange(1, 4))]
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    want = {}
+    for i, d in docs.items():
+        found = []
+        for o, e in docs.items() if i % 2 == 0 else ():
+            near = [min(far(p, q) for q in e) for p in d]
+            if o % 2 and (coverage := sum(n <= 10 for n in near) / len(near)) >= 0.5:
+                found.append((coverage, sum(1 - n / 256 for n in near) / len(near), o))
+        found.sort(reverse=True)
+        if found:
+            want[i] = (found[0][2], len(found) > 1 and found[0][0] == found[1][0] and found[0][1] - found[1][1] <= 0.01)
+    pages = spark.createDataFrame([(i, k, h, 0.1) for i, d in docs.items() for k, h in enumerate(d)], "doc_id long, page_idx int, hash array<long>, ink double")
+    a, b = pages.filter("doc_id % 2 = 0"), pages.filter("doc_id % 2 = 1")
+    assert {r.doc_id: (r.out_id, r.ambiguous) for r in similarity.best_image_matches(a, b).collect()} == want and len(want) > 40
+    whole = {(r.doc_id, r.out_id) for r in similarity.image_matches(a, b).collect()}
+    assert whole == {(i, o) for i in docs for o in docs if i % 2 == 0 and o % 2 and any(far(p, q) <= 10 for p in docs[i] for q in docs[o])}
