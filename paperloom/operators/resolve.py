@@ -17,6 +17,7 @@ from .detectors import CASE_HEADER, COMPLAINANT, HEAD_LINES, RESPONDENT, candida
 PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10), ("letterhead", 72, 6), ("signature", 72, 6), ("gazetteer", 68, 5), ("keyword", 88, 0), ("folder", 95, 0))
 STRONG_SOURCES = ("learned", "caption", "routing_slip", "letterhead", "signature", "gazetteer")
 OTHER_LEAST, MATCH_LEAST, WEAK_MOST = 95, 65, 89
+DIGITS, CUT_SOURCES = "0123456789", ("caption", "routing_slip", "letterhead", "signature")
 CHUNK, PART = 1000, 20_000
 
 
@@ -142,6 +143,11 @@ def combined(docs: DataFrame, candidates: DataFrame, matches: DataFrame, thresho
     weak source stays below.  Without a match the folder, else the heaviest candidate, is suggested.
     The candidates are read several times: give a table that is written (``text_candidates``, ``all_candidates``).
     """
+    return _with_defaults(docs.select("doc_id").join(_winners(candidates, matches, threshold), "doc_id", "left"), threshold)
+
+
+def _winners(candidates: DataFrame, matches: DataFrame, threshold: int) -> DataFrame:
+    """What is decided or suggested for each document that has a candidate."""
     scored = candidates.join(matches.select("name", "entry", "score"), "name", "left").filter((F.col("score") >= MATCH_LEAST) & F.col("entry").isNotNull())
     conf = F.when(F.col("score") >= profile("source", 1, OTHER_LEAST), F.least(F.lit(100), F.col("score") + profile("source", 2, 0))).otherwise(0)
     groups = scored.groupBy("doc_id", "entry").agg(
@@ -157,7 +163,10 @@ def combined(docs: DataFrame, candidates: DataFrame, matches: DataFrame, thresho
     v = W.partitionBy("doc_id").orderBy((F.col("source") == "folder").desc(), F.when(F.col("source") == "folder", F.lit(0.0)).otherwise(-F.col("weight")), "ord")
     raw = rest.withColumn("rn", F.row_number().over(v)).filter("rn = 1")
     raw = raw.select("doc_id", F.trim("name").alias("company_name"), F.lit(None).cast("string").alias("matched"), F.lit(None).cast("int").alias("score"), F.lit(0).alias("confidence"), F.col("source").alias("tier"), F.lit(False).alias("cross_validated"))
-    out = docs.select("doc_id").join(won.unionByName(raw), "doc_id", "left")
+    return won.unionByName(raw)
+
+
+def _with_defaults(out: DataFrame, threshold: int) -> DataFrame:
     c = F.coalesce("confidence", F.lit(0))
     label = F.when(F.col("matched").isNull(), "none").when(c >= threshold, "high").when(c >= 60, "medium").otherwise("low")
     return out.select(
@@ -166,6 +175,66 @@ def combined(docs: DataFrame, candidates: DataFrame, matches: DataFrame, thresho
     )
 
 
+def free_digits(roster: DataFrame, hints: DataFrame | None = None) -> str:
+    """The digits that no roster entry has and no line's hint can match on: they only fill places in a text."""
+    told = roster.select(F.col("entry").alias("text"))
+    if hints is not None:
+        # Lines are looked up in match form, so other keys are never met.
+        told = told.union(hints.filter((F.col("kind") == "letterheads") & (F.col("key") == match_form(F.col("key")))).select("key"))
+    held = told.agg(*(F.max(F.contains("text", F.lit(d))).alias(d) for d in DIGITS)).first()
+    return "".join(d for d in DIGITS if not held[d])
+
+
+def document_forms(pages: DataFrame, free: str, folders: DataFrame | None = None) -> DataFrame:
+    """doc_id, form: documents of one form differ in nothing but ``free`` digits, and have the same folders.
+
+    Of digits it counts where they stand and which runs of them are equal, as words of a window are a set, and also how the runs are
+    sorted where entries have digits; a page on which digits touch letters stays as it is, as such words are sorted among others by
+    their digits.  A page number held twice makes a form of its own.
+    """
+    t, runs, known = F.col("page_text"), F.col("__runs"), F.col("__known")
+    cut = pages.withColumn("__runs", F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)))
+    cut = cut.withColumn("__known", runs if len(free) == len(DIGITS) else F.array_sort(F.array_distinct(runs)))
+    equal = F.array_join(F.transform(runs, lambda r: F.array_position(known, r).cast("string")), ",")
+    bare = F.concat(equal, F.lit("|"), F.regexp_replace(t, f"[{free}]", free[0])) if free else F.concat(F.lit("|"), t)
+    what = F.sha2(F.when(t.rlike(r"[0-9](?:(?=\p{L})|(?<=\p{L}[0-9]))"), F.concat(F.lit("|"), t)).otherwise(bare), 256)
+    rows = cut.select("doc_id", F.lit("page").alias("kind"), F.col("page_idx").cast("long").alias("at"), what.alias("what"))
+    if folders is not None:
+        rows = rows.unionByName(folders.select("doc_id", F.lit("folder").alias("kind"), F.col("ord").cast("long").alias("at"), F.col("name").alias("what")))
+    held = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "what"))).alias("held"))
+    twice = F.size(F.array_distinct(F.transform("held", lambda x: F.struct(x["kind"], x["at"])))) < F.size("held")
+    return held.select("doc_id", F.unhex(F.sha2(F.to_json(F.struct("held", F.when(twice, F.col("doc_id")).alias("own"))), 256)).alias("form"))
+
+
+def resolved(docs: DataFrame, pages: DataFrame, roster: DataFrame, folders: DataFrame | None = None, hints: DataFrame | None = None, threshold: int = 90) -> DataFrame:
+    """``combined`` over ``all_candidates``, one row per doc, but documents of one form (``document_forms``) are searched once.
+
+    The detectors take every digit alike, so what they find in one document of a form stands in all, at the same places.  Where a name
+    cut out of the text holds a free digit, the form's other documents are searched on their own.  The pages are
+    read up to three times: give a table that is written, or cheap.
+    """
+    pages = pages.select("doc_id", "page_idx", "page_text").filter(F.trim("page_text") != "")
+    roster = written(roster.select("entry", "ord"), "roster")
+    free = free_digits(roster, hints)
+    forms = written(document_forms(pages, free, folders), "document-forms")
+    stands = forms.join(forms.groupBy("form").agg(F.min("doc_id").alias("rep")), "form").select("doc_id", "rep")
+
+    def searched(ids: DataFrame) -> DataFrame:
+        # Written, as the detectors read both several times and would else sift all documents each time.
+        of = lambda rows, name: None if rows is None else written(rows.join(ids, "doc_id", "left_semi"), name)
+        return all_candidates(of(pages, "searched-pages"), roster, of(folders, "searched-folders"), hints)
+
+    found = searched(written(forms.groupBy("form").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "searched-ids"))
+    if free:
+        loose = found.filter(F.col("source").isin(*CUT_SOURCES) & F.col("name").rlike(f"[{free}]")).select(F.col("doc_id").alias("rep")).distinct()
+        others = written(stands.filter("doc_id <> rep").join(loose, "rep", "left_semi").select("doc_id"), "searched-ids")
+        if not others.isEmpty():
+            found = found.unionByName(searched(others))
+            stands = stands.join(others.select("doc_id", F.lit(True).alias("alone")), "doc_id", "left").select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("rep")).alias("rep"))
+    won = written(_winners(found, roster_matches(found, roster), threshold), "winners").withColumnRenamed("doc_id", "rep")
+    return _with_defaults(docs.select("doc_id").join(stands.join(won, "rep"), "doc_id", "left"), threshold)
+
+
 def folder_hints(folders: DataFrame, roster: DataFrame, least: int = 95) -> DataFrame:
     """Folder names (column name) that look like companies, in the roster's spelling where it is certain."""
     named = folders.filter(match_form(F.col("name")).rlike(STRONG_RE) & ~is_regulator(F.col("name")))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import dates, detectors, layout, resolve, session
-from ..sources.tables import LETTERS_SQL, letters, roster, table
+from ..sources.shared import written
+from ..sources.tables import LETTERS_SQL, composed, letter_rows, letters, roster, table
 from .finalize import finalize_plan
 from .registry import query
 from .relational_queries import _boxes
@@ -78,12 +79,10 @@ def c_combine(spark, d):
 @query("c_resolve", f"WITH {LETTERS_SQL} SELECT doc_id, company AS company_name, 'high' AS label, true AS cross_validated, false AS needs_review FROM letters")
 def c_resolve(spark, d):
     """All eight detectors over all letters, in folders named after their companies."""
-    docs, names = letters(spark, d), roster(spark, d)
+    docs, names = composed(written(letter_rows(spark, d), "letter-rows")), roster(spark, d)
     folders = docs.select("doc_id", F.lit(0).alias("ord"), F.lower("company").alias("name"))
     hints = table(spark, d, "nation").select(F.lit("letterheads").alias("kind"), F.upper("n_name").alias("key"), F.upper("n_name").alias("company"))
-    found = resolve.all_candidates(docs, names, folders, hints)
-    out = resolve.combined(docs, found, resolve.roster_matches(found, names))
-    return out.select("doc_id", "company_name", "label", "cross_validated", "needs_review")
+    return resolve.resolved(docs, docs, names, folders, hints).select("doc_id", "company_name", "label", "cross_validated", "needs_review")
 
 
 @query("c_layout_candidates")
