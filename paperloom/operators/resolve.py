@@ -18,7 +18,7 @@ PROFILES = (("learned", 60, 10), ("caption", 80, 10), ("routing_slip", 80, 10),
 STRONG_SOURCES = ("learned", "caption", "routing_slip", "letterhead", "signature", "gazetteer")
 OTHER_LEAST, MATCH_LEAST, WEAK_MOST = 95, 65, 89
 DIGITS, CUT_SOURCES = "0123456789", ("caption", "routing_slip", "letterhead", "signature")
-CHUNK, PART = 1000, 20_000
+CHUNK, PART, BROADCAST_ROWS = 1000, 20_000, 100_000
 
 
 def roster_matches(names: DataFrame, roster: DataFrame, normalize: bool = True, least: int = 0) -> DataFrame:
@@ -217,22 +217,25 @@ def resolved(docs: DataFrame, pages: DataFrame, roster: DataFrame, folders: Data
     roster = written(roster.select("entry", "ord"), "roster")
     free = free_digits(roster, hints)
     forms = written(document_forms(pages, free, folders), "document-forms")
-    stands = forms.join(forms.groupBy("form").agg(F.min("doc_id").alias("rep")), "form").select("doc_id", "rep")
+    # A form may hold most documents, so few forms are sent to them rather than they to their form.
+    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    first = written(forms.groupBy("form").agg(F.min("doc_id").alias("rep")), "forms")
+    stands = forms.join(small(first), "form").select("doc_id", "rep")
 
     def searched(ids: DataFrame) -> DataFrame:
         # Written, as the detectors read both several times and would else sift all documents each time.
         of = lambda rows, name: None if rows is None else written(rows.join(ids, "doc_id", "left_semi"), name)
         return all_candidates(of(pages, "searched-pages"), roster, of(folders, "searched-folders"), hints)
 
-    found = searched(written(forms.groupBy("form").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "searched-ids"))
+    found = searched(first.select(F.col("rep").alias("doc_id")))
     if free:
         loose = found.filter(F.col("source").isin(*CUT_SOURCES) & F.col("name").rlike(f"[{free}]")).select(F.col("doc_id").alias("rep")).distinct()
         others = written(stands.filter("doc_id <> rep").join(loose, "rep", "left_semi").select("doc_id"), "searched-ids")
         if not others.isEmpty():
             found = found.unionByName(searched(others))
             stands = stands.join(others.select("doc_id", F.lit(True).alias("alone")), "doc_id", "left").select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("rep")).alias("rep"))
-    won = written(_winners(found, roster_matches(found, roster), threshold), "winners").withColumnRenamed("doc_id", "rep")
-    return _with_defaults(docs.select("doc_id").join(stands.join(won, "rep"), "doc_id", "left"), threshold)
+    won = written(_winners(found, roster_matches(found, roster), threshold).withColumnRenamed("doc_id", "rep"), "winners")
+    return _with_defaults(docs.select("doc_id").join(stands.join(small(won), "rep"), "doc_id", "left"), threshold)
 
 
 def folder_hints(folders: DataFrame, roster: DataFrame, least: int = 95) -> DataFrame:
